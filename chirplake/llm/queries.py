@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chirplake.llm.line_rules import line_quality
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
-from chirplake.llm.store import table
+from chirplake.llm.simhash import fingerprinted, near_groups
+from chirplake.llm.store import frozen, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,15 +26,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 64-bit fingerprints are linked at up to 4 bits."""
+    prints = frozen(fingerprinted(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]), "fingerprints")
+    groups = near_groups(prints, most=4)
+    docs = prints.join(groups, "fp")
+    least = docs.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return docs.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     mixed = mix_sources(docs, source="source", size=word_count(F.col("text")), quality=symbol_quality(F.col("text")), identity=["doc_id"], carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, the base rule and the cross-document line rule for `documents`, sources as hosts."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return line_quality(docs, carry=["doc_id"])
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op7_line_rules": op7_line_rules,
 }
 
 ORACLES = {
@@ -59,5 +78,29 @@ o AS (
 SELECT doc_id, size, source_size, target,
   least(2 * size, epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - (upto - size))))::BIGINT AS taken
 FROM o
+""",
+    "op7_line_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 3),
+t AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM t, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (
+  SELECT r, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+z AS (
+  SELECT r, host, text, line, len(ws) AS words,
+    translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000') AS norm FROM m),
+f AS (SELECT host, norm FROM z GROUP BY host, norm HAVING count(DISTINCT text) > 20),
+x AS (SELECT r, sum(words)::BIGINT AS removed_words FROM z SEMI JOIN f USING (host, norm) GROUP BY r),
+y AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM z GROUP BY r),
+b AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM d JOIN w USING (r) LEFT JOIN c USING (r) LEFT JOIN x USING (r) LEFT JOIN y USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept
+FROM b
 """,
 }
