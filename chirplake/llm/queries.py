@@ -9,7 +9,8 @@ from chirplake.llm.line_rules import line_quality
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
 from chirplake.llm.simhash import fingerprinted, near_groups
-from chirplake.llm.store import frozen, table
+from chirplake.llm.store import frozen, new_path, table
+from chirplake.llm.warc import RECORD_ID, read_warc, write_warc
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +48,22 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs, carry=["doc_id"])
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` as WARC archives in the shared folder, read back by byte ranges."""
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    page = lambda c: F.nullif(F.substring(c, len(RECORD_ID) + 1, 20), F.lit("")).cast("long")
+    return read_warc(spark, path, split_bytes=4 << 20).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to")
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op7_line_rules": op7_line_rules,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
@@ -102,5 +114,15 @@ b AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept
 FROM b
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, lower(sha1(html)) AS hex, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT // [32768, 1024, 32, 1][1 + i % 4]) % 32, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id OR page_id IS NULL THEN first END AS refers_to
+FROM h
 """,
 }
