@@ -12,15 +12,16 @@ from pyspark.sql import types as T
 
 #: Text of one piece; a longer text is a piece of its own.
 PIECE_BYTES = 8 << 20
+PIECE_ROWS = 4096
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of consecutive rows whose texts have up to `most` bytes together, or one row."""
+    """Slices of up to PIECE_ROWS consecutive rows whose texts have up to `most` bytes together, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = held = 0
         for k, n in enumerate(sizes):
-            if k > start and held + n > most:
+            if k > start and (held + n > most or k - start >= PIECE_ROWS):
                 yield batch.slice(start, k - start)
                 start, held = k, 0
             held += n

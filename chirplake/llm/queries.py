@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.llm.line_rules import line_quality
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
+from chirplake.llm.ngram_lm import score_texts
 from chirplake.llm.simhash import fingerprinted, near_groups
 from chirplake.llm.store import frozen, new_path, table
 from chirplake.llm.warc import RECORD_ID, read_warc, write_warc
@@ -48,6 +49,16 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs, carry=["doc_id"])
 
 
+def crc_mod(column: str, n: int) -> Column:
+    """CRC-32 of the column as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all `documents` under a bigram model of those whose remainder by 5 is not 1."""
+    return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), id="doc_id", text="text", train=crc_mod("doc_id", 5) != 1)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`pages` as WARC archives in the shared folder, read back by byte ranges."""
     path = new_path(spark, "warc")
@@ -63,6 +74,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op7_line_rules": op7_line_rules,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_warc": op10_warc,
 }
 
