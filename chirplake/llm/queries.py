@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chirplake.llm import lang_id, pieces
 from chirplake.llm.line_rules import line_quality
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
@@ -14,6 +17,10 @@ from chirplake.llm.store import frozen, new_path, table
 from chirplake.llm.warc import RECORD_ID, read_warc, write_warc
 
 
+#: The SentencePiece model that op4 and the pipeline read on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of `documents` under the law `rows`: counts at most one apart."""
     text = F.col("text")
@@ -28,6 +35,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all `documents`, learned from those whose remainder by 4 is not 2."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", lang_id.held_out(F.col("doc_id")))
+    model = lang_id.fit(docs.where(~F.col("held_out")), id="doc_id", text="text", lang="lang")
+    return lang_id.identify(docs, model, carry=["doc_id", "held_out"])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 64-bit fingerprints are linked at up to 4 bits."""
     prints = frozen(fingerprinted(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]), "fingerprints")
@@ -37,6 +51,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Ids of all `documents` and whether they decode to the text."""
+    return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), Path(model).read_bytes(), carry=["doc_id"])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     mixed = mix_sources(docs, source="source", size=word_count(F.col("text")), quality=symbol_quality(F.col("text")), identity=["doc_id"], carry=["doc_id"])
@@ -71,7 +90,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_lang_id": op2_lang_id,
     "op3_simhash": op3_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op7_line_rules": op7_line_rules,
     "op8_lm_scoring": op8_lm_scoring,
