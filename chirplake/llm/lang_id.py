@@ -23,6 +23,8 @@ from chirplake.llm.batches import map_texts, pieces
 DIM = 1 << 11
 #: Text of one piece while it is turned into vectors.
 VECTOR_BYTES = 2 << 20
+#: A text of fewer different features has less in common with any centroid; its limit falls with their square root.
+SHORT = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters stay (and all of non-ASCII letters and marks), the rest become blanks.
 TO_LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
@@ -88,11 +90,13 @@ class LanguageModel:
         letters = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
         if not self.langs:
             return {"lang_pred": pa.array(["und"] * len(texts)), "score": pa.array(np.zeros(len(texts))), "rejected": pa.array([True] * len(texts))}
-        cos = vectors(texts, self.idf) @ self.cents.T
+        x = vectors(texts, self.idf)
+        cos = x @ self.cents.T
         best = cos.argmax(axis=1)
         score = np.where(letters, np.clip(cos[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
+        short = np.sqrt(np.minimum(1.0, (x > 0).sum(axis=1) / SHORT))
         names = [self.langs[self.owner[b]] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "rejected": pa.array(~letters | (score < self.limits[best]))}
+        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "rejected": pa.array(~letters | (score < self.limits[best] * short))}
 
 
 def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, per_lang: int = 3, slack: float = 0.5, max_langs: int = 1000) -> LanguageModel:

@@ -12,6 +12,7 @@ from chirplake.llm.line_rules import line_quality
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
 from chirplake.llm.ngram_lm import score_texts
+from chirplake.llm.phrases import compare_with_next
 from chirplake.llm.simhash import fingerprinted, near_groups
 from chirplake.llm.store import frozen, new_path, table
 from chirplake.llm.warc import RECORD_ID, read_warc, write_warc
@@ -62,6 +63,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all `documents` and of each one's edited text."""
+    return compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base rule and the cross-document line rule for `documents`, sources as hosts."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
@@ -94,6 +100,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op6_phrases": op6_phrases,
     "op7_line_rules": op7_line_rules,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_warc": op10_warc,
