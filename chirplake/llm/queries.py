@@ -15,6 +15,7 @@ from chirplake.llm.ngram_lm import score_texts
 from chirplake.llm.phrases import compare_with_next
 from chirplake.llm.simhash import fingerprinted, near_groups
 from chirplake.llm.store import frozen, new_path, table
+from chirplake.llm.surrogates import replace_pii
 from chirplake.llm.warc import RECORD_ID, read_warc, write_warc
 
 
@@ -84,6 +85,15 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), id="doc_id", text="text", train=crc_mod("doc_id", 5) != 1)
 
 
+#: Key of the surrogates; a user's own is a secret.
+PII_KEY = "chirplake"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` with surrogates for their personal data and secrets."""
+    return replace_pii(table(spark, sf_dir, "documents", "doc_id", "text"), key=PII_KEY, carry=["doc_id"])
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`pages` as WARC archives in the shared folder, read back by byte ranges."""
     path = new_path(spark, "warc")
@@ -103,6 +113,7 @@ QUERIES = {
     "op6_phrases": op6_phrases,
     "op7_line_rules": op7_line_rules,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_surrogates": op9_surrogates,
     "op10_warc": op10_warc,
 }
 
