@@ -13,6 +13,7 @@ the pairs of a group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +35,40 @@ SLAB = 1 << 18
 CELL = 1 << 17
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of the text's word shingles: a bit is set if it is in over half of their hashes. 0 without words."""
+def _shingles(text: str | None, width: int) -> list[bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > width:
-        starts, ends = starts[: 1 - width], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    starts, ends = (starts[: 1 - width], ends[width - 1 :]) if len(words) > width else (starts[:1], ends[-1:])
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit hashes the word whose bits are set in over half of them."""
+    ones = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[k : k + (1 << 15)]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of the text's word shingles: a bit is set if it is in over half of their XXH64 hashes. 0 without words."""
+    found = _shingles(text, width)
+    if not found:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), np.uint64, len(found))
+    return int(_majority(hashes[:, None])[0])
+
+
+def wide_fingerprint(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Two 64-bit words of a 128-bit SimHash."""
+    found = _shingles(text, width)
+    if not found:
+        return np.zeros(2, np.uint64)
+    return _majority(np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found]), np.uint64).reshape(-1, 2))
 
 
 def fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -65,6 +81,17 @@ def fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = N
     return map_texts(df, text, carry, "fp long", work)
 
 
+def wide_fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carry columns with fp0 and fp1 long, the two words of the wide fingerprint."""
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("fp0", "fp1")]
+
+    def work(texts: pa.Array) -> dict:
+        both = np.array([wide_fingerprint(t) for t in texts.to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+        return {"fp0": pa.array(both[:, 0]), "fp1": pa.array(both[:, 1])}
+
+    return map_texts(df, text, carry, "fp0 long, fp1 long", work)
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each 64-bit pattern in the reflected Gray sequence."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -75,9 +102,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayHierarchy:
     """Over the fingerprints x of cells; only pairs of one cell count."""
 
-    def __init__(self, cells: np.ndarray, x: np.ndarray):
+    def __init__(self, cells: np.ndarray, x: np.ndarray, rest: np.ndarray | None = None, most_in_all: int = 0):
+        """rest: a second word of each, which then is compared too; both words of a pair differ in most_in_all bits at most."""
         order = np.lexsort((gray_rank(x), cells))
-        self.x, first = x[order], cells[order]
+        self.order, self.x, first = order, x[order], cells[order]
+        self.rest, self.most_in_all = None if rest is None else rest[order], most_in_all
         level = {"mask": np.full(len(x), ~np.uint64(0)), "pattern": self.x, "low": first, "high": first}
         self.levels = [level]
         while len(level["low"]) > 1:
@@ -94,6 +123,9 @@ class GrayHierarchy:
         while stack:
             depth, a, b = stack.pop()
             if depth == 0:
+                if self.rest is not None:
+                    same = np.bitwise_count(self.x[a] ^ self.x[b]).astype(np.int64) + np.bitwise_count(self.rest[a] ^ self.rest[b]) <= self.most_in_all
+                    a, b = a[same], b[same]
                 yield a, b
                 continue
             if len(a) > FRONTIER // FAN**2:
@@ -109,7 +141,7 @@ class GrayHierarchy:
             shared = below["mask"][a] & below["mask"][b]
             apart = np.bitwise_count((below["pattern"][a] ^ below["pattern"][b]) & shared).astype(np.int64)
             near = apart <= most
-            if depth > 1:
+            if depth > 1 and self.rest is None:
                 one_cell = (below["low"][a] == below["high"][a]) & (below["low"][b] == below["high"][b])
                 whole = near & one_cell & (apart + np.bitwise_count(~shared) <= most)
                 if whole.any():
@@ -144,30 +176,33 @@ def join_sets(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = flat
 
 
-def spanning_links(cells: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and the root of each one's component in its cell, roots left out."""
-    index = GrayHierarchy(cells, x)
+def spanning_links(cells: np.ndarray, x: np.ndarray, most: int, rest: np.ndarray | None = None, most_in_all: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and of the root of each one's component in its cell, roots left out."""
+    index = GrayHierarchy(cells, x, rest, most_in_all)
     label = np.arange(len(x))
     for a, b in index.links(most):
         label = join_sets(label, a, b)
     other = label != np.arange(len(x))
-    return index.x[other], index.x[label[other]]
+    return index.order[other], index.order[label[other]]
+
+
+def _link_slabs(most: int, most_in_all: int):
+    """Over rows sorted by cell: node, fp and rest (a second word, if most_in_all); whole cells are indexed together."""
 
+    def linked(ids: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        word = lambda c: rows.column(c).to_numpy().view(np.uint64)
+        a, b = spanning_links(ids, word("fp"), most, word("rest") if most_in_all else None, most_in_all)
+        node = rows.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
 
-def _link_slabs(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def arrays() -> tuple[np.ndarray, np.ndarray]:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            parts = [whole.column(n).to_numpy().astype(np.int64) for n in ("bucket", "low", "high")]
-            ids = np.concatenate(([0], np.cumsum(np.any([np.diff(p) != 0 for p in parts], axis=0))))
-            return ids, whole.column("fp").to_numpy().view(np.uint64)
-
-        def linked(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            a, b = spanning_links(ids, x, most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+        def whole() -> tuple[np.ndarray, pa.Table]:
+            found = pa.Table.from_batches(held).combine_chunks()
+            parts = [found.column(n).to_numpy().astype(np.int64) for n in ("bucket", "low", "high")]
+            return np.concatenate(([0], np.cumsum(np.any([np.diff(p) != 0 for p in parts], axis=0)))), found
 
         for batch in batches:
             if not batch.num_rows:
@@ -175,38 +210,47 @@ def _link_slabs(most: int):
             held.append(batch)
             rows += batch.num_rows
             if rows >= SLAB:
-                ids, x = arrays()
+                ids, found = whole()
                 cut = int(np.searchsorted(ids, ids[-1]))  # the last cell may go on in the next batch
                 if cut:
-                    yield linked(ids[:cut], x[:cut])
-                    held = [b for b in pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()]
+                    yield linked(ids[:cut], found.slice(0, cut).combine_chunks())
+                    held = found.slice(cut).combine_chunks().to_batches()
                     rows -= cut
         if rows:
-            yield linked(*arrays())
+            yield linked(*whole())
 
     return run
 
 
-def near_links(prints: DataFrame, most: int = 4) -> DataFrame:
-    """prints: distinct `fp`. Gives (u, v) long: links between different fingerprints that span their components."""
+def near_links(prints: DataFrame, most: int = 4, shared: int = 1, most_in_all: int = 0) -> DataFrame:
+    """prints: rows of `node` and `fp`, and `rest` if most_in_all. Gives (u, v): links between nodes that span their components.
+
+    The bits are cut into most + shared blocks, of which near fingerprints have `shared` in common at
+    least; a row goes to a bucket for each such choice of blocks. More shared blocks make buckets that hold less of all rows.
+    """
     spark = prints.sparkSession
-    width = -(-BITS // (most + 1))
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(most)),
-        lambda k: k.cast("long") * (1 << width) + F.call_function("shiftrightunsigned", F.col("fp"), k * width).bitwiseAND(F.lit((1 << width) - 1)),
-    )
-    dealt = prints.select("fp", F.explode(bands).alias("bucket"))
-    # There are at most (most + 1) * 2^width buckets, whatever the input: a bounded table.
-    full = F.broadcast(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")))
+    width = -(-BITS // (most + shared))
+    block = lambda k: F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    choices = list(combinations(range(most + shared), shared))
+    keys = []
+    for nth, blocks in enumerate(choices):
+        key = F.lit(nth).cast("long")
+        for k in blocks:
+            key = F.shiftleft(key, width).bitwiseOR(block(k))
+        keys.append(key)
+    columns = ["node", "fp", *(["rest"] if most_in_all else [])]
+    dealt = prints.select(*columns, F.explode(F.array(*keys)).alias("bucket"))
+    # There are at most len(choices) * 2^(shared * width) buckets, whatever the input: a bounded table.
+    full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64(F.lit(5), "fp"), blocks).cast("int")
     cells = (
-        dealt.join(full, "bucket", "left")
-        .select("bucket", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("bucket", "fp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        dealt.join(F.broadcast(full), "bucket", "left")
+        .select("bucket", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("bucket", *columns, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * (most + 1) // (4 * SLAB)))
-    return cells.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_link_slabs(most), "u long, v long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * len(choices) // (4 * SLAB)))
+    return cells.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_link_slabs(most, most_in_all), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,5 +280,24 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(prints: DataFrame, most: int = 4) -> DataFrame:
     """prints: rows with `fp`. Gives (fp, root) for each distinct fp: equal roots are one component."""
     distinct = frozen(prints.select("fp").distinct(), "prints")
-    roots = components(near_links(distinct, most))
+    roots = components(near_links(distinct.select(F.col("fp").alias("node"), "fp"), most))
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", most: int = 6, most_in_all: int = 24) -> DataFrame:
+    """df with one row of each group of near copies: that with the smallest id (null ids last).
+
+    The 128-bit fingerprints of five-word shingles of near copies differ in most_in_all bits at most: at a
+    similarity (Jaccard) of 0.8, 15 % of the bits, 19.5, are expected to differ. Pairs are found
+    that also differ in `most` bits at most in one of the two 64-bit words. Texts without words
+    (null and empty ones too) are copies of each other; of equal rows one stays. An empty table gives an empty one.
+    """
+    work = frozen(wide_fingerprinted(df, text).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
+    nodes = frozen(work.groupBy("fp0", "fp1").agg(F.min("_row").alias("node")), "near-nodes")
+    links = near_links(nodes.select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("rest")), most, 2, most_in_all).unionByName(
+        near_links(nodes.select("node", F.col("fp1").alias("fp"), F.col("fp0").alias("rest")), most, 2, most_in_all)
+    )
+    roots = components(links)
+    rooted = nodes.join(roots, "node", "left").select("fp0", "fp1", F.coalesce("root", "node").alias("root"))
+    kept = work.select("fp0", "fp1", id, "_row").join(rooted, ["fp0", "fp1"]).groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("absent"), F.col(id).alias("id"), "_row"))["_row"].alias("_row"))
+    return work.join(kept.select("_row"), "_row", "left_semi").select(*df.columns)

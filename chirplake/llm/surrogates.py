@@ -95,7 +95,8 @@ def candidate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     woman = F.when(cyrillic, ending(plain, "а")).otherwise(ending(plain, "a"))
     man = F.when(cyrillic, ending(plain, "н")).otherwise(ending(plain, "o"))
     out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))).when(kind == "phone", phone)
-    return out.when(value.startswith("AKIA"), akia).when(kind == "name f", woman).when(kind == "name m", man).otherwise(plain)
+    iban = F.concat(F.substring(value, 1, 2), _scrambled(F.expr("substring(value, 3)"), seed))
+    return out.when(value.startswith("AKIA"), akia).when(kind == "iban", iban).when(kind == "name f", woman).when(kind == "name m", man).otherwise(plain)
 
 
 def _with_candidates(found: DataFrame, key: str) -> DataFrame:
