@@ -29,6 +29,8 @@ MEMO = 400_000
 MEMO_CHARS = 48
 #: Characters between two looks for a common boundary.
 COMMIT_EVERY = 64
+#: From here on pieces share one rank.
+SHARED_RANK = 1e8
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
@@ -52,8 +54,12 @@ class Vocabulary:
                 self.out[k] = piece.replace(BLANK, " ").encode()
         self.longest = max(map(len, self.id), default=1)
         self.text = {k: p for p, k in self.id.items()}
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self.chars = {k: len(p) for p, k in self.id.items()}
+        sizes = np.array([len(b) for b in self.out], np.int64)
+        self.out_bytes, self.out_sizes, self.out_starts = np.frombuffer(b"".join(self.out), np.uint8), sizes, np.cumsum(sizes) - sizes
+        self._apart: dict[int, bool] = {}
+        self._edges: tuple[dict, dict] = ({}, {})
+        self.known: dict[str, int | None] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -70,27 +76,67 @@ class Vocabulary:
         """The id of a piece that can come about by merges; a character's own where there is none."""
         k = self.id.get(text)
         if k is None:
-            return -ord(text) - 1 if len(text) == 1 else None
-        if len(text) > 1:
-            whole = self._whole.get(k)
-            if whole is None:
-                whole = self._whole[k] = self.merged(text) == [text]
-            if not whole:
-                return None
+            k = -ord(text) - 1 if len(text) == 1 else None
+        elif len(text) > 1 and self.merged(text) != [text]:
+            k = None
+        if k is not None or text in self.id:
+            self.known[text] = k
         return k
 
     def name(self, k: int) -> str:
         return self.text[k] if k >= 0 else chr(-k - 1)
 
+    def size(self, k: int) -> int:
+        return self.chars[k] if k >= 0 else 1
+
+    def _edge(self, k: int, right: bool) -> list[tuple[str, float, float]] | None:
+        """The pieces that stand at one edge of a piece while it is merged, each with the rank by which it is there and the one by which it is merged on.
+
+        Ranks grow with time; None for pieces whose ranks others share.
+        """
+        found = self._edges[right].get(k, 0)
+        if found == 0:
+            name, found, end = self.name(k), [], float("inf")
+            while len(name) > 1 and found is not None:
+                born = -self.rank[name]
+                if born >= SHARED_RANK:
+                    found = None
+                    break
+                found.append((name, born, end))
+                parts = self._halves(name)
+                name, end = parts[1] if right else parts[0], born
+            if found is not None:
+                found.append((name, -1.0, end))
+            self._edges[right][k] = found
+        return found
+
+    def _halves(self, name: str) -> list[str]:
+        """The two pieces of which the last merge makes this one."""
+        parts = list(name)
+        while len(parts) > 2:
+            best = max((self.rank[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank)
+            parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+        return parts
+
     def apart(self, left: int, right: int) -> bool:
-        """Whether the two pieces stay as they are side by side."""
-        found = self._apart.get((left, right))
-        if found is None:
-            if len(self._apart) > 4 * MEMO:
-                self._apart.clear()
+        """Whether the two pieces stay as they are side by side: no two pieces at their edges that stand at the same time merge before one of them is merged on."""
+        if len(self._apart) > 4 * MEMO:
+            self._apart.clear()
+        us, vs = self._edge(left, True), self._edge(right, False)
+        if us is None or vs is None:
             a, b = self.name(left), self.name(right)
-            found = self._apart[left, right] = self.merged(a + b) == [a, b]
-        return found
+            stays = self.merged(a + b) == [a, b]
+        else:
+            stays = True
+            for u, born_u, end_u in us:
+                for v, born_v, end_v in vs:
+                    if born_u < end_v and born_v < end_u:
+                        rank = self.rank.get(u + v)
+                        # Of equal merges the left one is first.
+                        if rank is not None and -rank < end_u and -rank <= end_v:
+                            stays = False
+        self._apart[left << 16 ^ right] = stays
+        return stays
 
     def ids(self, pieces: list[int]) -> list[int]:
         out: list[int] = []
@@ -102,6 +148,31 @@ class Vocabulary:
         return out
 
 
+def _search(v: Vocabulary, chars: str, begin: int, last: list, before: int | None) -> None:
+    """Adds the states of the boundaries behind begin: of each the one piece that may stand last."""
+    known, ids, apart, longest = v.known, v.id, v._apart, v.longest
+    for end in range(begin + 1, len(chars) + 1):
+        for start in range(max(0, end - longest), end):
+            text = chars[start:end]
+            if text in known:
+                k = known[text]
+            elif text in ids or start == end - 1:
+                k = v.piece(text)
+            else:
+                continue
+            if k is None:
+                continue
+            left = last[start] if start else before
+            if left is None:
+                break
+            stays = apart.get(left << 16 ^ k)
+            if stays or stays is None and v.apart(left, k):
+                break
+        else:
+            raise ValueError("no path reaches a boundary")
+        last.append(k)
+
+
 class StreamingEncoder:
     """Takes characters (blanks as the model's blank sign) and gives ids as they become certain."""
 
@@ -126,20 +197,10 @@ class StreamingEncoder:
     def _extend(self, text: str) -> None:
         v, begin = self.v, len(self.chars)
         self.chars += text
-        for end in range(begin + 1, len(self.chars) + 1):
-            for size in range(min(v.longest, end), 0, -1):
-                k = v.piece(self.chars[end - size : end])
-                if k is None:
-                    continue
-                left = self.last[end - size] if end > size else self.before
-                if left is None or v.apart(left, k):
-                    self.last.append(k)
-                    break
-            else:
-                raise ValueError("no path reaches a boundary")
+        _search(v, self.chars, begin, self.last, self.before)
 
     def _back(self, at: int) -> int:
-        return at - len(self.v.name(self.last[at]))
+        return at - self.v.size(self.last[at])
 
     def _common(self) -> int:
         """The last boundary that the paths to all boundaries within reach of the next piece have in common."""
@@ -167,12 +228,21 @@ def encode_segment(v: Vocabulary, segment: str) -> tuple[int, ...]:
     """Ids of a segment on whose two sides all paths meet."""
     found = v.memo.get(segment)
     if found is None:
-        encoder = StreamingEncoder(v)
-        found = tuple(encoder.feed(segment) + encoder.finish())
-        if len(segment) <= MEMO_CHARS:
-            if len(v.memo) >= MEMO:
-                v.memo.clear()
-            v.memo[segment] = found
+        if len(segment) > MEMO_CHARS:
+            encoder = StreamingEncoder(v)
+            return tuple(encoder.feed(segment) + encoder.finish())
+        # All paths meet at its end: one commit.
+        last: list[int | None] = [None]
+        _search(v, segment, 0, last, None)
+        path, at = [], len(segment)
+        while at:
+            path.append(last[at])
+            at -= v.size(last[at])
+        path.reverse()
+        found = tuple(path if min(path) >= 0 else v.ids(path))
+        if len(v.memo) >= MEMO:
+            v.memo.clear()
+        v.memo[segment] = found
     return found
 
 
@@ -233,6 +303,21 @@ def encode_all(v: Vocabulary, texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array(missing))
 
 
+def round_trips(v: Vocabulary, texts: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """Whether each text's ids decode to it, all decoded together; null for null."""
+    flat = ids.values.to_numpy()
+    sizes = v.out_sizes[flat]
+    ends = np.cumsum(sizes)
+    got = v.out_bytes[np.repeat(v.out_starts[flat] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    offsets = ids.offsets.to_numpy()
+    got_ends = np.concatenate(([0], ends))[offsets]
+    wanted = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
+    same = np.diff(got_ends) == np.array([len(w) for w in wanted], np.int64)
+    raw = got.tobytes()
+    out = [bool(s) and raw[a:b] == w for s, a, b, w in zip(same, got_ends[:-1].tolist(), got_ends[1:].tolist(), wanted, strict=True)]
+    return pa.array([o if t else None for o, t in zip(out, texts.is_valid().to_pylist(), strict=True)], pa.bool_())
+
+
 def encode(df: DataFrame, model: bytes, *, text: str = "text", carry: list[str]) -> DataFrame:
     """The carry columns with ids, n_tokens and round_trip: whether decoding the ids gives the text back.
 
@@ -244,8 +329,7 @@ def encode(df: DataFrame, model: bytes, *, text: str = "text", carry: list[str])
     def work(texts: pa.Array) -> dict:
         v = vocabulary(model)
         ids = encode_all(v, texts)
-        same = [None if t is None else b"".join(map(v.out.__getitem__, i)).removeprefix(b" ") == t.encode() for t, i in zip(texts.to_pylist(), ids.to_pylist(), strict=True)]
-        return {"ids": ids, "n_tokens": pc.fill_null(pc.list_value_length(ids), 0), "round_trip": pa.array(same, pa.bool_())}
+        return {"ids": ids, "n_tokens": pc.fill_null(pc.list_value_length(ids), 0), "round_trip": round_trips(v, texts, ids)}
 
     kept = [c for c in carry if c.lower() not in ("ids", "n_tokens", "round_trip")]
     return map_texts(df, text, kept, "ids array<int>, n_tokens int, round_trip boolean", work)
