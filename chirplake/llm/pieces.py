@@ -29,6 +29,8 @@ MEMO = 400_000
 MEMO_CHARS = 48
 #: Characters between two looks for a common boundary.
 COMMIT_EVERY = 64
+#: In place of an id: a piece that wasn't looked at yet, and one that no merges make.
+UNTRIED, NEVER = -(1 << 40), -(1 << 41)
 #: From here on pieces share one rank.
 SHARED_RANK = 1e8
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
@@ -59,7 +61,7 @@ class Vocabulary:
         self.out_bytes, self.out_sizes, self.out_starts = np.frombuffer(b"".join(self.out), np.uint8), sizes, np.cumsum(sizes) - sizes
         self._apart: dict[int, bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
-        self.known: dict[str, int | None] = {}
+        self.known: dict[str, int] = dict.fromkeys(self.id, UNTRIED)
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -72,15 +74,12 @@ class Vocabulary:
             k = -best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def piece(self, text: str) -> int | None:
-        """The id of a piece that can come about by merges; a character's own where there is none."""
-        k = self.id.get(text)
-        if k is None:
-            k = -ord(text) - 1 if len(text) == 1 else None
-        elif len(text) > 1 and self.merged(text) != [text]:
-            k = None
-        if k is not None or text in self.id:
-            self.known[text] = k
+    def piece(self, text: str) -> int:
+        """The id of a piece that can come about by merges, else NEVER; a character's own where it has no piece."""
+        k = self.id.get(text, -ord(text[0]) - 1)
+        if len(text) > 1 and self.merged(text) != [text]:
+            k = NEVER
+        self.known[text] = k
         return k
 
     def name(self, k: int) -> str:
@@ -150,22 +149,22 @@ class Vocabulary:
 
 def _search(v: Vocabulary, chars: str, begin: int, last: list, before: int | None) -> None:
     """Adds the states of the boundaries behind begin: of each the one piece that may stand last."""
-    known, ids, apart, longest = v.known, v.id, v._apart, v.longest
+    known, apart, longest = v.known.get, v._apart.get, v.longest
     for end in range(begin + 1, len(chars) + 1):
-        for start in range(max(0, end - longest), end):
-            text = chars[start:end]
-            if text in known:
-                k = known[text]
-            elif text in ids or start == end - 1:
-                k = v.piece(text)
-            else:
-                continue
+        for start in range(end - 1, max(-1, end - longest - 1), -1):
+            k = known(chars[start:end])
             if k is None:
+                if start < end - 1:
+                    continue
+                k = v.piece(chars[start])
+            elif k == UNTRIED:
+                k = v.piece(chars[start:end])
+            if k == NEVER:
                 continue
             left = last[start] if start else before
             if left is None:
                 break
-            stays = apart.get(left << 16 ^ k)
+            stays = apart(left << 16 ^ k)
             if stays or stays is None and v.apart(left, k):
                 break
         else:
