@@ -1,0 +1,249 @@
+"""The numpy side of the audio jobs: decoding, features and the per-recording noise fold. No Spark in here.
+
+Fixed values follow the engine's defaults: 48 kHz, frames of 1024 samples every 256, 64 mel bands
+from 40 Hz to 16 kHz, patches of 32 frames.
+"""
+
+from __future__ import annotations
+
+import struct
+from dataclasses import dataclass
+
+import numpy as np
+
+RATE, FRAME, HOP, BANDS, PATCH = 48000, 1024, 256, 64, 32
+PATCH_SAMPLES = FRAME + (PATCH - 1) * HOP
+
+
+@dataclass(frozen=True)
+class Parameters:
+    f_min: float = 40.0
+    f_max: float = 16000.0
+    high_pass: float = 120.0
+    alpha: float = 1.5
+    gain_floor_db: float = -8.0
+    mix: float = 1.0
+    denoise: bool = True
+
+
+def read_wav(raw: bytes) -> tuple[np.ndarray, dict]:
+    """Samples (frames x channels, in [-1, 1]) and the original format of a RIFF file. Unknown chunks are skipped; raises ValueError for what it can't read."""
+    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+        raise ValueError("not a RIFF/WAVE file")
+    at, form, data = 12, None, None
+    while at + 8 <= len(raw):
+        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
+        body = raw[at + 8 : at + 8 + size]
+        if name == b"fmt ":
+            if len(body) < 16:
+                raise ValueError("short format chunk")
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            if tag == 0xFFFE and len(body) >= 26:
+                tag = struct.unpack_from("<H", body, 24)[0]
+            form = {"tag": tag, "channels": channels, "rate": rate, "bits": bits}
+        elif name == b"data":
+            data = body
+        at += 8 + size + (size & 1)
+    if form is None or data is None:
+        raise ValueError("no format or no data")
+    width = form["bits"] // 8 * form["channels"]
+    if not width:
+        raise ValueError("no channels or no bits")
+    data = data[: len(data) // width * width]
+    kind = (form["tag"], form["bits"])
+    if kind == (1, 8):
+        x = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) / 128
+    elif kind == (1, 16):
+        x = np.frombuffer(data, "<i2") / 32768.0
+    elif kind == (1, 24):
+        b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 8388608.0
+    elif kind == (1, 32):
+        x = np.frombuffer(data, "<i4") / 2147483648.0
+    elif kind in ((3, 32), (3, 64)):
+        x = np.frombuffer(data, f"<f{form['bits'] // 8}").astype(np.float64)
+    else:
+        raise ValueError(f"format {form['tag']} with {form['bits']} bits")
+    return x.reshape(-1, form["channels"]), form
+
+
+def downmix(x: np.ndarray) -> np.ndarray:
+    return x.mean(axis=1)
+
+
+def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
+    """Linear, without a low-pass; the last sample is held."""
+    if rate == to or not len(x):
+        return x
+    n = int(np.floor(len(x) * to / rate + 0.5))
+    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
+
+
+def canonical(raw: bytes) -> tuple[np.ndarray, dict]:
+    """48 kHz mono in [-1, 1] and where it comes from."""
+    x, form = read_wav(raw)
+    mono = np.clip(resample(downmix(x), form["rate"]), -1, 1)
+    return mono, {**form, "frames": len(x), "bytes": len(raw), "resampled": form["rate"] != RATE, "downmixed": form["channels"] > 1, "peak": float(np.abs(mono).max(initial=0))}
+
+
+def frames(x: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] if len(x) >= FRAME else np.zeros((0, FRAME))
+
+
+def hann(n: int = FRAME) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+
+
+def power(block: np.ndarray, centre: bool = True) -> np.ndarray:
+    """One-sided power spectra; all bins but the first and last count twice."""
+    if centre:
+        block = block - block.mean(axis=-1, keepdims=True)
+    p = np.abs(np.fft.rfft(block * hann(block.shape[-1]))) ** 2
+    p[..., 1:-1] *= 2
+    return p
+
+
+def mel_weights(p: Parameters) -> np.ndarray:
+    """Area-normalised triangles, bands x bins."""
+    to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = to_hz(np.linspace(to_mel(p.f_min), to_mel(p.f_max), BANDS + 2))
+    f = np.fft.rfftfreq(FRAME, 1 / RATE)
+    low, mid, high = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    return np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid))) * 2 / (high - low)
+
+
+class NoiseFold:
+    """The order-dependent part: high-pass filter, noise tracker per bin and smoothed Wiener gain. One object for each recording or stream."""
+
+    INIT, FAST, SLOW, EVENT, HOT, RELEASE = 5, 0.55, 0.03, 3.5, 4.0, 0.75
+
+    def __init__(self, p: Parameters):
+        self.p = p
+        w, q = 2 * np.pi * p.high_pass / RATE, np.sqrt(2)
+        a = np.sin(w) / (2 * q)
+        c = np.cos(w)
+        self.b = np.array([(1 + c) / 2, -(1 + c), (1 + c) / 2]) / (1 + a)
+        self.a = np.array([-2 * c, 1 - a]) / (1 + a)
+        self.x1 = self.x2 = self.y1 = self.y2 = 0.0
+        self.noise: np.ndarray | None = None
+        self.gain: np.ndarray | None = None
+        self.n, self.hot_hops, self.transient_hops = 0, 0, 0
+
+    def filtered(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x))
+        (b0, b1, b2), (a1, a2) = self.b, self.a
+        x1, x2, y1, y2 = self.x1, self.x2, self.y1, self.y2
+        for k, v in enumerate(x.tolist()):
+            y = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
+            x2, x1, y2, y1 = x1, v, y1, y
+            out[k] = y
+        self.x1, self.x2, self.y1, self.y2 = x1, x2, y1, y2
+        return out
+
+    def track(self, spectrum: np.ndarray) -> None:
+        self.n += 1
+        if self.n <= self.INIT:
+            self.noise = spectrum.copy() if self.noise is None else self.noise + (spectrum - self.noise) / self.n
+            return
+        noise = self.noise
+        hot = spectrum > self.HOT * noise
+        self.hot_hops = self.hot_hops + 1 if hot.mean() > 1 / 3 else 0
+        if self.hot_hops * HOP / RATE >= 0.20:  # a new scene
+            rate = np.full(len(noise), self.FAST)
+        else:
+            rate = np.where(spectrum > self.EVENT * noise, 0.0, np.where(spectrum < noise, self.FAST, self.SLOW))
+        self.noise = noise + rate * (spectrum - noise)
+
+    def apply(self, spectrum: np.ndarray, transient: bool) -> np.ndarray:
+        if self.n < self.INIT:
+            return spectrum
+        self.transient_hops = self.transient_hops + 1 if transient else 0
+        if transient and self.transient_hops <= 6:
+            return spectrum
+        wanted = np.maximum(spectrum / np.maximum(spectrum + self.p.alpha * self.noise, 1e-30), 10 ** (self.p.gain_floor_db / 10))
+        wanted = 1 - self.p.mix + self.p.mix * wanted
+        self.gain = wanted if self.gain is None else np.where(wanted < self.gain, self.RELEASE * self.gain + (1 - self.RELEASE) * wanted, wanted)
+        return spectrum * self.gain
+
+
+class Analyser:
+    """Log-mel frames of samples that come in pieces of any length: the same frames for any cut."""
+
+    def __init__(self, p: Parameters | None = None):
+        self.p = p or Parameters()
+        self.fold, self.weights = NoiseFold(self.p), mel_weights(self.p)
+        self.raw, self.clean = np.zeros(0), np.zeros(0)
+        self.floor: float | None = None
+
+    def push(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The new frames' log-mel values and raw mean-square energies."""
+        x = np.asarray(x, np.float64)
+        self.raw = np.concatenate([self.raw, x])
+        self.clean = np.concatenate([self.clean, self.fold.filtered(x) if self.p.denoise else x])
+        mel, energy = [], []
+        n = max(0, 1 + (len(self.raw) - FRAME) // HOP) if len(self.raw) >= FRAME else 0
+        for k in range(n):
+            raw, block = self.raw[k * HOP : k * HOP + FRAME], self.clean[k * HOP : k * HOP + FRAME]
+            spectrum = power(block)
+            if self.p.denoise:
+                self.fold.track(power(block, centre=False))
+                recent = float(np.mean(raw[-480:] ** 2))
+                self.floor = recent if self.floor is None or recent < self.floor else self.floor + 0.0083 * (recent - self.floor)
+                spectrum = self.fold.apply(spectrum, recent > 2 * self.floor)
+            mel.append(10 * np.log10(np.maximum(self.weights @ spectrum, 1e-12)))
+            energy.append(float(np.mean(raw**2)))
+        self.raw, self.clean = self.raw[n * HOP :], self.clean[n * HOP :]
+        return np.array(mel).reshape(-1, BANDS), np.array(energy)
+
+
+def normalised(patch: np.ndarray) -> np.ndarray:
+    v = np.maximum(patch, patch.max() - 20).ravel()
+    v = v - v.mean()
+    norm = np.linalg.norm(v)
+    return v / norm if norm > 1e-20 else np.zeros_like(v)
+
+
+def anchor(energy: np.ndarray, half: int = 7) -> int:
+    """The frame with the greatest smoothed energy, the first on ties."""
+    sums = np.concatenate(([0], np.cumsum(energy)))
+    at = np.arange(len(energy))
+    low, high = np.maximum(at - half, 0), np.minimum(at + half + 1, len(energy))
+    return int(np.argmax((sums[high] - sums[low]) / (high - low)))
+
+
+def anchor_patch(x: np.ndarray, p: Parameters | None = None) -> np.ndarray | None:
+    """The unit patch of 32 frames around a recording's loudest part; None for a recording that is too short."""
+    if len(x) < PATCH_SAMPLES:
+        return None
+    mel, energy = Analyser(p).push(x)
+    start = min(max(anchor(energy) - PATCH // 2, 0), len(mel) - PATCH)
+    return normalised(mel[start : start + PATCH])
+
+
+def windows(x: np.ndarray, p: Parameters | None = None) -> np.ndarray:
+    """The unit patch that ends at each frame from the 32nd on."""
+    mel, _ = Analyser(p).push(x)
+    if len(mel) < PATCH:
+        return np.zeros((0, PATCH * BANDS))
+    return np.stack([normalised(mel[k : k + PATCH]) for k in range(len(mel) - PATCH + 1)])
+
+
+def sign_projection(v: np.ndarray, dim: int = 256) -> np.ndarray:
+    """Random signs from a hash of the two places, then unit length."""
+    i = np.arange(v.shape[-1], dtype=np.uint32)[:, None]
+    j = np.arange(dim, dtype=np.uint32)[None, :]
+    h = i * np.uint32(2654435761) ^ j * np.uint32(2246822519)
+    h ^= h >> np.uint32(15)
+    out = v @ np.where((h * np.uint32(3266489917)) >> np.uint32(31), 1.0, -1.0)
+    return out / np.maximum(np.linalg.norm(out, axis=-1, keepdims=True), 1e-20)
+
+
+def with_noise(x: np.ndarray, snr_db: float, seed: int = 1) -> np.ndarray:
+    rms = np.sqrt(np.mean(x**2)) if len(x) else 0
+    return x + np.random.default_rng(seed).uniform(-1, 1, len(x)) * np.sqrt(3) * rms * 10 ** (-snr_db / 20)
+
+
+def statistics(x: np.ndarray) -> dict:
+    """Of one channel: peak, root mean square, whether it is silent, and the share of exact zeros."""
+    peak = float(np.abs(x).max(initial=0))
+    return {"peak": peak, "rms": float(np.sqrt(np.mean(x**2))) if len(x) else 0.0, "silent": peak == 0, "zeros": float(np.mean(x == 0)) if len(x) else 1.0}
