@@ -53,7 +53,7 @@ def detect_stream(scores: DataFrame, rules: Rules, late_ms: int = 10_000) -> Dat
 
 def csv_lines(events: DataFrame) -> DataFrame:
     """Event lines: time in ms, item, score and margin with 4 places (+inf without a rival), level with 2 (-inf for silence)."""
-    number = lambda c, n, none: F.coalesce(F.format_string(f"%.{n}f", F.col(c)), F.lit(none))
+    number = lambda c, n, none: F.when(F.abs(c) < float("inf"), F.format_string(f"%.{n}f", F.col(c))).otherwise(none)
     return events.select(F.col("at").cast("long").alias("time"), "stream", "item", number("score", 4, "").alias("score"), number("margin", 4, "+inf").alias("margin"), number("level", 2, "-inf").alias("level"))
 
 
