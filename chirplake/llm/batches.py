@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text of one piece; a longer text is a piece of its own.
-PIECE_BYTES = 8 << 20
-PIECE_ROWS = 4096
+PIECE_BYTES = 4 << 20
+PIECE_ROWS = 2048
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,14 +29,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, text: str, carry: list[str], added: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """The carry columns of df with the columns of the schema string `added`, which work gives for each piece of rows."""
+def map_texts(df: DataFrame, text: str, carry: list[str], added: str, work: Callable[[pa.Array], dict], most: int = PIECE_BYTES) -> DataFrame:
+    """The carry columns of df with the columns of the schema string `added`, which work gives for the texts of each piece of rows (up to `most` bytes)."""
     kept = [f for f in df.schema.fields if f.name in carry]
     schema = T.StructType(kept + T.StructType.fromDDL(added).fields)
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "_text", most):
             made = work(piece.column("_text"))
             yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + list(made.values()), names + list(made))
 

@@ -22,7 +22,7 @@ from chirplake.llm.batches import map_texts, pieces
 
 DIM = 1 << 11
 #: Text of one piece while it is turned into vectors.
-VECTOR_BYTES = 2 << 20
+VECTOR_BYTES = 1 << 20
 #: A text of fewer different features has less in common with any centroid; its limit falls with their square root.
 SHORT = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -117,7 +117,7 @@ def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, p
     def run(texts: pa.Array) -> dict:
         return {"x": pa.array([v.tobytes() for v in vectors(texts, idf).astype(np.float16)], pa.binary())}
 
-    got = map_texts(chosen, "text", ["lang", "u"], "x binary", run).collect()
+    got = map_texts(chosen, "text", ["lang", "u"], "x binary", run, VECTOR_BYTES).collect()
     for lang_name in sorted({r["lang"] for r in got}):
         mine = sorted((r["u"], bytes(r["x"])) for r in got if r["lang"] == lang_name)[:sample]
         x = np.stack([np.frombuffer(v, np.float16) for _, v in mine]).astype(np.float32)
@@ -136,7 +136,7 @@ def identify(df: DataFrame, model: LanguageModel, *, text: str = "text", carry:
     taken whole. Without any training language everything is `und` and rejected. Columns of df with
     one of the three names can't be carried.
     """
-    return map_texts(df, text, [c for c in carry if c.lower() not in ("lang_pred", "score", "rejected")], "lang_pred string, score double, rejected boolean", model.predict)
+    return map_texts(df, text, [c for c in carry if c.lower() not in ("lang_pred", "score", "rejected")], "lang_pred string, score double, rejected boolean", model.predict, VECTOR_BYTES)
 
 
 def held_out(id: Column) -> Column:

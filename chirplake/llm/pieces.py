@@ -24,7 +24,7 @@ from chirplake.llm.batches import map_texts
 
 BLANK = "▁"
 #: Segments that a worker remembers; then it starts anew.
-MEMO = 400_000
+MEMO = 150_000
 #: Longer segments aren't remembered.
 MEMO_CHARS = 48
 #: Characters between two looks for a common boundary.
@@ -119,7 +119,7 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the two pieces stay as they are side by side: no two pieces at their edges that stand at the same time merge before one of them is merged on."""
-        if len(self._apart) > 4 * MEMO:
+        if len(self._apart) > 2 * MEMO:
             self._apart.clear()
         us, vs = self._edge(left, True), self._edge(right, False)
         if us is None or vs is None:

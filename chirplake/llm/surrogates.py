@@ -20,7 +20,7 @@ from chirplake.llm.store import frozen
 #: Kinds in the order in which they are tried, as Java patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?:password|passwd|secret|token|api_key)(?: = |=|: )\"?)[A-Za-z0-9+/_\-]{8,}|\b[0-9a-f]{32,128}\b",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?:password|passwd|secret|token|api_key)(?: = |=|: )\"?)[A-Za-z0-9+/_\-]{8,}|\b(?=[a-f]*[0-9])[0-9a-f]{32,128}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.])[0-9]{4}(?<gap>[ \-]?)[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}(?!\w)|(?<![\w.])3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}(?!\w)",
     "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)|(?<![\w.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\w\-])",
@@ -29,6 +29,8 @@ PATTERNS = {
     "name": r"(?<=\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|Г-н|Г-жа)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity has a digit or an at sign, or stands behind one of these words; most texts have none of them.
+HINTS = ("AKIA", "password", "passwd", "secret", "token", "api_key", "Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Sra", "Г-")
 #: Titles before names that show a woman.
 WOMEN = r"(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Г-жа)\.? $"
 #: Alphabets of which a character is replaced within its own; anything else stays.
@@ -37,6 +39,14 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœß"
 MOST_ROUNDS = 100
 
 
+def has_entity(text: Column) -> Column:
+    """Whether the pattern occurs; the cheap look for hints comes first."""
+    hint = text.rlike("[0-9@]")
+    for word in HINTS:
+        hint = hint | F.contains(text, F.lit(word))
+    return hint & text.rlike(PATTERN)
+
+
 def entities(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
@@ -132,7 +142,7 @@ def replace_pii(df: DataFrame, *, text: str = "text", key: str, carry: list[str]
     """
     kept = [c for c in carry if c.lower() not in (text.lower(), count.lower())]
     docs = df.select(F.struct(*kept).alias("row"), F.col(text).alias("text"))
-    with_any = docs.select("text", F.md5(F.col("text").cast("binary")).alias("content")).where(F.col("text").rlike(PATTERN))
+    with_any = docs.select("text", F.md5(F.col("text").cast("binary")).alias("content")).where(has_entity(F.col("text")))
     listed = with_any.select("content", entities(F.col("text")).alias("e"), gaps(F.col("text")).alias("g"))
     parts = listed.select("content", F.posexplode(F.arrays_zip("e", "g")).alias("nth", "part")).where("part.e is not null")
     parts = frozen(parts.select("content", "nth", F.col("part.e").alias("value"), kind_of(F.col("part.e"), F.right(F.col("part.g"), F.lit(12))).alias("kind")).dropDuplicates(["content", "nth"]), "entities")
