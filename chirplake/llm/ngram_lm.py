@@ -13,7 +13,7 @@ once, so that what is shuffled is pre-aggregated and no word or context is hot:
 A level of the trie holds, for its sorted contexts, monotone pointers to the range of their
 successors, the successors (made monotone by the sums of the ranges before) and 16-bit codes
 of discounted probabilities, all in one memory-mapped file. A successor is found by search
-relative to its context's range.
+relative to its context's range; a task decodes the levels of its shard once for all its queries.
 
 The model is absolute discounting over the additively smoothed unigrams:
 P(w | h) = max(c(hw) - D, 0) / c(h) + D * N1+(h) / c(h) * P(w), P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),
@@ -75,6 +75,7 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray], n: int, width: int):
         self.parts, self.n, self.width = parts, n, width
+        self._all: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -118,22 +119,16 @@ class EliasFano:
             value |= (part & np.uint64((1 << self.width) - 1)).astype(np.int64)
         return value
 
-    def find(self, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The place of each value in its range, -1 where it is not there: a binary search for the successor."""
-        lo, hi = begin.copy(), end.copy()
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.get(mid) < value[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        out = np.full(len(begin), -1, np.int64)
-        there = np.flatnonzero(lo < end)
-        if len(there):
-            same = self.get(lo[there]) == value[there]
-            out[there[same]] = lo[there[same]]
-        return out
+    def all(self) -> np.ndarray:
+        """The whole sequence, decoded in blocks once for all queries of a task."""
+        if self._all is None:
+            step = 1 << 16
+            self._all = np.concatenate([self.get(np.arange(k, min(self.n, k + step))) for k in range(0, self.n, step)]) if self.n else np.zeros(0, np.int64)
+        return self._all
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first of the sequence that is not smaller than each value."""
+        return np.searchsorted(self.all(), values)
 
 
 class BigramTrie:
@@ -142,7 +137,7 @@ class BigramTrie:
     def __init__(self, keys: np.ndarray, pointers: np.ndarray, successors: np.ndarray, codes: np.ndarray):
         """pointers: begins of the contexts' ranges and the end; successors ascend within a range."""
         last = np.where(np.diff(pointers) > 0, successors[np.maximum(pointers[1:] - 1, 0)] if len(successors) else 0, 0)
-        bases = np.concatenate(([0], np.cumsum(last)))
+        bases = np.concatenate(([0], np.cumsum(last + 1)))  # ranges don't meet
         self.keys, self.pointers, self.bases = EliasFano.of(keys), EliasFano.of(pointers), EliasFano.of(bases)
         self.successors = EliasFano.of(successors + np.repeat(bases[:-1], np.diff(pointers)))
         parts = [(ef.parts, name) for ef in (self.keys, self.pointers, self.bases, self.successors) for name in ef.parts]
@@ -159,16 +154,19 @@ class BigramTrie:
             level[name] = np.frombuffer(self._map, kind, n, at)
         self.codes = held["codes"]
 
-    def lookup(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each bigram, 0 where it is not in the trie."""
-        n = np.full(len(keys), self.keys.n)
-        context = self.keys.find(np.zeros(len(keys), np.int64), n, keys)
-        known = np.flatnonzero(context >= 0)
-        out = np.zeros(len(keys), np.int64)
-        if len(known):
-            c = context[known]
-            at = self.successors.find(self.pointers.get(c), self.pointers.get(c + 1), words[known] + self.bases.get(c))
-            out[known[at >= 0]] = self.codes[at[at >= 0]]
+    def lookup(self, keys: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The code of each bigram, 0 where it is not in the trie. keys: contexts, each followed by so many of the words.
+
+        The successor of a word, moved by its context's base, is the word itself if the context has it.
+        """
+        context = self.keys.successor(keys)
+        begins, bases = self.pointers.all(), self.bases.all()
+        at = self.successors.successor(words + np.repeat(bases[context], sizes))
+        inside = (at >= np.repeat(begins[context], sizes)) & (at < np.repeat(begins[context + 1], sizes))
+        out = np.zeros(len(words), np.int64)
+        here = at[inside]
+        same = self.successors.all()[here] == (words + np.repeat(bases[context], sizes))[inside]
+        out[np.flatnonzero(inside)[same]] = self.codes[here[same]]
         return out
 
 
@@ -352,7 +350,7 @@ def _answer_bigrams(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for k, chunk in enumerate(asked["chunk"]):
         keys, words = cols["keys"][k], cols["words"][k]
-        codes = trie.lookup(np.repeat(keys, cols["sizes"][k]), words)
+        codes = trie.lookup(keys, cols["sizes"][k], words)
         rows.append((chunk, 2, shard, pack(codes), pack(successors[np.searchsorted(contexts, keys)]), 0, 0))
     return pd.DataFrame(rows, columns=ANSWERS)
 
