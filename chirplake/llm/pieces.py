@@ -63,6 +63,7 @@ class Vocabulary:
         self._edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, int] = dict.fromkeys(self.id, UNTRIED)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.states: dict[str, int] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by its merges, best score first and leftmost among equals."""
@@ -172,6 +173,37 @@ def _search(v: Vocabulary, chars: str, begin: int, last: list, before: int | Non
         last.append(k)
 
 
+def _state(v: Vocabulary, text: str) -> int:
+    """The state of the boundary behind a short segment's beginning: a function of that text alone, so that segments share it.
+
+    The boundaries before are looked at as far as a piece that may stand last asks for them, the longest piece first.
+    """
+    found = v.states.get(text)
+    if found is not None:
+        return found
+    n, known = len(text), v.known.get
+    for start in range(max(0, n - v.longest), n):
+        k = known(text[start:])
+        if k is None:
+            if start < n - 1:
+                continue
+            k = v.piece(text[start])
+        elif k == UNTRIED:
+            k = v.piece(text[start:])
+        if k == NEVER:
+            continue
+        if not start:
+            break
+        left = _state(v, text[:start])
+        stays = v._apart.get(left << 16 ^ k)
+        if stays or stays is None and v.apart(left, k):
+            break
+    else:
+        raise ValueError("no path reaches a boundary")
+    v.states[text] = k
+    return k
+
+
 class StreamingEncoder:
     """Takes characters (blanks as the model's blank sign) and gives ids as they become certain."""
 
@@ -230,13 +262,14 @@ def encode_segment(v: Vocabulary, segment: str) -> tuple[int, ...]:
         if len(segment) > MEMO_CHARS:
             encoder = StreamingEncoder(v)
             return tuple(encoder.feed(segment) + encoder.finish())
-        # All paths meet at its end: one commit.
-        last: list[int | None] = [None]
-        _search(v, segment, 0, last, None)
-        path, at = [], len(segment)
-        while at:
-            path.append(last[at])
-            at -= v.size(last[at])
+        # All paths meet at its end: one commit, of the states that the path needs.
+        if len(v.states) >= 2 * MEMO:
+            v.states.clear()
+        path, rest = [], segment
+        while rest:
+            k = _state(v, rest)
+            path.append(k)
+            rest = rest[: -v.size(k)]
         path.reverse()
         found = tuple(path if min(path) >= 0 else v.ids(path))
         if len(v.memo) >= MEMO:
