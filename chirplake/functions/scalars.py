@@ -79,3 +79,12 @@ def candidate_id(seq: Column, ts: Column) -> Column:
 def frame_ms(frame: Column) -> Column:
     """Audio time of a frame's start in milliseconds."""
     return frame * HOP * 1000.0 / RATE
+
+
+def score_level(meter: Column, window: Column, gate: float = -60.0, over: float = 6.0) -> Column:
+    """The level that the gate sees: the window's where it is above the meter's and clearly above the gate."""
+    return F.when((window > meter) & (window >= gate + over), window).otherwise(meter)
+
+
+def denoised_level(level: Column, reduction_db: Column) -> Column:
+    return level - F.coalesce(reduction_db, F.lit(0.0))

@@ -100,3 +100,13 @@ def failed_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """A row for each row of df and rule that it fails (null counts as failing)."""
     checks = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
     return df.withColumn("rule", F.explode(F.array_compact(checks)))
+
+
+def captured(clips: DataFrame, hits: DataFrame) -> DataFrame:
+    """clips: (stream, t, id); hits: (stream, t, item, score). Each clip with the last hit of its stream up to then; a score without an item is none."""
+    guess = F.struct("item", F.round("score", 4).alias("score"))
+    both = clips.select("stream", "t", "id", F.lit(1).alias("side"), F.lit(None).cast("struct<item:string,score:double>").alias("g")).unionByName(
+        hits.select("stream", "t", F.lit(None).cast("long").alias("id"), F.lit(0).alias("side"), F.when(F.col("item").isNotNull(), guess).alias("g"))
+    )
+    upto = Window.partitionBy("stream").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("g", F.last("g", ignorenulls=True).over(upto)).where("side = 1").select("id", F.col("g.item").alias("guess_id"), F.col("g.score").alias("guess_score"))

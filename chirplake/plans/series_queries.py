@@ -43,7 +43,7 @@ def window_peak(spark, sf_dir):
 
 
 def weak_anchor(spark, sf_dir):
-    return R.weak_anchors(_frames(spark, sf_dir)).select("stream", "at", "frames", F.round("bed", 3).alias("bed"), "weak")
+    return R.weak_anchors(_frames(spark, sf_dir)).select("stream", "at", "frames", F.round("bed", 10).alias("bed"), "weak")
 
 
 def onset(spark, sf_dir):
@@ -105,6 +105,21 @@ def active_spans(spark, sf_dir):
     return s.select("stream", "item", F.unix_micros("shown").alias("shown_us"), F.unix_micros("hidden").alias("hidden_us"), "events")
 
 
+def capture_guess(spark, sf_dir):
+    """Every fifth event is a clip; it gets the last other event of its stream with a value over 60."""
+    from chirplake.operators.catalogue import captured
+
+    e = _events(spark, sf_dir)
+    clip, hits = e.where("id % 5 = 0"), e.where("id % 5 <> 0 and value > 60")
+    return captured(clip.select("stream", "t", "id"), hits.select("stream", "t", "item", F.col("value").alias("score")))
+
+
+def score_levels(spark, sf_dir):
+    f = R.window_peak(_frames(spark, sf_dir), 4)
+    level = X.score_level(F.col("value") - 90, F.col("peak") - 90)
+    return f.select("id", F.round(level, 6).alias("level"), F.round(X.denoised_level(level, F.when(F.col("frame") % 2 == 0, 3.0)), 6).alias("denoised"))
+
+
 RULES = Rules(threshold=50.0, margin=5.0, gate_db=20.0, cooldown_ms=6 * 3600e3, refractory_ms=3600e3, hold_ms=2 * 3600e3, hold_drop=10.0)
 
 
@@ -156,7 +171,7 @@ def _floor(expr: str) -> str:
     return re.sub(r"v\(([\w.]+)\)", lambda m: expr.replace("x", m[1]), _NF)
 
 
-QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, detector, detector_outcomes, separated_peaks)}
+QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, separated_peaks)}
 
 ORACLES = {
     "moving_average": _SM + " SELECT stream, frame, round(smooth, 6) AS smooth FROM s",
@@ -166,7 +181,7 @@ ORACLES = {
     "window_peak": _E + ", p AS (SELECT stream, frame, max(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS p FROM f) SELECT stream, frame, round(p, 6) AS peak, round(10 * log10(greatest(p * p, 1e-12)), 4) AS level_db FROM p",
     "weak_anchor": _E + """, p AS (SELECT stream, value AS peak, frame AS spot, count(*) OVER (PARTITION BY stream) AS frames FROM f QUALIFY row_number() OVER (PARTITION BY stream ORDER BY value DESC, frame) = 1),
 b AS (SELECT stream, peak, spot, frames, avg(value) FILTER (abs(frame - spot) > 3) AS bed FROM f JOIN p USING (stream) GROUP BY ALL)
-SELECT stream, spot AS "at", frames, round(bed, 3) AS bed, coalesce(frames >= 8 AND (peak <= 1e-12 OR (bed <= 0.25 * peak AND 10 * log10(peak / greatest(bed, 1e-12)) < 9)), FALSE) AS weak FROM b""",
+SELECT stream, spot AS "at", frames, round(bed, 10) AS bed, coalesce(frames >= 8 AND (peak <= 1e-12 OR (bed <= 0.25 * peak AND 10 * log10(peak / greatest(bed, 1e-12)) < 9)), FALSE) AS weak FROM b""",
     "onset": _E + """, w AS (SELECT stream, frame, list(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS p FROM f QUALIFY frame >= 11)
 SELECT stream, count(*) AS windows, count(*) FILTER (10 * log10(greatest(list_max(p[8:12]), 1e-12) / greatest(list_sum(p[1:7]) / 7, 1e-12)) >= 2.5) AS onsets FROM w GROUP BY stream""",
     "stream_totals": _E + " SELECT stream, count(*) AS blocks, count(*) FILTER (value < 20) AS silent, round(max(value), 6) AS max_level, round(avg(value), 6) AS avg_level FROM e GROUP BY stream",
@@ -183,6 +198,11 @@ SELECT stream, count(*) AS windows, count(*) FILTER (10 * log10(greatest(list_ma
     "active_spans": _E + """, b AS (SELECT *, CASE WHEN t - lag(t) OVER o < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW o AS (PARTITION BY stream, item ORDER BY t)),
 c AS (SELECT *, sum(new) OVER (PARTITION BY stream, item ORDER BY t) AS span FROM b)
 SELECT stream, item, epoch_us(min(t)) AS shown_us, epoch_us(max(t) + INTERVAL 6 HOUR) AS hidden_us, count(*) AS events FROM c GROUP BY stream, item, span""",
+    "capture_guess": _E + """, h AS (SELECT * FROM e WHERE id % 5 <> 0 AND value > 60)
+SELECT c.id, h.item AS guess_id, round(h.value, 4) AS guess_score FROM (SELECT * FROM e WHERE id % 5 = 0) c ASOF LEFT JOIN h ON c.stream = h.stream AND c.t >= h.t""",
+    "score_levels": _E + """, p AS (SELECT *, value - 90 AS m, max(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) - 90 AS w FROM f),
+l AS (SELECT id, frame, CASE WHEN w > m AND w >= -54 THEN w ELSE m END AS level FROM p)
+SELECT id, round(level, 6) AS level, round(level - CASE WHEN frame % 2 = 0 THEN 3 ELSE 0 END, 6) AS denoised FROM l""",
     "separated_peaks": """WITH RECURSIVE p AS (SELECT p_brand AS grp, p_size::DOUBLE AS x, max(p_retailprice) AS level FROM part GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY level DESC, x) AS k FROM p),
 g AS (SELECT grp, x, level, k, TRUE AS kept, [x] AS xs FROM n WHERE k = 1 UNION ALL
