@@ -27,6 +27,16 @@ ROUNDS = 4
 PARSE_CHARS = 1 << 20
 
 
+def _tosses() -> np.ndarray:
+    """For labels a and b below 128 at a * 128 + b: twice the lowest bit in which they differ, plus a's bit there."""
+    a, b = np.arange(128)[:, None], np.arange(128)[None, :]
+    lowest = np.argmax(((a ^ b)[..., None] >> np.arange(8)) & 1, axis=-1)
+    return (2 * lowest + ((a >> lowest) & 1)).astype(np.uint8).ravel()
+
+
+TOSS = _tosses()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -40,17 +50,19 @@ def _next_level(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     runs = np.diff(np.concatenate((heads, [len(x)]))).astype(np.uint64)
     x, doc, first = x[heads], doc[heads], first[heads]
     x = np.where(runs > 1, _mix(x + runs * np.uint64(0xD6E8FEB86659FD93)), x)
-    label = x
-    for _ in range(ROUNDS):
-        before = np.concatenate(([label[0]], label[:-1]))
-        before[first] = ~label[first]
-        apart = label ^ before
-        lowest = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)).astype(np.uint64)
-        lowest = np.minimum(lowest, np.uint64(63))  # equal names of different symbols: one in 2^64
-        label = np.uint64(2) * lowest + ((label >> lowest) & np.uint64(1))
-    label = label.astype(np.int64)
+    before = np.concatenate((x[:1], x[:-1]))
+    before[first] = ~x[first]
+    apart = x ^ before
+    lowest = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1))
+    lowest = np.minimum(lowest, np.uint8(63))  # equal names of different symbols: one in 2^64
+    label = 2 * lowest + ((x >> lowest) & np.uint64(1)).astype(np.uint8)
+    for _ in range(ROUNDS - 1):
+        before = np.concatenate((label[:1], label[:-1]))
+        before[first] = label[first] ^ 1
+        label = TOSS[label.astype(np.uint16) << 7 | before]
+    label = label.astype(np.int8)
     last = np.concatenate((first[1:], [True]))
-    left, right = np.concatenate(([-1], label[:-1])), np.concatenate((label[1:], [-1]))
+    left, right = np.concatenate((label[:1], label[:-1])), np.concatenate((label[1:], label[-1:]))
     left[first], right[last] = 99, -1
     # None begins right behind a text's first one, so that every text with several symbols gets shorter.
     second = np.concatenate(([False], first[:-1]))
