@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -44,18 +45,33 @@ class Detector:
 
     def __init__(self, rules: Rules, confirm: Callable[[Held], bool] | None = None):
         self.rules, self.confirm = rules, confirm
+        self.thresholds: dict[str, float] = dict(rules.thresholds)
+        self.reset()
+
+    def reset(self) -> None:
+        """Forgets timers, what is held and the counts; thresholds stay."""
         self.last_any: float | None = None
         self.last: dict[str, float] = {}
         self.held: Held | None = None
         self.counts = {"ticks": 0, "silent": 0, "rejected": 0, "fired": 0}
 
     def state(self) -> dict:
-        return {"last_any": self.last_any, "last": dict(self.last), "held": asdict(self.held) if self.held else None, "counts": dict(self.counts)}
+        return {"last_any": self.last_any, "last": dict(self.last), "held": asdict(self.held) if self.held else None, "counts": dict(self.counts), "thresholds": dict(self.thresholds)}
 
     def restore(self, state: dict) -> None:
         self.last_any, self.last, self.counts = state["last_any"], dict(state["last"]), dict(state["counts"])
+        self.thresholds = dict(state["thresholds"])
         self.held = Held(**state["held"]) if state["held"] else None
 
+    def change(self, item: str | None, threshold: float | None) -> None:
+        """Gives an item its own threshold from now on; none or one of 0 or less takes it back. No item: reset."""
+        if item is None:
+            self.reset()
+        elif threshold is None or threshold <= 0:
+            self.thresholds.pop(item, None)
+        else:
+            self.thresholds[item] = threshold
+
     def _fire(self, now: float) -> dict | None:
         held, self.held = self.held, None
         if held is None:
@@ -79,7 +95,7 @@ class Detector:
         item, score, *template = ranking[0]
         rival = next((s for i, s, *_ in ranking[1 : r.top] if i != item), None)
         margin = None if rival is None else score - rival
-        good = score >= r.thresholds.get(item, r.threshold) and (margin is None or margin >= r.margin)
+        good = score >= self.thresholds.get(item, r.threshold) and (margin is None or margin >= r.margin)
         found = Held(item, score, margin, level, now, template[0] if template else None)
         held = self.held
         if held:
@@ -102,14 +118,34 @@ class Detector:
 EVENTS = "stream long, item string, score double, margin double, level double, at double"
 
 
-def _rankings(rows: pd.DataFrame) -> list[tuple[float, float | None, list[tuple]]]:
-    """Windows in time order from rows of (t, level, rk, item, score); rows without an item are windows without a result."""
-    out = []
+def with_changes(scores: DataFrame, changes: DataFrame, time: str = "t") -> DataFrame:
+    """Adds changes while a stream runs, (stream, time, item, threshold), as rows of rank 0: they hold from their time on, before its window.
+
+    A null threshold or one of 0 or less takes an item's own threshold back; a null item resets the
+    stream's detector. Of several changes at one time those without an item come first, then by item and threshold.
+    """
+    kinds = {f.name: f.dataType for f in scores.schema.fields}
+    values = {"level": F.lit(None), "rk": F.lit(0), "score": F.col("threshold")}
+    return scores.unionByName(changes.select(*[values.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in ("stream", time, "level", "rk", "item", "score")]))
+
+
+def run(detector: Detector, rows: pd.DataFrame) -> list[dict]:
+    """Takes the detector through rows of (t, level, rk, item, score) in time order and gives its events.
+
+    Rows without an item are windows without a result; rows of rank 0 are changes.
+    """
+    events = []
     for t, group in rows.sort_values(["t", "rk"], kind="stable").groupby("t", sort=True):
-        level = group["level"].iloc[0]
-        known = group[group["item"].notna()]
-        out.append((float(t), None if pd.isna(level) else float(level), list(zip(known["item"], known["score"].astype(float), strict=True))))
-    return out
+        changes = group[group["rk"] == 0]
+        for item, threshold in changes.sort_values(["item", "score"], na_position="first", kind="stable")[["item", "score"]].itertuples(index=False):
+            detector.change(None if pd.isna(item) else item, None if pd.isna(threshold) else float(threshold))
+        window = group[group["rk"] > 0]
+        if len(window):
+            level, known = window["level"].iloc[0], window[window["item"].notna()]
+            event = detector.step(float(t), None if pd.isna(level) else float(level), list(zip(known["item"], known["score"].astype(float), strict=True)))
+            if event:
+                events.append(event)
+    return events
 
 
 def detect(scores: DataFrame, rules: Rules, confirm: Callable[[Held], bool] | None = None) -> DataFrame:
@@ -118,23 +154,20 @@ def detect(scores: DataFrame, rules: Rules, confirm: Callable[[Held], bool] | No
     A stream's windows are stepped through in time order; what is still held at its end isn't fired.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        d = Detector(rules, confirm)
-        events = [e for t, level, ranking in _rankings(rows) if (e := d.step(t, level, ranking))]
-        out = pd.DataFrame(events, columns=["item", "score", "margin", "level", "at"])
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(run(Detector(rules, confirm), rows), columns=["item", "score", "margin", "level", "at"])
         out.insert(0, "stream", rows["stream"].iloc[0])
         return out
 
-    return scores.groupBy("stream").applyInPandas(run, EVENTS)
+    return scores.groupBy("stream").applyInPandas(work, EVENTS)
 
 
 def outcomes(scores: DataFrame, rules: Rules) -> DataFrame:
     """Each stream's counts of windows, silent ones, rejections and events."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
         d = Detector(rules)
-        for t, level, ranking in _rankings(rows):
-            d.step(t, level, ranking)
+        run(d, rows)
         return pd.DataFrame([{"stream": rows["stream"].iloc[0], **d.counts}])
 
-    return scores.groupBy("stream").applyInPandas(run, "stream long, ticks long, silent long, rejected long, fired long")
+    return scores.groupBy("stream").applyInPandas(work, "stream long, ticks long, silent long, rejected long, fired long")

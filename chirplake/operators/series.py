@@ -154,6 +154,21 @@ def separated_peaks(points: DataFrame, apart: float, n: int) -> DataFrame:
     return points.groupBy("grp").applyInPandas(run, f"grp {kinds['grp']}, x double, level double, rk int")
 
 
+def lost_blocks(df: DataFrame, gate: float) -> DataFrame:
+    """Of each stream: blocks that came, numbers between its first and last that didn't (dropped), repeats, and silent blocks.
+
+    A block is silent if the highest value under its number is null or below the gate.
+    """
+    blocks = df.groupBy("stream", "seq").agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    silent = F.coalesce(F.col("value") < gate, F.lit(True))
+    return blocks.groupBy("stream").agg(
+        F.count("*").alias("blocks"),
+        (F.max("seq") - F.min("seq") + 1 - F.count("*")).cast("long").alias("dropped"),
+        F.sum(F.col("n") - 1).alias("repeated"),
+        F.count_if(silent).alias("silent"),
+    )
+
+
 def stream_totals(df: DataFrame, gate: float) -> DataFrame:
     return df.groupBy("stream").agg(F.count("*").alias("blocks"), F.count_if(F.col("value") < gate).alias("silent"), F.max("value").alias("max_level"), F.avg("value").alias("avg_level"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirplake.functions import scalars as X
 from chirplake.operators import series as R
-from chirplake.operators.detector import Rules, detect, outcomes
+from chirplake.operators.detector import Rules, detect, outcomes, with_changes
 
 
 def _events(spark, sf_dir):
@@ -137,6 +137,19 @@ def detector_outcomes(spark, sf_dir):
     return outcomes(_scores(spark, sf_dir), RULES)
 
 
+def live_thresholds(spark, sf_dir):
+    """The detector while every seventh event changes its item's threshold to twice its value, or takes it back, in its stream."""
+    changes = _events(spark, sf_dir).where("id % 7 = 0").select("stream", F.unix_millis("t").cast("double").alias("t"), "item", F.when(F.col("id") % 2 == 0, 2 * F.col("value")).alias("threshold"))
+    found = detect(with_changes(_scores(spark, sf_dir), changes), RULES)
+    return found.select("stream", "item", F.round("score", 6).alias("score"), F.col("at").cast("long").alias("at"))
+
+
+def lost_blocks(spark, sf_dir):
+    """Orders are streams, line numbers blocks, discounts their levels."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return R.lost_blocks(lines.select(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("seq"), F.col("l_discount").alias("value")), 0.02)
+
+
 def separated_peaks(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("level"))
     strongest = p.groupBy("grp", "x").agg(F.max("level").alias("level"))
@@ -171,7 +184,38 @@ def _floor(expr: str) -> str:
     return re.sub(r"v\(([\w.]+)\)", lambda m: expr.replace("x", m[1]), _NF)
 
 
-QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, separated_peaks)}
+def _detector_sql(changes: str, then: str) -> str:
+    """The detector as recursive SQL for windows of one item: each row of g is the state after a window.
+
+    changes gives (stream, item, t, threshold) in ms; `own` is the last of the item at or before the window.
+    """
+    return (
+        _E
+        + f""", c AS ({changes}), x AS (SELECT stream, (epoch_us(t) // 1000)::DOUBLE AS t, item, value AS v FROM e),
+w AS (SELECT x.*, row_number() OVER (PARTITION BY x.stream ORDER BY x.t) AS k, coalesce(c.threshold, 50) AS own FROM x ASOF LEFT JOIN c ON c.stream = x.stream AND c.item = x.item AND x.t >= c.t),
+s0 AS (SELECT *, v < 20 AS quiet, v >= own AS good FROM w),
+g AS (SELECT stream, 0::BIGINT AS k, NULL::DOUBLE AS last_any, MAP {{}}::MAP(VARCHAR, DOUBLE) AS last, NULL::VARCHAR AS h_item, NULL::DOUBLE AS h_score, NULL::DOUBLE AS h_armed,
+  NULL::VARCHAR AS f_item, NULL::DOUBLE AS f_score, NULL::DOUBLE AS f_at, FALSE AS no FROM (SELECT DISTINCT stream FROM s0)
+UNION ALL SELECT stream, k, CASE WHEN fire THEN t ELSE last_any END,
+  CASE WHEN fire THEN map_concat(last, MAP {{b_item: t}}) ELSE last END,
+  CASE WHEN fire THEN NULL WHEN held THEN b_item WHEN arm THEN item END,
+  CASE WHEN fire THEN NULL WHEN held THEN b_score WHEN arm THEN v END,
+  CASE WHEN fire THEN NULL WHEN held THEN h_armed WHEN arm THEN t END,
+  CASE WHEN fire THEN b_item END, CASE WHEN fire THEN b_score END, CASE WHEN fire THEN t END, NOT quiet AND NOT held AND NOT arm
+FROM (SELECT *, held AND (quiet OR item <> b_item OR v < b_score - 10 OR t - h_armed >= 7200000 OR NOT good) AS fire,
+    NOT held AND NOT quiet AND good AND coalesce(t - last[item] >= 21600000, TRUE) AND coalesce(t - last_any >= 3600000, TRUE) AS arm
+  FROM (SELECT s0.*, g.last_any, g.last, g.h_armed, g.h_item IS NOT NULL AS held, g.h_item AS b_item,
+      CASE WHEN NOT quiet AND s0.item = g.h_item THEN greatest(s0.v, g.h_score) ELSE g.h_score END AS b_score
+    FROM g JOIN s0 ON s0.stream = g.stream AND s0.k = g.k + 1))) """
+        + then
+    )
+
+
+_NO_CHANGES = "SELECT 0::BIGINT AS stream, '' AS item, 0::DOUBLE AS t, 0::DOUBLE AS threshold WHERE FALSE"
+_CHANGES = "SELECT stream, item, (epoch_us(t) // 1000)::DOUBLE AS t, CASE WHEN id % 2 = 0 AND value > 0 THEN 2 * value END AS threshold FROM e WHERE id % 7 = 0"
+_FIRED = "SELECT stream, f_item AS item, round(f_score, 6) AS score, f_at::BIGINT AS \"at\" FROM g WHERE f_at IS NOT NULL"
+
+QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, live_thresholds, lost_blocks, separated_peaks)}
 
 ORACLES = {
     "moving_average": _SM + " SELECT stream, frame, round(smooth, 6) AS smooth FROM s",
@@ -203,6 +247,10 @@ SELECT c.id, h.item AS guess_id, round(h.value, 4) AS guess_score FROM (SELECT *
     "score_levels": _E + """, p AS (SELECT *, value - 90 AS m, max(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) - 90 AS w FROM f),
 l AS (SELECT id, frame, CASE WHEN w > m AND w >= -54 THEN w ELSE m END AS level FROM p)
 SELECT id, round(level, 6) AS level, round(level - CASE WHEN frame % 2 = 0 THEN 3 ELSE 0 END, 6) AS denoised FROM l""",
+    "detector": _detector_sql(_NO_CHANGES, _FIRED),
+    "detector_outcomes": _detector_sql(_NO_CHANGES, "SELECT g.stream, count(*) AS ticks, count(*) FILTER (v < 20) AS silent, count(*) FILTER (no) AS rejected, count(f_at) AS fired FROM g JOIN s0 USING (stream, k) GROUP BY g.stream"),
+    "live_thresholds": _detector_sql(_CHANGES, _FIRED),
+    "lost_blocks": "WITH b AS (SELECT l_orderkey AS stream, l_linenumber AS seq, count(*) AS n, max(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT stream, count(*) AS blocks, max(seq) - min(seq) + 1 - count(*) AS dropped, sum(n - 1)::BIGINT AS repeated, count(*) FILTER (v IS NULL OR v < 0.02) AS silent FROM b GROUP BY stream",
     "separated_peaks": """WITH RECURSIVE p AS (SELECT p_brand AS grp, p_size::DOUBLE AS x, max(p_retailprice) AS level FROM part GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY level DESC, x) AS k FROM p),
 g AS (SELECT grp, x, level, k, TRUE AS kept, [x] AS xs FROM n WHERE k = 1 UNION ALL

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chirplake.operators.detector import EVENTS, Detector, Rules, _rankings
+from chirplake.operators.detector import EVENTS, Detector, Rules
+from chirplake.operators.detector import run as steps
 
 STATE = "detector string, waiting string"
 
@@ -20,7 +21,8 @@ def detect_stream(scores: DataFrame, rules: Rules, late_ms: int = 10_000) -> Dat
 
     Rows wait in the state until the watermark has passed them, so that windows are stepped
     through in event time whatever order files come in; rows later than late_ms are dropped by
-    the watermark. State is the detector's and the rows that wait.
+    the watermark. State is the detector's and the rows that wait. Thresholds change and detectors
+    are reset while the stream runs by rows of rank 0, which `with_changes` adds from a second stream.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,7 +41,7 @@ def detect_stream(scores: DataFrame, rules: Rules, late_ms: int = 10_000) -> Dat
         events = []
         if ready:
             table = pd.DataFrame(ready, columns=["t", "level", "rk", "item", "score"])
-            events = [e for t, level, ranking in _rankings(table) if (e := d.step(t, level, ranking))]
+            events = steps(d, table)
         state.update((json.dumps(d.state()), json.dumps(waiting)))
         if waiting:
             state.setTimeoutTimestamp(int(max(mark + 1, min(w[0] for w in waiting))))

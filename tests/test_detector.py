@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from chirplake.operators.detector import Detector, Rules, detect
+from chirplake.operators.detector import Detector, Rules, detect, outcomes, with_changes
 from chirplake.streaming.detection import csv_lines, detect_stream, json_lines
 
 NO_HOLD = Rules(hold_ms=-1)
@@ -83,6 +83,22 @@ def test_stream_equals_batch_whatever_the_order_of_files(spark, tmp_path):
     assert wanted and got == wanted
 
 
+def test_changes_hold_from_their_time_on(spark):
+    table = [(1, float(t), -20.0, 1, "A", 0.8) for t in (0, 1000, 2000, 3000)]
+    scores = spark.createDataFrame(table, "stream long, t double, level double, rk int, item string, score double")
+    changes = spark.createDataFrame([(1, 1000.0, "A", 0.9), (1, 2001.0, "A", None), (2, 5.0, "A", 0.1)], "stream long, t double, item string, threshold double")
+    assert sorted(r["at"] for r in detect(with_changes(scores, changes), NO_HOLD).collect()) == [0, 3000]
+
+
+def test_a_reset_forgets_timers_and_counts_and_keeps_thresholds(spark):
+    table = [(1, float(t), -20.0, 1, i, 0.8) for t, i in ((0, "A"), (100, "A"), (101, "B"))]
+    scores = spark.createDataFrame(table, "stream long, t double, level double, rk int, item string, score double")
+    changes = spark.createDataFrame([(1, 0.0, "B", 0.9), (1, 100.0, None, None)], "stream long, t double, item string, threshold double")
+    both = with_changes(scores, changes)
+    assert sorted(r["at"] for r in detect(both, NO_HOLD).collect()) == [0, 100]
+    assert outcomes(both, NO_HOLD).first().asDict() == {"stream": 1, "ticks": 2, "silent": 0, "rejected": 1, "fired": 1}
+
+
 def test_sinks(spark):
     events = spark.createDataFrame([(1, "A", 0.91234, None, float("-inf"), 10.0)], "stream long, item string, score double, margin double, level double, at double")
     assert csv_lines(events).first().margin == "+inf"
