@@ -1,18 +1,21 @@
 """The detector: silence gate, search result, peak hold, threshold and margin, cooldown, refractory, confirmation.
 
-One class serves the batch form (whole streams in a task each) and the streaming form (state
+One class serves the batch form (sorted streams, a batch at a time) and the streaming form (state
 between micro-batches); times are milliseconds of audio.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirplake.operators.ordered import in_batches, in_order, plain_rows
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -129,45 +132,61 @@ def with_changes(scores: DataFrame, changes: DataFrame, time: str = "t") -> Data
     return scores.unionByName(changes.select(*[values.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in ("stream", time, "level", "rk", "item", "score")]))
 
 
-def run(detector: Detector, rows: pd.DataFrame) -> list[dict]:
-    """Takes the detector through rows of (t, level, rk, item, score) in time order and gives its events.
+def run(detector: Detector, rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Takes the detector through (t, level, rk, item, score), sorted by t, rk, item and score, and gives its events' values.
 
     Rows without an item are windows without a result; rows of rank 0 are changes.
     """
-    events = []
-    for t, group in rows.sort_values(["t", "rk"], kind="stable").groupby("t", sort=True):
-        changes = group[group["rk"] == 0]
-        for item, threshold in changes.sort_values(["item", "score"], na_position="first", kind="stable")[["item", "score"]].itertuples(index=False):
-            detector.change(None if pd.isna(item) else item, None if pd.isna(threshold) else float(threshold))
-        window = group[group["rk"] > 0]
-        if len(window):
-            level, known = window["level"].iloc[0], window[window["item"].notna()]
-            event = detector.step(float(t), None if pd.isna(level) else float(level), list(zip(known["item"], known["score"].astype(float), strict=True)))
-            if event:
-                events.append(event)
-    return events
+    for t, window in groupby(rows, key=lambda r: r[0]):
+        level, ranking, seen = None, [], False
+        for _, loud, rk, item, score in window:
+            if rk == 0:
+                detector.change(item, score)
+                continue
+            if not seen:
+                level, seen = loud, True
+            if item is not None:
+                ranking.append((item, score))
+        event = detector.step(float(t), level, ranking) if seen else None
+        if event:
+            yield tuple(event.values())
+
+
+ORDER = ["t", "rk", "item", "score"]
+COLUMNS = ["stream", "t", "level", "rk", "item", "score"]
+
+
+def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Each stream with its rows without it."""
+    for stream, rows in groupby(plain_rows(batches, COLUMNS), key=lambda r: r[0]):
+        yield stream, (r[1:] for r in rows)
 
 
 def detect(scores: DataFrame, rules: Rules, confirm: Callable[[Held], bool] | None = None) -> DataFrame:
     """scores: (stream, t in ms, level, rk, item, score), the ranked items of each window. Gives the events.
 
-    A stream's windows are stepped through in time order; what is still held at its end isn't fired.
+    A stream's windows are stepped through in time order, a batch in memory at a time; what is
+    still held at its end isn't fired. A null stream is a stream.
     """
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(run(Detector(rules, confirm), rows), columns=["item", "score", "margin", "level", "at"])
-        out.insert(0, "stream", rows["stream"].iloc[0])
-        return out
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ((stream, *event) for stream, rows in _streams(batches) for event in run(Detector(rules, confirm), rows))
+        yield from in_batches(found, ["stream", "item", "score", "margin", "level", "at"])
 
-    return scores.groupBy("stream").applyInPandas(work, EVENTS)
+    return in_order(scores.select(*COLUMNS), ["stream"], ORDER).mapInPandas(work, EVENTS)
 
 
 def outcomes(scores: DataFrame, rules: Rules) -> DataFrame:
     """Each stream's counts of windows, silent ones, rejections and events."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        d = Detector(rules)
-        run(d, rows)
-        return pd.DataFrame([{"stream": rows["stream"].iloc[0], **d.counts}])
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for stream, rows in _streams(batches):
+            d = Detector(rules)
+            for _ in run(d, rows):
+                pass
+            yield stream, *d.counts.values()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_batches(counted(batches), ["stream", "ticks", "silent", "rejected", "fired"])
 
-    return scores.groupBy("stream").applyInPandas(work, "stream long, ticks long, silent long, rejected long, fired long")
+    return in_order(scores.select(*COLUMNS), ["stream"], ORDER).mapInPandas(work, "stream long, ticks long, silent long, rejected long, fired long")

@@ -6,12 +6,15 @@ streams run in parallel. Streams of one table are ordered by `t`, then `id`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chirplake.operators.ordered import in_batches, in_order, plain_rows
+
 
 def numbered(df: DataFrame) -> DataFrame:
     """frame from 0 in each stream."""
@@ -77,17 +80,20 @@ def newest(df: DataFrame, by: list[str], n: int) -> DataFrame:
 
 
 def folded(df: DataFrame, by: list[str], make: Callable[[], Callable[[object], object]], out: str, kind: str) -> DataFrame:
-    """df with the column `out`: for each group of `by` a new step function sees its rows in the order of t and id."""
-    names = df.columns
+    """df with the column `out`: for each group of `by` a new step function sees its rows in the order of t and id, a batch in memory at a time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` {kind}"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable")
-        step = make()
-        rows[out] = [step(r) for r in rows.itertuples(index=False)]
-        return rows[[*names, out]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, step = None, None
+        for rows in batches:
+            done = []
+            for key, r in zip(plain_rows([rows], by), rows.itertuples(index=False), strict=True):
+                if step is None or key != group:
+                    group, step = key, make()
+                done.append(step(r))
+            yield rows.assign(**{out: pd.Series(done, index=rows.index, dtype=object)})
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return in_order(df, by, ["t", "id"]).mapInPandas(run, schema)
 
 
 def cooldown(df: DataFrame, by: list[str], wait: pd.Timedelta) -> DataFrame:
@@ -141,17 +147,19 @@ def active_spans(df: DataFrame, lifetime: str) -> DataFrame:
 def separated_peaks(points: DataFrame, apart: float, n: int) -> DataFrame:
     """points: (grp, x, level). The strongest points of a group of which none is within `apart` of one kept before, up to n."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for r in rows.sort_values(["level", "x"], ascending=[False, True]).itertuples(index=False):
-            if len(kept) == n:
-                break
-            if all(abs(r.x - k[1]) > apart for k in kept):
-                kept.append((r.grp, r.x, r.level, len(kept) + 1))
-        return pd.DataFrame(kept, columns=["grp", "x", "level", "rk"])
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for grp, rows in groupby(plain_rows(batches, ["grp", "x", "level"]), key=lambda r: r[0]):
+            xs: list[float] = []
+            for _, x, level in rows:
+                if len(xs) < n and all(abs(x - k) > apart for k in xs):
+                    xs.append(x)
+                    yield grp, x, level, len(xs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_batches(kept(batches), ["grp", "x", "level", "rk"])
 
     kinds = dict(points.dtypes)
-    return points.groupBy("grp").applyInPandas(run, f"grp {kinds['grp']}, x double, level double, rk int")
+    return in_order(points, ["grp"], [F.desc("level"), "x"]).mapInPandas(run, f"grp {kinds['grp']}, x double, level double, rk int")
 
 
 def lost_blocks(df: DataFrame, gate: float) -> DataFrame:

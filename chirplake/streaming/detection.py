@@ -40,8 +40,8 @@ def detect_stream(scores: DataFrame, rules: Rules, late_ms: int = 10_000) -> Dat
         waiting = [w for w in waiting if w[0] > mark]
         events = []
         if ready:
-            table = pd.DataFrame(ready, columns=["t", "level", "rk", "item", "score"])
-            events = steps(d, table)
+            ready.sort(key=lambda w: (w[0], w[2], w[3] is not None, w[3] or "", w[4] is not None, w[4] or 0.0))
+            events = list(steps(d, ready))
         state.update((json.dumps(d.state()), json.dumps(waiting)))
         if waiting:
             state.setTimeoutTimestamp(int(max(mark + 1, min(w[0] for w in waiting))))

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from chirplake.operators.detector import Detector, Rules, detect, outcomes, with_changes
+from chirplake.operators.series import cooldown
 from chirplake.streaming.detection import csv_lines, detect_stream, json_lines
 
 NO_HOLD = Rules(hold_ms=-1)
@@ -90,6 +91,22 @@ def test_changes_hold_from_their_time_on(spark):
     assert sorted(r["at"] for r in detect(with_changes(scores, changes), NO_HOLD).collect()) == [0, 3000]
 
 
+def test_groups_go_over_the_ends_of_batches(spark):
+    table = scores().assign(t=lambda d: d["ts"].astype("int64") // 10 ** (6 if d["ts"].dtype.str.endswith("[ns]") else 3)).drop(columns="ts").astype(object)
+    table.loc[table["stream"] == 1, "stream"] = None
+    rows = [tuple(None if pd.isna(v) else float(v) if n in ("t", "level", "score") else v for n, v in r.items()) for r in table.to_dict("records")]
+    df = spark.createDataFrame([tuple(r) for r in rows], "stream long, level double, rk int, item string, score double, t double")
+    steps = df.selectExpr("stream", "timestamp_millis(cast(t as long)) as t", "cast(t as long) as id", "item", "score as value")
+    wait = pd.Timedelta(milliseconds=90)
+    whole = [sorted(map(repr, d.collect())) for d in (detect(df, Rules()), outcomes(df, Rules()), cooldown(steps, ["stream", "item"], wait))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        small = [sorted(map(repr, d.collect())) for d in (detect(df, Rules()), outcomes(df, Rules()), cooldown(steps, ["stream", "item"], wait))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == whole and len(whole[1]) == 3 and all(whole)
+
+
 def test_a_reset_forgets_timers_and_counts_and_keeps_thresholds(spark):
     table = [(1, float(t), -20.0, 1, i, 0.8) for t, i in ((0, "A"), (100, "A"), (101, "B"))]
     scores = spark.createDataFrame(table, "stream long, t double, level double, rk int, item string, score double")
