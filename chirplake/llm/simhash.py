@@ -8,6 +8,10 @@ nodes are followed from the root down; the differences in the bits that both sha
 of every pair below, so that whole groups of pairs are pruned, or linked at once where even
 all open bits can't exceed the limit. A task gives a spanning forest of what it links, never
 the pairs of a group.
+
+The near-copy stage asks for a similarity (Jaccard of five-word shingles), of which SimHash bits tell
+too little near 0.8. There, links of SimHash words and of MinHash bands are only candidates; the
+similarity is counted exactly within the components of the candidates.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ FRONTIER = 1 << 18
 SLAB = 1 << 18
 #: A (band, value) with more fingerprints is split into blocks, of which each pair is a cell of its own.
 CELL = 1 << 17
+#: MinHash bands of the near-copy stage and the minima in each: at a similarity of 0.8, 1 - (1 - 0.8^8)^32 = 99.7 % of pairs share a band.
+BANDS, BAND_ROWS = 32, 8
+#: Members of a candidate component that are compared in one task; a larger one is split into blocks, of which each pair is a cell of its own.
+BLOCK = 1 << 14
 
 
 def _shingles(text: str | None, width: int) -> list[bytes]:
@@ -81,15 +89,38 @@ def fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = N
     return map_texts(df, text, carry, "fp long", work)
 
 
-def wide_fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carry columns with fp0 and fp1 long, the two words of the wide fingerprint."""
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("fp0", "fp1")]
+def _min_bands(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each of the BANDS bands of minima; the hashes are not empty."""
+    rng = np.random.default_rng(42)
+    odd, flip = (rng.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    odd, low = odd | np.uint32(1), (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(odd), ~np.uint32(0))
+    for k in range(0, len(low), 512):
+        np.minimum(least, ((low[k : k + 512, None] ^ flip) * odd).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), nth) for nth, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's shingles, in order."""
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in _shingles(text, width)), np.uint64))
+
+
+def sketched(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with set0 and set1 (a digest of the text's set of shingles), fp0 and fp1 (the wide fingerprint) and bands (MinHash keys; none without words)."""
 
     def work(texts: pa.Array) -> dict:
-        both = np.array([wide_fingerprint(t) for t in texts.to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
-        return {"fp0": pa.array(both[:, 0]), "fp1": pa.array(both[:, 1])}
+        sets, prints, bands = [], [], []
+        for t in texts.to_pylist():
+            found = _shingles(t, 5)
+            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, 42) for s in found]), np.uint64).reshape(-1, 2)
+            distinct = np.unique(both[:, 0])
+            sets.append(np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes()), np.int64))
+            prints.append(_majority(both) if found else np.zeros(2, np.uint64))
+            bands.append(_min_bands(distinct).view(np.int64) if found else np.zeros(0, np.int64))
+        s, f = np.array(sets, np.int64).reshape(-1, 2), np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+        return {"_set0": pa.array(s[:, 0]), "_set1": pa.array(s[:, 1]), "_fp0": pa.array(f[:, 0]), "_fp1": pa.array(f[:, 1]), "_bands": pa.array(bands, pa.list_(pa.int64()))}
 
-    return map_texts(df, text, carry, "fp0 long, fp1 long", work)
+    return map_texts(df, text, df.columns, "_set0 long, _set1 long, _fp0 long, _fp1 long, _bands array<long>", work)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -284,20 +315,100 @@ def near_groups(prints: DataFrame, most: int = 4) -> DataFrame:
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", most: int = 6, most_in_all: int = 24) -> DataFrame:
+def band_links(nodes: DataFrame) -> DataFrame:
+    """nodes: `node` and `bands`. Gives (u, v): each node with the smallest that shares a band's key."""
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    least = keys.groupBy("band", "key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "key", "v")
+    return keys.join(least, ["band", "key"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Places in sets: links that span the components of the graph of pairs whose exact Jaccard is `similarity` at least.
+
+    Those not reached yet are counted against one reached set at a time.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    mine = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mark = np.zeros(len(codes), bool)
+    left, tokens = np.arange(len(sets)), codes
+    reached: list[int] = []
+    while len(left):
+        if not reached:
+            reached, keep = [int(left[0])], np.arange(len(left)) > 0
+            tokens, left = tokens[np.repeat(keep, sizes[left])], left[keep]
+            continue
+        at = reached.pop()
+        mark[mine[at]] = True
+        both = np.add.reduceat(mark[tokens].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[left])[:-1])))
+        mark[mine[at]] = False
+        near = both >= similarity * (sizes[left] + sizes[at] - both)
+        if near.any():
+            new = left[near].tolist()
+            reached += new
+            yield from ((at, k) for k in new)
+            tokens, left = tokens[np.repeat(~near, sizes[left])], left[~near]
+
+
+def _link_similar(similarity: float):
+    """Over rows sorted by cell (root, low, high), of node and text. A cell is held whole; it has 2 * BLOCK members at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, sets = None, [], []
+
+        def linked() -> pa.RecordBatch:
+            found = [(nodes[a], nodes[b]) for a, b in similar_links(sets, similarity)] if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for root, low, high, node, text in zip(*(batch.column(c) for c in ("root", "low", "high", "node", "text")), strict=True):
+                key = (root.as_py(), low.as_py(), high.as_py())
+                if key != cell:
+                    yield linked()
+                    cell, nodes, sets = key, [], []
+                nodes.append(node.as_py())
+                sets.append(shingle_set(text.as_py()))
+        yield linked()
+
+    return run
+
+
+def exact_links(members: DataFrame, similarity: float) -> DataFrame:
+    """members: root (of a candidate component), node and text, with words. Gives (u, v): links between members that span the graph of similar ones."""
+    full = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
+    cells = (
+        members.join(full, "root", "left")
+        .select("root", "node", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "text")
+    )
+    return cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_link_similar(similarity), "u long, v long")
+
+
+def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", most: int = 6, most_in_all: int = 24, similarity: float = 0.8) -> DataFrame:
     """df with one row of each group of near copies: that with the smallest id (null ids last).
 
-    The 128-bit fingerprints of five-word shingles of near copies differ in most_in_all bits at most: at a
-    similarity (Jaccard) of 0.8, 15 % of the bits, 19.5, are expected to differ. Pairs are found
-    that also differ in `most` bits at most in one of the two 64-bit words. Texts without words
+    Near copies are texts whose sets of five-word shingles have a Jaccard of `similarity` at least, and a
+    group is a component of them. Candidates share a MinHash band, or their 128-bit SimHashes differ in
+    most_in_all bits at most and in `most` at most in one of the two 64-bit words; within a
+    component of candidates every pair is settled by its exact Jaccard. Texts without words
     (null and empty ones too) are copies of each other; of equal rows one stays. An empty table gives an empty one.
     """
-    work = frozen(wide_fingerprinted(df, text).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
-    nodes = frozen(work.groupBy("fp0", "fp1").agg(F.min("_row").alias("node")), "near-nodes")
-    links = near_links(nodes.select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("rest")), most, 2, most_in_all).unionByName(
-        near_links(nodes.select("node", F.col("fp1").alias("fp"), F.col("fp0").alias("rest")), most, 2, most_in_all)
+    work = frozen(sketched(df, text).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
+    first = F.min(F.struct(F.col("_row").alias("node"), F.col("_fp0").alias("fp0"), F.col("_fp1").alias("fp1"), F.col("_bands").alias("bands")))
+    nodes = frozen(work.groupBy("_set0", "_set1").agg(first.alias("n")).select("_set0", "_set1", "n.*"), "near-nodes")
+    worded = nodes.where(F.size("bands") > 0)
+    links = (
+        near_links(worded.select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("rest")), most, 2, most_in_all)
+        .unionByName(near_links(worded.select("node", F.col("fp1").alias("fp"), F.col("fp0").alias("rest")), most, 2, most_in_all))
+        .unionByName(band_links(worded))
     )
-    roots = components(links)
-    rooted = nodes.join(roots, "node", "left").select("fp0", "fp1", F.coalesce("root", "node").alias("root"))
-    kept = work.select("fp0", "fp1", id, "_row").join(rooted, ["fp0", "fp1"]).groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("absent"), F.col(id).alias("id"), "_row"))["_row"].alias("_row"))
+    candidates = components(links)
+    members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+    texts = work.select(F.col("_row").alias("node"), F.col(text).alias("text"))
+    roots = components(exact_links(texts.join(members, "node"), similarity))
+    rooted = nodes.select("_set0", "_set1", "node").join(roots, "node", "left").select("_set0", "_set1", F.coalesce("root", "node").alias("root"))
+    kept = work.select("_set0", "_set1", id, "_row").join(rooted, ["_set0", "_set1"]).groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("absent"), F.col(id).alias("id"), "_row"))["_row"].alias("_row"))
     return work.join(kept.select("_row"), "_row", "left_semi").select(*df.columns)
