@@ -294,12 +294,16 @@ class _Chunk:
         self.known = (self.counts[before] > 0) & (self.counts[self.codes] > 0)
 
     def bigrams(self, shards: int) -> dict[str, np.ndarray]:
-        """The distinct bigrams, their contexts' parts and where these go; place: of each known token's bigram."""
+        """The distinct bigrams, their contexts' parts and where these go; place: of each known token's bigram.
+
+        Every trained context is asked for, also one that no known word follows here, as its other successors weigh the base.
+        """
         keys, place = np.unique(self.before[self.known] * (self.n + 1) + self.codes[self.known], return_inverse=True)
         train = np.repeat(self.train, self.lengths)[self.known]
         counts = np.bincount(place[train], minlength=len(keys))
         context, word = keys // (self.n + 1), keys % (self.n + 1)
-        contexts, at = np.unique(context, return_inverse=True)
+        contexts = np.unique(self.before[self.counts[self.before] > 0])
+        at = np.searchsorted(contexts, context)
         parts = 1 + self.counts[contexts] // PART_TOKENS
         first = np.concatenate(([0], np.cumsum(parts)))[:-1]
         entry_context = np.repeat(contexts, parts)
