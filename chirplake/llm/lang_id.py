@@ -102,9 +102,10 @@ class LanguageModel:
 def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, per_lang: int = 3, slack: float = 0.5, max_langs: int = 1000) -> LanguageModel:
     """From the rows of train with a language. `sample`: rows a language at most on which centroids are fitted; max_langs: languages at most, the most frequent ones.
 
-    A centroid's limit is slack times the first percentile of its language's own cosines.
+    A centroid's limit is slack times the first percentile of its language's own cosines. Null texts
+    and those without a letter tell nothing of a language and are left out.
     """
-    rows = train.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)).alias("u"))
+    rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)).alias("u"))
     by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     total, found = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + found)) + 1.0
