@@ -7,7 +7,8 @@ real entity, are drawn again until none is left (distinctness). Surrogates keep
 letters become letters of the same case and script, digits digits; an e-mail address keeps its
 top-level domain and one domain always becomes the same other one; a card number keeps its first digit and its
 check sum; an IP address stays one; a telephone number keeps its country code and its area code's
-form; a name after a title keeps the title, the gender that the title shows and the script.
+form; a name after a title keeps the title, the gender that the title shows and the script. Other
+mentions of such a name in the same text, whole or its last word, get the same surrogate or its last word.
 """
 
 from __future__ import annotations
@@ -17,22 +18,29 @@ from pyspark.sql import functions as F
 
 from chirplake.llm.store import frozen
 
+#: Titles before names: those that show a man, a woman, and neither.
+MEN = r"Mr|Sir|Lord|Herrn?|Monsieur|Señor|Sr|Г-н|Господин"
+LADIES = r"Mrs|Ms|Miss|Lady|Dame|Frau|Fräulein|Mme|Mlle|Madame|Mademoiselle|Señora|Señorita|Sra|Srta|Dra|Г-жа|Госпожа"
+ANY_TITLE = rf"{MEN}|{LADIES}|Mx|Dr|Doctor|Doktor|Prof|Professor|Rev|Доктор|Профессор"
+#: One word of a name (O'Brien, Jean-Luc, McDonald, an initial) and a whole name, with particles inside.
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:['’\-]?\p{Lu}\p{Ll}+)*"
+NAME = rf"(?:\p{{Lu}}\. ?){{0,4}}{_WORD}(?:(?: (?:von|van|zu|der|den|de|la|le|du|di|da|del|dos)){{0,3}}(?: \p{{Lu}}\.){{0,3}} {_WORD}){{0,4}}"
+
 #: Kinds in the order in which they are tried, as Java patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?:password|passwd|secret|token|api_key)(?: = |=|: )\"?)[A-Za-z0-9+/_\-]{8,}|\b(?=[a-f]*[0-9])[0-9a-f]{32,128}\b",
+    "secret": r"""\bAKIA[0-9A-Z]{16}\b|(?<=(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_\-]?key)["']?(?: = |=|: ?| : )["']?)[A-Za-z0-9+/_\-]{8,}|\b(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b""",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.])[0-9]{4}(?<gap>[ \-]?)[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}(?!\w)|(?<![\w.])3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}(?!\w)",
     "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)|(?<![\w.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\w\-])",
     "national": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])",
-    "name": r"(?<=\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|Г-н|Г-жа)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": rf"(?<=(?<![\p{{L}}\-])(?:{ANY_TITLE})\.? )(?!(?:{ANY_TITLE})\b){NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has a digit or an at sign, or stands behind one of these words; most texts have none of them.
-HINTS = ("AKIA", "password", "passwd", "secret", "token", "api_key", "Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Sra", "Г-")
-#: Titles before names that show a woman.
-WOMEN = r"(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Г-жа)\.? $"
+HINTS = ("AKIA", "Mr", "Ms", "Mx", "Miss", "Sir", "Lord", "Lady", "Dame", "Herr", "Fra", "Frä", "Mme", "Ml", "Monsieur", "Mad", "Señor", "Sr", "Dr", "Do", "Prof", "Rev", "Г", "Доктор", "Проф")
+KEYWORD_HINT = "(?i)passw|secret|token|api[_-]?key"
 #: Alphabets of which a character is replaced within its own; anything else stays.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœß"
@@ -44,37 +52,74 @@ def has_entity(text: Column) -> Column:
     hint = text.rlike("[0-9@]")
     for word in HINTS:
         hint = hint | F.contains(text, F.lit(word))
+    hint = hint | text.rlike(KEYWORD_HINT)
     return hint & text.rlike(PATTERN)
 
 
-def entities(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+def entities(text: Column, pattern: Column | None = None) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN) if pattern is None else pattern, F.lit(0))
 
 
-def gaps(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), PATTERN, -1)
+def gaps(text: Column, pattern: Column | None = None) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), PATTERN if pattern is None else pattern, -1)
 
 
 def kind_of(value: Column, before: Column) -> Column:
-    """The first kind whose pattern fits the whole entity; names are told by the title before them, f or m with it."""
-    out = F.when(before.rlike(WOMEN), "name f").when(value.rlike(r"^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?$") & before.rlike(r"(?:^|[^\p{L}])[\p{L}\-]+\.? $"), "name m")
+    """The first kind whose pattern fits the whole entity; names are told by the title before them, which gives f, m or neither."""
+    name = lambda titles: value.rlike(f"^{NAME}$") & before.rlike(rf"(?:^|[^\p{{L}}\-])(?:{titles})\.? $")
+    out = F.when(name(LADIES), "name f").when(name(MEN), "name m").when(name(ANY_TITLE), "name n")
     for kind in ("email", "card", "phone", "national", "ip", "iban"):
         out = out.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("secret")
 
 
+#: Characters before an entity that tell a title.
+BEFORE = 16
+
+
+def _last(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def _titled(e: Column, g: Column) -> Column:
+    """From a text's entities and gaps its names after titles, as (value, kind), the longest of one last name first."""
+    told = F.zip_with(e, F.slice(g, 1, F.size(e)), lambda v, b: F.struct(v.alias("value"), kind_of(v, F.right(b, F.lit(BEFORE))).alias("kind")))
+    names = F.filter(told, lambda x: x["kind"].startswith("name"))
+    by_size = F.transform(names, lambda x: F.struct(F.length(x["value"]).alias("size"), x["value"].alias("value"), x["kind"].alias("kind")))
+    return F.sort_array(F.array_distinct(by_size), asc=False)
+
+
+def _own_pattern(names: Column) -> Column:
+    """The pattern of all kinds, and the text's own names (whole or the last one) where they stand without a title."""
+    forms = F.sort_array(F.array_distinct(F.flatten(F.transform(names, lambda x: F.array(x["value"], _last(x["value"]))))), asc=False)
+    listed = F.array_join(F.transform(forms, lambda x: F.regexp_replace(x, r"\.", r"\\\\.")), "|")
+    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(PATTERN))
+
+
+def _resolved(value: Column, before: Column, names: Column) -> Column:
+    """(value, kind, last): a mention of one of the text's names is that name, or the last word of it."""
+    kind = kind_of(value, F.right(before, F.lit(BEFORE)))
+    whole = F.filter(names, lambda x: x["value"] == value)
+    longer = F.filter(names, lambda x: (x["value"] != value) & (_last(x["value"]) == value))
+    same = F.filter(longer, lambda x: x["kind"] == kind)
+    titled = kind.startswith("name")
+    owner = F.get(F.when(titled, same).when(F.size(longer) > 0, longer).otherwise(whole), F.lit(0))
+    mention = (titled | (kind == "secret")) & owner.isNotNull()
+    return F.struct(F.when(mention, owner["value"]).otherwise(value).alias("value"), F.when(mention, owner["kind"]).otherwise(kind).alias("kind"), (mention & (owner["value"] != value)).alias("last"))
+
+
 def _scrambled(value: Column, key: Column) -> Column:
-    """Every letter and digit replaced by one of its alphabet, from a hash of the key and its place; lower hex stays hex."""
+    """Every letter and digit replaced by one of its alphabet, from a hash of the key and its place; hex stays hex."""
 
     def one(char: Column, place: Column) -> Column:
         draw = F.xxhash64(key, place)
         pick = lambda letters: F.substring(F.lit(letters), (F.pmod(draw, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-        out = F.when(hexed & F.contains(F.lit("abcdef"), char), pick("abcdef"))
+        out = F.when(hexed & F.contains(F.lit("abcdef"), char), pick("abcdef")).when(upper_hexed & F.contains(F.lit("ABCDEF"), char), pick("ABCDEF"))
         for letters in ALPHABETS:
             out = out.when(F.contains(F.lit(letters), char), pick(letters))
         return out.when(F.contains(F.lit(ACCENTED), char), pick(ALPHABETS[1])).when(F.contains(F.lit(ACCENTED.upper()), char), pick(ALPHABETS[2])).otherwise(char)
 
-    hexed = value.rlike("^[0-9a-f]+$")
+    hexed, upper_hexed = value.rlike("^[0-9a-f]+$"), value.rlike("^[0-9A-F]{32,}$")
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
@@ -143,18 +188,23 @@ def replace_pii(df: DataFrame, *, text: str = "text", key: str, carry: list[str]
     kept = [c for c in carry if c.lower() not in (text.lower(), count.lower())]
     docs = df.select(F.struct(*kept).alias("row"), F.col(text).alias("text"))
     with_any = docs.select("text", F.md5(F.col("text").cast("binary")).alias("content")).where(has_entity(F.col("text")))
-    listed = with_any.select("content", entities(F.col("text")).alias("e"), gaps(F.col("text")).alias("g"))
-    parts = listed.select("content", F.posexplode(F.arrays_zip("e", "g")).alias("nth", "part")).where("part.e is not null")
-    parts = frozen(parts.select("content", "nth", F.col("part.e").alias("value"), kind_of(F.col("part.e"), F.right(F.col("part.g"), F.lit(12))).alias("kind")).dropDuplicates(["content", "nth"]), "entities")
+    listed = with_any.select("content", "text", _titled(entities(F.col("text")), gaps(F.col("text"))).alias("names"))
+    listed = listed.withColumn("pattern", _own_pattern(F.col("names")))
+    listed = listed.select("content", "names", "pattern", entities(F.col("text"), F.col("pattern")).alias("e"), gaps(F.col("text"), F.col("pattern")).alias("g"))
+    parts = listed.select("content", "names", "pattern", F.posexplode(F.arrays_zip("e", "g")).alias("nth", "part")).where("part.e is not null")
+    parts = parts.select("content", "pattern", "nth", _resolved(F.col("part.e"), F.col("part.g"), F.col("names")).alias("r"))
+    own = F.when(F.col("pattern") != F.lit(PATTERN), F.col("pattern"))
+    parts = frozen(parts.select("content", own.alias("pattern"), "nth", "r.*").dropDuplicates(["content", "nth"]), "entities")
     chosen = surrogate_table(parts.select("kind", "value").distinct(), key)
     lists = (
         parts.join(chosen, ["kind", "value"])
         .groupBy("content")
-        .agg(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))).alias("s"))  # the entities of one text
-        .select("content", F.transform("s", lambda x: x["surrogate"]).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("nth", F.when(F.col("last"), _last(F.col("surrogate"))).otherwise(F.col("surrogate")).alias("surrogate")))).alias("s"), F.first("pattern").alias("pattern"))  # the entities of one text
+        .select("content", "pattern", F.transform("s", lambda x: x["surrogate"]).alias("s"))
     )
     joined = docs.withColumn("content", F.md5(F.col("text").cast("binary"))).join(lists, "content", "left")
-    rebuilt = F.array_join(F.flatten(F.zip_with(gaps(F.col("text")), F.col("s"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    merged = lambda g: F.array_join(F.flatten(F.zip_with(g, F.col("s"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    rebuilt = F.when(F.col("pattern").isNull(), merged(gaps(F.col("text")))).otherwise(merged(gaps(F.col("text"), F.col("pattern"))))
     return joined.select(*[F.col("row")[c].alias(c) for c in kept], F.when(F.col("s").isNull(), F.col("text")).otherwise(rebuilt).alias(text), F.coalesce(F.size("s"), F.lit(0)).alias(count)).withColumn(
         count, F.greatest(F.col(count), F.lit(0))
     )
