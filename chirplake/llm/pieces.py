@@ -5,28 +5,32 @@ scores: its result is the one path on which every two neighbouring pieces stay a
 merges are run on the two of them. The search is Viterbi's all the same: the state of a boundary
 is the last piece of the path that ends there, and a boundary's state follows from those at most
 one piece length before it. The encoder keeps these boundaries and their backpointers only, and
-commits ids as soon as all paths that survive in the window meet in one boundary. Results equal
-the sentencepiece library's.
+commits ids as soon as all paths that survive in the window meet in one boundary. Every segment of a
+text goes through it; results of short segments, and states near segments' beginnings, are remembered.
+Results equal the sentencepiece library's.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
 from chirplake.llm.batches import map_texts
 
 BLANK = "▁"
 #: Segments that a worker remembers; then it starts anew.
 MEMO = 150_000
-#: Longer segments aren't remembered.
+#: Longer segments aren't remembered, and states farther from a segment's beginning aren't shared.
 MEMO_CHARS = 48
+SHARED_CHARS = 6
 #: Characters between two looks for a common boundary.
 COMMIT_EVERY = 64
 #: In place of an id: a piece that wasn't looked at yet, and one that no merges make.
@@ -36,11 +40,29 @@ SHARED_RANK = 1e8
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
+def checked(model: bytes) -> bytes:
+    """The model, if its ids are what this search gives; ValueError for another kind, normaliser or white-space rule."""
+    m = ModelProto()
+    m.ParseFromString(model)
+    t, n = m.trainer_spec, m.normalizer_spec
+    wrong = [
+        *(["its type is not BPE"] if t.model_type != t.BPE else []),
+        *(["it has no byte fallback"] if not t.byte_fallback else []),
+        *(["white space is a suffix"] if t.treat_whitespace_as_suffix else []),
+        *(["its normaliser changes characters"] if n.precompiled_charsmap else []),
+        *(["it removes or does not escape white space, or adds no blank in front"] if n.remove_extra_whitespaces or not n.escape_whitespaces or not n.add_dummy_prefix else []),
+        *(["it has pieces of the user's own"] if any(p.type == p.USER_DEFINED for p in m.pieces) else []),
+    ]
+    if wrong:
+        raise ValueError(f"a SentencePiece model that this encoder can't follow: {'; '.join(wrong)}")
+    return model
+
+
 class Vocabulary:
     """Pieces of a BPE model with byte fallback. Characters without a piece have negative ids here, and become bytes in the output."""
 
     def __init__(self, model: bytes):
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=checked(model))
         n = sp.get_piece_size()
         self.rank: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -55,6 +77,11 @@ class Vocabulary:
                 self.id[piece], self.rank[piece] = k, sp.get_score(k)
                 self.out[k] = piece.replace(BLANK, " ").encode()
         self.longest = max(map(len, self.id), default=1)
+        ends: dict[str, set[int]] = {}
+        for piece in self.id:
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], {2, 1}).add(len(piece))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}  # of the pieces that end with these three characters
         self.text = {k: p for p, k in self.id.items()}
         self.chars = {k: len(p) for p, k in self.id.items()}
         sizes = np.array([len(b) for b in self.out], np.int64)
@@ -63,7 +90,8 @@ class Vocabulary:
         self._edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, int] = dict.fromkeys(self.id, UNTRIED)
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.states: dict[str, int] = {}
+        self.states: dict[str, tuple[int, ...]] = {}
+        self.encoder = StreamingEncoder(self)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by its merges, best score first and leftmost among equals."""
@@ -135,10 +163,12 @@ class Vocabulary:
                         # Of equal merges the left one is first.
                         if rank is not None and -rank < end_u and -rank <= end_v:
                             stays = False
-        self._apart[left << 16 ^ right] = stays
+        self._apart[(left << 32) + right] = stays  # ids are within 32 bits, characters' negative ones too
         return stays
 
     def ids(self, pieces: list[int]) -> list[int]:
+        if not pieces or min(pieces) >= 0:
+            return pieces
         out: list[int] = []
         for k in pieces:
             if k >= 0:
@@ -149,10 +179,20 @@ class Vocabulary:
 
 
 def _search(v: Vocabulary, chars: str, begin: int, last: list, before: int | None) -> None:
-    """Adds the states of the boundaries behind begin: of each the one piece that may stand last."""
-    known, apart, longest = v.known.get, v._apart.get, v.longest
+    """Adds the states of the boundaries behind begin: of each the one piece that may stand last.
+
+    The states near a segment's beginning are a function of its first characters, so that segments share them by v.states.
+    """
+    known, apart, lengths = v.known.get, v._apart.get, v.lengths.get
+    head = chars[:SHARED_CHARS] if before is None and not begin else None
+    if head:
+        last += v.states.get(head, ())
+        begin = len(last) - 1
     for end in range(begin + 1, len(chars) + 1):
-        for start in range(end - 1, max(-1, end - longest - 1), -1):
+        for n in lengths(chars[end - 3 : end] if end > 2 else "", (2, 1)):
+            start = end - n
+            if start < 0:
+                continue
             k = known(chars[start:end])
             if k is None:
                 if start < end - 1:
@@ -165,43 +205,16 @@ def _search(v: Vocabulary, chars: str, begin: int, last: list, before: int | Non
             left = last[start] if start else before
             if left is None:
                 break
-            stays = apart(left << 16 ^ k)
+            stays = apart((left << 32) + k)
             if stays or stays is None and v.apart(left, k):
                 break
         else:
             raise ValueError("no path reaches a boundary")
         last.append(k)
-
-
-def _state(v: Vocabulary, text: str) -> int:
-    """The state of the boundary behind a short segment's beginning: a function of that text alone, so that segments share it.
-
-    The boundaries before are looked at as far as a piece that may stand last asks for them, the longest piece first.
-    """
-    found = v.states.get(text)
-    if found is not None:
-        return found
-    n, known = len(text), v.known.get
-    for start in range(max(0, n - v.longest), n):
-        k = known(text[start:])
-        if k is None:
-            if start < n - 1:
-                continue
-            k = v.piece(text[start])
-        elif k == UNTRIED:
-            k = v.piece(text[start:])
-        if k == NEVER:
-            continue
-        if not start:
-            break
-        left = _state(v, text[:start])
-        stays = v._apart.get(left << 16 ^ k)
-        if stays or stays is None and v.apart(left, k):
-            break
-    else:
-        raise ValueError("no path reaches a boundary")
-    v.states[text] = k
-    return k
+    if head and begin < len(head):
+        if len(v.states) >= 2 * MEMO:
+            v.states.clear()
+        v.states[head] = tuple(last[1 : len(head) + 1])
 
 
 class StreamingEncoder:
@@ -214,10 +227,14 @@ class StreamingEncoder:
         self.before: int | None = None  # the piece before chars, committed
 
     def feed(self, text: str) -> list[int]:
+        if len(text) + len(self.chars) < COMMIT_EVERY:
+            self._extend(text)
+            return []
         out: list[int] = []
         for k in range(0, len(text), COMMIT_EVERY):
             self._extend(text[k : k + COMMIT_EVERY])
-            out += self._commit(self._common())
+            if len(self.chars) >= COMMIT_EVERY:
+                out += self._commit(self._common())
         return out
 
     def finish(self) -> list[int]:
@@ -243,38 +260,27 @@ class StreamingEncoder:
         return open_.pop()
 
     def _commit(self, upto: int) -> list[int]:
-        path = []
-        at = upto
+        path, last, sizes, at = [], self.last, self.v.chars, upto
         while at > 0:
-            path.append(self.last[at])
-            at = self._back(at)
+            k = last[at]
+            path.append(k)
+            at -= sizes[k] if k >= 0 else 1
         path.reverse()
         if path:
             self.before = path[-1]
-        self.chars, self.last = self.chars[upto:], [None, *self.last[upto + 1 :]]
+        self.chars, self.last = self.chars[upto:], [None, *last[upto + 1 :]]
         return self.v.ids(path)
 
 
 def encode_segment(v: Vocabulary, segment: str) -> tuple[int, ...]:
-    """Ids of a segment on whose two sides all paths meet."""
+    """Ids of a segment on whose two sides all paths meet, remembered unless it is long."""
     found = v.memo.get(segment)
     if found is None:
-        if len(segment) > MEMO_CHARS:
-            encoder = StreamingEncoder(v)
-            return tuple(encoder.feed(segment) + encoder.finish())
-        # All paths meet at its end: one commit, of the states that the path needs.
-        if len(v.states) >= 2 * MEMO:
-            v.states.clear()
-        path, rest = [], segment
-        while rest:
-            k = _state(v, rest)
-            path.append(k)
-            rest = rest[: -v.size(k)]
-        path.reverse()
-        found = tuple(path if min(path) >= 0 else v.ids(path))
-        if len(v.memo) >= MEMO:
-            v.memo.clear()
-        v.memo[segment] = found
+        found = tuple(v.encoder.feed(segment) + v.encoder.finish())
+        if len(segment) <= MEMO_CHARS:
+            if len(v.memo) >= MEMO:
+                v.memo.clear()
+            v.memo[segment] = found
     return found
 
 
@@ -314,10 +320,10 @@ def encode_all(v: Vocabulary, texts: pa.Array) -> pa.ListArray:
     odd = set(np.flatnonzero(plain.to_numpy(zero_copy_only=False)).tolist())
     lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
     words, parents = pc.list_flatten(lists).dictionary_encode(), pc.list_parent_indices(lists).to_numpy()
-    coded = [np.array(encode_word(v, w) if BLANK not in w else (), np.int32) for w in words.dictionary.to_pylist()]
-    sizes = np.array([len(c) for c in coded], np.int64)
+    coded = [encode_word(v, w) if BLANK not in w else () for w in words.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+    flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
     use = words.indices.to_numpy()
     n = sizes[use]
     ends = np.cumsum(n)
