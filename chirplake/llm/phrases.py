@@ -122,7 +122,7 @@ def _compare(batches: Iterator[pa.RecordBatch], id: str) -> Iterator[pa.RecordBa
     chars = 0
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pairs = [k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0]]
+        pairs = [k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0] and not rows[k][1]]  # a bucket's ghost is its last row
         if not pairs:
             return
         texts = [r[3] for r in rows]
@@ -149,28 +149,31 @@ def compare_with_next(df: DataFrame, *, id: str = "doc_id", text: str = "text",
     """For each row: the fingerprints of its text and of the text edited with the next row's, in descending id, and their likenesses.
 
     After the last row comes the first; a row alone is its own next. Null ids come after all others,
-    equal ids in the order of a hash of their texts; null texts are empty. Rows move once, to
-    buckets of neighbouring ids, of which each also gets the row that follows its last one. An
-    empty table gives an empty one.
+    equal ids in the order of a hash of their texts; null texts are empty. Equal rows follow each other and
+    have a result each. Rows move once, to buckets of neighbouring ids (null ids: of neighbouring hashes), of which each also gets one
+    copy, the ghost, of the row that follows its last one. A task streams its buckets, so that these may have any size; there are 8 for each
+    shuffle partition at most. Other columns of df are ignored, whatever their names. An empty table gives an empty one.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    n = rows.count()
-    cuts = max(1, min(n // rows_per_bucket, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n, absent = rows.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    some = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts, absent_cuts = (max(1, min(x // rows_per_bucket, some)) for x in (n - absent, absent))
     bounds = sorted(set(rows.where("id is not null").approxQuantile("id", [k / cuts for k in range(1, cuts)], 0.1 / cuts))) if cuts > 1 else []
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0))
-    rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("down", -F.col("id")).withColumn("h", F.xxhash64("text"))
+    h = F.xxhash64("text")
+    by_id = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    by_hash = -1 - F.least(F.lit(absent_cuts - 1), F.floor((h / float(1 << 64) + 0.5) * absent_cuts))
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), by_hash).otherwise(by_id).cast("int")).withColumn("down", -F.col("id")).withColumn("h", h)
     order = F.struct(F.col("down").isNull().alias("absent"), "down", "h")
+    # As many as there are buckets. Buckets follow each other in descending order, each one's head the last row of the one before.
     heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.min(order).alias("head")).collect())
-    before = {b: heads[(k + 1) % len(heads)][0] for k, (b, _) in enumerate(heads)}  # the bucket whose last row each head follows
-    own = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
-    dest = F.array(own)
+    rows = rows.withColumn("ghost", F.lit(False))
     if heads:
-        at = F.create_map(*[F.lit(v) for b, h in heads for v in (b, before[b])])
-        is_head = F.create_map(*[x for b, h in heads for x in (F.lit(b), F.struct(F.lit(h["absent"]).alias("absent"), F.lit(h["down"]).cast("long").alias("down"), F.lit(h["h"]).cast("long").alias("h")))])
-        dest = F.when(order.eqNullSafe(is_head[F.col("bucket")]), F.array(own, F.struct(at[F.col("bucket")].alias("bucket"), F.lit(True).alias("ghost")))).otherwise(dest)
-    dealt = rows.select("id", "text", "down", "h", F.explode(dest).alias("to")).select("id", "text", "down", "h", "to.bucket", "to.ghost")
-    ordered = dealt.repartition(max(cuts, 1), "bucket").sortWithinPartitions("bucket", "ghost", F.col("down").asc_nulls_last(), "h")
+        before = F.create_map(*[F.lit(x) for k, (b, _) in enumerate(heads) for x in (b, heads[(k + 1) % len(heads)][0])])
+        head = lambda r: F.struct(F.lit(r["absent"]).alias("absent"), F.lit(r["down"]).cast("long").alias("down"), F.lit(r["h"]).cast("long").alias("h"))
+        head_of = F.create_map(*[x for b, r in heads for x in (F.lit(b), head(r))])
+        ghosts = rows.where(order.eqNullSafe(head_of[F.col("bucket")])).dropDuplicates(["bucket"])  # equal rows have equal texts
+        rows = rows.unionByName(ghosts.withColumn("bucket", before[F.col("bucket")]).withColumn("ghost", F.lit(True)))
+    ordered = rows.repartition(max(len(heads), 1), "bucket").sortWithinPartitions("bucket", "ghost", F.col("down").asc_nulls_last(), "h")
     schema = f"`{id}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("bucket", "ghost", "id", "text").mapInArrow(lambda batches: _compare(batches, id), schema)
-
