@@ -99,7 +99,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     page = lambda c: F.nullif(F.substring(c, len(RECORD_ID) + 1, 20), F.lit("")).cast("long")
-    return read_warc(spark, path, split_bytes=4 << 20).select(
+    return read_warc(spark, path, split_bytes=4 << 20).where("warc_type <> 'warcinfo'").select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to")
     )
 
@@ -154,7 +154,7 @@ m AS (
 z AS (
   SELECT r, host, text, line, len(ws) AS words,
     translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000') AS norm FROM m),
-f AS (SELECT host, norm FROM z GROUP BY host, norm HAVING count(DISTINCT text) > 20),
+f AS (SELECT host, norm FROM z GROUP BY host, norm HAVING count(DISTINCT r) > 20),
 x AS (SELECT r, sum(words)::BIGINT AS removed_words FROM z SEMI JOIN f USING (host, norm) GROUP BY r),
 y AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM z GROUP BY r),
 b AS (

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """The file system of a path, and the path, on the driver's JVM."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -36,7 +36,7 @@ def _hadoop(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder; what is written there goes when the driver ends, at the latest."""
     path = f"{shared_dir(spark).rstrip('/')}/chirplake/{name}-{uuid.uuid4().hex}"
-    system, at = _hadoop(spark, path)
+    system, at = hadoop(spark, path)
     system.deleteOnExit(at)
     return path
 
@@ -52,18 +52,18 @@ def discard(*tables: DataFrame) -> None:
     """Deletes frozen tables that no later job reads."""
     for df in tables:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            system, at = _hadoop(df.sparkSession, path)
+            system, at = hadoop(df.sparkSession, path)
             system.delete(at, True)
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
-    """left with the columns of right (inner join); right's keys are unique, and its column n, dropped, has how many of left's `rows` rows each key has.
+def joined(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, how: str = "inner") -> DataFrame:
+    """left with the columns of right (inner or left join); right's keys are unique, and its column n, dropped, has how many of left's `rows` rows each key has.
 
     Hot keys, HOT_KEYS at most, are broadcast, so that their rows stay where they are; all others meet by exchange.
     """
     hot = F.col(n) > max(HOT_ROWS, rows // HOT_KEYS)
     few = F.broadcast(right.where(hot).drop(n))
-    return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(n), on))
+    return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(n), on, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
