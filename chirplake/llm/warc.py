@@ -1,10 +1,12 @@
 """WARC archives: a writer with revisit records, and a splittable reader of gzip members.
 
 The writer makes one gzip member of each record and leaves the files to Spark's text sink, whose
-separator is one zero byte: gzip readers take zeros between members as padding. The reader
+separator is one zero byte. A member ends with its data's length in little-endian bytes, of which the last
+is zero below 16 MiB; that byte is left to the separator, so that members stand side by side.
+Behind a longer record there is one zero byte of padding, which gzip readers skip. The reader
 splits files into byte ranges. A task looks for the gzip magic in its range, takes a place for
 a member if its data decode to a WARC header, and owns the records that start inside its range,
-reading beyond the range's end where the last one needs it.
+reading beyond the range's end where the last one needs it. Each byte is read once.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.llm.batches import pieces
+from chirplake.llm.store import discard, frozen, hadoop, joined
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 18
@@ -46,31 +50,53 @@ def record(kind: str, page_id: int | None, url: str | None, refers_to: int | Non
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def information() -> bytes:
+    """The record that begins each file."""
+    block = b"software: chirplake\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member, without its last byte where that is zero."""
+    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return (gz.compress(data) + gz.flush()).removesuffix(b"\0")
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = True
     for piece in pieces(batches, "html"):
-        out = []
+        out = [member(information())] if first else []
+        first = False
         for page_id, url, html, refers_to, kind, size in zip(*[piece.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to", "kind", "size")], strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            gz = zlib.compressobj(6, zlib.DEFLATED, 31)
-            out.append(gz.compress(record(kind, page_id, url, refers_to, payload, digest, size)) + gz.flush())
+            out.append(member(record(kind, page_id, url, refers_to, payload, digest, size)))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes page_id, url and html of every row as a record under path.
+    """Writes page_id, url and html of every row as a record under path, in files that end in .warc.gz.
 
     Of pages with equal payloads of at least least_bytes, that with the largest page_id is the
     response and the others revisit it; rows that share this page_id are all responses. A null
     html is an empty payload. Null page ids come last in that order; where all are null, all are responses.
+    Other columns are ignored, whatever their names; an empty table gives a folder without records. The driver renames the files when all
+    are written, which a store without renames does by copying.
     """
     html = F.coalesce("html", F.lit(""))
     named = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).alias("size"), F.sha1(html.cast("binary")).alias("sha1"))
     shared = named.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    shared = frozen(shared, "payloads")
     revisits = (F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    typed = named.join(shared.select("sha1", "first"), "sha1", "left").select("page_id", "url", "html", "size", F.when(revisits, F.col("first")).alias("refers_to"), F.when(revisits, "revisit").otherwise("response").alias("kind"))
-    members = typed.mapInArrow(_members, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
+    typed = joined(named, shared, ["sha1"], "n", pages.count(), "left").select("page_id", "url", "html", "size", F.when(revisits, F.col("first")).alias("refers_to"), F.when(revisits, "revisit").otherwise("response").alias("kind"))
+    typed.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
+    discard(shared)
+    system, at = hadoop(pages.sparkSession, path)
+    for file in system.listStatus(at):
+        name = file.getPath().getName()
+        if name.endswith(".txt"):
+            system.rename(file.getPath(), at.suffix(f"/{name.removesuffix('.txt')}.warc.gz"))
 
 
 def _open(path: str) -> io.IOBase:
@@ -83,53 +109,55 @@ def _open(path: str) -> io.IOBase:
     return system.open_input_file(inner)
 
 
-def _member(file: io.IOBase, at: int) -> tuple[bytes, int, str | None] | None:
-    """The data of the gzip member at this place, its length and what is wrong with it; None where no WARC record starts."""
-    file.seek(at)
-    gz = zlib.decompressobj(31)
-    out = bytearray()
-    read = 0
-    while not gz.eof:
-        chunk = file.read(READ_BYTES)
-        if not chunk:
-            return (bytes(out), read, "truncated") if out else None
-        read += len(chunk)
+def _member(file: io.IOBase, held: bytes) -> tuple[bytes | None, int, str | None, bytes]:
+    """The gzip member at the beginning of `held`, which the file goes on: its data, its length, what is wrong with it, and what is read beyond it.
+
+    No data where no WARC record starts; then, and where something is wrong, nothing of what is read counts as gone.
+    """
+    gz, out, read = zlib.decompressobj(31), bytearray(), [held]
+    while True:
         try:
-            out += gz.decompress(chunk)
+            out += gz.decompress(read[-1], 0 if out else 16)  # the head first, so that it is known if what follows is damaged
+            out += gz.decompress(gz.unconsumed_tail) if gz.unconsumed_tail else b""
         except zlib.error as e:
-            return (bytes(out), read, str(e)) if out.startswith(b"WARC/") else None
+            return (bytes(out) if out.startswith(b"WARC/") else None), sum(map(len, read)), str(e), b"".join(read)
         if len(out) >= 5 and not out.startswith(b"WARC/"):
-            return None
-    return (bytes(out), read - len(gz.unused_data), None) if out.startswith(b"WARC/") else None
+            return None, 0, None, b"".join(read)
+        if gz.eof:
+            return (bytes(out) if out.startswith(b"WARC/") else None), sum(map(len, read)) - len(gz.unused_data), None, gz.unused_data if out.startswith(b"WARC/") else b"".join(read)
+        more = file.read(READ_BYTES)
+        if not more:
+            return (bytes(out) or None), sum(map(len, read)), "truncated", b"".join(read)
+        read.append(more)
 
 
 def range_records(file: io.IOBase, start: int, end: int) -> Iterator[tuple[int, int, bytes, str | None]]:
     """Place, length, data and fault of every record that starts at start or later and before end."""
-    at = start
+    file.seek(start)
+    at, held = start, b""  # the place of held[0]; the file stands behind held
     while at < end:
-        file.seek(at)
-        window = file.read(READ_BYTES + len(GZIP_MAGIC) - 1)
-        if len(window) < len(GZIP_MAGIC):
-            return
-        k = window.find(GZIP_MAGIC)
+        k = held.find(GZIP_MAGIC)
         if k < 0:
-            at += max(1, len(window) - len(GZIP_MAGIC) + 1)
+            tail = held[max(0, len(held) - len(GZIP_MAGIC) + 1) :]
+            at += len(held) - len(tail)
+            more = file.read(READ_BYTES)
+            if not more:
+                return
+            held = tail + more
             continue
-        at += k
+        at, held = at + k, held[k:]
         if at >= end:
             return
-        found = _member(file, at)
-        if found is None or found[2]:
-            if found:
-                yield at, found[1], found[0], found[2]
-            at += 1
-            continue
-        yield at, found[1], found[0], None
-        at += found[1]
+        data, length, fault, held = _member(file, held)
+        if data is not None:
+            yield at, length, data, fault
+        if data is None or fault:
+            length, held = 1, held[1:]  # look on right behind this magic
+        at += length
 
 
 def parse(data: bytes) -> dict:
-    """Fields of a record's head and, for HTTP responses, the payload and the length that its HTTP head states."""
+    """Fields of a record's head and, for HTTP responses, the payload and the length that its HTTP head states. ValueError for lengths that are no numbers."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
     block = rest[: int(fields.get("content-length", "0"))]
@@ -157,7 +185,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with _open(path) as file:
                 rows, held = [], 0
                 for at, length, data, fault in range_records(file, start, end):
-                    row = parse(data) if fault is None else {}
+                    row = {}
+                    if fault is None:
+                        try:
+                            row = parse(data)
+                        except ValueError:
+                            fault = "head"
                     if fault is None and row["warc_type"] == "response" and row["payload_digest"] not in (None, base64.b32encode(hashlib.sha1(row["payload"]).digest()).decode()):
                         fault = "digest"
                     rows.append({"path": path, "offset": at, "length": length, "fault": fault, **row})
@@ -172,8 +205,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
     """A row for each record of the gzipped WARC files under path, in splits of split_bytes.
 
-    Damaged members give a row with `fault` set, and reading goes on behind them. Files without
-    records and empty folders give no rows.
+    Damaged members and heads that can't be read give a row with `fault` set, and reading goes on behind them. Files without
+    records and empty folders give no rows; records that are in the files twice give two.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
     spans = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {split_bytes})")).alias("k"))
