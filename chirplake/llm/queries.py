@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,13 +86,20 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), id="doc_id", text="text", train=crc_mod("doc_id", 5) != 1)
 
 
-#: Key of the surrogates; a user's own is a secret.
-PII_KEY = "chirplake"
+#: The setting that holds the secret key of the surrogates.
+PII_KEY = "spark.chirplake.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the session's setting; where that is unset, a random one is set, so that surrogates agree within the session alone."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return spark.conf.get(PII_KEY)
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` with surrogates for their personal data and secrets."""
-    return replace_pii(table(spark, sf_dir, "documents", "doc_id", "text"), key=PII_KEY, carry=["doc_id"])
+    return replace_pii(table(spark, sf_dir, "documents", "doc_id", "text"), key=pii_key(spark), carry=["doc_id"])
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 A text is split by one pattern of all kinds into its gaps and its entities. Each distinct entity
 gets one surrogate for the whole corpus, derived from a secret key, so that mentions of one
-entity stay mentions of one (coreference). Candidates that two entities share, or that occur as a
-real entity, are drawn again until none is left (distinctness). Surrogates keep kind and format:
-letters become letters of the same case and script, digits digits; an e-mail address keeps its
+entity stay mentions of one (coreference): addresses are compared without their letters' case, numbers
+without blanks and signs. Candidates that two entities share, or that occur as a
+real entity, are drawn again until none is left (distinctness), in the end in a longer form. Surrogates keep kind and format:
+letters become letters of the same case and script, digits digits, in the places where the mention has them; an e-mail address keeps its
 top-level domain and one domain always becomes the same other one; a card number keeps its first digit and its
-check sum; an IP address stays one; a telephone number keeps its country code and its area code's
-form; a name after a title keeps the title, the gender that the title shows and the script. Other
+check sum; an IP address stays one; a telephone number keeps its country code; a name after a title keeps the title,
+the gender that the title shows, the script, and vowels and consonants in their places. Other
 mentions of such a name in the same text, whole or its last word, get the same surrogate or its last word.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirplake.llm.store import frozen
+from chirplake.llm.store import discard, frozen, joined
 
 #: Titles before names: those that show a man, a woman, and neither.
 MEN = r"Mr|Sir|Lord|Herrn?|Monsieur|Señor|Sr|Г-н|Господин"
@@ -26,6 +27,10 @@ ANY_TITLE = rf"{MEN}|{LADIES}|Mx|Dr|Doctor|Doktor|Prof|Professor|Rev|Докто
 _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:['’\-]?\p{Lu}\p{Ll}+)*"
 NAME = rf"(?:\p{{Lu}}\. ?){{0,4}}{_WORD}(?:(?: (?:von|van|zu|der|den|de|la|le|du|di|da|del|dos)){{0,3}}(?: \p{{Lu}}\.){{0,3}} {_WORD}){{0,4}}"
 
+#: A name in small letters, looked for behind an abbreviated form of address, and small words that stand there too.
+LOWER = r"\p{Ll}{3,}"
+SMALL = "and|or|the|und|oder|der|die|das|et|ou|les|del|los|las|was|has|had|who|said"
+
 #: Kinds in the order in which they are tried, as Java patterns.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
@@ -35,7 +40,8 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)|(?<![\w.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\w\-])",
     "national": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])",
-    "name": rf"(?<=(?<![\p{{L}}\-])(?:{ANY_TITLE})\.? )(?!(?:{ANY_TITLE})\b){NAME}",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "name": rf"(?<=(?<![\p{{L}}\-])(?:{ANY_TITLE})\.? )(?!(?:{ANY_TITLE})\b){NAME}|(?<=(?<![\p{{L}}\-])(?:Mr|Mrs|Ms|Mx)\. )(?!(?:{SMALL})\b){LOWER}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has a digit or an at sign, or stands behind one of these words; most texts have none of them.
@@ -44,7 +50,18 @@ KEYWORD_HINT = "(?i)passw|secret|token|api[_-]?key"
 #: Alphabets of which a character is replaced within its own; anything else stays.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœß"
+#: In names vowels become vowels and consonants consonants: letters of one kind, and those that they may become.
+SOUNDS = (
+    ("aeiouàáâãäåèéêëìíîïòóôõöùúûüœ", "aeiou"),
+    ("bcdfghjklmnpqrstvwxyzçñýÿß", "bdfghklmnprstvz"),
+    ("аеёиоуыэюя", "аеиоуя"),
+    ("бвгджзйклмнпрстфхцчшщъь", "бвгдзклмнпрст"),
+    ("αεηιουωάέήίόύώ", "αεηιουω"),
+    ("βγδζθκλμνξπρσςτφχψ", "βγδθκλμνπρστφ"),
+)
 MOST_ROUNDS = 100
+#: After so many attempts in one form a longer one is tried.
+WIDER_AFTER = 8
 
 
 def has_entity(text: Column) -> Column:
@@ -66,9 +83,9 @@ def gaps(text: Column, pattern: Column | None = None) -> Column:
 
 def kind_of(value: Column, before: Column) -> Column:
     """The first kind whose pattern fits the whole entity; names are told by the title before them, which gives f, m or neither."""
-    name = lambda titles: value.rlike(f"^{NAME}$") & before.rlike(rf"(?:^|[^\p{{L}}\-])(?:{titles})\.? $")
+    name = lambda titles: value.rlike(f"^(?:{NAME}|{LOWER})$") & before.rlike(rf"(?:^|[^\p{{L}}\-])(?:{titles})\.? $")
     out = F.when(name(LADIES), "name f").when(name(MEN), "name m").when(name(ANY_TITLE), "name n")
-    for kind in ("email", "card", "phone", "national", "ip", "iban"):
+    for kind in ("email", "card", "phone", "national", "ip", "ipv6", "iban"):
         out = out.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("secret")
 
@@ -114,97 +131,133 @@ def _scrambled(value: Column, key: Column) -> Column:
     def one(char: Column, place: Column) -> Column:
         draw = F.xxhash64(key, place)
         pick = lambda letters: F.substring(F.lit(letters), (F.pmod(draw, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-        out = F.when(hexed & F.contains(F.lit("abcdef"), char), pick("abcdef")).when(upper_hexed & F.contains(F.lit("ABCDEF"), char), pick("ABCDEF"))
+        out = F.when(char == "", char).when(hexed & F.contains(F.lit("abcdef"), char), pick("abcdef")).when(upper_hexed & F.contains(F.lit("ABCDEF"), char), pick("ABCDEF"))
         for letters in ALPHABETS:
             out = out.when(F.contains(F.lit(letters), char), pick(letters))
         return out.when(F.contains(F.lit(ACCENTED), char), pick(ALPHABETS[1])).when(F.contains(F.lit(ACCENTED.upper()), char), pick(ALPHABETS[2])).otherwise(char)
 
-    hexed, upper_hexed = value.rlike("^[0-9a-f]+$"), value.rlike("^[0-9A-F]{32,}$")
+    hexed, upper_hexed = value.rlike("^[0-9a-f:]+$"), value.rlike("^[0-9A-F]{32,}$")
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
+def _sounding(value: Column, key: Column) -> Column:
+    """A name's letters replaced by others of their script, case and sound."""
+
+    def one(char: Column, place: Column) -> Column:
+        draw = F.xxhash64(key, place)
+        pick = lambda letters: F.substring(F.lit(letters), (F.pmod(draw, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+        out = F.when(char == "", char)
+        for letters, to in SOUNDS:
+            out = out.when(F.contains(F.lit(letters), char), pick(to)).when(F.contains(F.lit(letters.upper()), char), pick(to.upper()))
+        return out.otherwise(char)
+
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def identity(kind: Column, value: Column) -> Column:
+    """What mentions of one entity have in common: addresses in small letters, numbers without blanks and signs (but a plus in front)."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    number = F.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits)).otherwise(digits)
+    return F.when(kind.isin("email", "ipv6"), F.lower(value)).when(kind.isin("card", "phone", "national"), number).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+
+
+def rendered(kind: Column, surrogate: Column, value: Column) -> Column:
+    """The surrogate in the form of the mention: its digits where the mention has digits, its letters in the mention's case."""
+    chars, new = F.split(value, ""), F.split(F.when(kind == "phone", F.replace(surrogate, F.lit("+"), F.lit(""))).otherwise(surrogate), "")
+    fits = F.when(kind == "iban", "[A-Za-z0-9]").otherwise("[0-9]")
+    nth = lambda k: F.size(F.filter(F.slice(chars, F.lit(1), k + 1), lambda c: F.rlike(c, fits)))
+    placed = F.array_join(F.transform(chars, lambda c, k: F.when(F.rlike(c, fits), F.get(new, nth(k) - 1)).otherwise(c)), "")
+    used = F.size(F.filter(chars, lambda c: F.rlike(c, fits)))
+    beyond = F.array_join(F.slice(new, used + 1, F.greatest(F.size(new) - used, F.lit(0))), "")
+    cased = F.array_join(F.transform(new, lambda c, k: F.when(F.get(chars, k).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    return F.when(kind.isin("card", "phone", "national", "iban"), F.concat(placed, beyond)).when(kind.isin("email", "ipv6") & (F.length(value) == F.length(surrogate)), cased).otherwise(surrogate)
+
+
 def _card_check(digits: Column) -> Column:
-    """Luhn's sum modulo 10 over the digits in the string."""
-    reverse = F.reverse(F.split(F.regexp_replace(digits, "[^0-9]", ""), ""))
-    doubled = F.transform(reverse, lambda d, k: F.when(k % 2 == 1, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
+    """Luhn's sum modulo 10 over a string of digits."""
+    doubled = F.transform(F.reverse(F.split(digits, "")), lambda d, k: F.when(k % 2 == 1, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
 
 
 def candidate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate that this attempt gives: a function of key, kind, value and attempt alone."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")).cast("binary"), 256)
+    """The surrogate that this attempt gives an identity: a function of key, kind, identity and attempt alone."""
+    hashed = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts).cast("binary"), 256)
+    seed = hashed(kind, value, attempt.cast("string"))
+    wider = F.floor(attempt / WIDER_AFTER).cast("int")
+    digits, letters = (_scrambled(F.repeat(F.lit(x), wider), hashed(F.lit(x), seed)) for x in ("0", "a"))
     plain = _scrambled(value, seed)
     domain = F.regexp_extract(value, r"@(.+)\.[A-Za-z]+$", 1)
-    domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain).cast("binary"), 256)
-    email = F.concat(_scrambled(F.substring_index(value, "@", 1), seed), F.lit("@"), _scrambled(domain, domain_seed), F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1))
+    email = F.concat(_scrambled(F.substring_index(value, "@", 1), seed), letters, F.lit("@"), _scrambled(domain, hashed(F.lit("domain"), domain)), F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1))
     # The first digit stays; the last makes the check sum valid if the real number's is.
-    body = F.concat(F.substring(value, 1, 1), F.expr("substring(plain, 2, length(plain) - 2)"))
+    body = F.concat(F.substring(value, 1, 1), _scrambled(F.regexp_replace(value, "^.|.$", ""), seed), digits)
     to_valid = F.pmod(10 - _card_check(F.concat(body, F.lit("0"))), F.lit(10))
-    card = F.concat(body, F.when(_card_check(value) == 0, to_valid.cast("string")).otherwise(F.right(F.col("plain"), F.lit(1))))
+    card = F.concat(body, F.when(_card_check(value) == 0, to_valid.cast("string")).otherwise(F.right(plain, F.lit(1))))
     octet = lambda k: (F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(254)) + 1).cast("string")
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3})", 1)
-    phone = F.concat(country, _scrambled(F.regexp_replace(value, r"^\+[0-9]{1,3}", ""), seed))
-    akia = F.concat(F.lit("AKIA"), _scrambled(F.regexp_replace(value, "^AKIA", ""), seed))
-    ending = lambda x, to: F.regexp_replace(x, r"(\p{Ll})(?= |$)", f"$1{to}")
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    woman = F.when(cyrillic, ending(plain, "а")).otherwise(ending(plain, "a"))
-    man = F.when(cyrillic, ending(plain, "н")).otherwise(ending(plain, "o"))
-    out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))).when(kind == "phone", phone)
-    iban = F.concat(F.substring(value, 1, 2), _scrambled(F.expr("substring(value, 3)"), seed))
-    return out.when(value.startswith("AKIA"), akia).when(kind == "iban", iban).when(kind == "name f", woman).when(kind == "name m", man).otherwise(plain)
-
-
-def _with_candidates(found: DataFrame, key: str) -> DataFrame:
-    plain = _scrambled(F.col("value"), F.sha2(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("value"), F.col("attempt").cast("string")).cast("binary"), 256))
-    return found.withColumn("plain", plain).withColumn("surrogate", candidate(F.col("kind"), F.col("value"), F.col("attempt"), key)).drop("plain")
+    code = r"^\+(?:[17]|[0-9]{2})|^"
+    phone = F.concat(F.regexp_extract(value, code, 0), _scrambled(F.regexp_replace(value, rf"{code}", ""), seed), digits)
+    akia = F.concat(F.lit("AKIA"), _scrambled(F.regexp_replace(value, "^AKIA", ""), seed), digits)
+    iban = F.concat(F.substring(value, 1, 2), _scrambled(F.regexp_replace(value, "^..", ""), seed), digits)
+    name = F.concat(_sounding(value, seed), _sounding(F.repeat(F.when(value.rlike(r"\p{IsCyrillic}"), "ба").when(value.rlike(r"\p{IsGreek}"), "βα").otherwise("ba"), wider), hashed(F.lit("wider"), seed)))
+    ending = lambda to: F.regexp_replace(name, r"(\p{Ll})(?= |$)", f"$1{to}")
+    of_script = lambda latin, cyrillic, greek: F.when(value.rlike(r"\p{IsCyrillic}"), ending(cyrillic)).when(value.rlike(r"\p{IsGreek}"), ending(greek)).otherwise(ending(latin))
+    out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))).when(kind == "ipv6", plain)
+    out = out.when(kind == "phone", phone).when(kind == "national", F.concat(plain, digits)).when(kind == "iban", iban).when(value.startswith("AKIA"), akia)
+    return out.when(kind == "name f", of_script("a", "а", "α")).when(kind == "name m", of_script("o", "н", "ος")).when(kind == "name n", name).otherwise(F.concat(plain, digits))
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
-    """found: distinct (kind, value). Gives (kind, value, surrogate), surrogates distinct and none of them a value.
+    """found: distinct (kind, ident). Gives (kind, ident, surrogate), surrogates distinct and none of them an identity.
 
     Each round draws again for those whose candidate is also another's or a real entity; the first
-    by attempt and value keeps a shared one. Groups of a shared candidate are small, as spaces are large.
+    by attempt and identity keeps a shared one. Groups of a shared candidate are small, as spaces are large.
     """
-    now = frozen(_with_candidates(found.select("kind", "value", F.lit(0).alias("attempt")), key), "surrogates")
-    real = now.select(F.col("value").alias("surrogate")).distinct()
+    drawn = lambda df: df.withColumn("surrogate", candidate(F.col("kind"), F.col("ident"), F.col("attempt"), key))
+    columns = ["kind", "ident", "attempt", "surrogate"]
+    real = frozen(found.select(F.col("ident").alias("surrogate"), F.lit(True).alias("real")).distinct(), "entities")
+    now = drawn(found.select("kind", "ident", F.lit(0).alias("attempt")))
+    before = None
     for _ in range(MOST_ROUNDS):
-        nth = F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "value", "kind"))
-        clash = now.withColumn("nth", nth).join(real.withColumn("real", F.lit(True)), "surrogate", "left").withColumn("bad", (F.col("nth") > 1) | F.col("real").isNotNull())
-        clash = frozen(clash.select("kind", "value", "attempt", "surrogate", "bad"), "surrogates")
-        if not clash.where("bad").limit(1).count():
-            return now.select("kind", "value", "surrogate")
-        again = _with_candidates(clash.where("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key)
-        now = frozen(clash.where("not bad").select("kind", "value", "attempt", "surrogate").unionByName(again), "surrogates")
+        nth = F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "ident", "kind"))
+        seen = now.select(*columns).withColumn("nth", nth).join(real, "surrogate", "left")
+        checked = frozen(seen.select(*columns, ((F.col("nth") > 1) | F.col("real").isNotNull()).alias("bad")), "surrogates")
+        if before:
+            discard(before)
+        if not checked.where("bad").limit(1).count():
+            discard(real)
+            return checked.select("kind", "ident", "surrogate")
+        now, before = checked.where("not bad").select(*columns).unionByName(drawn(checked.where("bad").select("kind", "ident", (F.col("attempt") + 1).alias("attempt")))), checked
     raise ValueError("the entities leave too little space for distinct surrogates of their formats")
 
 
 def replace_pii(df: DataFrame, *, text: str = "text", key: str, carry: list[str], count: str = "n_entities") -> DataFrame:
     """The carry columns, the text with surrogates for its entities, and how many were replaced.
 
-    Null texts stay null with 0 entities; empty texts and texts without an entity are unchanged. Equal
-    texts get equal results, whatever else their rows hold. Columns of df with the count's name
-    are replaced. An empty table gives an empty one.
+    Null texts stay null with 0 entities; empty texts and texts without an entity are unchanged, and are not shuffled.
+    Equal texts get equal results, whatever else their rows hold. Columns of df with the count's name
+    are replaced. An empty table gives an empty one. Rows are frozen with an id, by which they meet
+    the lists of their entities; entities of very many mentions meet their surrogates by broadcast.
     """
     kept = [c for c in carry if c.lower() not in (text.lower(), count.lower())]
-    docs = df.select(F.struct(*kept).alias("row"), F.col(text).alias("text"))
-    with_any = docs.select("text", F.md5(F.col("text").cast("binary")).alias("content")).where(has_entity(F.col("text")))
-    listed = with_any.select("content", "text", _titled(entities(F.col("text")), gaps(F.col("text"))).alias("names"))
-    listed = listed.withColumn("pattern", _own_pattern(F.col("names")))
-    listed = listed.select("content", "names", "pattern", entities(F.col("text"), F.col("pattern")).alias("e"), gaps(F.col("text"), F.col("pattern")).alias("g"))
-    parts = listed.select("content", "names", "pattern", F.posexplode(F.arrays_zip("e", "g")).alias("nth", "part")).where("part.e is not null")
-    parts = parts.select("content", "pattern", "nth", _resolved(F.col("part.e"), F.col("part.g"), F.col("names")).alias("r"))
-    own = F.when(F.col("pattern") != F.lit(PATTERN), F.col("pattern"))
-    parts = frozen(parts.select("content", own.alias("pattern"), "nth", "r.*").dropDuplicates(["content", "nth"]), "entities")
-    chosen = surrogate_table(parts.select("kind", "value").distinct(), key)
+    work = frozen(df.select(F.struct(*kept).alias("row"), F.col(text).alias("text"), F.coalesce(has_entity(F.col(text)), F.lit(False)).alias("has"), F.monotonically_increasing_id().alias("id")), "texts")
+    some = work.where("has").select("id", "text")
+    listed = some.select("id", "text", _titled(entities(F.col("text")), gaps(F.col("text"))).alias("names")).withColumn("pattern", _own_pattern(F.col("names")))
+    listed = listed.select("id", "names", "pattern", entities(F.col("text"), F.col("pattern")).alias("e"), gaps(F.col("text"), F.col("pattern")).alias("g"))
+    parts = listed.select("id", "names", "pattern", F.posexplode(F.arrays_zip("e", "g")).alias("nth", "part")).where("part.e is not null")
+    own = F.when((F.col("nth") == 0) & (F.col("pattern") != F.lit(PATTERN)), F.col("pattern"))  # once a text
+    parts = parts.select("id", own.alias("pattern"), "nth", F.col("part.e").alias("mention"), _resolved(F.col("part.e"), F.col("part.g"), F.col("names")).alias("r"))
+    as_value = F.when(F.col("r.last") | F.col("r.kind").startswith("name"), F.col("r.value")).otherwise(F.col("mention"))
+    parts = frozen(parts.select("id", "pattern", "nth", "mention", "r.kind", "r.last", identity(F.col("r.kind"), as_value).alias("ident")), "mentions")
+    counts = frozen(parts.groupBy("kind", "ident").agg(F.count("*").alias("n")), "counts")
+    chosen = surrogate_table(counts.select("kind", "ident"), key).join(counts, ["kind", "ident"])
+    told = F.when(F.col("last"), _last(F.col("surrogate"))).otherwise(rendered(F.col("kind"), F.col("surrogate"), F.col("mention")))
     lists = (
-        parts.join(chosen, ["kind", "value"])
-        .groupBy("content")
-        .agg(F.sort_array(F.collect_list(F.struct("nth", F.when(F.col("last"), _last(F.col("surrogate"))).otherwise(F.col("surrogate")).alias("surrogate")))).alias("s"), F.first("pattern").alias("pattern"))  # the entities of one text
-        .select("content", "pattern", F.transform("s", lambda x: x["surrogate"]).alias("s"))
+        joined(parts, chosen, ["kind", "ident"], "n", parts.count())
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("nth", told.alias("told")))).alias("s"), F.max("pattern").alias("pattern"))  # the entities of one text
+        .select("id", "pattern", F.transform("s", lambda x: x["told"]).alias("s"))
     )
-    joined = docs.withColumn("content", F.md5(F.col("text").cast("binary"))).join(lists, "content", "left")
     merged = lambda g: F.array_join(F.flatten(F.zip_with(g, F.col("s"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     rebuilt = F.when(F.col("pattern").isNull(), merged(gaps(F.col("text")))).otherwise(merged(gaps(F.col("text"), F.col("pattern"))))
-    return joined.select(*[F.col("row")[c].alias(c) for c in kept], F.when(F.col("s").isNull(), F.col("text")).otherwise(rebuilt).alias(text), F.coalesce(F.size("s"), F.lit(0)).alias(count)).withColumn(
-        count, F.greatest(F.col(count), F.lit(0))
-    )
+    carried = [F.col("row")[c].alias(c) for c in kept]
+    changed = work.where("has").join(lists, "id").select(*carried, rebuilt.alias(text), F.size("s").alias(count))
+    return work.where("not has").select(*carried, F.col("text").alias(text), F.lit(0).alias(count)).unionByName(changed)

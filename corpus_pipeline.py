@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chirplake.llm import lang_id, pieces
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
-from chirplake.llm.queries import PII_KEY, PIECE_MODEL
+from chirplake.llm.queries import PIECE_MODEL, pii_key
 from chirplake.llm.simhash import drop_near_copies
 from chirplake.llm.store import frozen
 from chirplake.llm.surrogates import replace_pii
@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for their personal data; n_chars follows the text."""
-    done = replace_pii(docs.select(*COLUMNS), key=PII_KEY, carry=["doc_id", "lang", "source"])
+    done = replace_pii(docs.select(*COLUMNS), key=pii_key(spark), carry=["doc_id", "lang", "source"])
     return done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 

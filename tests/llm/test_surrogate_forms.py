@@ -34,3 +34,44 @@ def test_names(done):
     assert titles.startswith("Dr. ") and " and Prof. Dr. " in titles and " met Herr Dr. " in titles
     a, b = re.match(r"Mrs (\w+ \w+) saw Mr (\w+ \w+);", two).groups()
     assert two == f"Mrs {a} saw Mr {b}; {a} waved, Blacksmith did not." and clean == "A password is needed. Doctors know."
+
+
+def test_one_entity_in_several_forms(spark):
+    rows = [
+        (0, "write to A.Bcd@Mail.example.org or a.bcd@mail.example.org; call +49 (30) 123-4567 or +49 30 123 4567"),
+        (1, "card 4111 1111 1111 1111 is 4111111111111111, not 4111-1111-1111-1112"),
+        (2, "host 2001:db8:0:0:0:0:2:1 and fe80::1ff:fe23:4567:890a at 10:45:00, not std::vector; ip 10.1.2.3"),
+        (3, "Ms. müller came. Mr. and Mrs. Kowalski saw müller."),
+        (4, "Г-жа Иванова и Господин Петров"),
+        (5, None),
+    ]
+    out = {r.id: r for r in replace_pii(spark.createDataFrame(rows, "id int, text string"), key="k", carry=["id"]).collect()}
+    a, b = re.match(r"write to (\S+) or (\S+); call", out[0].text).groups()
+    assert a.lower() == b and a[0].isupper() and "mail.example" not in b and b.endswith(".org")
+    p, q = re.search(r"call (.+) or (.+)$", out[0].text).groups()
+    assert re.fullmatch(r"\+49 \(\d\d\) \d{3}-\d{4}", p) and re.sub(r"\D", "", p) == re.sub(r"\D", "", q) != "49301234567"
+    one, two, three = re.match(r"card (.+) is (\d+), not (.+)$", out[1].text).groups()
+    assert one.replace(" ", "") == two != "4111111111111111" and three.replace("-", "") != two and one[4] == " " and three[4] == "-"
+    assert "2001:db8" not in out[2].text and "fe80" not in out[2].text and "at 10:45:00, not std::vector" in out[2].text and "10.1.2.3" not in out[2].text
+    assert re.search(r"host (?:[0-9a-f]+:){7}[0-9a-f]+ and [0-9a-f]+::", out[2].text)
+    assert "müller" not in out[3].text and "Kowalski" not in out[3].text and " and Mrs. " in out[3].text
+    lady, man = re.fullmatch(r"Г-жа ([А-я]+) и Господин ([А-я]+)", out[4].text).groups()
+    assert lady != "Иванова" and man != "Петров" and lady.endswith("а") and man.endswith("н")
+    assert out[5].text is None and out[5].n_entities == 0
+
+
+def test_a_full_format_becomes_longer(spark):
+    names = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeiou"]
+    mails = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    df = spark.createDataFrame(list(enumerate(names + mails)), "id int, text string")
+    out = [r.text for r in replace_pii(df, key="k", carry=["id"]).collect()]
+    assert len(set(out)) == len(names) + len(mails) and not set(out) & {*names, *mails}
+
+
+def test_hot_entity_and_copies(spark, monkeypatch):
+    from chirplake.llm import store
+
+    monkeypatch.setattr(store, "HOT_ROWS", 3)
+    rows = [(k, "mail hot@example.org") for k in range(40)] + [(100 + k, f"mail u{k}@example.org") for k in range(5)]
+    out = {r.id: r.text for r in replace_pii(spark.createDataFrame(rows, "id int, text string"), key="k", carry=["id"]).collect()}
+    assert len(out) == 45 and len({out[k] for k in range(40)}) == 1 and len(set(out.values())) == 6 and not any("example" in t for t in out.values())
