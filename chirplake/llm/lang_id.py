@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from chirplake.llm.batches import map_texts, pieces
 
 DIM = 1 << 11
+#: Of all centroids together.
+MODEL_BYTES = 256 << 20
 #: Text of one piece while it is turned into vectors.
 VECTOR_BYTES = 1 << 20
 #: A text of fewer different features has less in common with any centroid; its limit falls with their square root.
@@ -99,17 +102,32 @@ class LanguageModel:
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "rejected": pa.array(~letters | (score < self.limits[best] * short))}
 
 
-def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, per_lang: int = 3, slack: float = 0.5, max_langs: int = 1000) -> LanguageModel:
-    """From the rows of train with a language. `sample`: rows a language at most on which centroids are fitted; max_langs: languages at most, the most frequent ones.
+def _fitted(per_lang: int, sample: int, slack: float):
+    """Over the sampled vectors of one language: its centroids and the limit that they share."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        mine = sorted(zip(rows["u"], rows["x"], strict=True))[:sample]
+        c, cos = centroids(np.stack([np.frombuffer(v, np.float16) for _, v in mine]).astype(np.float32), per_lang)
+        return pd.DataFrame({"lang": key[0], "limit": slack * float(np.percentile(cos, 1)), "cents": [c.astype(np.float32).tobytes()]})
+
+    return run
+
+
+def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, per_lang: int = 3, slack: float = 0.5) -> LanguageModel:
+    """From the rows of train with a language. `sample`: rows a language at most on which centroids are fitted.
 
     A centroid's limit is slack times the first percentile of its language's own cosines. Null texts
-    and those without a letter tell nothing of a language and are left out.
+    and those without a letter tell nothing of a language and are left out, so that a language may have no centroid; repeated rows count each.
+    Tasks fit a language each; what comes to the driver, and goes to all tasks, is the centroids of all
+    languages, per_lang * DIM numbers each. Over MODEL_BYTES of them are refused.
     """
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)).alias("u"))
-    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    most = MODEL_BYTES // (4 * DIM * per_lang)
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(by_lang) > most:
+        raise ValueError(f"over {most} languages: their centroids take over {MODEL_BYTES} bytes")
     total, found = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + found)) + 1.0
-    langs, owner, cents, limits = [], [], [], []
     if not by_lang:
         return LanguageModel([], np.zeros(0, int), np.zeros((0, DIM)), np.zeros(0), idf)
     share = F.create_map(*[F.lit(v) for r in by_lang for v in (r["lang"], int(min(1.0, 1.2 * sample / r["n"]) * (1 << 30)))])
@@ -118,16 +136,11 @@ def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, p
     def run(texts: pa.Array) -> dict:
         return {"x": pa.array([v.tobytes() for v in vectors(texts, idf).astype(np.float16)], pa.binary())}
 
-    got = map_texts(chosen, "text", ["lang", "u"], "x binary", run, VECTOR_BYTES).collect()
-    for lang_name in sorted({r["lang"] for r in got}):
-        mine = sorted((r["u"], bytes(r["x"])) for r in got if r["lang"] == lang_name)[:sample]
-        x = np.stack([np.frombuffer(v, np.float16) for _, v in mine]).astype(np.float32)
-        c, cos = centroids(x, per_lang)
-        owner += [len(langs)] * len(c)
-        limits += [slack * float(np.percentile(cos, 1))] * len(c)
-        langs.append(lang_name)
-        cents.append(c)
-    return LanguageModel(langs, np.array(owner), np.concatenate(cents), np.array(limits), idf)
+    drawn = map_texts(chosen, "text", ["lang", "u"], "x binary", run, VECTOR_BYTES)
+    fitted = sorted(drawn.groupBy("lang").applyInPandas(_fitted(per_lang, sample, slack), "lang string, limit double, cents binary").collect())
+    cents = [np.frombuffer(r["cents"], np.float32).reshape(-1, DIM) for r in fitted]
+    owner = np.repeat(np.arange(len(fitted)), [len(c) for c in cents])
+    return LanguageModel([r["lang"] for r in fitted], owner, np.concatenate(cents), np.array([r["limit"] for r in fitted])[owner], idf)
 
 
 def identify(df: DataFrame, model: LanguageModel, *, text: str = "text", carry: list[str]) -> DataFrame:
