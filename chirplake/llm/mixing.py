@@ -5,7 +5,8 @@ in ascending order of these keys every prefix of a source is a weighted sample w
 replacement. A source's token target is met by whole epochs first, then by the prefix that
 the rest of the budget pays for. Order and prefix sums are built in two steps: ranges
 of the key are summed and accumulated for each source, and rows are only sorted within one
-range, so that a source with a third of all rows is spread like any other.
+range. The ranges are cut at percentiles of each source's own keys, so that a source with a third of
+all rows is spread over as many ranges as its rows need, whatever its qualities are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirplake.llm.store import WORD, frozen
+from chirplake.llm.store import WORD, frozen, joined
+
+
+#: Ranges of a source by percentiles of its keys.
+BANDS = 32
+#: Up to so many sources, their cut points (some hundred bytes each) are broadcast.
+MOST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,7 +76,7 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
-    rows_per_range: int = 50_000,
+    rows_per_range: int = 5_000,
 ) -> DataFrame:
     """The `carry` columns of every row, with size, source_size, target and taken, the units of its size that the mix takes.
 
@@ -84,8 +91,17 @@ def mix_sources(
     src = F.struct(F.col(source).isNull().alias("absent"), F.coalesce(source, F.lit("")).alias("name"))
     key = -F.log(uniform(F.lit(seed), *[F.col(c) for c in identity])) / quality
     work = frozen(df.select(F.struct(*carry).alias("row"), src.alias("src"), size.cast("long").alias("size"), key.alias("key"), F.struct(*identity).alias("who")), "mix-input")
-    ranges = max(1, -(-work.count() // rows_per_range))
-    work = work.withColumn("range", F.least(F.lit(ranges - 1), F.floor((1.0 - F.exp(-F.col("key"))) * ranges)).cast("int"))
+    # Of each source its rows, its greatest key and BANDS - 1 cut points: a row of fixed size.
+    shape = work.groupBy("src").agg(F.count("*").alias("rows"), F.max("key").alias("last"), F.percentile_approx("key", [k / BANDS for k in range(1, BANDS)], 1000).alias("cuts"))
+    shape = frozen(shape, "mix-sources")
+    sources = shape.count()
+    subs = F.ceil(F.col("rows") / (BANDS * rows_per_range))  # a band of the greatest sources is cut evenly once more
+    band = F.when(F.col("rows") > rows_per_range, F.size(F.filter("cuts", lambda c: c < F.col("key")))).otherwise(0)
+    low, high = F.when(F.col("band") > 0, F.get("cuts", F.col("band") - 1)).otherwise(0.0), F.coalesce(F.get("cuts", F.col("band")), F.col("last"))
+    sub = F.when((F.col("subs") > 1) & (high > low), F.least(F.col("subs") - 1, F.floor((F.col("key") - low) / (high - low) * F.col("subs")))).otherwise(0)
+    placed = work.join(F.broadcast(shape), "src") if sources <= MOST_SOURCES else joined(work, shape.withColumn("n", F.col("rows")), ["src"], "n", work.count())
+    placed = placed.withColumn("band", band).withColumn("subs", subs)
+    work = placed.withColumn("range", (F.col("band") * F.col("subs") + sub).cast("int")).select("row", "src", "size", "key", "who", "range")
 
     parts = frozen(work.groupBy("src", "range").agg(F.sum("size").alias("words")), "mix-ranges")
     targets = source_targets(parts.groupBy("src").agg(F.sum("words").alias("source_size")), pattern, share, most)
