@@ -14,7 +14,7 @@ from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
 from chirplake.llm.ngram_lm import score_texts
 from chirplake.llm.phrases import compare_with_next
-from chirplake.llm.simhash import fingerprinted, near_groups
+from chirplake.llm.simhash import fingerprinted, near_components
 from chirplake.llm.store import frozen, new_path, table
 from chirplake.llm.surrogates import replace_pii
 from chirplake.llm.warc import RECORD_ID, read_warc, write_warc
@@ -48,10 +48,7 @@ def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 64-bit fingerprints are linked at up to 4 bits."""
     prints = frozen(fingerprinted(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]), "fingerprints")
-    groups = near_groups(prints, most=4)
-    docs = prints.join(groups, "fp")
-    least = docs.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return docs.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return near_components(prints, "doc_id", most=4).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:

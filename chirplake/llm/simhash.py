@@ -10,8 +10,9 @@ all open bits can't exceed the limit. A task gives a spanning forest of what it
 the pairs of a group.
 
 The near-copy stage asks for a similarity (Jaccard of five-word shingles), of which SimHash bits tell
-too little near 0.8. There, links of SimHash words and of MinHash bands are only candidates; the
-similarity is counted exactly within the components of the candidates.
+too little near 0.8. There, links of SimHash words and of MinHash bands are only candidates, and the
+similarity is counted exactly: first of each candidate with one pivot of its bucket, then, in the buckets whose members that
+doesn't put into one group, of all pairs across groups.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chirplake.llm.batches import map_texts
-from chirplake.llm.store import frozen
+from chirplake.llm.store import discard, frozen, joined
 
 BITS = 64
 #: Children of a node of the hierarchy.
@@ -37,10 +38,14 @@ FRONTIER = 1 << 18
 SLAB = 1 << 18
 #: A (band, value) with more fingerprints is split into blocks, of which each pair is a cell of its own.
 CELL = 1 << 17
-#: MinHash bands of the near-copy stage and the minima in each: at a similarity of 0.8, 1 - (1 - 0.8^8)^32 = 99.7 % of pairs share a band.
-BANDS, BAND_ROWS = 32, 8
-#: Members of a candidate component that are compared in one task; a larger one is split into blocks, of which each pair is a cell of its own.
-BLOCK = 1 << 14
+#: Fingerprints of one bucket on average, at most: more shared blocks are asked for beyond.
+BUCKET = 512
+#: MinHash bands of the near-copy stage and the minima in each: at a similarity of 0.8, 1 - (1 - 0.8^6)^20 = 99.8 % of pairs share a band.
+BANDS, BAND_ROWS = 20, 6
+#: Candidates that one task compares with a pivot.
+STAR = 1 << 12
+#: Shingles of a bucket's block. A bucket of more is split into blocks by text, of which each pair is a cell of its own.
+BLOCK_SHINGLES = 1 << 20
 
 
 def _shingles(text: str | None, width: int) -> list[bytes]:
@@ -123,6 +128,11 @@ def sketched(df: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(df, text, df.columns, "_set0 long, _set1 long, _fp0 long, _fp1 long, _bands array<long>", work)
 
 
+def _sets(texts: pa.Array) -> dict:
+    found = [shingle_set(t) for t in texts.to_pylist()]
+    return {"size": pa.array([len(x) for x in found], pa.int32()), "set": pa.array([x.tobytes() for x in found], pa.binary())}
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each 64-bit pattern in the reflected Gray sequence."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -253,13 +263,16 @@ def _link_slabs(most: int, most_in_all: int):
     return run
 
 
-def near_links(prints: DataFrame, most: int = 4, shared: int = 1, most_in_all: int = 0) -> DataFrame:
+def near_links(prints: DataFrame, most: int = 4, shared: int | None = None, most_in_all: int = 0) -> DataFrame:
     """prints: rows of `node` and `fp`, and `rest` if most_in_all. Gives (u, v): links between nodes that span their components.
 
     The bits are cut into most + shared blocks, of which near fingerprints have `shared` in common at
-    least; a row goes to a bucket for each such choice of blocks. More shared blocks make buckets that hold less of all rows.
+    least; a row goes to a bucket for each such choice of blocks. More shared blocks make buckets that hold less of all rows;
+    by default there are so many that random fingerprints fill a bucket with BUCKET rows at most. The links are the same for any.
     """
-    spark = prints.sparkSession
+    spark, n = prints.sparkSession, prints.count()
+    if shared is None:
+        shared = next(k for k in range(1, BITS) if n <= BUCKET << (k * -(-BITS // (most + k))) or k == 4)
     width = -(-BITS // (most + shared))
     block = lambda k: F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     choices = list(combinations(range(most + shared), shared))
@@ -280,111 +293,171 @@ def near_links(prints: DataFrame, most: int = 4, shared: int = 1, most_in_all: i
         .select("bucket", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("bucket", *columns, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * len(choices) // (4 * SLAB)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(choices) // (4 * SLAB)))
     return cells.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_link_slabs(most, most_in_all), "u long, v long")
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges frozen, with their count and a sum of hashes, which the writing job itself finds."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    return frozen(told, "links"), (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (u, v). Gives (node, root) for every node but the roots, root the smallest of its component (signed order).
 
-    Large-star and small-star steps in turn, each written to the shared folder; minima are
-    aggregated before they are shuffled and no node's neighbours are gathered.
+    A large-star and a small-star step each round, written to the shared folder; minima are
+    aggregated before they are shuffled, no node's neighbours are gathered, and those of a hot node meet its minimum by broadcast.
     """
-    edges = frozen(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges, state = _written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    while True:
+    while state[0] and state != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = frozen(large, "large-star")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = frozen(
-            large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(),
-            "small-star",
-        )
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-
-
-def near_groups(prints: DataFrame, most: int = 4) -> DataFrame:
-    """prints: rows with `fp`. Gives (fp, root) for each distinct fp: equal roots are one component."""
-    distinct = frozen(prints.select("fp").distinct(), "prints")
-    roots = components(near_links(distinct.select(F.col("fp").alias("node"), "fp"), most))
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
-def band_links(nodes: DataFrame) -> DataFrame:
-    """nodes: `node` and `bands`. Gives (u, v): each node with the smallest that shares a band's key."""
-    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "key", "v")
-    return keys.join(least, ["band", "key"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-
-
-def similar_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """Places in sets: links that span the components of the graph of pairs whose exact Jaccard is `similarity` at least.
-
-    Those not reached yet are counted against one reached set at a time.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")).persist()
+        large = joined(both.where("v > u"), least, ["u"], "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().persist()
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).persist()
+        met = joined(large, small, ["u"], "n", state[0])
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        old, before = edges, state
+        edges, state = _written(met.select(pairs.alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        for df in (least, large, small):
+            df.unpersist()
+        discard(old)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def near_components(prints: DataFrame, id: str, most: int = 4) -> DataFrame:
+    """prints: `id` and `fp`. Adds component_id: the smallest id of the component of fingerprints within `most` bits of each other.
+
+    Null ids have a component, but none is the smallest where there are others; equal rows have equal results; an empty table
+    gives an empty one. Other columns stay; one named component_id is replaced.
+    """
+    own = frozen(prints.groupBy("fp").agg(F.min(id).alias("least"), F.count("*").alias("n")), "prints")
+    roots = components(near_links(own.select(F.col("fp").alias("node"), "fp"), most))
+    rooted = frozen(own.join(roots, own.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = frozen(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), "components")
+    ids = frozen(joined(rooted, named, ["root"], "prints", rooted.count()).select("fp", "n", "component_id"), "component-ids")
+    discard(own, rooted, named)
+    return joined(prints.drop("component_id"), ids, ["fp"], "n", prints.count())
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """nodes: `node` and `bands`. Gives (key, node, v): of each band's key that several nodes have, these nodes and the smallest."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    least = frozen(keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"), "bands")
+    found = frozen(joined(keys, least, ["key"], "n", nodes.count() * BANDS), "shared-bands")
+    discard(least)
+    return found
+
+
+def _compare_stars(similarity: float):
+    """Over rows sorted by (v, block, u), of u and `set`; the first of each block, without a u, is the pivot v, and is held alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = np.zeros(0, np.int64)
+        for batch in batches:
+            found = []
+            for v, u, raw in zip(batch.column("v").to_pylist(), batch.column("u").to_pylist(), batch.column("set"), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                if u is None:
+                    pivot = x
+                    continue
+                if min(len(x), len(pivot)) >= similarity * max(len(x), len(pivot)):
+                    both = int(np.isin(x, pivot, assume_unique=True).sum())
+                    if both >= similarity * (len(x) + len(pivot) - both):
+                        found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: distinct (u, v); sets: `node` and `set`. The pairs whose sets have a Jaccard of `similarity` at least.
+
+    A pivot v goes to each block of STAR of its pairs, and a task holds the set of one pivot at a time.
+    """
+    counts = frozen(pairs.groupBy("v").agg(F.count("*").alias("n"), F.ceil(F.count("*") / STAR).cast("int").alias("blocks")), "pivots")
+    dealt = joined(pairs, counts, ["v"], "n", pairs.count()).withColumn("block", F.pmod(F.xxhash64("u"), "blocks").cast("int"))
+    others = dealt.join(sets.withColumnRenamed("node", "u"), "u").select("v", "block", "u", "set")
+    pivots = counts.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.withColumnRenamed("node", "v"), "v").select("v", "block", F.lit(None).cast("long").alias("u"), "set")
+    ordered = others.unionByName(pivots).repartition("v", "block").sortWithinPartitions("v", "block", F.col("u").asc_nulls_first())
+    return ordered.select("v", "u", "set").mapInArrow(_compare_stars(similarity), "u long, v long")
+
+
+def similar_links(sets: list[np.ndarray], similarity: float, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Places in sets: links that, with those of equal labels, span the components of the graph of pairs whose exact Jaccard is `similarity` at least.
+
+    The sets of one label are known to be of one component. Those not reached yet are counted against one reached set at a time.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(sizes)
     mine = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     mark = np.zeros(len(codes), bool)
+    label = np.arange(len(sets)) if labels is None else labels
     left, tokens = np.arange(len(sets)), codes
     reached: list[int] = []
     while len(left):
-        if not reached:
-            reached, keep = [int(left[0])], np.arange(len(left)) > 0
-            tokens, left = tokens[np.repeat(keep, sizes[left])], left[keep]
-            continue
-        at = reached.pop()
-        mark[mine[at]] = True
-        both = np.add.reduceat(mark[tokens].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[left])[:-1])))
-        mark[mine[at]] = False
-        near = both >= similarity * (sizes[left] + sizes[at] - both)
-        if near.any():
-            new = left[near].tolist()
-            reached += new
-            yield from ((at, k) for k in new)
-            tokens, left = tokens[np.repeat(~near, sizes[left])], left[~near]
+        if reached:
+            at = reached.pop()
+            mark[mine[at]] = True
+            both = np.add.reduceat(mark[tokens].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[left])[:-1])))
+            mark[mine[at]] = False
+            near = both >= similarity * (sizes[left] + sizes[at] - both)
+            if not near.any():
+                continue
+            yield from ((at, k) for k in left[near].tolist())
+            new = np.isin(label[left], label[left[near]])
+        else:
+            new = label[left] == label[left[0]]
+        reached += left[new].tolist()
+        tokens, left = tokens[np.repeat(~new, sizes[left])], left[~new]
 
 
 def _link_similar(similarity: float):
-    """Over rows sorted by cell (root, low, high), of node and text. A cell is held whole; it has 2 * BLOCK members at most."""
+    """Over rows sorted by cell (key, low, high), of node, root and set. A cell is held whole; it has two blocks at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, nodes, sets = None, [], []
+        cell, nodes, roots, sets = None, [], [], []
 
         def linked() -> pa.RecordBatch:
-            found = [(nodes[a], nodes[b]) for a, b in similar_links(sets, similarity)] if len(sets) > 1 else []
+            found = []
+            if len(set(roots)) > 1:
+                found = [(nodes[a], nodes[b]) for a, b in similar_links(sets, similarity, np.unique(roots, return_inverse=True)[1])]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for root, low, high, node, text in zip(*(batch.column(c) for c in ("root", "low", "high", "node", "text")), strict=True):
-                key = (root.as_py(), low.as_py(), high.as_py())
+            for *key, node, root, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "root")), batch.column("set"), strict=True):
                 if key != cell:
                     yield linked()
-                    cell, nodes, sets = key, [], []
-                nodes.append(node.as_py())
-                sets.append(shingle_set(text.as_py()))
+                    cell, nodes, roots, sets = key, [], [], []
+                nodes.append(node)
+                roots.append(root)
+                sets.append(np.frombuffer(raw.as_buffer(), np.uint64))
         yield linked()
 
     return run
 
 
-def exact_links(members: DataFrame, similarity: float) -> DataFrame:
-    """members: root (of a candidate component), node and text, with words. Gives (u, v): links between members that span the graph of similar ones."""
-    full = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
+def split_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members: (key, node, root), buckets with the group of each node so far; sets: `node`, `size` and `set`. Gives (u, v): links across groups.
+
+    Of buckets with the same nodes one is taken. All pairs of a bucket across groups are counted.
+    """
+    digest = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), digest.alias("digest"), F.min("root").alias("a"), F.max("root").alias("b"))
+    buckets = frozen(buckets.where("a <> b").groupBy("digest", "n").agg(F.min("key").alias("key")).select("key", "n"), "split-buckets")
+    mine = frozen(joined(members, buckets, ["key"], "n", members.count()), "split-members")
+    sizes = mine.join(sets.select("node", "size"), "node").groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")
     cells = (
-        members.join(full, "root", "left")
-        .select("root", "node", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "text")
+        joined(mine, frozen(sizes, "split-sizes"), ["key"], "n", mine.count())
+        .select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root")
+        .join(sets.select("node", "set"), "node")
     )
-    return cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_link_similar(similarity), "u long, v long")
+    return cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_link_similar(similarity), "u long, v long")
 
 
 def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", most: int = 6, most_in_all: int = 24, similarity: float = 0.8) -> DataFrame:
@@ -392,23 +465,30 @@ def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", m
 
     Near copies are texts whose sets of five-word shingles have a Jaccard of `similarity` at least, and a
     group is a component of them. Candidates share a MinHash band, or their 128-bit SimHashes differ in
-    most_in_all bits at most and in `most` at most in one of the two 64-bit words; within a
-    component of candidates every pair is settled by its exact Jaccard. Texts without words
-    (null and empty ones too) are copies of each other; of equal rows one stays. An empty table gives an empty one.
+    most_in_all bits at most and in `most` at most in one of the two 64-bit words; every link is settled by its exact Jaccard. Texts without words
+    (null and empty ones too) are copies of each other; of equal rows one stays. Columns of df stay as they are, whatever their names. An empty table gives an empty one.
     """
-    work = frozen(sketched(df, text).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
+    work = frozen(sketched(rows).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
     first = F.min(F.struct(F.col("_row").alias("node"), F.col("_fp0").alias("fp0"), F.col("_fp1").alias("fp1"), F.col("_bands").alias("bands")))
-    nodes = frozen(work.groupBy("_set0", "_set1").agg(first.alias("n")).select("_set0", "_set1", "n.*"), "near-nodes")
+    kept = F.min(F.struct(F.col("id").isNull().alias("absent"), F.col("id").alias("id"), F.col("_row").alias("row")))
+    nodes = frozen(work.groupBy("_set0", "_set1").agg(first.alias("n"), kept.alias("kept")).select("n.*", "kept"), "near-nodes")
     worded = nodes.where(F.size("bands") > 0)
+    shared = shared_bands(worded)
     links = (
-        near_links(worded.select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("rest")), most, 2, most_in_all)
-        .unionByName(near_links(worded.select("node", F.col("fp1").alias("fp"), F.col("fp0").alias("rest")), most, 2, most_in_all))
-        .unionByName(band_links(worded))
+        near_links(worded.select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("rest")), most, most_in_all=most_in_all)
+        .unionByName(near_links(worded.select("node", F.col("fp1").alias("fp"), F.col("fp0").alias("rest")), most, most_in_all=most_in_all))
+        .unionByName(shared.select(F.col("node").alias("u"), "v"))
     )
-    candidates = components(links)
-    members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    texts = work.select(F.col("_row").alias("node"), F.col(text).alias("text"))
-    roots = components(exact_links(texts.join(members, "node"), similarity))
-    rooted = nodes.select("_set0", "_set1", "node").join(roots, "node", "left").select("_set0", "_set1", F.coalesce("root", "node").alias("root"))
-    kept = work.select("_set0", "_set1", id, "_row").join(rooted, ["_set0", "_set1"]).groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("absent"), F.col(id).alias("id"), "_row"))["_row"].alias("_row"))
-    return work.join(kept.select("_row"), "_row", "left_semi").select(*df.columns)
+    pairs = frozen(links.where("u <> v").distinct(), "near-pairs")
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = work.select(F.col("_row").alias("node"), "text").join(wanted, "node")
+    sets = frozen(map_texts(texts, "text", ["node"], "size int, set binary", _sets), "shingle-sets")
+    alike = frozen(similar_pairs(pairs, sets, similarity), "near-links")
+    roots = components(alike)
+    members = frozen(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-groups")
+    across = frozen(split_links(members, sets, similarity), "split-links")
+    if not across.isEmpty():
+        roots = components(across.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept")["row"].alias("_row"))
+    return work.join(rooted.select("_row"), "_row", "left_semi").select("row.*")

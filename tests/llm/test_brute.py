@@ -196,9 +196,9 @@ def test_pipeline(spark, docs):
             assert sorted(kept.columns) == sorted(docs.columns)
     assert counts["language"].count() == docs.count()
     rows = counts["language"].select("doc_id", "text").collect()
-    words = [simhash.wide_fingerprint(r.text) for r in rows]
-    far = lambda a, b: [int(p ^ q).bit_count() for p, q in zip(words[a], words[b], strict=True)]
-    wanted = components(len(rows), lambda a, b: sum(far(a, b)) <= 24 and min(far(a, b)) <= 6)
+    sets = [set(simhash.shingle_set(r.text).tolist()) for r in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    wanted = components(len(rows), alike)
     smallest = {}
     for r, w in zip(rows, wanted, strict=True):
         smallest[w] = min(smallest.get(w, r.doc_id), r.doc_id)

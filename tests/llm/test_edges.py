@@ -14,7 +14,7 @@ from chirplake.llm.ngram_lm import score_texts
 from chirplake.llm.phrases import compare_with_next, edited
 from chirplake.llm.queries import PIECE_MODEL
 from chirplake.llm.sharding import uniform_shards
-from chirplake.llm.simhash import drop_near_copies, fingerprint, fingerprinted, near_groups
+from chirplake.llm.simhash import drop_near_copies, fingerprint, fingerprinted, near_components
 from chirplake.llm.surrogates import replace_pii
 from chirplake.llm.warc import read_warc, write_warc
 
@@ -70,10 +70,10 @@ def test_language(docs, none):
 
 def test_simhash(docs, none):
     prints = fingerprinted(docs, carry=["doc_id", "text"])
-    roots = {r.fp: r.root for r in near_groups(prints).collect()}
-    for r in prints.collect():
-        assert r.fp % (1 << 64) == fingerprint(r.text) and r.fp in roots
-    assert near_groups(fingerprinted(none)).count() == 0
+    out = near_components(prints.withColumn("component_id", F.lit("mine")), "doc_id").collect()
+    assert len(out) == 10 and all(r.fp % (1 << 64) == fingerprint(r.text) for r in out)
+    assert {r.component_id for r in out if r.doc_id in (2, 3, 5)} == {2} and {r.component_id for r in out if r.doc_id in (1, 6)} == {1}
+    assert near_components(fingerprinted(none), "doc_id").count() == 0
     left = drop_near_copies(docs).collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in left) == [(0, "der"), (1, "the"), (2, ""), (4, "wor"), (7, "mai")]
     assert set(left[0].asDict()) == set(docs.columns) and drop_near_copies(none).count() == 0

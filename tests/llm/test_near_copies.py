@@ -66,8 +66,45 @@ def test_similar_links_span_the_exact_components():
         assert same(label) == same(got)
 
 
+def test_known_groups_are_not_compared_again():
+    x = np.arange(100, dtype=np.uint64)
+    sets = [x, x + 5, x + 1000, x + 1004, x + 12]  # 0-1 and 2-3 and 1-4 are similar
+    labels = np.array([0, 1, 2, 2, 0])
+    assert list(simhash.similar_links(sets, 0.8, np.array([0, 0, 2, 2, 4]))) == [(1, 4)]
+    assert {tuple(sorted(p)) for p in simhash.similar_links(sets, 0.8, labels)} <= {(0, 1), (1, 4)}
+
+
+def test_stars_and_groups_split_over_blocks_give_the_exact_components(spark, monkeypatch):
+    """Chains whose ends aren't similar, hot pivots, tiny stars and blocks: the rows left are those of brute force."""
+    from chirplake.llm import store
+
+    monkeypatch.setattr(simhash, "STAR", 3)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(store, "HOT_ROWS", 4)
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(6):
+        words = [f"f{family}w{k}" for k in range(120)]
+        for step in range(14):
+            if step % 5 == 4:
+                words[rng.integers(120)] = f"f{family}s{step}"
+            edited = list(words)
+            edited[step * 7 % 120] = f"f{family}e{step}"
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(500 + k, f"short text {k} of its own") for k in range(10)] + [(600, None), (601, ""), (602, "  ")]
+    label = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        p, q = rows[a][1], rows[b][1]
+        if p and q and len(p.split()) > 5 and len(q.split()) > 5 and jaccard(p, q) >= 0.8:
+            label = [label[a] if x == label[b] else x for x in label]
+    words = [k for k, r in enumerate(rows) if r[1] and r[1].strip()]
+    wanted = {min(rows[k][0] for k in words if label[k] == g) for g in {label[k] for k in words}} | {600}
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in left} == wanted
+
+
 def test_blocks_of_a_large_component_link_what_one_cell_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 800)
     words = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*words[:199], f"end{k}"])) for k in range(30)]
     left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
