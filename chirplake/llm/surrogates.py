@@ -23,30 +23,36 @@ from chirplake.llm.store import discard, frozen, joined
 MEN = r"Mr|Sir|Lord|Herrn?|Monsieur|Señor|Sr|Г-н|Господин"
 LADIES = r"Mrs|Ms|Miss|Lady|Dame|Frau|Fräulein|Mme|Mlle|Madame|Mademoiselle|Señora|Señorita|Sra|Srta|Dra|Г-жа|Госпожа"
 ANY_TITLE = rf"{MEN}|{LADIES}|Mx|Dr|Doctor|Doktor|Prof|Professor|Rev|Доктор|Профессор"
+FIRST = "".join(sorted({t[0] for t in ANY_TITLE.split("|")}))
 #: One word of a name (O'Brien, Jean-Luc, McDonald, an initial) and a whole name, with particles inside.
 _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:['’\-]?\p{Lu}\p{Ll}+)*"
 NAME = rf"(?:\p{{Lu}}\. ?){{0,4}}{_WORD}(?:(?: (?:von|van|zu|der|den|de|la|le|du|di|da|del|dos)){{0,3}}(?: \p{{Lu}}\.){{0,3}} {_WORD}){{0,4}}"
 
 #: A name in small letters, looked for behind an abbreviated form of address, and small words that stand there too.
-LOWER = r"\p{Ll}{3,}"
+LOWER = r"\p{Ll}{3,}(?!\p{L})"
 SMALL = "and|or|the|und|oder|der|die|das|et|ou|les|del|los|las|was|has|had|who|said"
 
+#: What stands before a secret, and is matched with it, as titles are with names.
+KEYWORD = r"""(?=[PpSsTtAa])(?i:password|passwd|secret|token|api[_\-]?key)["']?(?: = |=|: ?| : )["']?"""
+PREFIX = rf"^(?:(?:(?:{ANY_TITLE})\.? )+|{KEYWORD}(?=[A-Za-z0-9+/_\-]{{8,}}$))"
+
 #: Kinds in the order in which they are tried, as Java patterns.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "secret": r"""\bAKIA[0-9A-Z]{16}\b|(?<=(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_\-]?key)["']?(?: = |=|: ?| : )["']?)[A-Za-z0-9+/_\-]{8,}|\b(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b""",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "secret": rf"""\bAKIA[0-9A-Z]{{16}}\b|(?<![A-Za-z0-9]){KEYWORD}[A-Za-z0-9+/_\-]{{8,}}|\b(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})\b""",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.])[0-9]{4}(?<gap>[ \-]?)[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}(?!\w)|(?<![\w.])3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}(?!\w)",
     "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)|(?<![\w.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\w\-])",
     "national": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])",
     "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
-    "name": rf"(?<=(?<![\p{{L}}\-])(?:{ANY_TITLE})\.? )(?!(?:{ANY_TITLE})\b){NAME}|(?<=(?<![\p{{L}}\-])(?:Mr|Mrs|Ms|Mx)\. )(?!(?:{SMALL})\b){LOWER}",
+    "name": rf"(?=[{FIRST}])(?<![\p{{L}}\-])(?:(?:(?:{ANY_TITLE})\.? )+{NAME}|(?:Mr|Mrs|Ms|Mx)\. (?!(?:{SMALL})\b){LOWER})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity has a digit or an at sign, or stands behind one of these words; most texts have none of them.
-HINTS = ("AKIA", "Mr", "Ms", "Mx", "Miss", "Sir", "Lord", "Lady", "Dame", "Herr", "Fra", "Frä", "Mme", "Ml", "Monsieur", "Mad", "Señor", "Sr", "Dr", "Do", "Prof", "Rev", "Г", "Доктор", "Проф")
-KEYWORD_HINT = "(?i)passw|secret|token|api[_-]?key"
+#: Kinds that have a digit or an at sign, and titles as they stand before names; most texts have neither, nor a keyword.
+NUMBERED = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS if k != "name")
+TITLE_HINT = rf"(?=[{FIRST}])(?:{ANY_TITLE})\.? "
+KEYWORD_HINT = "(?=[PpSsTtAa])(?i:passw|secret|token|api)"
 #: Alphabets of which a character is replaced within its own; anything else stays.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœß"
@@ -65,12 +71,9 @@ WIDER_AFTER = 8
 
 
 def has_entity(text: Column) -> Column:
-    """Whether the pattern occurs; the cheap look for hints comes first."""
-    hint = text.rlike("[0-9@]")
-    for word in HINTS:
-        hint = hint | F.contains(text, F.lit(word))
-    hint = hint | text.rlike(KEYWORD_HINT)
-    return hint & text.rlike(PATTERN)
+    """Whether the pattern occurs; cheap looks for what each kind needs come first."""
+    numbered = text.rlike("[0-9@]") & text.rlike(NUMBERED)
+    return numbered | (text.rlike(TITLE_HINT) & text.rlike(PATTERNS["name"])) | (text.rlike(KEYWORD_HINT) & text.rlike(PATTERNS["secret"]))
 
 
 def entities(text: Column, pattern: Column | None = None) -> Column:
@@ -81,48 +84,75 @@ def gaps(text: Column, pattern: Column | None = None) -> Column:
     return F.split(F.coalesce(text, F.lit("")), PATTERN if pattern is None else pattern, -1)
 
 
-def kind_of(value: Column, before: Column) -> Column:
-    """The first kind whose pattern fits the whole entity; names are told by the title before them, which gives f, m or neither."""
-    name = lambda titles: value.rlike(f"^(?:{NAME}|{LOWER})$") & before.rlike(rf"(?:^|[^\p{{L}}\-])(?:{titles})\.? $")
-    out = F.when(name(LADIES), "name f").when(name(MEN), "name m").when(name(ANY_TITLE), "name n")
+def kind_of(hit: Column) -> Column:
+    """The first kind whose pattern fits the whole match; the last title tells of names whether it is f, m or neither."""
+    titled = lambda titles: hit.rlike(rf"^(?:(?:{ANY_TITLE})\.? )*(?:{titles})\.? (?:{NAME}|{LOWER})$")
+    out = F.when(titled(LADIES), "name f").when(titled(MEN), "name m").when(titled(ANY_TITLE), "name n")
     for kind in ("email", "card", "phone", "national", "ip", "ipv6", "iban"):
-        out = out.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
+        out = out.when(hit.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("secret")
 
 
-#: Characters before an entity that tell a title.
-BEFORE = 16
-
-
 def _last(name: Column) -> Column:
     return F.substring_index(name, " ", -1)
 
 
-def _titled(e: Column, g: Column) -> Column:
-    """From a text's entities and gaps its names after titles, as (value, kind), the longest of one last name first."""
-    told = F.zip_with(e, F.slice(g, 1, F.size(e)), lambda v, b: F.struct(v.alias("value"), kind_of(v, F.right(b, F.lit(BEFORE))).alias("kind")))
-    names = F.filter(told, lambda x: x["kind"].startswith("name"))
+def _told(hit: Column) -> Column:
+    """(prefix, value, kind) of a match: titles and keywords stay as they are."""
+    prefix = F.regexp_extract(hit, PREFIX, 0)
+    return F.struct(prefix.alias("prefix"), F.substring(hit, F.length(prefix) + 1, F.length(hit)).alias("value"), kind_of(hit).alias("kind"))
+
+
+def _titled(hits: Column) -> Column:
+    """From a text's matches its names after titles, as (size, value, kind), the longest first."""
+    names = F.filter(F.transform(hits, _told), lambda x: x["kind"].startswith("name"))
     by_size = F.transform(names, lambda x: F.struct(F.length(x["value"]).alias("size"), x["value"].alias("value"), x["kind"].alias("kind")))
     return F.sort_array(F.array_distinct(by_size), asc=False)
 
 
 def _own_pattern(names: Column) -> Column:
-    """The pattern of all kinds, and the text's own names (whole or the last one) where they stand without a title."""
+    """The pattern of the text's own names, whole or the last one, null without names."""
     forms = F.sort_array(F.array_distinct(F.flatten(F.transform(names, lambda x: F.array(x["value"], _last(x["value"]))))), asc=False)
     listed = F.array_join(F.transform(forms, lambda x: F.regexp_replace(x, r"\.", r"\\\\.")), "|")
-    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(PATTERN))
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])")))
+
+
+def pieces(text: Column, own: Column) -> Column:
+    """A text as (gap, hit, own), in order; the last has no hit. Between the matches of all kinds the text's own names are hits too."""
+    plain = F.arrays_zip(gaps(text).alias("gap"), entities(text).alias("hit"))
+    plain = F.transform(plain, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.lit(False).alias("own")))
 
+    def cut(x: Column) -> Column:
+        inner = F.arrays_zip(gaps(x["gap"], own).alias("gap"), entities(x["gap"], own).alias("hit"))
+        return F.transform(inner, lambda y: F.struct(y["gap"].alias("gap"), F.coalesce(y["hit"], x["hit"]).alias("hit"), y["hit"].isNotNull().alias("own")))
 
-def _resolved(value: Column, before: Column, names: Column) -> Column:
-    """(value, kind, last): a mention of one of the text's names is that name, or the last word of it."""
-    kind = kind_of(value, F.right(before, F.lit(BEFORE)))
+    return F.when(own.isNull(), plain).otherwise(F.flatten(F.transform(plain, cut)))
+
+
+def _resolved(hit: Column, own: Column, names: Column) -> Column:
+    """(prefix, value, kind, last): a mention of one of the text's names is that name, or the last word of it."""
+    told = F.when(own, F.struct(F.lit("").alias("prefix"), hit.alias("value"), F.lit("").alias("kind"))).otherwise(_told(hit))
+    return _let(told, lambda t: _owned(t, own, names))
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _owned(told: Column, own: Column, names: Column) -> Column:
+    value, kind = told["value"], told["kind"]
     whole = F.filter(names, lambda x: x["value"] == value)
     longer = F.filter(names, lambda x: (x["value"] != value) & (_last(x["value"]) == value))
     same = F.filter(longer, lambda x: x["kind"] == kind)
-    titled = kind.startswith("name")
-    owner = F.get(F.when(titled, same).when(F.size(longer) > 0, longer).otherwise(whole), F.lit(0))
-    mention = (titled | (kind == "secret")) & owner.isNotNull()
-    return F.struct(F.when(mention, owner["value"]).otherwise(value).alias("value"), F.when(mention, owner["kind"]).otherwise(kind).alias("kind"), (mention & (owner["value"] != value)).alias("last"))
+    owner = F.get(F.when(~own, same).when(F.size(longer) > 0, longer).otherwise(whole), F.lit(0))
+    mention = (own | kind.startswith("name")) & owner.isNotNull()
+    return F.struct(
+        told["prefix"].alias("prefix"),
+        F.when(mention, owner["value"]).otherwise(value).alias("value"),
+        F.when(mention, owner["kind"]).otherwise(kind).alias("kind"),
+        (mention & (owner["value"] != value)).alias("last"),
+    )
 
 
 def _scrambled(value: Column, key: Column) -> Column:
@@ -239,25 +269,23 @@ def replace_pii(df: DataFrame, *, text: str = "text", key: str, carry: list[str]
     """
     kept = [c for c in carry if c.lower() not in (text.lower(), count.lower())]
     work = frozen(df.select(F.struct(*kept).alias("row"), F.col(text).alias("text"), F.coalesce(has_entity(F.col(text)), F.lit(False)).alias("has"), F.monotonically_increasing_id().alias("id")), "texts")
-    some = work.where("has").select("id", "text")
-    listed = some.select("id", "text", _titled(entities(F.col("text")), gaps(F.col("text"))).alias("names")).withColumn("pattern", _own_pattern(F.col("names")))
-    listed = listed.select("id", "names", "pattern", entities(F.col("text"), F.col("pattern")).alias("e"), gaps(F.col("text"), F.col("pattern")).alias("g"))
-    parts = listed.select("id", "names", "pattern", F.posexplode(F.arrays_zip("e", "g")).alias("nth", "part")).where("part.e is not null")
-    own = F.when((F.col("nth") == 0) & (F.col("pattern") != F.lit(PATTERN)), F.col("pattern"))  # once a text
-    parts = parts.select("id", own.alias("pattern"), "nth", F.col("part.e").alias("mention"), _resolved(F.col("part.e"), F.col("part.g"), F.col("names")).alias("r"))
-    as_value = F.when(F.col("r.last") | F.col("r.kind").startswith("name"), F.col("r.value")).otherwise(F.col("mention"))
-    parts = frozen(parts.select("id", "pattern", "nth", "mention", "r.kind", "r.last", identity(F.col("r.kind"), as_value).alias("ident")), "mentions")
+    named = work.where("has").select("id", "text", _titled(F.when(F.col("text").rlike(TITLE_HINT), entities(F.col("text"))).otherwise(F.array().cast("array<string>"))).alias("names")).withColumn("own", _own_pattern(F.col("names")))
+    parts = named.select("id", "names", F.col("own").alias("pattern"), F.posexplode(pieces(F.col("text"), F.col("own"))).alias("nth", "part")).where("part.hit is not null")
+    parts = parts.select("id", F.when(F.col("nth") == 0, F.col("pattern")).alias("pattern"), "nth", "part.hit", _resolved(F.col("part.hit"), F.col("part.own"), F.col("names")).alias("r"))
+    mention = F.substring(F.col("hit"), F.length("r.prefix") + 1, F.length("hit"))
+    as_value = F.when(F.col("r.last") | F.col("r.kind").startswith("name"), F.col("r.value")).otherwise(mention)
+    parts = frozen(parts.select("id", "pattern", "nth", mention.alias("mention"), "r.prefix", "r.kind", "r.last", identity(F.col("r.kind"), as_value).alias("ident")), "mentions")
     counts = frozen(parts.groupBy("kind", "ident").agg(F.count("*").alias("n")), "counts")
     chosen = surrogate_table(counts.select("kind", "ident"), key).join(counts, ["kind", "ident"])
-    told = F.when(F.col("last"), _last(F.col("surrogate"))).otherwise(rendered(F.col("kind"), F.col("surrogate"), F.col("mention")))
+    told = F.concat("prefix", F.when(F.col("last"), _last(F.col("surrogate"))).otherwise(rendered(F.col("kind"), F.col("surrogate"), F.col("mention"))))
     lists = (
         joined(parts, chosen, ["kind", "ident"], "n", parts.count())
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("nth", told.alias("told")))).alias("s"), F.max("pattern").alias("pattern"))  # the entities of one text
         .select("id", "pattern", F.transform("s", lambda x: x["told"]).alias("s"))
     )
-    merged = lambda g: F.array_join(F.flatten(F.zip_with(g, F.col("s"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    rebuilt = F.when(F.col("pattern").isNull(), merged(gaps(F.col("text")))).otherwise(merged(gaps(F.col("text"), F.col("pattern"))))
+    split = F.transform(pieces(F.col("text"), F.col("pattern")), lambda x: x["gap"])
+    rebuilt = F.array_join(F.flatten(F.zip_with(split, F.col("s"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     carried = [F.col("row")[c].alias(c) for c in kept]
     changed = work.where("has").join(lists, "id").select(*carried, rebuilt.alias(text), F.size("s").alias(count))
     return work.where("not has").select(*carried, F.col("text").alias(text), F.lit(0).alias(count)).unionByName(changed)
