@@ -64,6 +64,37 @@ def valid_grid(key: Column) -> Column:
     return key.rlike(r"^[0-9]{1,2}x[0-9]{1,2}$")
 
 
+#: Hints of an item at most, and the forms of a multiplication sign that a grid may be written with.
+MOST_HINTS = 16
+TIMES = "×Ｘｘ"
+
+
+def normal_hints(hints: Column) -> Column:
+    """Of an array of (grid, name): grids in small letters with x, both trimmed, pairs without either dropped; null is none."""
+    grid = lambda h: F.translate(F.lower(F.trim(F.coalesce(h["grid"], F.lit("")))), TIMES, "x" * len(TIMES))
+    clean = F.transform(hints, lambda h: F.struct(grid(h).alias("grid"), F.trim(F.coalesce(h["name"], F.lit(""))).alias("name")))
+    return F.coalesce(F.filter(clean, lambda h: (h["grid"] != "") | (h["name"] != "")), F.array().cast("array<struct<grid:string,name:string>>"))
+
+
+def hints_error(hints: Column) -> Column:
+    """Why an item's hints are refused, null if they aren't: too many, or the first with a bad grid or no name."""
+    wrong = F.transform(normal_hints(hints), lambda h: F.when(~valid_grid(h["grid"]), "grid").when(h["name"] == "", "name"))
+    return F.when(F.size(hints) > MOST_HINTS, "too many").otherwise(F.get(F.array_compact(wrong), F.lit(0)))
+
+
+def hit_label(name: Column, hints: Column, most: int = 0) -> Column:
+    """The class alone, or with its hints: `class｜3×2 name / 2×2 name`, cut to `most` characters with an ellipsis (0: not cut)."""
+    listed = F.array_join(F.transform(hints, lambda h: F.concat_ws(" ", F.replace(h["grid"], F.lit("x"), F.lit("×")), h["name"])), " / ")
+    line = F.concat(F.trim(name), F.lit("｜"), listed)
+    cut = shortened(line, most) if most > 1 else F.lit("…") if most == 1 else line
+    return F.when(F.size(hints) > 0, cut).otherwise(F.trim(name))
+
+
+def aliased(name: Column, aliases: dict[str, str], default: str) -> Column:
+    """The method that a name in any case stands for."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.lower(F.trim(name))], F.lit(default))
+
+
 def valid_id(id: Column) -> Column:
     return id.rlike("^[A-Za-z0-9_-]{1,64}$")
 
@@ -73,7 +104,8 @@ def shortened(text: Column, n: int) -> Column:
 
 
 def candidate_id(seq: Column, ts: Column) -> Column:
-    return F.concat_ws("-", F.lpad(seq.cast("string"), 6, "0"), F.date_format(ts, "yyyyMMdd-HHmmss"))
+    """The number with six digits at least, and the time."""
+    return F.concat_ws("-", F.format_string("%06d", seq.cast("long")), F.date_format(ts, "yyyyMMdd-HHmmss"))
 
 
 def frame_ms(frame: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,13 +38,29 @@ def dequantise(q: Column, scale: Column) -> Column:
     return F.transform(q, lambda x: x * scale)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def patch_floor(v: Column, range_db: float = 20.0) -> Column:
-    return F.transform(v, lambda x: F.greatest(x, F.array_max(v) - range_db))
+    return let(F.array_max(v) - range_db, lambda least: F.transform(v, lambda x: F.greatest(x, least)))
+
+
+def centred(v: Column) -> Column:
+    return let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
+
+
+def unit(v: Column) -> Column:
+    """Unit length; zeros where nothing is left."""
+    return let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.when(norm > 1e-20, x / norm).otherwise(0.0)))
 
 
 def patch_normalise(v: Column) -> Column:
     """Floored, mean taken off, unit length; zeros where nothing is left."""
-    floored = patch_floor(v)
-    centred = F.transform(floored, lambda x: x - total(floored) / F.size(floored))
-    norm = F.sqrt(dot(centred, centred))
-    return F.transform(centred, lambda x: F.when(norm > 1e-20, x / norm).otherwise(0.0))
+    return let(patch_floor(v), lambda f: let(centred(f), unit))
+
+
+def mean(v: Column) -> Column:
+    """Of a frame's bands; null for an empty frame."""
+    return total(v) / F.nullif(F.size(v), F.lit(0))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chirplake.functions import scalars as X
+from chirplake.functions import vectors as V
+
 
 def reconcile(meta: DataFrame, blobs: DataFrame, on: list[str]) -> DataFrame:
     """State of each sample: `kept` where both sides have it, `missing_audio`, or `recovered` where only the audio is there."""
@@ -28,14 +33,36 @@ def renumbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return df.withColumn("sample_idx", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
 
 
+#: Quotes that may stand around a name.
+QUOTES = "「」《》\"'"
+
+
+def _grams(text: Column) -> Column:
+    """All distinct pieces of one to three characters."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(n)))
+    each = [cut(n) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(*each))
+
+
+def _parts(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (part, whole) of which the part, not empty, is a piece of the whole: candidates share the part's first three characters."""
+    heads = inner.where("part <> ''").select("part", F.left("part", F.lit(3)).alias("gram"))
+    return heads.join(outer.select("whole", F.explode(_grams(F.col("whole"))).alias("gram")), "gram").where(F.contains("whole", "part")).select("part", "whole")
+
+
 def resolved_names(wanted: DataFrame, assets: DataFrame, aliases: DataFrame) -> DataFrame:
-    """wanted: name; assets: asset; aliases: alias, asset. The asset of each name: equal, by alias, or the only one of which the name is a part or that is a part of it."""
-    bare = wanted.withColumn("plain", F.translate("name", "\"'", ""))
-    direct = bare.join(assets.select(F.col("asset").alias("exact")), F.col("plain") == F.col("exact"), "left")
-    direct = direct.join(aliases.select("alias", F.col("asset").alias("by_alias")), F.col("plain") == F.col("alias"), "left")
-    open_ = direct.where("exact is null and by_alias is null").select("name", "plain").distinct()
-    part = open_.join(assets, F.contains("asset", "plain") | F.contains("plain", "asset")).groupBy("name").agg(F.count_distinct("asset").alias("n"), F.min("asset").alias("only"))
-    return direct.join(part.where("n = 1").select("name", "only"), "name", "left").select("name", F.coalesce("exact", "by_alias", "only").alias("asset"))
+    """wanted: name; assets: asset; aliases: alias, asset. The asset of each name, in this order: equal to the trimmed name, by alias, equal without
+    the quotes around it, or the only one of which the name (quotes included) is a part or that is a part of it; null where several are.
+    """
+    names = wanted.select("name", F.trim("name").alias("trimmed")).withColumn("bare", F.expr("btrim(trimmed, '「」《》\"\\'')"))
+    known = assets.select("asset").distinct()
+    to = lambda column, out: known.select(F.col("asset").alias(column), F.col("asset").alias(out))
+    direct = names.join(to("trimmed", "exact"), "trimmed", "left").join(aliases.join(known, "asset").select(F.col("alias").alias("trimmed"), F.col("asset").alias("by_alias")), "trimmed", "left").join(to("bare", "unquoted"), "bare", "left")
+    open_ = direct.where(F.coalesce("exact", "by_alias", "unquoted").isNull()).select("trimmed").distinct()
+    within = _parts(open_.select(F.col("trimmed").alias("part")), known.select(F.col("asset").alias("whole"))).select(F.col("part").alias("trimmed"), F.col("whole").alias("asset"))
+    around = _parts(known.select(F.col("asset").alias("part")), open_.select(F.col("trimmed").alias("whole"))).select(F.col("whole").alias("trimmed"), F.col("part").alias("asset"))
+    only = within.unionByName(around).groupBy("trimmed").agg(F.min("asset").alias("only"), F.max("asset").alias("last")).where("only = last").select("trimmed", "only")
+    return direct.join(only, "trimmed", "left").select("name", F.coalesce("exact", "by_alias", "unquoted", "only").alias("asset"))
 
 
 def upserted(items: DataFrame, patches: DataFrame, key: str, at: Column) -> DataFrame:
@@ -49,10 +76,68 @@ def upserted(items: DataFrame, patches: DataFrame, key: str, at: Column) -> Data
 
 
 def promoted(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """candidates: (candidate_id, target). What becomes of each: a `new` item, `appended` to its target, or an `unknown_target`."""
-    known = items.select(F.col("item_id").alias("target"), F.lit(True).alias("known"))
-    action = F.when(F.col("target").isNull(), "new").when(F.col("known"), "appended").otherwise("unknown_target")
-    return candidates.join(known, "target", "left").select("candidate_id", "target", action.alias("action"))
+    """candidates: (candidate_id, target). What becomes of each: a `new` item, `exists` if its id is an item's, `appended` to its target, or an `unknown_target`."""
+    known = items.select(F.col("item_id").alias("at"), F.lit(True).alias("known")).distinct()
+    target = F.nullif(F.trim("target"), F.lit(""))
+    action = F.when(F.col("to").isNull(), F.when(F.col("known"), "exists").otherwise("new")).when(F.col("known"), "appended").otherwise("unknown_target")
+    asked = candidates.withColumn("to", target).withColumn("at", F.coalesce(target, F.col("candidate_id").cast("string")))
+    return asked.join(known, "at", "left").withColumn("action", action).drop("at", "to", "known")
+
+
+def created_items(candidates: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """The items with a new one for each promoted candidate without a target: its id is the candidate's, with defaults for what isn't given.
+
+    candidates: (candidate_id, target, name, threshold, cooldown_ms, profile); a missing name is told from the time in the id.
+    """
+    new = promoted(candidates, items).where("action = 'new'")
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("capture "), F.right(F.col("candidate_id").cast("string"), F.lit(15))))
+    rows = new.select(
+        F.col("candidate_id").cast("string").alias("item_id"),
+        name.alias("name"),
+        X.clamp_threshold(F.col("threshold")).alias("threshold"),
+        X.clamp_cooldown(F.col("cooldown_ms")).alias("cooldown_ms"),
+        F.coalesce(F.nullif(F.trim("profile"), F.lit("")), F.lit("default")).alias("profile"),
+        now.alias("created_at"),
+        now.alias("updated_at"),
+    )
+    return items.unionByName(rows)
+
+
+def appended_samples(samples: DataFrame, candidates: DataFrame, items: DataFrame, source: str = "recall") -> DataFrame:
+    """samples: (item_id, sample_idx, file, source). Adds each promoted candidate's clip to its target or new item, numbered on from the last."""
+    done = promoted(candidates, items).where("action in ('new', 'appended')")
+    to = F.when(F.col("action") == "new", F.col("candidate_id").cast("string")).otherwise(F.trim("target"))
+    new = done.select(to.alias("item_id"), F.col("candidate_id").cast("string").alias("file"), F.lit(source).alias("source"))
+    last = samples.groupBy("item_id").agg(F.max("sample_idx").alias("last"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("file"))
+    return samples.unionByName(new.join(last, "item_id", "left").select("item_id", (F.coalesce("last", F.lit(-1)) + nth).alias("sample_idx"), "file", "source"))
+
+
+def inbox_left(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """The candidates that weren't promoted: those with an unknown target or an id that an item has."""
+    return promoted(candidates, items).where("action not in ('new', 'appended')").drop("action")
+
+
+def with_variants(clean: DataFrame, vector: str, noise: Column, ratios_db: list[float]) -> DataFrame:
+    """Each vector as it is (variant 0) and with noise of its own length at each ratio, as one set."""
+    length = lambda v: F.sqrt(V.dot(v, v))
+    at = lambda db: V.let(length(F.col(vector)) / length(noise) * 10 ** (-db / 20), lambda scale: F.zip_with(vector, noise, lambda x, e: x + scale * e))
+    sets = [clean.withColumn("variant", F.lit(0))] + [clean.withColumn(vector, at(db)).withColumn("variant", F.lit(k + 1)) for k, db in enumerate(ratios_db)]
+    return reduce(DataFrame.unionByName, sets)
+
+
+def listed(candidates: DataFrame) -> DataFrame:
+    """The unused candidates of each inbox with their place, newest first, by descending id where times are equal."""
+    return candidates.where("not used").withColumn("place", F.row_number().over(Window.partitionBy("inbox").orderBy(F.desc("created"), F.desc("id"))))
+
+
+#: Orders of a library's listing.
+SORTS = {"name": lambda name, samples, created: [F.collate(name, "zh")], "samples": lambda name, samples, created: [F.desc(samples)], "newest": lambda name, samples, created: [F.desc(created)], "oldest": lambda name, samples, created: [F.asc(created)]}
+
+
+def library_sorted(items: DataFrame, sort: str, *, by: str, name: str, samples: str, created: str) -> DataFrame:
+    """The items of each library `by` with their place in one of SORTS; names compare as in Chinese, and rows that an order leaves equal stand by id."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*SORTS[sort](name, samples, created), "id")))
 
 
 def pruned(candidates: DataFrame, keep: int) -> DataFrame:
@@ -67,9 +152,10 @@ def manifest_order(items: DataFrame, by: str) -> DataFrame:
 
 
 def realigned(names: DataFrame, pictures: DataFrame) -> DataFrame:
-    """names: (owner, pos, name); pictures: (owner, pos, name, icon). Each name keeps its picture, the first of equals."""
-    first = pictures.groupBy("owner", "name").agg(F.min(F.struct("pos", "icon"))["icon"].alias("icon"))
-    return names.join(first, ["owner", "name"], "left")
+    """names: (owner, pos, name); pictures: (owner, pos, name, icon). Each name, blanks around it aside, keeps its picture: of several the first by place, then by icon. Empty names have none."""
+    key = F.nullif(F.trim("name"), F.lit("")).alias("_name")
+    first = pictures.where("icon is not null").select("owner", "pos", "icon", key).groupBy("owner", "_name").agg(F.min(F.struct("pos", "icon"))["icon"].alias("icon"))
+    return names.select("*", key).join(first, ["owner", "_name"], "left").drop("_name")
 
 
 def stale(items: DataFrame, built: DataFrame, key: str) -> DataFrame:

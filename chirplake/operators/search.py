@@ -12,6 +12,8 @@ from chirplake.functions import vectors as V
 #: Templates that one task compares with a block of windows.
 TEMPLATES = 32_768
 WINDOWS = 8_192
+#: Windows and templates of which a task holds all scores at once: 16 MB.
+TILE = (512, 4_096)
 HITS = "window_id long, item long, template_id long, score double"
 
 
@@ -23,19 +25,27 @@ def template_table(samples: DataFrame, *, id: str, item: str, vector: str) -> Da
 
 
 def _best_in_block(windows: pd.DataFrame, templates: pd.DataFrame) -> pd.DataFrame:
-    """The best template of each item for each window; the smallest id on ties."""
+    """The best template of each item for each window; the smallest id on ties. Scores are held for one tile at a time."""
     if windows.empty or templates.empty:
         return pd.DataFrame({"window_id": [], "item": [], "template_id": [], "score": []})
     templates = templates.sort_values(["item", "template_id"])
-    q = np.stack(templates["q"].to_numpy()).astype(np.float64)
-    v = np.stack(windows["v"].to_numpy()).astype(np.float64)
-    score = np.round(np.clip((v @ q.T) * templates["scale"].to_numpy(), -1, 1), 9)
+    q, scale = np.stack(templates["q"].to_numpy()), templates["scale"].to_numpy()
     items, ids = templates["item"].to_numpy(), templates["template_id"].to_numpy()
-    starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+    names, owner = np.unique(items, return_inverse=True)
     parts = []
-    for a, b in zip(starts, [*starts[1:], len(items)], strict=True):
-        best = score[:, a:b].argmax(axis=1)
-        parts.append(pd.DataFrame({"window_id": windows["window_id"], "item": items[a], "template_id": ids[a + best], "score": score[np.arange(len(v)), a + best]}))
+    for w in range(0, len(windows), TILE[0]):
+        v = np.stack(windows["v"].iloc[w : w + TILE[0]].to_numpy()).astype(np.float64)
+        best, at = np.full((len(v), len(names)), -np.inf), np.zeros((len(v), len(names)), np.int64)
+        for t in range(0, len(ids), TILE[1]):
+            score = np.round(np.clip((v @ q[t : t + TILE[1]].astype(np.float64).T) * scale[t : t + TILE[1]], -1, 1), 9)
+            mine = owner[t : t + TILE[1]]
+            starts = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            for a, b in zip(starts, [*starts[1:], len(mine)], strict=True):
+                k = score[:, a:b].argmax(axis=1)
+                top = score[np.arange(len(v)), a + k]
+                higher = top > best[:, mine[a]]
+                best[higher, mine[a]], at[higher, mine[a]] = top[higher], t + a + k[higher]
+        parts.append(pd.DataFrame({"window_id": np.repeat(windows["window_id"].to_numpy()[w : w + TILE[0]], len(names)), "item": np.tile(names, len(v)), "template_id": ids[at.ravel()], "score": best.ravel()}))
     return pd.concat(parts)
 
 
@@ -104,3 +114,9 @@ def unrivalled(hits: DataFrame, by: str, margin: float = 0.06) -> DataFrame:
 def build_report(templates: DataFrame, dim: int) -> DataFrame:
     """Templates and bytes for each item, with a total in the row of the null item."""
     return templates.rollup("item").agg(F.count("*").alias("built"), F.count_if(F.col("scale") == 0).alias("unusable"), (F.count("*") * dim).alias("bytes"))
+
+
+def confirmed(live: DataFrame, variants: DataFrame) -> DataFrame:
+    """live: (window_id, item, v); variants: (item, u), several of an item. The greatest cosine of each window with its item's variants, -1 without any."""
+    met = live.join(variants, "item", "left").withColumn("c", F.when(F.col("u").isNull(), -1.0).otherwise(V.cosine(F.col("v"), F.col("u"))))
+    return met.groupBy("window_id", "item").agg(F.max("c").alias("confirm"))

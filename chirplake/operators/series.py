@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chirplake.functions import scalars as X
+from chirplake.functions import vectors as V
 from chirplake.operators.ordered import in_batches, in_order, plain_rows
 
 
@@ -49,24 +51,93 @@ def anchor_patches(frames: DataFrame, found: DataFrame, n: int = 32) -> DataFram
     return frames.join(spans, "stream").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + n))
 
 
-def weak_anchors(frames: DataFrame, around: int = 3, least_frames: int = 8, share: float = 0.25, rise_db: float = 9.0) -> DataFrame:
-    """For each stream whether its peak stands out: bed is the mean of what is over `around` frames away."""
+def clip_seconds(frames: Column) -> Column:
+    """The length of a recording that has so many frames, 0 for none."""
+    return F.when(frames > 0, (1024 + (frames - 1) * 256) / 48000.0).otherwise(0.0)
+
+
+def weak_anchors(frames: DataFrame, seconds: Column | None = None, around: int = 3, least_frames: int = 8, share: float = 0.25, rise_db: float = 9.0, least_seconds: float = 0.75) -> DataFrame:
+    """For each stream whether its peak stands out too little: bed is the mean of what is over `around` frames away.
+
+    Streams of least_seconds or less, or of under least_frames frames, are never weak; `seconds` is told from the column frames.
+    """
     best = F.max(F.struct("value", (-F.col("frame")).alias("down")))
     peaks = frames.groupBy("stream").agg(best.alias("b"), F.count("*").alias("frames")).select("stream", F.col("b.value").alias("peak"), (-F.col("b.down")).alias("at"), "frames")
     bed = F.avg(F.when(F.abs(F.col("frame") - F.col("at")) > around, F.col("value"))).alias("bed")
     out = frames.join(peaks, "stream").groupBy("stream", "peak", "at", "frames").agg(bed)
-    rise = 10 * F.log10(F.col("peak") / F.greatest("bed", F.lit(1e-12)))
-    weak = (F.col("frames") >= least_frames) & ((F.col("peak") <= 1e-12) | ((F.col("bed") <= share * F.col("peak")) & (rise < rise_db)))
-    return out.withColumn("weak", F.coalesce(weak, F.lit(False)))
+    long = ((clip_seconds(F.col("frames")) if seconds is None else seconds) > least_seconds) & (F.col("frames") >= least_frames)
+    flat = (F.col("bed") > 1e-18) & (F.col("bed") <= share * F.col("peak")) & (10 * F.log10(F.col("peak") / F.col("bed")) < rise_db)
+    return out.withColumn("weak", F.coalesce(long & ((F.col("peak") <= 1e-12) | flat), F.lit(False)))
+
+
+#: Fixed values of the onset rule: frames that count, quiet beds and peaks, the bed's share of a sustained sound, and loud frames.
+ONSET_FRAMES, QUIET_BED, QUIET_PEAK, AUDIBLE, SUSTAINED, LOUD_FRAMES = 96, 1e-12, 1e-10, 1e-5, 0.05, 5
 
 
 def onset(energies: Column, rise_db: float = 2.5) -> Column:
-    """Over an array of recent energies, oldest first: under 8 pass; else the second part's peak must rise over the first 3/5's mean."""
-    n = F.size(energies)
-    head = F.greatest(F.lit(1), F.floor(n * 3 / 5)).cast("int")
-    bed = F.aggregate(F.slice(energies, F.lit(1), head), F.lit(0.0), lambda a, x: a + x) / head
-    tip = F.array_max(F.slice(energies, head + 1, F.greatest(n - head, F.lit(1))))
-    return (n < 8) | (10 * F.log10(F.greatest(tip, F.lit(1e-12)) / F.greatest(bed, F.lit(1e-12))) >= rise_db)
+    """Over an array of energies, oldest first, of which the last ONSET_FRAMES count: under 8, or a rise of 0 or less, pass.
+
+    Else the last two fifths' peak must rise by rise_db over the mean of the frames before; or be audible over a quiet bed, or over one that is
+    itself loud; or enough of the last frames are loud.
+    """
+    recent = F.slice(energies, F.greatest(F.lit(1), F.size(energies) - ONSET_FRAMES + 1), F.lit(ONSET_FRAMES))
+
+    def told(e: Column) -> Column:
+        head = F.floor(F.size(e) * 3 / 5).cast("int")
+        tip = F.slice(e, head + 1, F.size(e) - head)
+        facts = F.struct(F.greatest(F.array_max(tip), F.lit(0.0)).alias("peak"), (V.total(F.slice(e, F.lit(1), head)) / head).alias("bed"), tip.alias("tip"))
+        return V.let(facts, passed)
+
+    def passed(f: Column) -> Column:
+        loud = F.size(F.filter(f["tip"], lambda x: x >= F.greatest(f["bed"] * 10 ** (rise_db / 20), F.lit(AUDIBLE))))
+        rises = (10 * F.log10(f["peak"] / f["bed"]) >= rise_db) | ((f["peak"] > AUDIBLE) & (f["bed"] > f["peak"] * SUSTAINED)) | (loud >= F.least(F.lit(LOUD_FRAMES), F.size(f["tip"])))
+        return F.when(f["bed"] <= QUIET_BED, f["peak"] > QUIET_PEAK).when(f["peak"] <= 0, False).otherwise(rises)
+
+    return F.lit(True) if rise_db <= 0 else F.when(F.size(energies) < 8, True).otherwise(V.let(recent, told))
+
+
+def level_db(df: DataFrame, samples: int) -> DataFrame:
+    """The level of each row's stream over its last `samples` rows, as 20 log10 of the root mean square; null for silence."""
+    w = Window.partitionBy("stream").orderBy("t", "id").rowsBetween(1 - samples, 0)
+    return df.withColumn("level_db", X.dbfs(F.sqrt(F.avg(F.col("value") * F.col("value")).over(w))))
+
+
+def latest_guess(df: DataFrame) -> DataFrame:
+    """df: (stream, t, id, item), item null where a window has no result. The item of each stream's last window: none if that one has none."""
+    return df.groupBy("stream").agg(F.max(F.struct("t", "id", "item")).alias("last")).select("stream", F.col("last.item").alias("item"), F.col("last.t").alias("t"))
+
+
+def ticks(df: DataFrame, wait: pd.Timedelta) -> DataFrame:
+    """df: (stream, t, id, item), item null in silence. A row at least every `wait`, with the last ranking's item, also in silence."""
+    upto = Window.partitionBy("stream").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return cooldown(df.withColumn("top", F.last("item", ignorenulls=True).over(upto)), ["stream"], wait)
+
+
+def shown_sets(df: DataFrame, lifetime: pd.Timedelta, most: int) -> DataFrame:
+    """After each row (stream, t, id, item): how many items are shown, and how many were evicted so far.
+
+    A row shows its item for `lifetime`; one that is shown already is refreshed in place and becomes the newest. Where `most` are shown the oldest
+    goes, and is counted; what has lived its time goes uncounted.
+    """
+
+    def make():
+        shown: dict = {}
+        evicted = 0
+
+        def step(r):
+            nonlocal evicted
+            for item in [i for i, t in shown.items() if r.t - t >= lifetime]:
+                del shown[item]
+            if r.item not in shown and len(shown) >= most:
+                del shown[next(iter(shown))]
+                evicted += 1
+            shown.pop(r.item, None)
+            shown[r.item] = r.t
+            return {"shown": len(shown), "evicted": evicted}
+
+        return step
+
+    return folded(df, ["stream"], make, "set", "struct<shown:int,evicted:long>").select(*df.columns, "set.shown", "set.evicted")
 
 
 def trailing(df: DataFrame, seconds: int) -> DataFrame:
@@ -144,14 +215,27 @@ def active_spans(df: DataFrame, lifetime: str) -> DataFrame:
     return out.select("stream", "item", F.col("w.start").alias("shown"), F.col("w.end").alias("hidden"), "events")
 
 
-def separated_peaks(points: DataFrame, apart: float, n: int) -> DataFrame:
-    """points: (grp, x, level). The strongest points of a group of which none is within `apart` of one kept before, up to n."""
+def refined(x: Column, level: Column, order: Window) -> Column:
+    """The place of the parabola's top through a point and its neighbours; the point's own where that is over a step away."""
+    before, after = F.lag(level).over(order), F.lead(level).over(order)
+    delta = F.try_divide(0.5 * (before - after), before - 2 * level + after)
+    return F.when(F.abs(delta) <= 1, x + delta * (F.lead(x).over(order) - F.lag(x).over(order)) / 2).otherwise(x)
+
+
+def separated_peaks(points: DataFrame, apart: float, n: int, floor: float = -70.0) -> DataFrame:
+    """points: (grp, x, level). The strongest local maxima of a group over the floor of which none is under `apart` from one kept before, up to n.
+
+    A maximum is not below the point before it and above the one behind; its x is refined by the parabola through the three.
+    """
+    order = Window.partitionBy("grp").orderBy("x")
+    top = (F.col("level") >= F.lag("level").over(order)) & (F.col("level") > F.lead("level").over(order)) & (F.col("level") > floor)
+    maxima = points.withColumn("top", top).withColumn("at", refined(F.col("x"), F.col("level"), order)).where("top").select("grp", F.col("at").alias("x"), "level")
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for grp, rows in groupby(plain_rows(batches, ["grp", "x", "level"]), key=lambda r: r[0]):
             xs: list[float] = []
             for _, x, level in rows:
-                if len(xs) < n and all(abs(x - k) > apart for k in xs):
+                if len(xs) < n and all(abs(x - k) >= apart for k in xs):
                     xs.append(x)
                     yield grp, x, level, len(xs)
 
@@ -159,7 +243,7 @@ def separated_peaks(points: DataFrame, apart: float, n: int) -> DataFrame:
         yield from in_batches(kept(batches), ["grp", "x", "level", "rk"])
 
     kinds = dict(points.dtypes)
-    return in_order(points, ["grp"], [F.desc("level"), "x"]).mapInPandas(run, f"grp {kinds['grp']}, x double, level double, rk int")
+    return in_order(maxima, ["grp"], [F.desc("level"), "x"]).mapInPandas(run, f"grp {kinds['grp']}, x double, level double, rk int")
 
 
 def lost_blocks(df: DataFrame, gate: float) -> DataFrame:

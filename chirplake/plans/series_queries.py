@@ -43,12 +43,15 @@ def window_peak(spark, sf_dir):
 
 
 def weak_anchor(spark, sf_dir):
-    return R.weak_anchors(_frames(spark, sf_dir)).select("stream", "at", "frames", F.round("bed", 10).alias("bed"), "weak")
+    """Frames of 10 ms, so that some streams are too short to be weak."""
+    return R.weak_anchors(_frames(spark, sf_dir), F.col("frames") / 100.0).select("stream", "at", "frames", F.round("bed", 10).alias("bed"), "weak")
 
 
 def onset(spark, sf_dir):
-    p = R.sliding_patches(_frames(spark, sf_dir), 12)
-    return p.groupBy("stream").agg(F.count("*").alias("windows"), F.count_if(R.onset(F.col("patch"))).alias("onsets"))
+    """Energies over many decades, so that quiet beds, rises, sustained sounds and loud frames all occur."""
+    e = F.pow(F.lit(10.0), F.col("value") / 8 - 14)
+    p = R.sliding_patches(_frames(spark, sf_dir).withColumn("value", e), 12)
+    return p.groupBy("stream").agg(F.count("*").alias("windows"), F.count_if(R.onset(F.col("patch"), 12.0)).alias("onsets"))
 
 
 def stream_totals(spark, sf_dir):
@@ -65,8 +68,28 @@ def last_50(spark, sf_dir):
 
 
 def latest_guess(spark, sf_dir):
-    e = _events(spark, sf_dir).groupBy("stream").agg(F.max(F.struct("t", "id", "item"))["item"].alias("item"), F.max("t").alias("t"))
-    return e.select("stream", "item", F.unix_micros("t").alias("us"))
+    """Windows of a value under 20 have no result."""
+    e = _events(spark, sf_dir).withColumn("item", F.when(F.col("value") >= 20, F.col("item")))
+    return R.latest_guess(e).select("stream", "item", F.unix_micros("t").alias("us"))
+
+
+def tick_ranking(spark, sf_dir):
+    """A tick at least every 12 hours, with the item of the last window of a value of 20 or more."""
+    e = _events(spark, sf_dir).withColumn("item", F.when(F.col("value") >= 20, F.col("item")))
+    return R.ticks(e, pd.Timedelta(hours=12)).select("id", "stream", "top")
+
+
+def shown_sets(spark, sf_dir):
+    return R.shown_sets(_events(spark, sf_dir), pd.Timedelta(hours=18), 2).select("id", "shown", "evicted")
+
+
+def level_window(spark, sf_dir):
+    return R.level_db(_events(spark, sf_dir), 10).select("id", F.round("level_db", 6).alias("level_db"))
+
+
+def mel_scale(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return e.select("id", F.round(X.mel(F.col("value") * 40), 6).alias("mel"), F.round(X.hz(X.mel(F.col("value") * 40)), 4).alias("hz"))
 
 
 def audio_time(spark, sf_dir):
@@ -153,7 +176,7 @@ def lost_blocks(spark, sf_dir):
 def separated_peaks(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("level"))
     strongest = p.groupBy("grp", "x").agg(F.max("level").alias("level"))
-    return R.separated_peaks(strongest, 5.0, 8).select("grp", "x", F.round("level", 6).alias("level"), "rk")
+    return R.separated_peaks(strongest, 5.0, 8, 1000.0).select("grp", F.round("x", 6).alias("x"), F.round("level", 6).alias("level"), "rk")
 
 
 _E = "WITH RECURSIVE e AS (SELECT event_id AS id, ts AS t, user_id AS stream, event_type AS item, value FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, id) - 1 AS frame FROM e)"
@@ -215,7 +238,7 @@ _NO_CHANGES = "SELECT 0::BIGINT AS stream, '' AS item, 0::DOUBLE AS t, 0::DOUBLE
 _CHANGES = "SELECT stream, item, (epoch_us(t) // 1000)::DOUBLE AS t, CASE WHEN id % 2 = 0 AND value > 0 THEN 2 * value END AS threshold FROM e WHERE id % 7 = 0"
 _FIRED = "SELECT stream, f_item AS item, round(f_score, 6) AS score, f_at::BIGINT AS \"at\" FROM g WHERE f_at IS NOT NULL"
 
-QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, live_thresholds, lost_blocks, separated_peaks)}
+QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, live_thresholds, lost_blocks, separated_peaks, tick_ranking, shown_sets, level_window, mel_scale)}
 
 ORACLES = {
     "moving_average": _SM + " SELECT stream, frame, round(smooth, 6) AS smooth FROM s",
@@ -225,13 +248,22 @@ ORACLES = {
     "window_peak": _E + ", p AS (SELECT stream, frame, max(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS p FROM f) SELECT stream, frame, round(p, 6) AS peak, round(10 * log10(greatest(p * p, 1e-12)), 4) AS level_db FROM p",
     "weak_anchor": _E + """, p AS (SELECT stream, value AS peak, frame AS spot, count(*) OVER (PARTITION BY stream) AS frames FROM f QUALIFY row_number() OVER (PARTITION BY stream ORDER BY value DESC, frame) = 1),
 b AS (SELECT stream, peak, spot, frames, avg(value) FILTER (abs(frame - spot) > 3) AS bed FROM f JOIN p USING (stream) GROUP BY ALL)
-SELECT stream, spot AS "at", frames, round(bed, 10) AS bed, coalesce(frames >= 8 AND (peak <= 1e-12 OR (bed <= 0.25 * peak AND 10 * log10(peak / greatest(bed, 1e-12)) < 9)), FALSE) AS weak FROM b""",
-    "onset": _E + """, w AS (SELECT stream, frame, list(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS p FROM f QUALIFY frame >= 11)
-SELECT stream, count(*) AS windows, count(*) FILTER (10 * log10(greatest(list_max(p[8:12]), 1e-12) / greatest(list_sum(p[1:7]) / 7, 1e-12)) >= 2.5) AS onsets FROM w GROUP BY stream""",
+SELECT stream, spot AS "at", frames, round(bed, 10) AS bed, coalesce(frames / 100.0 > 0.75 AND frames >= 8 AND (peak <= 1e-12 OR (bed > 1e-18 AND bed <= 0.25 * peak AND 10 * log10(peak / bed) < 9)), FALSE) AS weak FROM b""",
+    "onset": _E + """, w AS (SELECT stream, frame, list(pow(10.0::DOUBLE, value / 8 - 14)) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS p FROM f QUALIFY frame >= 11),
+x AS (SELECT stream, list_max(p[8:12]) AS peak, list_sum(p[1:7]) / 7 AS bed, p[8:12] AS tip FROM w)
+SELECT stream, count(*) AS windows, count(*) FILTER (CASE WHEN bed <= 1e-12 THEN peak > 1e-10 WHEN peak <= 0 THEN FALSE WHEN 10 * log10(peak / bed) >= 12 THEN TRUE WHEN peak > 1e-5 AND bed > peak * 0.05 THEN TRUE
+  ELSE len(list_filter(tip, lambda v: v >= greatest(bed * pow(10.0::DOUBLE, 0.6::DOUBLE), 1e-5))) >= 5 END) AS onsets FROM x GROUP BY stream""",
+    "tick_ranking": _E + ", m AS (SELECT id, t, stream, item, last_value(CASE WHEN value >= 20 THEN item END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS top FROM e)" + _greedy("SELECT * FROM m", "stream", 12) + " SELECT g.id, g.stream, m.top FROM g JOIN m USING (id) WHERE fired",
+    "shown_sets": _E + """, z AS (SELECT stream, id, t, item, frame AS k FROM f), g AS (SELECT stream, id, k, [{'i': item, 't': t}] AS xs, 0::BIGINT AS evicted FROM z WHERE k = 0 UNION ALL
+SELECT stream, id, k, list_append(CASE WHEN known OR len(live) < 2 THEN list_filter(live, lambda x: x.i <> item) ELSE live[2:] END, {'i': item, 't': t}), evicted + CASE WHEN known OR len(live) < 2 THEN 0 ELSE 1 END
+FROM (SELECT *, len(list_filter(live, lambda x: x.i = item)) > 0 AS known FROM (SELECT z.*, g.evicted, list_filter(g.xs, lambda x: z.t - x.t < INTERVAL 18 HOUR) AS live FROM g JOIN z ON z.stream = g.stream AND z.k = g.k + 1)))
+SELECT id, len(xs)::INT AS shown, evicted FROM g""",
+    "level_window": _E + ", m AS (SELECT id, avg(value * value) OVER (PARTITION BY stream ORDER BY t, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p FROM e) SELECT id, CASE WHEN p > 0 THEN round(20 * log10(sqrt(p)), 6) END AS level_db FROM m",
+    "mel_scale": _E + " SELECT id, round(2595 * log10(1 + value * 40 / 700), 6) AS mel, round(value * 40, 4) AS hz FROM e",
     "stream_totals": _E + " SELECT stream, count(*) AS blocks, count(*) FILTER (value < 20) AS silent, round(max(value), 6) AS max_level, round(avg(value), 6) AS avg_level FROM e GROUP BY stream",
     "trailing_clip": _E + " SELECT id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS total FROM e WINDOW w AS (PARTITION BY stream ORDER BY t RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW)",
     "last_50": _E + " SELECT stream, id, row_number() OVER (PARTITION BY stream ORDER BY t DESC, id DESC) AS rk FROM e QUALIFY rk <= 50",
-    "latest_guess": _E + " SELECT stream, item, epoch_us(t) AS us FROM e QUALIFY row_number() OVER (PARTITION BY stream ORDER BY t DESC, id DESC) = 1",
+    "latest_guess": _E + " SELECT stream, CASE WHEN value >= 20 THEN item END AS item, epoch_us(t) AS us FROM e QUALIFY row_number() OVER (PARTITION BY stream ORDER BY t DESC, id DESC) = 1",
     "audio_time": _E + " SELECT stream, round(max(frame) * 256 * 1000.0::DOUBLE / 48000, 6) AS last_ms FROM f GROUP BY stream",
     "levels_dbfs": _E + " SELECT id, CASE WHEN value > 0 THEN round(20 * log10(value / 100), 4) END AS dbfs, least(32767, greatest(-32768, round(value / 100 * 32767)))::INT AS code FROM e",
     "cooldown": _E + _greedy("SELECT * FROM e", "stream, item", 6) + " SELECT id, stream, item FROM g WHERE fired",
@@ -252,9 +284,12 @@ SELECT id, round(level, 6) AS level, round(level - CASE WHEN frame % 2 = 0 THEN
     "live_thresholds": _detector_sql(_CHANGES, _FIRED),
     "lost_blocks": "WITH b AS (SELECT l_orderkey AS stream, l_linenumber AS seq, count(*) AS n, max(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT stream, count(*) AS blocks, max(seq) - min(seq) + 1 - count(*) AS dropped, sum(n - 1)::BIGINT AS repeated, count(*) FILTER (v IS NULL OR v < 0.02) AS silent FROM b GROUP BY stream",
     "separated_peaks": """WITH RECURSIVE p AS (SELECT p_brand AS grp, p_size::DOUBLE AS x, max(p_retailprice) AS level FROM part GROUP BY 1, 2),
-n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY level DESC, x) AS k FROM p),
-g AS (SELECT grp, x, level, k, TRUE AS kept, [x] AS xs FROM n WHERE k = 1 UNION ALL
-SELECT n.grp, n.x, n.level, n.k, len(list_filter(g.xs, lambda y: abs(y - n.x) <= 5)) = 0,
-  CASE WHEN len(list_filter(g.xs, lambda y: abs(y - n.x) <= 5)) = 0 THEN list_append(g.xs, n.x) ELSE g.xs END FROM g JOIN n ON n.grp = g.grp AND n.k = g.k + 1)
-SELECT grp, x, round(level, 6) AS level, len(xs)::INT AS rk FROM g WHERE kept AND len(xs) <= 8""",
+l AS (SELECT *, lag(level) OVER o AS a, lead(level) OVER o AS b, lag(x) OVER o AS xa, lead(x) OVER o AS xb FROM p WINDOW o AS (PARTITION BY grp ORDER BY x)),
+d AS (SELECT *, CASE WHEN a - 2 * level + b <> 0 THEN 0.5::DOUBLE * (a - b) / (a - 2 * level + b) END AS delta FROM l WHERE level >= a AND level > b AND level > 1000),
+n AS (SELECT grp, level, CASE WHEN abs(delta) <= 1 THEN x + delta * (xb - xa) / 2 ELSE x END AS x FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY level DESC, x) AS k FROM n),
+g AS (SELECT grp, x, level, k, TRUE AS kept, [x] AS xs FROM m WHERE k = 1 UNION ALL
+SELECT m.grp, m.x, m.level, m.k, len(list_filter(g.xs, lambda y: abs(y - m.x) < 5)) = 0,
+  CASE WHEN len(list_filter(g.xs, lambda y: abs(y - m.x) < 5)) = 0 THEN list_append(g.xs, m.x) ELSE g.xs END FROM g JOIN m ON m.grp = g.grp AND m.k = g.k + 1)
+SELECT grp, round(x, 6) AS x, round(level, 6) AS level, len(xs)::INT AS rk FROM g WHERE kept AND len(xs) <= 8""",
 }
