@@ -12,8 +12,8 @@ once, so that what is shuffled is pre-aggregated and no word or context is hot:
 
 A level of the trie holds, for its sorted contexts, monotone pointers to the range of their
 successors, the successors (made monotone by the sums of the ranges before) and 16-bit codes
-of discounted probabilities, all in one memory-mapped file. A successor is found by search
-relative to its context's range; a task decodes the levels of its shard once for all its queries.
+of discounted probabilities, all in one memory-mapped file. A successor is found by bisection in its
+context's range, for all queries of a shard together; only the values that are looked at are decoded.
 
 The model is absolute discounting over the additively smoothed unigrams:
 P(w | h) = max(c(hw) - D, 0) / c(h) + D * N1+(h) / c(h) * P(w), P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),
@@ -75,7 +75,6 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray], n: int, width: int):
         self.parts, self.n, self.width = parts, n, width
-        self._all: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -119,16 +118,17 @@ class EliasFano:
             value |= (part & np.uint64((1 << self.width) - 1)).astype(np.int64)
         return value
 
-    def all(self) -> np.ndarray:
-        """The whole sequence, decoded in blocks once for all queries of a task."""
-        if self._all is None:
-            step = 1 << 16
-            self._all = np.concatenate([self.get(np.arange(k, min(self.n, k + step))) for k in range(0, self.n, step)]) if self.n else np.zeros(0, np.int64)
-        return self._all
-
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The place of the first of the sequence that is not smaller than each value."""
-        return np.searchsorted(self.all(), values)
+    def successor(self, values: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
+        """The place of the first that is not smaller than each value, from each begin on and before each end (end: none is); by bisection on the packed sequence."""
+        low = np.broadcast_to(np.asarray(begin, np.int64), values.shape).copy()
+        high = np.broadcast_to(np.asarray(self.n if end is None else end, np.int64), values.shape).copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) >> 1
+            less = self.get(mid) < values[open_]
+            low[open_[less]], high[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low
 
 
 class BigramTrie:
@@ -160,13 +160,13 @@ class BigramTrie:
         The successor of a word, moved by its context's base, is the word itself if the context has it.
         """
         context = self.keys.successor(keys)
-        begins, bases = self.pointers.all(), self.bases.all()
-        at = self.successors.successor(words + np.repeat(bases[context], sizes))
-        inside = (at >= np.repeat(begins[context], sizes)) & (at < np.repeat(begins[context + 1], sizes))
+        base = np.repeat(self.bases.get(context), sizes)
+        begin, end = np.repeat(self.pointers.get(context), sizes), np.repeat(self.pointers.get(context + 1), sizes)
+        at = self.successors.successor(words + base, begin, end)
         out = np.zeros(len(words), np.int64)
-        here = at[inside]
-        same = self.successors.all()[here] == (words + np.repeat(bases[context], sizes))[inside]
-        out[np.flatnonzero(inside)[same]] = self.codes[here[same]]
+        inside = np.flatnonzero(at < end)
+        here = inside[self.successors.get(at[inside]) == (words + base)[inside]]
+        out[here] = self.codes[at[here]]
         return out
 
 

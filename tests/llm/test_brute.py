@@ -169,7 +169,14 @@ def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (1, 1 << 50), (1000, 50), (5000, 1 << 40)):
         values = np.sort(rng.integers(0, top, n))
-        assert (ngram_lm.EliasFano.of(values).all() == values).all()
+        ef = ngram_lm.EliasFano.of(values)
+        assert (ef.get(np.arange(n)) == values).all()
+        asked = np.concatenate([values, rng.integers(0, top + 5, 50)])
+        assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
+        begin = rng.integers(0, n + 1, len(asked))
+        end = np.minimum(begin + rng.integers(0, 30, len(asked)), n)
+        wanted = [a + int(np.searchsorted(values[a:b], x)) for a, b, x in zip(begin, end, asked, strict=True)]
+        assert ef.successor(asked, begin, end).tolist() == wanted
 
 
 def test_surrogates(spark, docs):
