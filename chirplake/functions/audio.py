@@ -228,53 +228,29 @@ def windows(x: np.ndarray, p: Parameters | None = None) -> np.ndarray:
     return np.stack([normalised(mel[k : k + PATCH]) for k in range(len(mel) - PATCH + 1)])
 
 
+#: Fixed values of the sign hash: factors of the two places, what is mixed in, and the factor between its two shifts (16 and 15).
+SIGN_HASH = (0x9E3779B9, 0x85EBCA6B, 0xA5A5A5A5, 0x7FEB352D)
+#: Fixed values of the noise generator: factor and increment.
+NOISE_STEPS = (1664525, 1013904223)
+
+
 def sign_projection(v: np.ndarray, dim: int = 256) -> np.ndarray:
     """Random signs from a hash of the two places, then unit length."""
-    i = np.arange(v.shape[-1], dtype=np.uint32)[:, None]
-    j = np.arange(dim, dtype=np.uint32)[None, :]
-    h = i * np.uint32(2654435761) ^ j * np.uint32(2246822519)
-    h ^= h >> np.uint32(15)
-    out = v @ np.where((h * np.uint32(3266489917)) >> np.uint32(31), 1.0, -1.0)
-    return out / np.maximum(np.linalg.norm(out, axis=-1, keepdims=True), 1e-20)
+    of_place, of_dim, mixed, factor = map(np.uint32, SIGN_HASH)
+    x = np.arange(v.shape[-1], dtype=np.uint32)[:, None] * of_place ^ np.arange(dim, dtype=np.uint32)[None, :] * of_dim ^ mixed
+    x ^= x >> np.uint32(16)
+    x *= factor
+    x ^= x >> np.uint32(15)
+    out = v @ np.where(np.bitwise_count(x) & 1, 1.0, -1.0)
+    norm = np.linalg.norm(out, axis=-1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def with_noise(x: np.ndarray, snr_db: float, seed: int = 1) -> np.ndarray:
-    rms = np.sqrt(np.mean(x**2)) if len(x) else 0
-    return x + np.random.default_rng(seed).uniform(-1, 1, len(x)) * np.sqrt(3) * rms * 10 ** (-snr_db / 20)
-
-
-def statistics(x: np.ndarray) -> dict:
-    """Of one channel: peak, root mean square, whether it is silent, and the share of exact zeros."""
-    peak = float(np.abs(x).max(initial=0))
-    return {"peak": peak, "rms": float(np.sqrt(np.mean(x**2))) if len(x) else 0.0, "silent": peak == 0, "zeros": float(np.mean(x == 0)) if len(x) else 1.0}
-
-
-def spectral_scan(x: np.ndarray, rate: int, low: float = 20.0, high: float = 20000.0, step: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """A grid of frequencies and in dB the greatest windowed amplitude around each; x: frames x channels, the loudest channel counts."""
-    x = x[:, np.argmax((x**2).mean(axis=0))] if x.ndim == 2 else x
-    w = hann(len(x))
-    n = max(len(x), int(np.ceil(rate / step)) * 2)
-    amplitude = 2 * np.abs(np.fft.rfft(x * w, n)) / max(w.sum(), 1e-30)
-    grid = np.arange(low, min(high, rate / 2) + step / 2, step)
-    bins = np.searchsorted(np.fft.rfftfreq(n, 1 / rate), np.append(grid - step / 2, grid[-1] + step / 2))
-    bins = np.minimum(bins, len(amplitude) - 1)
-    return grid, 20 * np.log10(np.maximum(np.maximum.reduceat(amplitude, bins)[:-1], 1e-12))
-
-
-def dominant(grid: np.ndarray, db: np.ndarray) -> float:
-    """The frequency of the highest point, refined by the parabola through it and its neighbours."""
-    k = int(np.argmax(db))
-    if not 0 < k < len(db) - 1:
-        return float(grid[k])
-    a, b, c = db[k - 1 : k + 2]
-    return float(grid[k] + (grid[1] - grid[0]) * 0.5 * (a - c) / min(a - 2 * b + c, -1e-12))
-
-
-def spectral_peaks(grid: np.ndarray, db: np.ndarray, n: int = 5, apart: float = 50.0, floor: float = -70.0) -> list[tuple[float, float]]:
-    """The strongest local maxima over the floor, none within `apart` Hz of a stronger one."""
-    inner = np.flatnonzero((db[1:-1] > db[:-2]) & (db[1:-1] >= db[2:]) & (db[1:-1] > floor)) + 1
-    kept: list[int] = []
-    for k in inner[np.argsort(-db[inner], kind="stable")]:
-        if len(kept) < n and all(abs(grid[k] - grid[j]) > apart for j in kept):
-            kept.append(int(k))
-    return [(float(grid[k]), float(db[k])) for k in kept]
+    """White noise at a ratio to the signal's power, from a linear congruential generator; silence stays."""
+    factor, increment = map(np.uint32, NOISE_STEPS)
+    powers = np.cumprod(np.full(len(x), factor, np.uint32), dtype=np.uint32)
+    before = np.concatenate((np.ones(min(len(x), 1), np.uint32), powers[:-1]))
+    state = powers * np.uint32(seed or 1) + increment * np.cumsum(before, dtype=np.uint32)
+    noise = (state >> np.uint32(8)) / (1 << 24) * 2 - 1
+    return x + noise * np.sqrt(3 * np.mean(x**2) / 10 ** (snr_db / 10)) if len(x) else x

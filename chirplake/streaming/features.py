@@ -12,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chirplake.functions.audio import Analyser, Parameters
 
-FRAMES = "stream string, frame long, mel array<double>, energy double"
-STATE = "analyser binary, next_seq long, frames long, waiting binary"
+FRAMES = "stream string, frame long, mel array<double>, energy double, lost long"
+STATE = "analyser binary, next_seq long, frames long, lost long, waiting binary"
 
 
 class LinearResampler:
@@ -36,32 +36,37 @@ class LinearResampler:
         return np.interp(at, begin + np.arange(len(known)), known)
 
 
-def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None) -> DataFrame:
-    """blocks: a stream of (stream, seq, pcm), seq from 0. Gives (stream, frame, mel, energy).
+#: Blocks of a stream that wait for a missing one at most; then it counts as lost.
+MOST_WAITING = 50
+
+
+def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None, most_waiting: int = MOST_WAITING) -> DataFrame:
+    """blocks: a stream of (stream, seq, pcm), seq from 0. Gives (stream, frame, mel, energy, lost).
 
     Blocks are taken in the order of seq whatever order they come in: those after a gap wait in
-    the state until it is filled. A repeated block is left out. State is the samples of one frame, the noise
-    tracker's arrays and the blocks that wait.
+    the state until it is filled, or until over most_waiting wait; then the missing blocks are given up and counted in `lost`, which
+    every later frame carries, and the analysis goes on with the next block. A repeated or late block is left out. State is the samples of one frame, the noise
+    tracker's arrays and the blocks that wait; it stays as long as the query runs.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        analyser, expected, done, waiting = Analyser(parameters), 0, 0, {}
+        analyser, expected, done, lost, waiting = Analyser(parameters), 0, 0, 0, {}
         if state.exists:
-            saved, expected, done, held = state.get
+            saved, expected, done, lost, held = state.get
             analyser, waiting = pickle.loads(saved), pickle.loads(held)
         for rows in batches:
             for seq, pcm in zip(rows["seq"], rows["pcm"], strict=True):
                 if seq >= expected:
                     waiting[int(seq)] = np.asarray(pcm, np.float32)
         ready = []
-        while expected in waiting:
+        while waiting and (expected in waiting or len(waiting) > most_waiting):
+            lost += min(waiting) - expected
+            expected = min(waiting)
             ready.append(waiting.pop(expected))
             expected += 1
         mel, energy = analyser.push(np.concatenate(ready)) if ready else (np.zeros((0, 0)), np.zeros(0))
-        out = pd.DataFrame({"stream": key[0], "frame": np.arange(done, done + len(energy)), "mel": list(mel), "energy": energy})
-        state.update((pickle.dumps(analyser), expected, done + len(energy), pickle.dumps(waiting)))
+        out = pd.DataFrame({"stream": key[0], "frame": np.arange(done, done + len(energy)), "mel": list(mel), "energy": energy, "lost": lost})
+        state.update((pickle.dumps(analyser), expected, done + len(energy), lost, pickle.dumps(waiting)))
         yield out
 
     return blocks.groupBy("stream").applyInPandasWithState(run, FRAMES, STATE, "append", GroupStateTimeout.NoTimeout)
-
-

@@ -1,8 +1,7 @@
-"""Streaming features against one pass over the whole recording, and the spectral scan."""
+"""Streaming features against one pass over the whole recording."""
 
 import numpy as np
 import pandas as pd
-import pytest
 
 from chirplake.functions import audio
 from chirplake.streaming.features import LinearResampler, frames_of_blocks
@@ -34,9 +33,14 @@ def test_resampling_in_blocks():
     assert np.allclose(got, audio.resample(x, 44100)[: len(got)]) and len(got) >= 5440
 
 
-def test_spectral_scan_finds_tones():
-    t = np.arange(48000) / 48000
-    x = np.stack([0.001 * t, 0.5 * np.sin(2 * np.pi * 884 * t) + 0.1 * np.sin(2 * np.pi * 3000 * t)], axis=1)
-    grid, db = audio.spectral_scan(x, 48000)
-    assert audio.dominant(grid, db) == pytest.approx(884, abs=6)
-    assert [round(f, -2) for f, _ in audio.spectral_peaks(grid, db, 2)] == [900, 3000]
+def test_a_lost_block_is_given_up_and_counted(spark, tmp_path):
+    x = np.random.default_rng(8).uniform(-0.3, 0.3, 960 * 14).astype(np.float32)
+    rows = pd.DataFrame([("s", k, x[k * 960 : k * 960 + 960].tolist()) for k in range(14) if k != 4], columns=["stream", "seq", "pcm"])
+    for part in (rows.iloc[:6], rows.iloc[6:10], rows.iloc[10:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = frames_of_blocks(source, most_waiting=3).writeStream.format("memory").queryName("lossy").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("lossy").toPandas().sort_values("frame")
+    energy = audio.Analyser().push(np.concatenate([x[: 4 * 960], x[5 * 960 :]]))[1]
+    assert np.allclose(got["energy"], energy) and got["lost"].max() == 1 and got["lost"].iloc[0] == 0
