@@ -176,7 +176,7 @@ def lost_blocks(spark, sf_dir):
 def separated_peaks(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("level"))
     strongest = p.groupBy("grp", "x").agg(F.max("level").alias("level"))
-    return R.separated_peaks(strongest, 5.0, 8, 1000.0).select("grp", F.round("x", 6).alias("x"), F.round("level", 6).alias("level"), "rk")
+    return R.separated_peaks(strongest, 5.0, 8, 500.0).select("grp", F.round("x", 6).alias("x"), F.round("level", 6).alias("level"), "rk")
 
 
 _E = "WITH RECURSIVE e AS (SELECT event_id AS id, ts AS t, user_id AS stream, event_type AS item, value FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, id) - 1 AS frame FROM e)"
@@ -285,7 +285,7 @@ SELECT id, round(level, 6) AS level, round(level - CASE WHEN frame % 2 = 0 THEN
     "lost_blocks": "WITH b AS (SELECT l_orderkey AS stream, l_linenumber AS seq, count(*) AS n, max(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT stream, count(*) AS blocks, max(seq) - min(seq) + 1 - count(*) AS dropped, sum(n - 1)::BIGINT AS repeated, count(*) FILTER (v IS NULL OR v < 0.02) AS silent FROM b GROUP BY stream",
     "separated_peaks": """WITH RECURSIVE p AS (SELECT p_brand AS grp, p_size::DOUBLE AS x, max(p_retailprice) AS level FROM part GROUP BY 1, 2),
 l AS (SELECT *, lag(level) OVER o AS a, lead(level) OVER o AS b, lag(x) OVER o AS xa, lead(x) OVER o AS xb FROM p WINDOW o AS (PARTITION BY grp ORDER BY x)),
-d AS (SELECT *, CASE WHEN a - 2 * level + b <> 0 THEN 0.5::DOUBLE * (a - b) / (a - 2 * level + b) END AS delta FROM l WHERE level >= a AND level > b AND level > 1000),
+d AS (SELECT *, CASE WHEN a - 2 * level + b <> 0 THEN 0.5::DOUBLE * (a - b) / (a - 2 * level + b) END AS delta FROM l WHERE level >= a AND level > b AND level > 500),
 n AS (SELECT grp, level, CASE WHEN abs(delta) <= 1 THEN x + delta * (xb - xa) / 2 ELSE x END AS x FROM d),
 m AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY level DESC, x) AS k FROM n),
 g AS (SELECT grp, x, level, k, TRUE AS kept, [x] AS xs FROM m WHERE k = 1 UNION ALL

@@ -83,7 +83,7 @@ SELECT vec_id, frame, bin::INT AS bin, round((pow(sum(x * cos(2 * pi() * bin * k
 a AS (SELECT vec_id, b::DOUBLE AS b, 20 * log10(2 * sqrt(pow(sum(x * cos(2 * pi() * b * k / 64)), 2) + pow(sum(x * sin(2 * pi() * b * k / 64)), 2)) / 32) AS db FROM m, range(1, 32) t(b) GROUP BY vec_id, b),
 l AS (SELECT *, lag(db) OVER o AS y1, lead(db) OVER o AS y3, lag(b) OVER o AS f1, lead(b) OVER o AS f3 FROM a WINDOW o AS (PARTITION BY vec_id ORDER BY b)),
 d AS (SELECT *, CASE WHEN y1 - 2 * db + y3 <> 0 THEN 0.5::DOUBLE * (y1 - y3) / (y1 - 2 * db + y3) END AS delta FROM l)
-SELECT vec_id, b AS bin, round(CASE WHEN abs(delta) <= 1 THEN b + delta * (f3 - f1) / 2 ELSE b END, 4) AS cycles, round(db, 4) AS db FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(db, 6) DESC, b) = 1""",
+SELECT vec_id, b AS bin, round(CASE WHEN abs(delta) <= 1 THEN b + delta * (f3 - f1) / 2 ELSE b END, 4) AS cycles, round(round(db, 6), 4) AS db FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(db, 6) DESC, b) = 1""",
     "sample_statistics": _X + " SELECT label, round(max(abs(x)), 9) AS peak, CASE WHEN max(abs(x)) > 0 THEN round(20 * log10(sqrt(avg(x * x))), 6) END AS rms_db, max(abs(x)) = 0 AS silent, avg(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0 END) AS zeros FROM x GROUP BY label",
     "sign_projection": _X + """, h AS (SELECT k, d, xor(xor((k::BIGINT * 2654435769) & 4294967295, (d::BIGINT * 2246822507) & 4294967295), 2779096485) AS y FROM range(64) a(k), range(256) b(d)),
 i AS (SELECT k, d, (xor(y, y >> 16) * 2146121005) & 4294967295 AS y FROM h),
