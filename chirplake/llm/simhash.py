@@ -42,6 +42,11 @@ CELL = 1 << 17
 BUCKET = 512
 #: MinHash bands of the near-copy stage and the minima in each: at a similarity of 0.8, 1 - (1 - 0.8^6)^20 = 99.8 % of pairs share a band.
 BANDS, BAND_ROWS = 20, 6
+#: What the minima's hashes are made with: an odd factor and a word that is flipped, of each.
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint64).astype(np.uint32)
+ODD, FLIP = _DRAWN[0] | np.uint32(1), _DRAWN[1]
+#: Odd factors of the chain of shingle hashes and of their second words.
+CHAIN = np.random.default_rng(7).integers(1 << 62, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 #: Candidates that one task compares with a pivot.
 STAR = 1 << 12
 #: Shingles of a bucket's block. A bucket of more is split into blocks by text, of which each pair is a cell of its own.
@@ -76,12 +81,26 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(_majority(hashes[:, None])[0])
 
 
-def wide_fingerprint(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Two 64-bit words of a 128-bit SimHash."""
-    found = _shingles(text, width)
-    if not found:
-        return np.zeros(2, np.uint64)
-    return _majority(np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found]), np.uint64).reshape(-1, 2))
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """Rows of two 64-bit hashes, one row a shingle of the text: chained over the hashes of its words, each of which is hashed once, and the second made of the first.
+
+    With fewer words than `width` the whole sequence is the only shingle; without words there is none.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    width = min(width, len(words))
+    if not width:
+        return np.zeros((0, 2), np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h ^= hashed[k : k + n]
+        h *= CHAIN[0]
+        h ^= h >> np.uint64(32)
+    other = h * CHAIN[1]
+    other ^= other >> np.uint64(29)
+    other *= CHAIN[0]
+    return np.stack([h, other ^ (other >> np.uint64(32))], axis=1)
 
 
 def fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -96,18 +115,16 @@ def fingerprinted(df: DataFrame, text: str = "text", carry: list[str] | None = N
 
 def _min_bands(hashes: np.ndarray) -> np.ndarray:
     """A 64-bit key for each of the BANDS bands of minima; the hashes are not empty."""
-    rng = np.random.default_rng(42)
-    odd, flip = (rng.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint64).astype(np.uint32) for _ in range(2))
-    odd, low = odd | np.uint32(1), (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(odd), ~np.uint32(0))
-    for k in range(0, len(low), 512):
-        np.minimum(least, ((low[k : k + 512, None] ^ flip) * odd).min(axis=0), out=least)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(ODD), ~np.uint32(0))
+    for k in range(0, len(low), 1024):
+        np.minimum(least, ((low[k : k + 1024, None] ^ FLIP) * ODD).min(axis=0), out=least)
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), nth) for nth, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
 
 
-def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """The distinct 64-bit hashes of the text's shingles, in order."""
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in _shingles(text, width)), np.uint64))
+    return np.unique(shingle_hashes(text, width)[:, 0])
 
 
 def sketched(df: DataFrame, text: str = "text") -> DataFrame:
@@ -116,12 +133,11 @@ def sketched(df: DataFrame, text: str = "text") -> DataFrame:
     def work(texts: pa.Array) -> dict:
         sets, prints, bands = [], [], []
         for t in texts.to_pylist():
-            found = _shingles(t, 5)
-            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, 42) for s in found]), np.uint64).reshape(-1, 2)
+            both = shingle_hashes(t)
             distinct = np.unique(both[:, 0])
             sets.append(np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes()), np.int64))
-            prints.append(_majority(both) if found else np.zeros(2, np.uint64))
-            bands.append(_min_bands(distinct).view(np.int64) if found else np.zeros(0, np.int64))
+            prints.append(_majority(both) if len(both) else np.zeros(2, np.uint64))
+            bands.append(_min_bands(distinct).view(np.int64) if len(both) else np.zeros(0, np.int64))
         s, f = np.array(sets, np.int64).reshape(-1, 2), np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
         return {"_set0": pa.array(s[:, 0]), "_set1": pa.array(s[:, 1]), "_fp0": pa.array(f[:, 0]), "_fp1": pa.array(f[:, 1]), "_bands": pa.array(bands, pa.list_(pa.int64()))}
 
