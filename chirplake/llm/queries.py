@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chirplake.llm import lang_id, pieces
 from chirplake.llm.line_rules import line_quality
+from chirplake.llm.merkle import folded, leaf_hash, manifest, proof_nodes
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
 from chirplake.llm.sharding import uniform_shards
 from chirplake.llm.ngram_lm import score_texts
@@ -109,6 +110,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash tree of all `documents` by lang; a seventh of the leaves, by CRC-32 of doc_id, is tampered with and folded with its proof."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    values = {c: F.col(c) for c in docs.columns}
+    tampered = values | {"n_chars": F.when(crc_mod("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    docs = docs.withColumn("_seen", leaf_hash(*tampered.values()))
+    tree = manifest(docs, group="lang", order=["doc_id"], leaf=leaf_hash(*values.values()), carry=["doc_id", "_seen"])
+    tree = tree.withColumn("folded_root", folded(F.col("_seen"), F.col("proof"))).withColumn("proof_sha256", F.sha2(proof_nodes(F.col("proof")), 256))
+    return tree.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lang_id": op2_lang_id,
@@ -120,8 +132,17 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_surrogates": op9_surrogates,
     "op10_warc": op10_warc,
+    "op12_merkle": op12_merkle,
 }
 
+
+
+def _leaf_sql(n_chars: str) -> str:
+    """SQL of a leaf's hash, with an expression for n_chars."""
+    values = (f"({v})::VARCHAR" for v in ("doc_id", "source", "lang", n_chars, "text"))
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
 ORACLES = {
     "op5_mixing": r"""
 WITH d AS (
@@ -180,5 +201,41 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id OR page_id IS NULL THEN first END AS refers_to
 FROM h
+""",
+    "op12_merkle": f"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR i IN range(256)] AS t),
+m AS (
+  SELECT documents.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) % 7 = 0 AS hit FROM documents, crc),
+d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS g,
+    {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + coalesce(hit, false)::INT")} AS seen FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up(g, level, pos, h, n) AS (
+  SELECT g, 0, pos, leaf, count(*) OVER (PARTITION BY g) FROM p
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY g, level, pos // 2),
+l AS (SELECT g, h AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos FROM up WHERE n = 1),
+above(level, pos, h, n) AS (
+  SELECT 0, pos, subroot, count(*) OVER () FROM l
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM above WHERE n > 1 GROUP BY level, pos // 2),
+own AS (
+  SELECT p.g, p.pos, u.level, CASE WHEN (p.pos >> u.level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS side
+  FROM p JOIN (SELECT DISTINCT g, level FROM up WHERE n > 1) u USING (g)
+  LEFT JOIN up s ON s.g = p.g AND s.level = u.level AND s.pos = xor(p.pos >> u.level, 1)),
+over_ AS (
+  SELECT l.g, u.level, CASE WHEN (l.pos >> u.level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS side
+  FROM l, (SELECT DISTINCT level FROM above WHERE n > 1) u LEFT JOIN above s ON s.level = u.level AND s.pos = xor(l.pos >> u.level, 1)),
+own_path AS (SELECT g, pos, list(side ORDER BY level) AS path FROM own GROUP BY g, pos),
+over_path AS (SELECT g, list(side ORDER BY level) AS path FROM over_ GROUP BY g),
+w AS (
+  SELECT doc_id, leaf, seen, subroot, (SELECT h FROM above WHERE n = 1) AS root, list_concat(coalesce(o.path, []), coalesce(v.path, [])) AS path
+  FROM p JOIN l USING (g) LEFT JOIN own_path o ON o.g = p.g AND o.pos = p.pos LEFT JOIN over_path v ON v.g = p.g),
+x AS (
+  SELECT *, list_reduce(list_prepend(seen, path), lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s[2:] FOR s IN path], '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM x
 """,
 }
