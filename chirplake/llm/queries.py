@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.llm import lang_id, pieces
+from chirplake.llm.line_dedup import dedup_lines
 from chirplake.llm.line_rules import line_quality
 from chirplake.llm.merkle import folded, leaf_hash, manifest, proof_nodes
 from chirplake.llm.mixing import mix_sources, symbol_quality, word_count
@@ -121,6 +122,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` without the lines that ten documents or more have."""
+    return dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lang_id": op2_lang_id,
@@ -133,6 +139,7 @@ QUERIES = {
     "op9_surrogates": op9_surrogates,
     "op10_warc": op10_warc,
     "op12_merkle": op12_merkle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
@@ -237,5 +244,15 @@ x AS (
   SELECT *, list_reduce(list_prepend(seen, path), lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root FROM w)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s[2:] FOR s IN path], '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM x
+""",
+    "op13_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT *, [translate(trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR x IN lines] AS keys FROM d),
+f AS (SELECT key FROM (SELECT r, unnest(keys) AS key FROM k) WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+l AS (SELECT r, unnest(lines) AS line, unnest(keys) AS key, unnest(range(len(lines))) AS nth FROM k),
+s AS (
+  SELECT r, count(*) AS n_lines, count(f.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE f.key IS NULL), '') AS kept
+  FROM l LEFT JOIN f USING (key) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN s USING (r)
 """,
 }
