@@ -191,7 +191,7 @@ def dedup_lines(
         work = docs
     else:
         table = None
-        work = _with_lines(docs, repeated, rows.marks, twice, least_chars)
+        work = _with_lines(docs, repeated, rows.marks or 0, twice, least_chars)
 
     schema = T.StructType([docs.schema["_carried"], *T.StructType.fromDDL("n_lines long, n_dropped long, kept_sha256 string, left string").fields])
 

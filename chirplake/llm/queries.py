@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import lang_id, pieces
+from chirplake.llm import lang_id, pieces, whitening
 from chirplake.llm.line_dedup import dedup_lines
 from chirplake.llm.line_rules import line_quality
 from chirplake.llm.merkle import folded, leaf_hash, manifest, proof_nodes
@@ -111,6 +111,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of `embeddings`, whitened on up to eight components."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return whitening.whitened(vectors, whitening.fit(vectors, vector="embedding"), vector="embedding", carry=["vec_id"])
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash tree of all `documents` by lang; a seventh of the leaves, by CRC-32 of doc_id, is tampered with and folded with its proof."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
@@ -138,6 +144,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_surrogates": op9_surrogates,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
     "op12_merkle": op12_merkle,
     "op13_line_dedup": op13_line_dedup,
 }
