@@ -41,6 +41,7 @@ class Held:
     level: float
     armed: float
     template: int | None = None
+    accept: bool | None = None
 
 
 class Detector:
@@ -75,31 +76,35 @@ class Detector:
         else:
             self.thresholds[item] = threshold
 
-    def _fire(self, now: float) -> dict | None:
+    def _fire(self, now: float, onset: bool | None = None) -> dict | None:
         held, self.held = self.held, None
         if held is None:
             return None
-        if self.confirm and not self.confirm(held):
+        if held.accept is False or onset is False or self.confirm and not self.confirm(held):
             self.counts["rejected"] += 1  # the timers stay as they are
             return None
         self.last[held.item] = self.last_any = now
         self.counts["fired"] += 1
         return {"item": held.item, "score": held.score, "margin": held.margin, "level": held.level, "at": now}
 
-    def step(self, now: float, level: float | None, ranking: list[tuple]) -> dict | None:
-        """ranking: (item, score[, template]) in rank order, None level: digital silence."""
+    def step(self, now: float, level: float | None, ranking: list[tuple], accept: bool | None = None, onset: bool | None = None) -> dict | None:
+        """ranking: (item, score[, template]) in rank order, None level: digital silence.
+
+        accept: whether the window would be confirmed as its first item; it stays with the window that is held. onset: whether a sound has
+        set in by this window; it counts when the window fires what is held. A False refuses the event, and the timers stay.
+        """
         r = self.rules
         self.counts["ticks"] += 1
         if level is None or level < r.gate_db:
             self.counts["silent"] += 1
-            return self._fire(now)
+            return self._fire(now, onset)
         if not ranking:
-            return self._fire(now)
+            return self._fire(now, onset)
         item, score, *template = ranking[0]
         rival = next((s for i, s, *_ in ranking[1 : r.top] if i != item), None)
         margin = None if rival is None else score - rival
         good = score >= self.thresholds.get(item, r.threshold) and (margin is None or margin >= r.margin)
-        found = Held(item, score, margin, level, now, template[0] if template else None)
+        found = Held(item, score, margin, level, now, template[0] if template else None, accept)
         held = self.held
         if held:
             same = held.item == item
@@ -107,7 +112,7 @@ class Detector:
                 found.armed = held.armed
                 self.held = held = found
             if not same or score < held.score - r.hold_drop or now - held.armed >= r.hold_ms or not good:
-                return self._fire(now)
+                return self._fire(now, onset)
             return None
         cooling = item in self.last and now - self.last[item] < r.cooldowns.get(item, r.cooldown_ms)
         waiting = self.last_any is not None and now - self.last_any < r.refractory_ms
@@ -115,7 +120,7 @@ class Detector:
             self.counts["rejected"] += 1
             return None
         self.held = found
-        return self._fire(now) if r.hold_ms < 0 else None
+        return self._fire(now, onset) if r.hold_ms < 0 else None
 
 
 EVENTS = "stream long, item string, score double, margin double, level double, at double"
@@ -132,22 +137,31 @@ def with_changes(scores: DataFrame, changes: DataFrame, time: str = "t") -> Data
     return scores.unionByName(changes.select(*[values.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in ("stream", time, "level", "rk", "item", "score")]))
 
 
+#: The rank of a row that ends a stream; it is no window.
+END = -1
+#: Columns of what is known about a window before it is stepped through; null: nothing.
+EVIDENCE = ["accept", "onset"]
+
+
 def run(detector: Detector, rows: Iterable[tuple]) -> Iterator[tuple]:
-    """Takes the detector through (t, level, rk, item, score), sorted by t, rk, item and score, and gives its events' values.
+    """Takes the detector through (t, level, rk, item, score, accept, onset), sorted by t, rk, item and score, and gives its events' values.
 
-    Rows without an item are windows without a result; rows of rank 0 are changes.
+    Rows without an item are windows without a result; rows of rank 0 are changes, those of rank END nothing.
+    Evidence counts from the window's first row.
     """
     for t, window in groupby(rows, key=lambda r: r[0]):
-        level, ranking, seen = None, [], False
-        for _, loud, rk, item, score in window:
+        level, ranking, known, seen = None, [], (None, None), False
+        for _, loud, rk, item, score, *evidence in window:
             if rk == 0:
                 detector.change(item, score)
                 continue
+            if rk == END:
+                continue
             if not seen:
-                level, seen = loud, True
+                level, known, seen = loud, evidence or known, True
             if item is not None:
                 ranking.append((item, score))
-        event = detector.step(float(t), level, ranking) if seen else None
+        event = detector.step(float(t), level, ranking, *known) if seen else None
         if event:
             yield tuple(event.values())
 
@@ -158,12 +172,16 @@ COLUMNS = ["stream", "t", "level", "rk", "item", "score"]
 
 def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """Each stream with its rows without it."""
-    for stream, rows in groupby(plain_rows(batches, COLUMNS), key=lambda r: r[0]):
+    for stream, rows in groupby(plain_rows(batches, COLUMNS + EVIDENCE), key=lambda r: r[0]):
         yield stream, (r[1:] for r in rows)
 
 
+def _with_evidence(scores: DataFrame) -> DataFrame:
+    return scores.select(*COLUMNS, *[F.col(c) if c in scores.columns else F.lit(None).cast("boolean").alias(c) for c in EVIDENCE])
+
+
 def detect(scores: DataFrame, rules: Rules, confirm: Callable[[Held], bool] | None = None) -> DataFrame:
-    """scores: (stream, t in ms, level, rk, item, score), the ranked items of each window. Gives the events.
+    """scores: (stream, t in ms, level, rk, item, score, and accept and onset where there is evidence), the ranked items of each window. Gives the events.
 
     A stream's windows are stepped through in time order, a batch in memory at a time; what is
     still held at its end isn't fired. A null stream is a stream.
@@ -173,7 +191,7 @@ def detect(scores: DataFrame, rules: Rules, confirm: Callable[[Held], bool] | No
         found = ((stream, *event) for stream, rows in _streams(batches) for event in run(Detector(rules, confirm), rows))
         yield from in_batches(found, ["stream", "item", "score", "margin", "level", "at"])
 
-    return in_order(scores.select(*COLUMNS), ["stream"], ORDER).mapInPandas(work, EVENTS)
+    return in_order(_with_evidence(scores), ["stream"], ORDER).mapInPandas(work, EVENTS)
 
 
 def outcomes(scores: DataFrame, rules: Rules) -> DataFrame:
@@ -189,4 +207,4 @@ def outcomes(scores: DataFrame, rules: Rules) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from in_batches(counted(batches), ["stream", "ticks", "silent", "rejected", "fired"])
 
-    return in_order(scores.select(*COLUMNS), ["stream"], ORDER).mapInPandas(work, "stream long, ticks long, silent long, rejected long, fired long")
+    return in_order(_with_evidence(scores), ["stream"], ORDER).mapInPandas(work, "stream long, ticks long, silent long, rejected long, fired long")

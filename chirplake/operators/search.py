@@ -49,12 +49,107 @@ def _best_in_block(windows: pd.DataFrame, templates: pd.DataFrame) -> pd.DataFra
     return pd.concat(parts)
 
 
-def search(windows: DataFrame, templates: DataFrame) -> DataFrame:
+#: Bound of the templates that every task holds; above it windows and templates meet in blocks.
+MOST_BYTES = 32 << 20
+#: Templates of one pivot, on average, and rounds that settle the pivots.
+PER_PIVOT, ROUNDS = 64, 4
+#: What rounding may add to a score.
+SLACK = 2e-9
+
+
+class Pivots:
+    """Templates of a checked size in groups around pivots, each of one item. By the triangle inequality of angles a window's score with a
+    group's members is at most that at the angle to the pivot less the group's radius, so that whole groups can be left out; results stay exact."""
+
+    def __init__(self, q: np.ndarray, scale: np.ndarray, items: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((ids, items))
+        q, scale, items, ids = q[order].astype(np.float64), scale[order], items[order], ids[order]
+        parts = [rows[part] for rows in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1) if len(rows) for part in self._grouped(q[rows])]
+        self.items = np.unique(items)
+        self.owner = np.searchsorted(self.items, items[[p[0] for p in parts]]) if parts else np.zeros(0, int)
+        self.groups = [(q[p], scale[p], ids[p]) for p in parts]
+        dim = q.shape[1] if q.ndim == 2 else 0
+        self.centres, self.radii, self.least, self.most = np.zeros((len(parts), dim)), np.zeros(len(parts)), np.zeros(len(parts)), np.zeros(len(parts))
+        for k, (codes, steps, _) in enumerate(self.groups):
+            t = codes * steps[:, None]
+            norms = np.linalg.norm(t, axis=1)
+            unit = t / np.maximum(norms, 1e-300)[:, None]
+            centre = unit.sum(0)
+            self.centres[k] = centre / max(np.linalg.norm(centre), 1e-300)
+            # A zero template scores 0 with all: its group is never left out.
+            self.radii[k] = np.pi if (norms == 0).any() else np.arccos(np.clip(unit @ self.centres[k], -1, 1)).max() + 1e-7
+            self.least[k], self.most[k] = norms.min(), norms.max()
+
+    @staticmethod
+    def _grouped(q: np.ndarray) -> list[np.ndarray]:
+        """Places of one item's templates in groups of near ones: a few rounds of means from evenly spaced starts; places ascend within a group."""
+        n = -(-len(q) // PER_PIVOT)
+        unit = q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]
+        centres = unit[np.linspace(0, len(q) - 1, n).astype(int)]
+        for _ in range(ROUNDS):
+            at = (unit @ centres.T).argmax(1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, at, unit)
+            norms = np.linalg.norm(sums, axis=1)
+            centres = np.where(norms[:, None] > 0, sums / np.maximum(norms, 1e-300)[:, None], centres)
+        at = (unit @ centres.T).argmax(1)
+        return [np.flatnonzero(at == k) for k in range(n) if (at == k).any()]
+
+    def best(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window and item the best score and its template, the smallest id on ties; and how many templates each window was compared with."""
+        norms = np.linalg.norm(v, axis=1)
+        angle = np.arccos(np.clip((v / np.maximum(norms, 1e-300)[:, None]) @ self.centres.T, -1, 1)) - self.radii
+        near = np.cos(np.maximum(angle, 0))
+        bound = np.round(np.clip(norms[:, None] * near * np.where(near >= 0, self.most, self.least), -1, 1), 9) + SLACK
+        top, at, compared = np.full((len(v), len(self.items)), -np.inf), np.zeros((len(v), len(self.items)), np.int64), np.zeros(len(v), np.int64)
+        for k in np.argsort(-bound.mean(0)):
+            item = self.owner[k]
+            rows = np.flatnonzero(bound[:, k] >= top[:, item])
+            if not len(rows):
+                continue
+            codes, steps, ids = self.groups[k]
+            score = np.round(np.clip((v[rows] @ codes.T) * steps, -1, 1), 9)
+            compared[rows] += len(ids)
+            place = score.argmax(1)
+            found, own = score[np.arange(len(rows)), place], ids[place]
+            better = (found > top[rows, item]) | (found == top[rows, item]) & (own < at[rows, item])
+            top[rows[better], item], at[rows[better], item] = found[better], own[better]
+        return top, at, compared
+
+
+COMPARED = HITS + ", compared long"
+
+
+def _held(templates: DataFrame, most_bytes: int) -> pd.DataFrame | None:
+    """The templates on the driver, or None if they are over the bound."""
+    size = templates.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(1)).alias("dim")).first()
+    return templates.toPandas() if 8 * size.n * size.dim <= most_bytes else None
+
+
+def pruned_search(windows: DataFrame, templates: pd.DataFrame) -> DataFrame:
+    """As `search`, with `compared`, the number of templates that the window was compared with; each task holds the pivots and takes windows in batches."""
+    pivots = windows.sparkSession.sparkContext.broadcast(Pivots(np.stack(templates["q"].to_numpy()), templates["scale"].to_numpy(), templates["item"].to_numpy(), templates["template_id"].to_numpy()))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), TILE[0]):
+                part = batch.iloc[k : k + TILE[0]]
+                top, at, compared = pivots.value.best(np.stack(part["v"].to_numpy()).astype(np.float64))
+                items = pivots.value.items
+                yield pd.DataFrame({"window_id": np.repeat(part["window_id"].to_numpy(), len(items)), "item": np.tile(items, len(part)), "template_id": at.ravel(), "score": top.ravel(), "compared": np.repeat(compared, len(items))})
+
+    return windows.select("window_id", "v").mapInPandas(run, COMPARED)
+
+
+def search(windows: DataFrame, templates: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """windows: (window_id, v). The best template of each item for each window, over all templates.
 
-    Windows and templates meet in blocks, each pair of blocks in one task as a matrix product that
-    leaves a row for each window and item; neither side is broadcast or held whole.
+    Up to most_bytes of templates are held by every task around pivots. More of them meet the windows in blocks, each pair of blocks in one task as a
+    matrix product that leaves a row for each window and item; neither side is broadcast or held whole then. Both give the same rows.
     """
+    held = _held(templates, most_bytes)
+    if held is not None:
+        return pruned_search(windows, held).select("window_id", "item", "template_id", "score") if len(held) else windows.sparkSession.createDataFrame([], HITS)
     spark = windows.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_t = max(1, -(-templates.count() // TEMPLATES))

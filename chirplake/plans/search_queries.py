@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chirplake.functions import vectors as V
 from chirplake.operators import search as S
+from chirplake.operators.confirm import confirmed_by_search
 
 LEAST, MARGIN = 0.36, 0.03
 
@@ -87,6 +88,15 @@ def confirm_score(spark, sf_dir):
     return S.confirmed(live, e.where("vec_id % 7 = 0 and label < 8").select(F.col("label").alias("item"), V.doubles("embedding").alias("u"))).select("window_id", "item", F.round("confirm", 6).alias("confirm"))
 
 
+def confirm_gate(spark, sf_dir):
+    """Every third vector as a window of its own label, against the variants of all labels, every seventh."""
+    e = _embeddings(spark, sf_dir)
+    live = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("window_id"), F.col("label").alias("item"), V.doubles("embedding").alias("v"))
+    variants = e.where("vec_id % 7 = 0 and label < 8").select(F.col("vec_id").alias("variant_id"), F.col("label").alias("item"), F.col("embedding").alias("u"))
+    told = confirmed_by_search(live, variants, least=0.3)
+    return told.select("window_id", "item", F.round("confirm", 6).alias("confirm"), F.round("rival", 6).alias("rival"), "accept")
+
+
 def frame_mean(spark, sf_dir):
     return _embeddings(spark, sf_dir).select("vec_id", F.round(V.mean(V.doubles("embedding")), 9).alias("mean"))
 
@@ -151,7 +161,7 @@ g AS (SELECT window_id, item, rk, score, score - lead(score) OVER (PARTITION BY
 k AS (SELECT window_id, item, round(score, 6) AS score, round(margin, 6) AS margin, score >= 0.36 AND (margin IS NULL OR round(margin, 6) >= 0.03) AS fired FROM g WHERE rk = 1)
 """
 
-QUERIES = {f.__name__: f for f in (template_search, best_sample, identify_verdict, identify_items, similarity_matrix, margin_gate, gate_outcomes, rival_veto, threshold_overlay, hit_enrichment, confirm_score, frame_mean, index_build_report, quantise_roundtrip_snr, patch_normalise, usable_patches, mean_pool, mel_projection, template_spectrum_peaks)}
+QUERIES = {f.__name__: f for f in (template_search, best_sample, identify_verdict, identify_items, similarity_matrix, margin_gate, gate_outcomes, rival_veto, threshold_overlay, hit_enrichment, confirm_score, confirm_gate, frame_mean, index_build_report, quantise_roundtrip_snr, patch_normalise, usable_patches, mean_pool, mel_projection, template_spectrum_peaks)}
 
 ORACLES = {
     "template_search": _BASE + "SELECT window_id, item, template_id, round(score, 6) AS score, rk FROM r WHERE rk <= 5",
@@ -168,6 +178,10 @@ SELECT window_id, item, threshold, round(score, 6) >= threshold AS passes FROM c
     "hit_enrichment": _BASE + """, p AS (SELECT p_partkey - 1 AS item, p_brand || '｜' || p_name AS label FROM part)
 SELECT window_id, item, rk, CASE WHEN length(label) > 20 THEN substr(label, 1, 19) || '…' ELSE label END AS label FROM r LEFT JOIN p USING (item) WHERE rk <= 3""",
     "confirm_score": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT a.vec_id AS window_id, a.label AS item, round(max(CASE WHEN b.v IS NULL THEN -1 ELSE greatest(-1, least(1, list_inner_product(a.v, b.v))) END), 6) AS confirm FROM e a LEFT JOIN (SELECT * FROM e WHERE vec_id % 7 = 0 AND label < 8) b ON a.label = b.label WHERE a.vec_id % 3 = 0 GROUP BY ALL",
+    "confirm_gate": """WITH e AS (SELECT vec_id, label::BIGINT AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT a.vec_id, a.label, b.label AS other, max(round(greatest(-1, least(1, list_inner_product(a.v, b.v))), 9)) AS score FROM e a LEFT JOIN (SELECT * FROM e WHERE vec_id % 7 = 0 AND label < 8) b ON TRUE WHERE a.vec_id % 3 = 0 GROUP BY ALL),
+m AS (SELECT vec_id, label, coalesce(max(score) FILTER (WHERE other = label), -1) AS confirm, max(score) FILTER (WHERE other <> label) AS rival FROM s GROUP BY ALL)
+SELECT vec_id AS window_id, label AS item, round(confirm, 6) AS confirm, round(rival, 6) AS rival, confirm >= 0.3 AND NOT coalesce(rival > round(confirm - 0.06, 9), FALSE) AS accept FROM m""",
     "frame_mean": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 9) AS mean FROM embeddings",
     "index_build_report": _BASE + "SELECT label AS item, count(*) AS built, count(*) FILTER (scale = 0) AS unusable, count(*) * 64 AS bytes FROM t WHERE vec_id % 5 <> 0 GROUP BY ROLLUP (label)",
     "quantise_roundtrip_snr": _BASE + "SELECT vec_id, round(scale, 9) AS scale, round(10 * log10(list_inner_product(v, v) / list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2] * scale) * (z[1] - z[2] * scale)))), 1) AS snr_db FROM t",

@@ -2,74 +2,165 @@
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from chirplake.operators.detector import EVENTS, Detector, Rules
+from chirplake.operators.detector import END, EVIDENCE, Detector, Held, Rules
 from chirplake.operators.detector import run as steps
 
-STATE = "detector string, waiting string"
+#: Settings of the session: the provider that state of several variables and timers needs; and timers of the engine's time run with batches that
+#: have data, as otherwise Spark goes on with empty ones without end, under `availableNow` too.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+WAITING = "t double, level double, rk int, item string, score double, accept boolean, onset boolean"
+HELD = "item string, score double, margin double, level double, armed double, template long, accept boolean"
+COUNTS = ("ticks", "silent", "rejected", "fired")
+OUTCOMES = "kind string, n long, " + ", ".join(f"{c} long" for c in COUNTS) + ", item string, score double, margin double, level double, at double"
 
 
-def detect_stream(scores: DataFrame, rules: Rules, late_ms: int = 10_000) -> DataFrame:
-    """scores: a stream of (stream, ts, level, rk, item, score). Gives the same events as the batch form.
+def _plain(value):
+    return None if value is None or isinstance(value, float) and math.isnan(value) else value
 
-    Rows wait in the state until the watermark has passed them, so that windows are stepped
-    through in event time whatever order files come in; rows later than late_ms are dropped by
-    the watermark. State is the detector's and the rows that wait. Thresholds change and detectors
-    are reset while the stream runs by rows of rank 0, which `with_changes` adds from a second stream.
+
+class Stepper(StatefulProcessor):
+    """One stream's detector. State: the rows that wait, the held candidate, timers and thresholds by item, counts and clocks.
+
+    The stream's clock is its latest time; what lies late_ms behind it is stepped through in order. A row that comes when its time has
+    been stepped through is late. A stream that brings nothing for idle_ms of the engine's time is stepped through to its end and forgotten.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        d, waiting = Detector(rules), []
-        if state.exists:
-            saved, held = state.get
-            d.restore(json.loads(saved))
-            waiting = json.loads(held)
-        for rows in batches:
-            rows = rows.assign(t=rows["ts"].astype("int64") / (1e6 if rows["ts"].dtype.str.endswith("[ns]") else 1e3))
-            rows = rows[["t", "level", "rk", "item", "score"]].astype(object)
-            waiting += rows.where(rows.notna(), None).to_numpy().tolist()
-        mark = state.getCurrentWatermarkMs()
-        ready = [w for w in waiting if w[0] <= mark]
-        waiting = [w for w in waiting if w[0] > mark]
-        events = []
-        if ready:
-            ready.sort(key=lambda w: (w[0], w[2], w[3] is not None, w[3] or "", w[4] is not None, w[4] or 0.0))
-            events = list(steps(d, ready))
-        state.update((json.dumps(d.state()), json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(int(max(mark + 1, min(w[0] for w in waiting))))
-        out = pd.DataFrame(events, columns=["item", "score", "margin", "level", "at"])
+    def __init__(self, rules: Rules, late_ms: float, idle_ms: int):
+        self.rules, self.late_ms, self.idle_ms = rules, late_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.held = handle.getValueState("held", HELD)
+        self.clocks = handle.getValueState("clocks", "clock double, done double, last_any double, " + ", ".join(f"{c} long" for c in COUNTS))
+        self.fired = handle.getMapState("fired", "item string", "t double")
+        self.thresholds = handle.getMapState("thresholds", "item string", "threshold double")
+
+    def _restored(self) -> tuple[Detector, float, float]:
+        d, clock, done = Detector(self.rules), -math.inf, -math.inf
+        if self.clocks.exists():
+            clock, done, d.last_any, *counts = map(_plain, self.clocks.get())
+            d.counts = dict(zip(COUNTS, map(int, counts)))
+            d.last = {k[0]: v[0] for k, v in self.fired.iterator()}
+            d.thresholds = {k[0]: v[0] for k, v in self.thresholds.iterator()}
+            if self.held.exists():
+                d.held = Held(*map(_plain, self.held.get()))
+        return d, clock, done
+
+    def _saved(self, d: Detector, clock: float, done: float) -> None:
+        self.clocks.update((clock, done, d.last_any, *d.counts.values()))
+        if d.held:
+            self.held.update(astuple(d.held))
+        else:
+            self.held.clear()
+        for state, values in ((self.fired, d.last), (self.thresholds, d.thresholds)):
+            state.clear()
+            for k, v in values.items():
+                state.updateValue((k,), (v,))
+
+    def _stepped(self, d: Detector, rows: list[tuple], before: dict) -> list[tuple]:
+        rows.sort(key=lambda w: (w[0], w[2], w[3] is not None, w[3] or "", w[4] is not None, w[4] or 0.0))
+        events = [("event", None, None, None, None, None, *e) for e in steps(d, rows)]
+        # A reset starts the counts anew.
+        moved = [now - was if now >= was else now for now, was in zip(d.counts.values(), before.values())]
+        return [*events, ("stepped", len(rows), *moved, None, None, None, None, None)]
+
+    def _out(self, key: tuple, made: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(made, columns=["kind", "n", *COUNTS, "item", "score", "margin", "level", "at"])
         out.insert(0, "stream", key[0])
-        yield out
+        return out.astype({c: "Int64" for c in ("n", *COUNTS)}).astype({c: "float64" for c in ("score", "margin", "level", "at")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        d, clock, done = self._restored()
+        new, late, ended = [], [], False
+        for batch in rows:
+            # Whole microseconds fit a double, nanoseconds don't.
+            values = batch.assign(t=batch["ts"].astype("datetime64[us]").astype("int64") / 1e3)[["t", "level", "rk", "item", "score", *EVIDENCE]].astype(object)
+            for r in values.where(values.notna(), None).itertuples(index=False, name=None):
+                ended |= r[2] == END
+                (late if r[0] <= done else new).append(r)
+        made = [("late", 1, None, None, None, None, r[3], r[4], None, r[1], r[0]) for r in late]
+        clock = max([clock, *(r[0] for r in new)])
+        mark = math.inf if ended else clock - self.late_ms
+        held = [tuple(map(_plain, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = [r for r in held + new if r[0] <= mark]
+        if ready:
+            before = dict(d.counts)
+            made += self._stepped(d, ready, before)
+            rest = [r for r in held + new if r[0] > mark]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            done = max(r[0] for r in ready) if ended else max(done, mark)
+        elif new:
+            self.waiting.appendList(new)
+        self._saved(d, clock, done)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._out(key, made)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        d, _, _ = self._restored()
+        held = [tuple(map(_plain, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        made = self._stepped(d, held, dict(d.counts)) if held else []
+        for state in (self.waiting, self.held, self.clocks, self.fired, self.thresholds):
+            state.clear()
+        yield self._out(key, made)
+
+
+def outcome_stream(scores: DataFrame, rules: Rules, late_ms: float = 10_000, idle_ms: int = 600_000) -> DataFrame:
+    """scores: a stream of (stream, ts, level, rk, item, score, and accept and onset where there is evidence), whatever order its rows come in.
+
+    Gives rows of three kinds: `event`, as the batch form gives; `late`, a row whose time its stream had passed by more than late_ms, with its
+    values; and `stepped`, how many rows were taken through the detector in a batch, with the outcomes of their windows. What is read is late, stepped or
+    waits. Each stream has a clock of its own, so that one that runs behind loses nothing to another. Rows of rank 0 change thresholds or reset
+    (`with_changes`); a row of rank END ends a stream: all that waits is stepped through. After idle_ms without rows a stream is ended and its state removed.
+    """
+    for name, value in SETTINGS.items():
+        scores.sparkSession.conf.set(name, value)
+    kinds = {f.name: f.dataType for f in scores.schema.fields}
+    rows = scores.select("stream", "ts", "level", F.col("rk").cast("int").alias("rk"), F.col("item").cast("string").alias("item"), "score", *[F.col(c) if c in kinds else F.lit(None).cast("boolean").alias(c) for c in EVIDENCE])
+    return rows.groupBy("stream").transformWithStateInPandas(Stepper(rules, late_ms, idle_ms), f"stream {kinds['stream'].simpleString()}, {OUTCOMES}", "Append", "ProcessingTime")
+
+
+EVENT = ("stream", "item", "score", "margin", "level", "at")
+
 
-    marked = scores.withWatermark("ts", f"{late_ms} milliseconds")
-    return marked.groupBy("stream").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def events_of(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where("kind = 'event'").select(*EVENT)
 
 
-def csv_lines(events: DataFrame) -> DataFrame:
-    """Event lines: time in ms, item, score and margin with 4 places (+inf without a rival), level with 2 (-inf for silence)."""
-    number = lambda c, n, none: F.when(F.abs(c) < float("inf"), F.format_string(f"%.{n}f", F.col(c))).otherwise(none)
-    return events.select(F.col("at").cast("long").alias("time"), "stream", "item", number("score", 4, "").alias("score"), number("margin", 4, "+inf").alias("margin"), number("level", 2, "-inf").alias("level"))
+def late_of(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where("kind = 'late'").select("stream", "at", "item", "score", "level")
 
 
-def json_lines(events: DataFrame) -> DataFrame:
-    """One JSON document an event; what isn't finite is null."""
-    finite = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) for c in ("score", "margin", "level")]
-    return events.select(F.to_json(F.struct("stream", "item", *finite, "at"), {"ignoreNullFields": "false"}).alias("value"))
+def counts_of(outcomes: DataFrame) -> DataFrame:
+    """Each stream's rows and outcomes so far, of a finished table of outcomes."""
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == "stepped", F.col(c))), F.lit(0)).alias(c) for c in COUNTS]
+    return outcomes.groupBy("stream").agg(F.coalesce(F.sum(F.when(F.col("kind") == "stepped", F.col("n"))), F.lit(0)).alias("stepped"), F.count_if(F.col("kind") == "late").alias("late"), *sums)
 
 
-def fan_out(events: DataFrame, sinks: dict, checkpoint: str):
-    """Starts a query that gives each micro-batch to all sinks (name to a function of DataFrame and batch id)."""
+def detect_stream(scores: DataFrame, rules: Rules, late_ms: float = 10_000, idle_ms: int = 600_000) -> DataFrame:
+    """The events of outcome_stream alone."""
+    return events_of(outcome_stream(scores, rules, late_ms, idle_ms))
 
-    def give(batch: DataFrame, n: int) -> None:
-        for write in sinks.values():
-            write(batch, n)
 
-    return events.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint)
+def with_ends(scores: DataFrame, ends: DataFrame) -> DataFrame:
+    """Adds a row of rank END for each (stream, ts) of ends: all that waits there is stepped through."""
+    kinds = {f.name: f.dataType for f in scores.schema.fields}
+    values = {"stream": F.col("stream"), "ts": F.col("ts"), "rk": F.lit(END)}
+    return scores.unionByName(ends.select(*[values.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]))

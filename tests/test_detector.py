@@ -5,7 +5,8 @@ import pandas as pd
 
 from chirplake.operators.detector import Detector, Rules, detect, outcomes, with_changes
 from chirplake.operators.series import cooldown
-from chirplake.streaming.detection import csv_lines, detect_stream, json_lines
+from chirplake.streaming.detection import detect_stream
+from chirplake.streaming.fanout import csv_lines, json_lines
 
 NO_HOLD = Rules(hold_ms=-1)
 
