@@ -62,12 +62,47 @@ def amplitude(pcm: Column, cycles: Column) -> Column:
 def power(frames: pd.Series) -> pd.Series:
     """One-sided power spectra of tapered frames; all bins but the first and last count twice."""
 
-    def one(frame: np.ndarray) -> np.ndarray:
-        p = np.abs(np.fft.rfft(frame)) ** 2
-        p[1:-1] *= 2
-        return p
+    out = [None] * len(frames)
+    sizes = frames.map(lambda x: -1 if x is None else len(x))
+    for n in sizes.unique():  # frames of one length are transformed at once
+        at = np.flatnonzero(sizes == n)
+        if n > 0:
+            p = np.abs(np.fft.rfft(np.stack(frames.iloc[at].to_numpy()))) ** 2
+            p[:, 1:-1] *= 2
+        for k, row in zip(at, p if n > 0 else [None if n < 0 else np.zeros(0)] * len(at)):
+            out[k] = row
+    return pd.Series(out)
 
-    return frames.map(one)
+
+def smoothed(v: Column, half: int) -> Column:
+    """Centred mean over 2 * half + 1 places; the window is cut at the ends."""
+
+    def at(k: Column) -> Column:
+        low, high = F.greatest(k - half, F.lit(0)), F.least(k + half, F.size(v) - 1)
+        return V.total(F.slice(v, low + 1, high - low + 1)) / (high - low + 1)
+
+    return F.transform(F.sequence(F.lit(0), F.size(v) - 1), at)
+
+
+#: Fixed values of the confirm embedding: patches' distance from the peak in frames, and the half width of its smoothing.
+OFFSETS, EMBED_HALF = (-8, 0, 8), 4
+
+
+def confirm_patch(frames: Column, n: int, offsets: tuple[int, ...] = OFFSETS, half: int = EMBED_HALF) -> Column:
+    """The mean of unit patches of n frames, centred on the loudest frame (smoothed, the first on ties) and `offsets` away, starts kept
+    inside the recording; null for fewer frames than n. frames: arrays of log-mel bands."""
+    energies = F.transform(frames, lambda f: V.dot(f, f))
+    last = F.size(frames) - n
+
+    def patches(peak: Column) -> Column:
+        starts = [F.greatest(F.lit(0), F.least(peak + k - (n - 1) // 2, last)) for k in offsets]
+        return F.array(*[V.patch_normalise(F.flatten(F.slice(frames, s + 1, F.lit(n)))) for s in starts])
+
+    def pooled(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p[0]) - 1), lambda k: V.total(F.transform(p, lambda x: F.get(x, k))) / len(offsets))
+
+    peak = lambda sm: (F.array_position(sm, F.array_max(sm)) - 1).cast("int")
+    return F.when(F.size(frames) >= n, V.let(V.let(V.let(smoothed(energies, half), peak), patches), pooled))
 
 
 def projected(dim: int):

@@ -26,11 +26,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def scale_of(v: Column) -> Column:
-    """The int8 step: the greatest magnitude over 127."""
-    return F.array_max(F.transform(v, lambda x: F.abs(x))) / 127
+    """The int8 step: the greatest magnitude over 127; 0 where an entry isn't finite."""
+    return let(F.array_max(F.transform(v, lambda x: F.abs(x))), lambda most: F.when(most < float("inf"), most / 127).otherwise(0.0))
 
 
 def quantise(v: Column, scale: Column) -> Column:
+    """Codes by a step, halves away from zero; all 0 for a step of 0."""
     return F.transform(v, lambda x: F.when(scale > 0, F.least(F.lit(127.0), F.greatest(F.lit(-127.0), F.round(x / scale)))).otherwise(0.0))
 
 

@@ -37,17 +37,19 @@ def renumbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
 QUOTES = "「」《》\"'"
 
 
-def _grams(text: Column) -> Column:
-    """All distinct pieces of one to three characters."""
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(n)))
-    each = [cut(n) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(*each))
-
-
 def _parts(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs (part, whole) of which the part, not empty, is a piece of the whole: candidates share the part's first three characters."""
-    heads = inner.where("part <> ''").select("part", F.left("part", F.lit(3)).alias("gram"))
-    return heads.join(outer.select("whole", F.explode(_grams(F.col("whole"))).alias("gram")), "gram").where(F.contains("whole", "part")).select("part", "whole")
+    """Pairs (part, whole) of which the part, not empty, is a piece of the whole.
+
+    Of a whole only the pieces of lengths that parts have are looked at, so that what is looked up is linear in the text for each such length, and a
+    piece meets a part by equality of their hashes, then of themselves. Lengths are bounded by the longest name.
+    """
+    parts = inner.where("part <> ''").select("part", F.xxhash64("part").alias("_hash"))
+    lengths = [r[0] for r in parts.select(F.length("part")).distinct().collect()]
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("whole"))
+    spans = outer.select("whole", F.explode(fitting).alias("_n"))
+    pieces = spans.select("whole", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("whole") - F.col("_n") + 1), lambda k: F.substring("whole", k, F.col("_n"))))).alias("_piece"))
+    met = pieces.withColumn("_hash", F.xxhash64("_piece")).join(parts, "_hash")
+    return met.where(F.col("_piece") == F.col("part")).select("part", "whole")
 
 
 def resolved_names(wanted: DataFrame, assets: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -165,6 +165,11 @@ def best_per_item(hits: DataFrame) -> DataFrame:
     return hits.groupBy("window_id", "item").agg(best.alias("b")).select("window_id", "item", (-F.col("b.down")).alias("template_id"), "b.score")
 
 
+def with_provenance(hits: DataFrame, samples: DataFrame) -> DataFrame:
+    """samples: (template_id, ...), a row for each template. The hits with what their winning template was made of; a hit whose template has no sample is none."""
+    return hits.join(samples, "template_id")
+
+
 def ranked(hits: DataFrame, by: str, n: int = 0) -> DataFrame:
     """rk from 1 for each `by`, score descending, then item; the first n (0: all)."""
     out = hits.withColumn("rk", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "item")))

@@ -57,14 +57,14 @@ def clip_seconds(frames: Column) -> Column:
 
 
 def weak_anchors(frames: DataFrame, seconds: Column | None = None, around: int = 3, least_frames: int = 8, share: float = 0.25, rise_db: float = 9.0, least_seconds: float = 0.75) -> DataFrame:
-    """For each stream whether its peak stands out too little: bed is the mean of what is over `around` frames away.
+    """For each stream whether its anchor stands out too little: peak is the value at the anchor, the top of the smoothed curve (which need not be the
+    greatest value), and bed the mean of what is over `around` frames away from it.
 
     Streams of least_seconds or less, or of under least_frames frames, are never weak; `seconds` is told from the column frames.
     """
-    best = F.max(F.struct("value", (-F.col("frame")).alias("down")))
-    peaks = frames.groupBy("stream").agg(best.alias("b"), F.count("*").alias("frames")).select("stream", F.col("b.value").alias("peak"), (-F.col("b.down")).alias("at"), "frames")
-    bed = F.avg(F.when(F.abs(F.col("frame") - F.col("at")) > around, F.col("value"))).alias("bed")
-    out = frames.join(peaks, "stream").groupBy("stream", "peak", "at", "frames").agg(bed)
+    peaks = anchors(moving_average(frames)).select("stream", F.col("anchor").alias("at"), "frames")
+    far = F.abs(F.col("frame") - F.col("at")) > around
+    out = frames.join(peaks, "stream").groupBy("stream", "at", "frames").agg(F.max(F.when(F.col("frame") == F.col("at"), F.col("value"))).alias("peak"), F.avg(F.when(far, F.col("value"))).alias("bed"))
     long = ((clip_seconds(F.col("frames")) if seconds is None else seconds) > least_seconds) & (F.col("frames") >= least_frames)
     flat = (F.col("bed") > 1e-18) & (F.col("bed") <= share * F.col("peak")) & (10 * F.log10(F.col("peak") / F.col("bed")) < rise_db)
     return out.withColumn("weak", F.coalesce(long & ((F.col("peak") <= 1e-12) | flat), F.lit(False)))
@@ -146,6 +146,27 @@ def trailing(df: DataFrame, seconds: int) -> DataFrame:
     return df.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("value").over(w))
 
 
+#: Fixed bounds of a clip's length in seconds.
+CLIP_SECONDS = (1, 30)
+
+
+def clip_length(seconds: float) -> float:
+    return min(max(seconds, CLIP_SECONDS[0]), CLIP_SECONDS[1])
+
+
+def clips(captures: DataFrame, rows: DataFrame, seconds: float) -> DataFrame:
+    """captures: (clip, stream, t); rows: (stream, t, ...). For each capture its stream's rows of the last `seconds`, its own time included: rows' columns with clip.
+
+    Rows stand in bins of that length and a capture in two, that of its time and the one before, so that they meet by equality of stream and bin; a
+    bin holds no more than a clip does. Nulls meet nothing, but a null stream is a stream.
+    """
+    span = round(seconds * 1_000_000)
+    bin_of = lambda t: F.floor(F.unix_micros(t) / F.lit(span)).cast("long")
+    wanted = captures.select("clip", F.struct("stream").alias("_stream"), F.unix_micros("t").alias("_until"), F.explode(F.array(bin_of("t"), bin_of("t") - 1)).alias("_bin"))
+    met = rows.withColumns({"_stream": F.struct("stream"), "_bin": bin_of("t"), "_at": F.unix_micros("t")}).join(wanted, ["_stream", "_bin"])
+    return met.where((F.col("_at") <= F.col("_until")) & (F.col("_at") > F.col("_until") - span)).select("clip", *rows.columns)
+
+
 def newest(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return df.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("id")))).where(F.col("rk") <= n)
 
@@ -209,6 +230,15 @@ def adaptive_gate(floor: Column, peak: Column, configured: float = -60.0, over:
     return F.when((peak - floor < spread) & (floor > quiet), configured).otherwise(adapted)
 
 
+def frame_gate(df: DataFrame, gate_db: float) -> DataFrame:
+    """df: (stream, t, id, level, floor), in dB. gated: the level is under floor + gate_db, and under the loudest such level before it; the first
+    such frame, and one as loud as any of them, stays. A gate of 0 or less is off."""
+    low = F.col("level") < F.col("floor") + gate_db
+    before = Window.partitionBy("stream").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    loudest = F.max(F.when(low, F.col("level"))).over(before)
+    return df.withColumn("gated", F.coalesce(low & (F.col("level") < loudest), F.lit(False)) if gate_db > 0 else F.lit(False))
+
+
 def active_spans(df: DataFrame, lifetime: str) -> DataFrame:
     """Spans in which an item of a stream is shown: each event shows it for lifetime, again and again."""
     out = df.groupBy("stream", "item", F.session_window("t", lifetime).alias("w")).agg(F.count("*").alias("events"))

@@ -112,6 +112,16 @@ def quantise_roundtrip_snr(spark, sf_dir):
     return e.select("vec_id", F.round("scale", 9).alias("scale"), F.round(10 * F.log10(V.dot(F.col("v"), F.col("v")) / V.total(err)), 1).alias("snr_db"))
 
 
+def quantise_odd(spark, sf_dir):
+    """Codes of all vectors, of which some get an entry that isn't finite, or are zero."""
+    v = V.doubles("embedding")
+    odd = F.when(F.col("vec_id") % 4 == 0, float("nan")).when(F.col("vec_id") % 4 == 1, float("inf")).when(F.col("vec_id") % 4 == 2, float("-inf")).otherwise(0.0)
+    v = F.when(F.col("vec_id") % 3 == 0, F.concat(F.array(odd), F.slice(v, 2, 63))).when(F.col("vec_id") % 31 == 1, F.transform(v, lambda x: x * 0)).otherwise(v)
+    e = _embeddings(spark, sf_dir).select("vec_id", v.alias("v")).withColumn("scale", V.scale_of(F.col("v")))
+    codes = e.withColumn("q", V.quantise(F.col("v"), F.col("scale"))).select("vec_id", "scale", F.posexplode("q").alias("pos", "code"))
+    return codes.select("vec_id", F.round("scale", 9).alias("scale"), "pos", F.col("code").cast("int").alias("code"))
+
+
 def patch_normalise(spark, sf_dir):
     e = _embeddings(spark, sf_dir).select("vec_id", F.transform(V.doubles("embedding"), lambda x: x * 100).alias("v"))
     n = V.patch_normalise(F.col("v"))
@@ -161,7 +171,7 @@ g AS (SELECT window_id, item, rk, score, score - lead(score) OVER (PARTITION BY
 k AS (SELECT window_id, item, round(score, 6) AS score, round(margin, 6) AS margin, score >= 0.36 AND (margin IS NULL OR round(margin, 6) >= 0.03) AS fired FROM g WHERE rk = 1)
 """
 
-QUERIES = {f.__name__: f for f in (template_search, best_sample, identify_verdict, identify_items, similarity_matrix, margin_gate, gate_outcomes, rival_veto, threshold_overlay, hit_enrichment, confirm_score, confirm_gate, frame_mean, index_build_report, quantise_roundtrip_snr, patch_normalise, usable_patches, mean_pool, mel_projection, template_spectrum_peaks)}
+QUERIES = {f.__name__: f for f in (template_search, best_sample, identify_verdict, identify_items, similarity_matrix, margin_gate, gate_outcomes, rival_veto, threshold_overlay, hit_enrichment, confirm_score, confirm_gate, frame_mean, index_build_report, quantise_roundtrip_snr, quantise_odd, patch_normalise, usable_patches, mean_pool, mel_projection, template_spectrum_peaks)}
 
 ORACLES = {
     "template_search": _BASE + "SELECT window_id, item, template_id, round(score, 6) AS score, rk FROM r WHERE rk <= 5",
@@ -185,6 +195,11 @@ SELECT vec_id AS window_id, label AS item, round(confirm, 6) AS confirm, round(r
     "frame_mean": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 9) AS mean FROM embeddings",
     "index_build_report": _BASE + "SELECT label AS item, count(*) AS built, count(*) FILTER (scale = 0) AS unusable, count(*) * 64 AS bytes FROM t WHERE vec_id % 5 <> 0 GROUP BY ROLLUP (label)",
     "quantise_roundtrip_snr": _BASE + "SELECT vec_id, round(scale, 9) AS scale, round(10 * log10(list_inner_product(v, v) / list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2] * scale) * (z[1] - z[2] * scale)))), 1) AS snr_db FROM t",
+    "quantise_odd": """WITH a AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+b AS (SELECT vec_id, pos, CASE WHEN vec_id % 3 = 0 AND pos = 0 THEN ['NaN'::DOUBLE, 'Infinity'::DOUBLE, '-Infinity'::DOUBLE, 0][vec_id % 4 + 1] WHEN vec_id % 3 > 0 AND vec_id % 31 = 1 THEN 0 ELSE x END AS x FROM a),
+c AS (SELECT *, max(abs(x)) OVER w AS most, bool_and(isfinite(x)) OVER w AS fine FROM b WINDOW w AS (PARTITION BY vec_id)),
+d AS (SELECT *, CASE WHEN fine THEN most / 127 ELSE 0 END AS scale FROM c)
+SELECT vec_id, round(scale, 9) AS scale, pos, (CASE WHEN scale > 0 THEN greatest(-127, least(127, round(x / scale))) ELSE 0 END)::INT AS code FROM d""",
     "patch_normalise": """WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 100) AS v FROM embeddings),
 b AS (SELECT vec_id, list_transform(v, lambda x: greatest(x, list_max(v) - 20)) AS f FROM a),
 c AS (SELECT vec_id, list_transform(f, lambda x: x - list_sum(f) / len(f)) AS d FROM b),

@@ -44,7 +44,7 @@ def window_peak(spark, sf_dir):
 
 def weak_anchor(spark, sf_dir):
     """Frames of 10 ms, so that some streams are too short to be weak."""
-    return R.weak_anchors(_frames(spark, sf_dir), F.col("frames") / 100.0).select("stream", "at", "frames", F.round("bed", 10).alias("bed"), "weak")
+    return R.weak_anchors(_frames(spark, sf_dir), F.col("frames") / 100.0).select("stream", "at", "frames", F.round("peak", 6).alias("peak"), F.round("bed", 10).alias("bed"), "weak")
 
 
 def onset(spark, sf_dir):
@@ -63,6 +63,12 @@ def trailing_clip(spark, sf_dir):
     return R.trailing(_events(spark, sf_dir), 86_400).select("id", "n", F.round("total", 6).alias("total"))
 
 
+def capture_clip(spark, sf_dir):
+    """Every fifth event captures its user's last six hours."""
+    e = _events(spark, sf_dir)
+    return R.clips(e.where("id % 5 = 0").select(F.col("id").alias("clip"), "stream", "t"), e, 6 * 3600).select("clip", "id", F.round("value", 6).alias("value"))
+
+
 def last_50(spark, sf_dir):
     return R.newest(_events(spark, sf_dir), ["stream"], 50).select("stream", "id", "rk")
 
@@ -238,7 +244,7 @@ _NO_CHANGES = "SELECT 0::BIGINT AS stream, '' AS item, 0::DOUBLE AS t, 0::DOUBLE
 _CHANGES = "SELECT stream, item, (epoch_us(t) // 1000)::DOUBLE AS t, CASE WHEN id % 2 = 0 AND value > 0 THEN 2 * value END AS threshold FROM e WHERE id % 7 = 0"
 _FIRED = "SELECT stream, f_item AS item, round(f_score, 6) AS score, f_at::BIGINT AS \"at\" FROM g WHERE f_at IS NOT NULL"
 
-QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, live_thresholds, lost_blocks, separated_peaks, tick_ranking, shown_sets, level_window, mel_scale)}
+QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding_patch, window_peak, weak_anchor, onset, stream_totals, trailing_clip, capture_clip, last_50, latest_guess, audio_time, levels_dbfs, cooldown, refractory, tick_sample, noise_floor, adaptive_gate, active_spans, capture_guess, score_levels, detector, detector_outcomes, live_thresholds, lost_blocks, separated_peaks, tick_ranking, shown_sets, level_window, mel_scale)}
 
 ORACLES = {
     "moving_average": _SM + " SELECT stream, frame, round(smooth, 6) AS smooth FROM s",
@@ -246,9 +252,9 @@ ORACLES = {
     "anchor_patch": _AN + ", p AS (SELECT stream, greatest(0, least(anchor - 16, frames - 32)) AS start FROM a WHERE frames >= 32) SELECT stream, min(start) AS start, count(*) AS n, round(sum(value), 6) AS total FROM f JOIN p USING (stream) WHERE frame BETWEEN start AND start + 31 GROUP BY stream",
     "sliding_patch": _E + " SELECT stream, frame, round(sum(value) OVER w, 6) AS total, round(first_value(value) OVER w, 6) AS oldest FROM f WINDOW w AS (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) QUALIFY frame >= 31",
     "window_peak": _E + ", p AS (SELECT stream, frame, max(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS p FROM f) SELECT stream, frame, round(p, 6) AS peak, round(10 * log10(greatest(p * p, 1e-12)), 4) AS level_db FROM p",
-    "weak_anchor": _E + """, p AS (SELECT stream, value AS peak, frame AS spot, count(*) OVER (PARTITION BY stream) AS frames FROM f QUALIFY row_number() OVER (PARTITION BY stream ORDER BY value DESC, frame) = 1),
-b AS (SELECT stream, peak, spot, frames, avg(value) FILTER (abs(frame - spot) > 3) AS bed FROM f JOIN p USING (stream) GROUP BY ALL)
-SELECT stream, spot AS "at", frames, round(bed, 10) AS bed, coalesce(frames / 100.0 > 0.75 AND frames >= 8 AND (peak <= 1e-12 OR (bed > 1e-18 AND bed <= 0.25 * peak AND 10 * log10(peak / bed) < 9)), FALSE) AS weak FROM b""",
+    "weak_anchor": _AN + """, p AS (SELECT a.stream, anchor, frames, value AS peak FROM a JOIN f ON f.stream = a.stream AND f.frame = anchor),
+b AS (SELECT stream, peak, anchor, frames, avg(value) FILTER (abs(frame - anchor) > 3) AS bed FROM f JOIN p USING (stream) GROUP BY ALL)
+SELECT stream, anchor AS "at", frames, round(peak, 6) AS peak, round(bed, 10) AS bed, coalesce(frames / 100.0 > 0.75 AND frames >= 8 AND (peak <= 1e-12 OR (bed > 1e-18 AND bed <= 0.25 * peak AND 10 * log10(peak / bed) < 9)), FALSE) AS weak FROM b""",
     "onset": _E + """, w AS (SELECT stream, frame, list(pow(10.0::DOUBLE, value / 8 - 14)) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS p FROM f QUALIFY frame >= 11),
 x AS (SELECT stream, list_max(p[8:12]) AS peak, list_sum(p[1:7]) / 7 AS bed, p[8:12] AS tip FROM w)
 SELECT stream, count(*) AS windows, count(*) FILTER (CASE WHEN bed <= 1e-12 THEN peak > 1e-10 WHEN peak <= 0 THEN FALSE WHEN 10 * log10(peak / bed) >= 12 THEN TRUE WHEN peak > 1e-5 AND bed > peak * 0.05 THEN TRUE
@@ -262,6 +268,7 @@ SELECT id, len(xs)::INT AS shown, evicted FROM g""",
     "mel_scale": _E + " SELECT id, round(2595 * log10(1 + value * 40 / 700), 6) AS mel, round(value * 40, 4) AS hz FROM e",
     "stream_totals": _E + " SELECT stream, count(*) AS blocks, count(*) FILTER (value < 20) AS silent, round(max(value), 6) AS max_level, round(avg(value), 6) AS avg_level FROM e GROUP BY stream",
     "trailing_clip": _E + " SELECT id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS total FROM e WINDOW w AS (PARTITION BY stream ORDER BY t RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW)",
+    "capture_clip": _E + " SELECT c.id AS clip, r.id, round(r.value, 6) AS value FROM e c JOIN e r ON r.stream = c.stream AND r.t <= c.t AND r.t > c.t - INTERVAL 6 HOUR WHERE c.id % 5 = 0",
     "last_50": _E + " SELECT stream, id, row_number() OVER (PARTITION BY stream ORDER BY t DESC, id DESC) AS rk FROM e QUALIFY rk <= 50",
     "latest_guess": _E + " SELECT stream, CASE WHEN value >= 20 THEN item END AS item, epoch_us(t) AS us FROM e QUALIFY row_number() OVER (PARTITION BY stream ORDER BY t DESC, id DESC) = 1",
     "audio_time": _E + " SELECT stream, round(max(frame) * 256 * 1000.0::DOUBLE / 48000, 6) AS last_ms FROM f GROUP BY stream",

@@ -32,8 +32,8 @@ def frame_energies(spark, sf_dir):
 
 def frame_spectra(spark, sf_dir):
     f = _pcm(spark, sf_dir).select("vec_id", F.posexplode(G.framed(F.col("v"), 16, 8)).alias("frame", "x")).withColumn("x", G.tapered(F.col("x")))
-    p = f.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("p", G.power(F.col("x")))
-    return p.select("vec_id", "frame", "bin", F.round(F.get("p", F.col("bin")), 8).alias("power"))
+    p = f.select("vec_id", "frame", F.posexplode(G.power(F.col("x"))).alias("bin", "p"))
+    return p.select("vec_id", "frame", "bin", F.round("p", 8).alias("power"))
 
 
 def tone_scan(spark, sf_dir):
@@ -60,11 +60,12 @@ SEED, SEED_STEP = 0xC0FFEE, 97  # fixed values of the variants' seeds
 
 
 def noise_mix(spark, sf_dir):
-    """Three noisy variants of each vector at 12, 6 and 0 dB."""
+    """Three noisy variants of each vector at 12, 6 and 0 dB; every tenth is silent, and stays so."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(db).alias("db")) for k, db in ((1, 12.0), (2, 6.0), (3, 0.0))]))
-    v = _pcm(spark, sf_dir).select("vec_id", "v", each.alias("n"))
+    silent = F.when(F.col("vec_id") % 10 == 0, F.transform("v", lambda x: x * 0)).otherwise(F.col("v"))
+    v = _pcm(spark, sf_dir).select("vec_id", silent.alias("v"), each.alias("n"))
     noisy = G.with_noise(F.col("v"), F.col("n.db"), F.lit(SEED) + SEED_STEP * F.col("n.variant"))
-    return v.select("vec_id", "n.variant", F.posexplode(noisy).alias("pos", "x")).where("pos % 9 = 0").select("vec_id", "variant", "pos", F.round("x", 8).alias("x"))
+    return v.select("vec_id", "n.variant", F.posexplode(noisy).alias("pos", "x")).select("vec_id", "variant", "pos", F.round("x", 8).alias("x"))
 
 
 QUERIES = {f.__name__: f for f in (downmix, resample, frame_energies, frame_spectra, tone_scan, sample_statistics, sign_projection, noise_mix)}
@@ -91,6 +92,6 @@ s AS (SELECT k, d, CASE WHEN bit_count(xor(y, y >> 15)) & 1 = 1 THEN 1.0::DOUBLE
 p AS (SELECT vec_id, d, sum(x * s) AS y FROM x JOIN s USING (k) GROUP BY vec_id, d)
 SELECT vec_id, d::INT AS dim, round(y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 6) AS x FROM p""",
     "noise_mix": _X + """, g AS (SELECT n::INT AS variant, 0 AS k, ((12648430 + 97 * n) * 1664525 + 1013904223) & 4294967295 AS s FROM range(1, 4) t(n) UNION ALL SELECT variant, k + 1, (s * 1664525 + 1013904223) & 4294967295 FROM g WHERE k < 63),
-q AS (SELECT vec_id, avg(x * x) AS p FROM x GROUP BY vec_id)
-SELECT vec_id, variant, k AS pos, round(x + ((s >> 8) / 16777216.0::DOUBLE * 2 - 1) * sqrt(3 * p / pow(10.0::DOUBLE, [12, 6, 0][variant] / 10.0::DOUBLE)), 8) AS x FROM x JOIN g USING (k) JOIN q USING (vec_id) WHERE k % 9 = 0""",
+y AS (SELECT vec_id, k, CASE WHEN vec_id % 10 = 0 THEN 0 ELSE x END AS x FROM x), q AS (SELECT vec_id, avg(x * x) AS p FROM y GROUP BY vec_id)
+SELECT vec_id, variant, k AS pos, round(x + ((s >> 8) / 16777216.0::DOUBLE * 2 - 1) * sqrt(3 * p / pow(10.0::DOUBLE, [12, 6, 0][variant] / 10.0::DOUBLE)), 8) AS x FROM y JOIN g USING (k) JOIN q USING (vec_id)""",
 }

@@ -71,13 +71,3 @@ def recording_windows(recordings: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"path": r.path, "frame": np.arange(k, k + len(part)) + audio.PATCH - 1, "v": list(part)})
 
     return recordings.mapInPandas(run, "path string, frame long, v array<double>")
-
-
-def write_templates(templates: DataFrame, fingerprint: str, path: str) -> None:
-    """Adds templates under their parameters' fingerprint."""
-    templates.withColumn("param_fp", F.lit(fingerprint)).withColumn("built_at", F.current_timestamp()).write.mode("append").partitionBy("param_fp").parquet(path)
-
-
-def read_templates(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
-    """The templates of one fingerprint: the scan reads its partition alone."""
-    return spark.read.parquet(path).where(F.col("param_fp") == fingerprint)

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chirplake.functions.audio import Analyser, Parameters
+from chirplake.functions.audio import HOP, Analyser, Parameters
+from chirplake.streaming.detection import SETTINGS
 
-FRAMES = "stream string, frame long, mel array<double>, energy double, lost long"
-STATE = "analyser binary, next_seq long, frames long, lost long, waiting binary"
+FRAMES = "stream string, frame long, sample long, mel array<double>, energy double, lost long"
+STATE = "analyser binary, next_seq long, frames long, samples long, lost long, waiting binary"
 
 
 class LinearResampler:
@@ -36,37 +37,48 @@ class LinearResampler:
         return np.interp(at, begin + np.arange(len(known)), known)
 
 
-#: Blocks of a stream that wait for a missing one at most; then it counts as lost.
-MOST_WAITING = 50
+#: How far, in blocks, a stream may be ahead of a missing one (a second of audio); then that counts as lost. Time without blocks after which a stream is ended.
+PATIENCE, IDLE_MS = 50, 600_000
 
 
-def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None, most_waiting: int = MOST_WAITING) -> DataFrame:
-    """blocks: a stream of (stream, seq, pcm), seq from 0. Gives (stream, frame, mel, energy, lost).
+def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None, patience: int = PATIENCE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """blocks: a stream of (stream, seq, pcm), seq from 0. Gives (stream, frame, sample, mel, energy, lost); sample is where the frame begins, without what was lost.
 
-    Blocks are taken in the order of seq whatever order they come in: those after a gap wait in
-    the state until it is filled, or until over most_waiting wait; then the missing blocks are given up and counted in `lost`, which
-    every later frame carries, and the analysis goes on with the next block. A repeated or late block is left out. State is the samples of one frame, the noise
-    tracker's arrays and the blocks that wait; it stays as long as the query runs.
+    Blocks are taken in the order of seq whatever order they come in: those after a gap wait in the state until it is filled, or until the
+    stream's latest block is over `patience` blocks past it; then the missing blocks are given up and counted in `lost`, which every later frame carries, and the analysis
+    begins anew behind them, so that no frame holds samples of both sides. A repeated or late block is left out. A stream that brings nothing for idle_ms
+    is taken to its end, gaps given up, and its state is removed. State is the samples of one frame, the noise tracker's arrays and the blocks that wait.
     """
+    for name, value in SETTINGS.items():
+        blocks.sparkSession.conf.set(name, value)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        analyser, expected, done, lost, waiting = Analyser(parameters), 0, 0, 0, {}
+        analyser, expected, done, samples, lost, waiting = Analyser(parameters), 0, 0, 0, 0, {}
         if state.exists:
-            saved, expected, done, lost, held = state.get
+            saved, expected, done, samples, lost, held = state.get
             analyser, waiting = pickle.loads(saved), pickle.loads(held)
         for rows in batches:
             for seq, pcm in zip(rows["seq"], rows["pcm"], strict=True):
                 if seq >= expected:
                     waiting[int(seq)] = np.asarray(pcm, np.float32)
-        ready = []
-        while waiting and (expected in waiting or len(waiting) > most_waiting):
-            lost += min(waiting) - expected
-            expected = min(waiting)
-            ready.append(waiting.pop(expected))
-            expected += 1
-        mel, energy = analyser.push(np.concatenate(ready)) if ready else (np.zeros((0, 0)), np.zeros(0))
-        out = pd.DataFrame({"stream": key[0], "frame": np.arange(done, done + len(energy)), "mel": list(mel), "energy": energy, "lost": lost})
-        state.update((pickle.dumps(analyser), expected, done + len(energy), lost, pickle.dumps(waiting)))
-        yield out
-
-    return blocks.groupBy("stream").applyInPandasWithState(run, FRAMES, STATE, "append", GroupStateTimeout.NoTimeout)
+        parts = []
+        while waiting and (expected in waiting or state.hasTimedOut or max(waiting) - expected > patience):
+            if expected not in waiting:
+                lost += min(waiting) - expected
+                expected, analyser, samples = min(waiting), Analyser(parameters), samples + len(analyser.raw)
+            ready = []
+            while expected in waiting:
+                ready.append(waiting.pop(expected))
+                expected += 1
+            mel, energy = analyser.push(np.concatenate(ready))
+            at = np.arange(len(energy))
+            parts.append(pd.DataFrame({"stream": key[0], "frame": done + at, "sample": samples + at * HOP, "mel": list(mel), "energy": energy, "lost": lost}))
+            done, samples = done + len(energy), samples + len(energy) * HOP
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((pickle.dumps(analyser), expected, done, samples, lost, pickle.dumps(waiting)))
+            state.setTimeoutDuration(idle_ms)
+        yield pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("stream", "frame", "sample", "mel", "energy", "lost")})
+
+    return blocks.groupBy("stream").applyInPandasWithState(run, FRAMES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -33,14 +33,29 @@ def test_resampling_in_blocks():
     assert np.allclose(got, audio.resample(x, 44100)[: len(got)]) and len(got) >= 5440
 
 
-def test_a_lost_block_is_given_up_and_counted(spark, tmp_path):
+def test_a_lost_block_is_given_up_and_counted_and_no_frame_straddles_it(spark, tmp_path):
     x = np.random.default_rng(8).uniform(-0.3, 0.3, 960 * 14).astype(np.float32)
-    rows = pd.DataFrame([("s", k, x[k * 960 : k * 960 + 960].tolist()) for k in range(14) if k != 4], columns=["stream", "seq", "pcm"])
+    rows = pd.DataFrame([("s", k, x[k * 960 : k * 960 + 960].tolist()) for k in range(14) if k not in (4, 5)], columns=["stream", "seq", "pcm"])
     for part in (rows.iloc[:6], rows.iloc[6:10], rows.iloc[10:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = frames_of_blocks(source, most_waiting=3).writeStream.format("memory").queryName("lossy").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query = frames_of_blocks(source, patience=3).writeStream.format("memory").queryName("lossy").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = spark.table("lossy").toPandas().sort_values("frame")
-    energy = audio.Analyser().push(np.concatenate([x[: 4 * 960], x[5 * 960 :]]))[1]
-    assert np.allclose(got["energy"], energy) and got["lost"].max() == 1 and got["lost"].iloc[0] == 0
+    before, after = audio.Analyser().push(x[: 4 * 960])[1], audio.Analyser().push(x[6 * 960 :])[1]
+    assert np.allclose(got["energy"], np.concatenate([before, after])) and got["frame"].tolist() == list(range(len(got)))
+    assert got["lost"].tolist() == [0] * len(before) + [2] * len(after)
+    assert got["sample"].tolist() == [256 * k for k in range(len(before))] + [4 * 960 + 256 * k for k in range(len(after))]
+
+
+def test_an_idle_stream_gives_what_waits_behind_a_gap(spark, tmp_path):
+    x = np.random.default_rng(9).uniform(-0.3, 0.3, 960 * 6).astype(np.float32)
+    rows = pd.DataFrame([("s", k, x[k * 960 : k * 960 + 960].tolist()) for k in (0, 1, 3, 4, 5)] + [("t", 0, [0.0] * 960)], columns=["stream", "seq", "pcm"])
+    for part in (rows.iloc[:5], rows.iloc[5:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = frames_of_blocks(source, idle_ms=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("idle").toPandas().sort_values("frame")
+    expected = np.concatenate([audio.Analyser().push(x[: 2 * 960])[1], audio.Analyser().push(x[3 * 960 :])[1]])
+    assert np.allclose(got["energy"], expected) and got["lost"].max() == 1
