@@ -16,23 +16,30 @@ from chirplake.functions import vectors as V
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
-def downmixed(pcm: Column, channels: int) -> Column:
+def downmixed(pcm: Column, channels: int | Column) -> Column:
     """The mean over the channels of interleaved samples; what is left of a last, incomplete frame goes."""
+    channels = F.lit(channels) if isinstance(channels, int) else channels
     at = F.sequence(F.lit(0), F.floor(F.size(pcm) / channels).cast("int") - 1)
-    return F.when(F.size(pcm) < channels, F.array().cast("array<double>")).otherwise(F.transform(at, lambda k: V.total(F.slice(pcm, k * channels + 1, F.lit(channels))) / channels))
+    return F.when(F.size(pcm) < channels, F.array().cast("array<double>")).otherwise(F.transform(at, lambda k: V.total(F.slice(pcm, k * channels + 1, channels)) / channels))
 
 
-def resampled(pcm: Column, rate: int, to: int) -> Column:
+def resampled(pcm: Column, rate: int | Column, to: int) -> Column:
     """Linear, without a low-pass; one sample at least, and the last one is held."""
+    rate = F.lit(rate) if isinstance(rate, int) else rate
     n = F.size(pcm)
-    at = F.sequence(F.lit(0), F.greatest(F.round(n * (to / rate)).cast("int"), F.lit(1)) - 1)
+    at = F.sequence(F.lit(0), F.greatest(F.round(n * (F.lit(to) / rate)).cast("int"), F.lit(1)) - 1)
 
     def one(k: Column) -> Column:
-        place = k * (rate / to)
+        place = k * (rate / F.lit(to))
         low = F.floor(place).cast("int")
         return F.when(low >= n - 1, F.get(pcm, n - 1)).otherwise(F.get(pcm, low) + (place - low) * (F.get(pcm, low + 1) - F.get(pcm, low)))
 
-    return F.when((n == 0) | F.lit(rate == to), pcm).otherwise(F.transform(at, one))
+    return F.when((n == 0) | (rate == to), pcm).otherwise(F.transform(at, one))
+
+
+def canonical(pcm: Column, channels: int | Column, rate: int | Column, to: int = 48_000) -> Column:
+    """Interleaved samples of any number of channels and rate as one channel at `to`; each row has a format of its own."""
+    return V.let(downmixed(pcm, channels), lambda mono: resampled(mono, rate, to))
 
 
 def framed(pcm: Column, size: int, hop: int) -> Column:

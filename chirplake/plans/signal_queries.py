@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chirplake.functions import scalars as X
 from chirplake.functions import signal as G
 from chirplake.functions import vectors as V
+from chirplake.operators import denoise as D
 from chirplake.operators import series as R
 
 
@@ -68,7 +69,35 @@ def noise_mix(spark, sf_dir):
     return v.select("vec_id", "n.variant", F.posexplode(noisy).alias("pos", "x")).select("vec_id", "variant", "pos", F.round("x", 8).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (downmix, resample, frame_energies, frame_spectra, tone_scan, sample_statistics, sign_projection, noise_mix)}
+def canonical(spark, sf_dir):
+    """Every vector as a recording of one, two or three channels, at one of two rates."""
+    channels, rate = (F.col("vec_id") % 3 + 1).cast("int"), F.when(F.col("vec_id") % 2 == 0, 44100).otherwise(48000)
+    c = _pcm(spark, sf_dir).select("vec_id", F.posexplode(G.canonical(F.col("v"), channels, rate)).alias("pos", "x"))
+    return c.select("vec_id", "pos", F.round("x", 9).alias("x"))
+
+
+def high_pass(spark, sf_dir):
+    h = _pcm(spark, sf_dir).select("vec_id", F.posexplode(D.high_passed(48_000.0, 3000.0)(F.col("v"))).alias("pos", "x"))
+    return h.select("vec_id", "pos", F.round("x", 9).alias("x"))
+
+
+def denoise(spark, sf_dir):
+    """Fifty vectors make a recording of 350 frames, every seventh vector loud; noise, transients and gains over its spectra."""
+    loud = F.transform("v", lambda x: x * F.when(F.col("vec_id") % 7 == 0, 4.0).otherwise(1.0))
+    both = F.transform(G.framed(loud, 16, 8), lambda x: F.struct(G.tapered(x).alias("w"), G.energy(F.slice(x, 13, 4)).alias("energy")))
+    f = _pcm(spark, sf_dir).select("vec_id", F.posexplode(both).alias("frame", "x")).select("vec_id", "frame", F.round("x.energy", 9).alias("energy"), G.power("x.w").alias("p"))
+    frames = f.select(F.expr("vec_id div 50").alias("stream"), F.col("vec_id").alias("t"), F.col("frame").alias("id"), F.col("p").alias("power"), "energy")
+    out = D.denoised(frames, D.Settings(hop_s=0.05))
+    return out.select("stream", F.col("t").alias("vec_id"), F.col("id").alias("frame"), "scene", "protected", F.round(V.total(F.col("noise")), 6).alias("noise"), F.round(V.total(F.col("clean")), 6).alias("clean"), F.round("cut_db", 6).alias("cut_db"))
+
+
+def too_short(spark, sf_dir):
+    """Recordings of 0 to 63 samples of which 40 are needed."""
+    r = _pcm(spark, sf_dir).select("vec_id", F.slice("v", F.lit(1), (F.col("vec_id") % 64).cast("int")).alias("pcm"))
+    return D.long_enough(r, 40).where("reject is not null").select("vec_id", "reject")
+
+
+QUERIES = {f.__name__: f for f in (downmix, resample, frame_energies, frame_spectra, tone_scan, sample_statistics, sign_projection, noise_mix, canonical, high_pass, denoise, too_short)}
 
 _X = "WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(range(len(v)))::INT AS k, unnest(v) AS x FROM e)"
 _F = _X + ", f AS (SELECT vec_id, frame::INT AS frame, (k - frame * 8)::INT AS k, x FROM x, range(7) t(frame) WHERE k >= frame * 8 AND k < frame * 8 + 16)"
@@ -94,4 +123,37 @@ SELECT vec_id, d::INT AS dim, round(y / sqrt(sum(y * y) OVER (PARTITION BY vec_i
     "noise_mix": _X + """, g AS (SELECT n::INT AS variant, 0 AS k, ((12648430 + 97 * n) * 1664525 + 1013904223) & 4294967295 AS s FROM range(1, 4) t(n) UNION ALL SELECT variant, k + 1, (s * 1664525 + 1013904223) & 4294967295 FROM g WHERE k < 63),
 y AS (SELECT vec_id, k, CASE WHEN vec_id % 10 = 0 THEN 0 ELSE x END AS x FROM x), q AS (SELECT vec_id, avg(x * x) AS p FROM y GROUP BY vec_id)
 SELECT vec_id, variant, k AS pos, round(x + ((s >> 8) / 16777216.0::DOUBLE * 2 - 1) * sqrt(3 * p / pow(10.0::DOUBLE, [12, 6, 0][variant] / 10.0::DOUBLE)), 8) AS x FROM y JOIN g USING (k) JOIN q USING (vec_id)""",
+    "canonical": _X + """, m AS (SELECT vec_id, k // (vec_id % 3 + 1) AS j, avg(x) AS x FROM x WHERE k // (vec_id % 3 + 1) < 64 // (vec_id % 3 + 1) GROUP BY ALL),
+l AS (SELECT vec_id, list(x ORDER BY j) AS v, count(*) AS n, CASE WHEN vec_id % 2 = 0 THEN 44100 ELSE 48000 END AS rate FROM m GROUP BY vec_id),
+o AS (SELECT vec_id, v, n, unnest(range(round(n * (48000 / rate::DOUBLE))::BIGINT)) AS i, rate / 48000.0::DOUBLE AS step FROM l),
+p AS (SELECT *, i * step AS p FROM o)
+SELECT vec_id, i::INT AS pos, round(CASE WHEN floor(p) >= n - 1 THEN v[n] ELSE v[floor(p)::INT + 1] + (p - floor(p)) * (v[floor(p)::INT + 2] - v[floor(p)::INT + 1]) END, 9) AS x FROM p""",
+    "high_pass": _X + """, w AS (SELECT 2 * pi() * 3000 / 48000 AS w), q AS (SELECT cos(w) AS c, sin(w) / (2 * sqrt(2::DOUBLE)) AS a FROM w),
+c AS (SELECT (1 + c) / 2 / (1 + a) AS b0, -(1 + c) / (1 + a) AS b1, -2 * c / (1 + a) AS a1, (1 - a) / (1 + a) AS a2 FROM q),
+g AS (SELECT vec_id, -1 AS k, 0::DOUBLE AS x1, 0::DOUBLE AS x2, 0::DOUBLE AS y1, 0::DOUBLE AS y2 FROM e UNION ALL
+SELECT g.vec_id, g.k + 1, x.x, g.x1, b0 * x.x + b1 * g.x1 + b0 * g.x2 - a1 * g.y1 - a2 * g.y2, g.y1 FROM g JOIN x ON x.vec_id = g.vec_id AND x.k = g.k + 1, c)
+SELECT vec_id, k::INT AS pos, round(y1, 9) AS x FROM g WHERE k >= 0""",
+    "denoise": _F + """, s AS (SELECT vec_id, frame, k, x * CASE WHEN vec_id % 7 = 0 THEN 4.0::DOUBLE ELSE 1 END AS x FROM f),
+m AS (SELECT vec_id, frame, k, (x - avg(x) OVER (PARTITION BY vec_id, frame)) * (0.5 - 0.5 * cos(2 * pi() * k / 16)) AS x FROM s),
+b AS (SELECT vec_id, frame, bin, (pow(sum(x * cos(2 * pi() * bin * k / 16)), 2) + pow(sum(x * sin(2 * pi() * bin * k / 16)), 2)) * CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END AS p FROM m, range(9) b(bin) GROUP BY vec_id, frame, bin),
+p AS (SELECT vec_id, frame, list(p ORDER BY bin) AS p FROM b GROUP BY ALL), n AS (SELECT vec_id, frame, round(avg(x * x), 9) AS e FROM s WHERE k >= 12 GROUP BY ALL),
+r AS (SELECT vec_id // 50 AS stream, vec_id, frame, p, e, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id, frame) AS k FROM p JOIN n USING (vec_id, frame)),
+z AS (SELECT list_transform(range(9), lambda i: 0::DOUBLE) AS z),
+g AS (SELECT stream, 0::BIGINT AS k, z AS track, z AS noise, 0 AS seen, 0 AS rising, FALSE AS scene, NULL::DOUBLE AS floor, 0 AS loud, FALSE AS short, z AS gain, z AS clean FROM (SELECT DISTINCT stream FROM r), z
+UNION ALL SELECT stream, k, track, noise, seen, rising, scene, floor, loud, short, gain, CASE WHEN act THEN list_transform(p, lambda x, i: x * gain[i]) ELSE p END
+FROM (SELECT *, CASE WHEN act THEN list_transform(p, lambda x, i: CASE WHEN x <= 0 THEN old[i] WHEN greatest(x / (x + 1.5 * noise[i]), pow(10::DOUBLE, -0.4::DOUBLE)) > old[i] THEN greatest(x / (x + 1.5 * noise[i]), pow(10::DOUBLE, -0.4::DOUBLE))
+    ELSE 0.75::DOUBLE * old[i] + 0.25::DOUBLE * greatest(x / (x + 1.5 * noise[i]), pow(10::DOUBLE, -0.4::DOUBLE)) END) ELSE old END AS gain
+  FROM (SELECT *, seen = 5 AND list_sum(noise) > 0 AND NOT short AS act
+    FROM (SELECT stream, k, p, track, old, seen, rising, scene, loud, loud BETWEEN 1 AND 6 AS short,
+        CASE WHEN floor IS NULL THEN e WHEN loud BETWEEN 1 AND 6 THEN floor WHEN loud > 6 THEN 0.85::DOUBLE * floor + 0.15::DOUBLE * e ELSE 0.92::DOUBLE * floor + 0.08::DOUBLE * e END AS floor,
+        CASE WHEN was < 5 THEN list_transform(p, lambda x, i: (noise[i] + x) / CASE WHEN was = 4 THEN 5 ELSE 1 END) WHEN scene THEN list_transform(noise, lambda x, i: 0.75::DOUBLE * x + 0.25::DOUBLE * track[i])
+          ELSE list_transform(noise, lambda x, i: CASE WHEN track[i] > 3.5::DOUBLE * x THEN x ELSE 0.97::DOUBLE * x + 0.03::DOUBLE * track[i] END) END AS noise
+      FROM (SELECT *, rising >= 4 AS scene
+        FROM (SELECT *, least(was + 1, 5) AS seen, CASE WHEN was = 5 AND len(list_filter(range(1, 10), lambda i: track[i] > 4.0::DOUBLE * noise[i])) > 3 THEN up + 1 ELSE 0 END AS rising,
+            CASE WHEN floor > 0 AND e > 2 * floor THEN run + 1 ELSE 0 END AS loud
+          FROM (SELECT r.stream, r.k, r.p, r.e, g.noise, g.seen AS was, g.rising AS up, g.floor, g.loud AS run, g.gain AS old, list_transform(r.p, lambda x, i: 0.45::DOUBLE * g.track[i] + 0.55::DOUBLE * x) AS track
+            FROM g JOIN r ON r.stream = g.stream AND r.k = g.k + 1))))))),
+o AS (SELECT r.*, g.scene, g.short, CASE WHEN g.seen = 5 THEN list_sum(g.noise) ELSE 0 END AS noise, list_sum(g.clean) AS clean, list_sum(r.p) AS before, g.seen = 5 AND NOT g.short AS act FROM r JOIN g USING (stream, k))
+SELECT stream, vec_id, frame, scene, short AS protected, round(noise, 6) AS noise, round(clean, 6) AS clean, round(CASE WHEN act AND clean > 0 AND clean < before THEN 10 * log10(before / clean) ELSE 0 END, 6) AS cut_db FROM o""",
+    "too_short": "SELECT vec_id, 'too short: ' || (vec_id % 64) || ' samples, 40 at least' AS reject FROM embeddings WHERE vec_id % 64 < 40",
 }

@@ -37,6 +37,29 @@ class LinearResampler:
         return np.interp(at, begin + np.arange(len(known)), known)
 
 
+RESAMPLED = "stream string, seq long, pcm array<double>"
+
+
+def resampled_blocks(blocks: DataFrame, rate: int, to: int = 48000, channels: int = 1) -> DataFrame:
+    """blocks: a stream of (stream, seq, pcm), interleaved samples of `channels` at `rate`, a stream's blocks in the order of seq over the batches. Each block as
+    one channel at `to`: the same samples as of the whole recording in one piece, but for the last that await a next sample. State is a count in, a count out
+    and the last sample. A block that is no multiple of channels loses what is over."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        r = LinearResampler(rate, to)
+        if state.exists:
+            r.seen, r.made, r.last = state.get
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        out = []
+        for seq, pcm in zip(rows["seq"], rows["pcm"], strict=True):
+            x = np.asarray([] if pcm is None else pcm, np.float64)
+            out.append((key[0], seq, r.push(x[: len(x) // channels * channels].reshape(-1, channels).mean(1)).tolist()))
+        state.update((r.seen, r.made, r.last))
+        yield pd.DataFrame(out, columns=["stream", "seq", "pcm"])
+
+    return blocks.groupBy("stream").applyInPandasWithState(run, RESAMPLED, "seen long, made long, last double", "append", GroupStateTimeout.NoTimeout)
+
+
 #: How far, in blocks, a stream may be ahead of a missing one (a second of audio); then that counts as lost. Time without blocks after which a stream is ended.
 PATIENCE, IDLE_MS = 50, 600_000
 

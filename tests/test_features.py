@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from chirplake.functions import audio
-from chirplake.streaming.features import LinearResampler, frames_of_blocks
+from chirplake.streaming.features import LinearResampler, frames_of_blocks, resampled_blocks
 
 SCHEMA = "stream string, seq long, pcm array<float>"
 
@@ -59,3 +59,17 @@ def test_an_idle_stream_gives_what_waits_behind_a_gap(spark, tmp_path):
     got = spark.table("idle").toPandas().sort_values("frame")
     expected = np.concatenate([audio.Analyser().push(x[: 2 * 960])[1], audio.Analyser().push(x[3 * 960 :])[1]])
     assert np.allclose(got["energy"], expected) and got["lost"].max() == 1
+
+
+def test_resampling_a_stream(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=2 * 4410)
+    cuts = [0, 2, 500, 501, 3000, len(x)]
+    rows = pd.DataFrame([("s", k, x[a:b].tolist()) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], columns=["stream", "seq", "pcm"])
+    for part in (rows.iloc[[1, 0]], rows.iloc[2:4], rows.iloc[4:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = resampled_blocks(source, 44100, channels=2).writeStream.format("memory").queryName("resampled").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = np.concatenate(spark.table("resampled").toPandas().sort_values("seq")["pcm"].to_numpy())
+    mono = np.concatenate([x[a : a + (b - a) // 2 * 2].astype(np.float32).reshape(-1, 2).mean(1, dtype=np.float64) for a, b in zip(cuts, cuts[1:])])
+    assert len(got) > 4790 and np.allclose(got, audio.resample(mono, 44100)[: len(got)], atol=1e-6)
