@@ -9,13 +9,13 @@ with the greatest cosine, and is rejected where that cosine is under the centroi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,9 @@ MODEL_BYTES = 256 << 20
 VECTOR_BYTES = 1 << 20
 #: A text of fewer different features has less in common with any centroid; its limit falls with their square root.
 SHORT = 64
-LETTER = re.compile(r"[^\W\d_]")
+#: What a text must have to be in a language, in the fit and in predictions: a letter, so no numeral of whatever form.
+LETTERS = r"\p{L}"
+LETTER = regex.compile(LETTERS)
 #: Bytes of letters stay (and all of non-ASCII letters and marks), the rest become blanks.
 TO_LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -121,7 +123,7 @@ def fit(train: DataFrame, *, id: str, text: str, lang: str, sample: int = 500, p
     Tasks fit a language each; what comes to the driver, and goes to all tasks, is the centroids of all
     languages, per_lang * DIM numbers each. Over MODEL_BYTES of them are refused.
     """
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)).alias("u"))
+    rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTERS)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)).alias("u"))
     most = MODEL_BYTES // (4 * DIM * per_lang)
     by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()
     if len(by_lang) > most:

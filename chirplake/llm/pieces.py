@@ -37,6 +37,7 @@ COMMIT_EVERY = 64
 UNTRIED, NEVER = -(1 << 40), -(1 << 41)
 #: From here on pieces share one rank.
 SHARED_RANK = 1e8
+INNER_BLANK = re.compile(f"[^{BLANK}]{BLANK}")
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
@@ -51,6 +52,7 @@ def checked(model: bytes) -> bytes:
         *(["white space is a suffix"] if t.treat_whitespace_as_suffix else []),
         *(["its normaliser changes characters"] if n.precompiled_charsmap else []),
         *(["it removes or does not escape white space, or adds no blank in front"] if n.remove_extra_whitespaces or not n.escape_whitespaces or not n.add_dummy_prefix else []),
+        *(["its pieces go over white space"] if not t.split_by_whitespace or any(p.type == p.NORMAL and INNER_BLANK.search(p.piece) for p in m.pieces) else []),
         *(["it has pieces of the user's own"] if any(p.type == p.USER_DEFINED for p in m.pieces) else []),
     ]
     if wrong:

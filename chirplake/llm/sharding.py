@@ -105,13 +105,14 @@ def uniform_shards(df: DataFrame, n_shards: int, seed: int = 11, rows_per_task:
 
     Every permutation of the rows is equally likely up to the hash; shards' sizes differ by at
     most one. Nulls in any column, equal rows and empty texts are rows like any other: a row's
-    place depends on its partition and position, never on a key's frequency, so that no value
-    is hot. Columns of df named shard or slot are replaced. An empty table gives an empty one.
+    place depends on its partition and position, never on what it holds, so that no value
+    is hot and copies of a row spread over the shards as any rows do. Columns of df named shard or slot are replaced. An empty table gives an empty one.
     """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     work = frozen(
-        df.select(F.struct(*kept).alias("row"))
-        .sortWithinPartitions(F.xxhash64(F.lit(seed), "row"))
+        # The place is hashed, not the row: equal rows are as far apart as any others.
+        df.select(F.struct(*kept).alias("row"), F.monotonically_increasing_id().alias("place"))
+        .sortWithinPartitions(F.xxhash64(F.lit(seed), "place"))
         .select(F.monotonically_increasing_id().alias("at"), "row")
         .select(F.shiftright("at", 33).alias("id"), F.expr("at & 8589934591L").alias("pos"), "row"),
         "shard-input",

@@ -56,3 +56,16 @@ def test_other_models_are_refused(model, change):
         m.normalizer_spec.precompiled_charsmap = b"x"
     with pytest.raises(ValueError, match="can't follow"):
         pieces.checked(m.SerializeToString())
+
+
+def test_models_whose_pieces_go_over_white_space_are_refused(model):
+    for change in ("rule", "piece"):
+        m = ModelProto()
+        m.ParseFromString(model)
+        if change == "rule":
+            m.trainer_spec.split_by_whitespace = False
+        else:
+            next(p for p in m.pieces[1000:] if p.type == p.NORMAL).piece = "of▁the"
+        with pytest.raises(ValueError, match="white space"):
+            pieces.checked(m.SerializeToString())
+    assert pieces.checked(model) == model
