@@ -106,7 +106,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     page = lambda c: F.nullif(F.substring(c, len(RECORD_ID) + 1, 20), F.lit("")).cast("long")
-    return read_warc(spark, path, split_bytes=4 << 20).where("warc_type <> 'warcinfo'").select(
+    return read_warc(spark, path, split_bytes=4 << 20, payload=False).where("warc_type <> 'warcinfo'").select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to")
     )
 

@@ -6,7 +6,8 @@ is zero below 16 MiB; that byte is left to the separator, so that members stand
 Behind a longer record there is one zero byte of padding, which gzip readers skip. The reader
 splits files into byte ranges. A task looks for the gzip magic in its range, takes a place for
 a member if its data decode to a WARC header, and owns the records that start inside its range,
-reading beyond the range's end where the last one needs it. Each byte is read once.
+reading beyond the range's end where the last one needs it. Each byte is read once. What a task took for a
+record inside one that began in an earlier range goes afterwards, by where the records of that range end.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chirplake.llm.batches import pieces
@@ -29,6 +30,8 @@ from chirplake.llm.store import discard, frozen, hadoop, joined
 GZIP_MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 18
 RECORD_ID = "urn:page:"
+#: How a record of a plain file begins, what ends a head and a record, and the bytes a head has at most.
+PLAIN_MARK, GAP, MOST_HEAD = b"WARC/1.", b"\r\n\r\n", 1 << 20
 
 
 def record(kind: str, page_id: int | None, url: str | None, refers_to: int | None, payload: bytes | None, digest: str, payload_bytes: int) -> bytes:
@@ -156,61 +159,130 @@ def range_records(file: io.IOBase, start: int, end: int) -> Iterator[tuple[int,
         at += length
 
 
-def parse(data: bytes) -> dict:
-    """Fields of a record's head and, for HTTP responses, the payload and the length that its HTTP head states. ValueError for lengths that are no numbers."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields.get("content-length", "0"))]
-    http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
-    stated = [v for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"]
-    plain = lambda v: v.strip("<>") if v else None
-    return {
-        "warc_type": fields.get("warc-type"),
-        "record_id": plain(fields.get("warc-record-id")),
-        "target_uri": fields.get("warc-target-uri"),
-        "refers_to": plain(fields.get("warc-refers-to")),
-        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-        "payload_bytes": int(stated[0]) if stated else len(payload),
-        "payload": payload,
-    }
+def plain_records(file: io.IOBase, start: int, end: int) -> Iterator[tuple[int, int, bytes, str | None]]:
+    """As range_records, of a file that isn't compressed: a record begins the file or stands behind an empty line, and ends where its head says."""
+    at = max(0, start - len(GAP))
+    file.seek(at)
+    held = b""
+
+    def more(n: int) -> bool:
+        nonlocal held
+        while len(held) < n:
+            read = file.read(max(READ_BYTES, n - len(held)))
+            if not read:
+                return False
+            held += read
+        return True
+
+    while True:
+        k = held.find(PLAIN_MARK)
+        if k < 0:
+            keep = max(0, len(held) - len(GAP) - len(PLAIN_MARK))
+            at, held = at + keep, held[keep:]
+            if at >= end or not more(len(held) + 1):
+                return
+            continue
+        place = at + k
+        if place >= end:
+            return
+        step = k + 1 - min(k, len(GAP))
+        if place >= start and (place == 0 or held[max(0, k - len(GAP)) : k] == GAP):
+            head = held.find(GAP, k)
+            while head < 0 and len(held) - k < MOST_HEAD and more(len(held) + 1):
+                head = held.find(GAP, k)
+            n = stated_length(held[k:head]) if head >= 0 else None
+            if n is None:
+                yield place, len(PLAIN_MARK), held[k : max(head, k)] + GAP, None
+            else:
+                whole = more(head + len(GAP) + n + len(GAP))
+                length = head + len(GAP) + n + len(GAP) - k
+                yield place, length, held[k : k + length], None if whole else "truncated"
+                if whole:
+                    step = k + length - len(GAP)
+        at, held = at + step, held[step:]
 
 
-FIELDS = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+def head_fields(head: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def stated_length(head: bytes) -> int | None:
+    """Content-Length of a record's head; None where it is missing or no number of 0 or more."""
+    stated = head_fields(head).get("content-length", "")
+    return int(stated) if stated.isascii() and stated.isdigit() else None
+
+
+def parse(data: bytes) -> list[dict]:
+    """The records of one member, with what is wrong with each in `fault`; after a length that can't be right, none is looked for.
+
+    Of HTTP responses the payload is what stands behind the HTTP head, and its bytes are counted; a revisit's are those that its HTTP head states.
+    """
+    out: list[dict] = []
+    at = 0
+    plain = lambda v: v.strip("<>") if v else None
+    while True:
+        end = data.find(GAP, at)
+        if end < 0:
+            return [*out, {"nth": len(out), "fault": "head"}]
+        fields, n = head_fields(data[at:end]), stated_length(data[at:end])
+        row = {"nth": len(out), "warc_type": fields.get("warc-type"), "record_id": plain(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "refers_to": plain(fields.get("warc-refers-to")), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None}
+        begin = end + len(GAP)
+        if n is None or data[begin + n : begin + n + len(GAP)] != GAP:
+            return [*out, row | {"fault": "length"}]
+        block = data[begin : begin + n]
+        http, _, payload = block.partition(GAP) if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
+        stated = [v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"]
+        size = int(stated[0]) if stated and stated[0].isdigit() else None
+        fault = None
+        if row["warc_type"] == "response":
+            if stated and size != len(payload):
+                fault = "http length"
+            elif row["payload_digest"] not in (None, base64.b32encode(hashlib.sha1(payload).digest()).decode()):
+                fault = "digest"
+        out.append(row | {"payload": payload, "payload_bytes": size if row["warc_type"] == "revisit" and size is not None else len(payload), "fault": fault})
+        at = begin + n + len(GAP)
+        if not data.startswith(b"WARC/", at):
+            return out if not data[at:].strip(b"\0") else [*out, {"nth": len(out), "fault": "trailing bytes"}]
+
+
+FIELDS = "nth int, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+ROW = pa.schema([("path", pa.string()), ("span", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("nth", pa.int32()), *[(n, pa.string()) for n in ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")], ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fault", pa.string())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fault", pa.string())])
     for batch in batches:
-        for path, start, end in zip(*[batch.column(n).to_pylist() for n in ("path", "start", "end")], strict=True):
+        for path, span, start, end in zip(*[batch.column(n).to_pylist() for n in ("path", "span", "start", "end")], strict=True):
             with _open(path) as file:
                 rows, held = [], 0
-                for at, length, data, fault in range_records(file, start, end):
-                    row = {}
-                    if fault is None:
-                        try:
-                            row = parse(data)
-                        except ValueError:
-                            fault = "head"
-                    if fault is None and row["warc_type"] == "response" and row["payload_digest"] not in (None, base64.b32encode(hashlib.sha1(row["payload"]).digest()).decode()):
-                        fault = "digest"
-                    rows.append({"path": path, "offset": at, "length": length, "fault": fault, **row})
+                records = plain_records if file.read(len(PLAIN_MARK)) == PLAIN_MARK else range_records
+                for at, length, data, fault in records(file, start, end):
+                    found = [{"nth": 0, "fault": fault}] if fault else parse(data)
+                    rows += [{"path": path, "span": span, "offset": at, "length": length, **row} for row in found]
                     held += len(data)
                     if held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield pa.RecordBatch.from_pylist(rows, ROW)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, ROW)
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
-    """A row for each record of the gzipped WARC files under path, in splits of split_bytes.
+def read_warc(spark: SparkSession, path: str, split_bytes: int = 32 << 20, payload: bool = True) -> DataFrame:
+    """A row for each record of the WARC files under path, gzipped or plain, in splits of split_bytes; without `payload`, all but that column.
 
-    Damaged members and heads that can't be read give a row with `fault` set, and reading goes on behind them. Files without
-    records and empty folders give no rows; records that are in the files twice give two.
+    A member may hold several records, numbered by nth. Damaged members, heads that can't be read, lengths that aren't those of what
+    stands there and wrong digests give a row with `fault` set, and reading goes on behind them. What looks like a record inside another one, as of an
+    archive stored in a payload, is none, wherever a split begins: a span's records begin where those of the spans before it end, or later.
+    Files without records and empty folders give no rows; records that are in the files twice give two.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
-    spans = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {split_bytes})")).alias("k"))
-    ranges = spans.select("path", (F.col("k") * split_bytes).alias("start"), F.least((F.col("k") + 1) * split_bytes, "length").alias("end"))
+    spans = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {split_bytes})")).alias("span"))
+    ranges = spans.select("path", "span", (F.col("span") * split_bytes).alias("start"), F.least((F.col("span") + 1) * split_bytes, "length").alias("end"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = files.agg(F.sum("length")).first()[0] or 0
-    return ranges.repartition(max(tasks, -(-total // split_bytes)), "path", "start").mapInArrow(_read, f"path string, offset long, length long, {FIELDS}, fault string")
+    read = ranges.repartition(max(tasks, -(-total // split_bytes)), "path", "start").mapInArrow(_read, f"path string, span long, offset long, length long, {FIELDS}, fault string")
+    records = frozen(read if payload else read.drop("payload"), "warc-records")
+    # A record's length is known only where it isn't damaged.
+    ends = records.groupBy("path", "span").agg(F.max(F.when(F.col("fault").isNull(), F.col("offset") + F.col("length"))).alias("end"))
+    before = F.max("end").over(Window.partitionBy("path").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    inner = records.select("path", "span", "offset").join(ends.select("path", "span", before.alias("from")), ["path", "span"]).where(F.col("offset") < F.col("from"))
+    return records.join(inner.select("path", "offset").distinct(), ["path", "offset"], "left_anti").drop("span") if inner.limit(1).count() else records.drop("span")
