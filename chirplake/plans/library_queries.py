@@ -87,7 +87,7 @@ def udtf_frames(spark, sf_dir):
     register(spark)
     _events(spark, sf_dir).createOrReplaceTempView("chirplake_events")
     out = spark.sql("SELECT * FROM frames(TABLE(SELECT stream, t, id, value FROM chirplake_events) PARTITION BY stream ORDER BY (t, id), value => 'value', n => 32)")
-    return out.select("stream", "frame", F.round(F.element_at("patch", 1), 6).alias("oldest"), F.round("energy", 4).alias("energy"))
+    return out.select("stream", "frame", F.round(F.element_at("patch", 1), 6).alias("oldest"), F.round("energy", 9).alias("energy"))
 
 
 def stream_progress(spark, sf_dir):
@@ -143,6 +143,6 @@ hi AS (SELECT i, d, (xor(y, y >> 16) * 2146121005) & 4294967295 AS y FROM h), sg
 pr AS (SELECT vec_id, d, sum(x * s) AS y FROM po JOIN sg USING (i) GROUP BY vec_id, d)
 SELECT vec_id, d::INT AS dim, round(y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 6) AS x FROM pr""",
     "sample_provenance": _BASE + " SELECT window_id, item, source || '/' || doc_id AS sample_file, n_chars % 7 AS sample_idx, round(score, 6) AS score FROM h JOIN documents ON doc_id = template_id",
-    "udtf_frames": _E + " SELECT stream, frame, round(first_value(value) OVER w, 6) AS oldest, round(avg(value * value) OVER w, 4) AS energy FROM f WINDOW w AS (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) QUALIFY frame >= 31",
+    "udtf_frames": _E + " SELECT stream, frame, round(first_value(value) OVER w, 6) AS oldest, round(avg(value * value) OVER w, 9) AS energy FROM f WINDOW w AS (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) QUALIFY frame >= 31",
     "stream_progress": "SELECT count(*) AS blocks, count(*) FILTER (value < 20) AS silent, 0::BIGINT AS dropped, round(max(value), 6) AS max_level, 4::BIGINT AS batches, TRUE AS timed FROM events",
 }
