@@ -9,6 +9,7 @@ from chirplake.functions import scalars as X
 from chirplake.functions import signal as G
 from chirplake.functions import vectors as V
 from chirplake.operators import denoise as D
+from chirplake.operators import scan as S
 from chirplake.operators import series as R
 
 
@@ -97,12 +98,50 @@ def too_short(spark, sf_dir):
     return D.long_enough(r, 40).where("reject is not null").select("vec_id", "reject")
 
 
-QUERIES = {f.__name__: f for f in (downmix, resample, frame_energies, frame_spectra, tone_scan, sample_statistics, sign_projection, noise_mix, canonical, high_pass, denoise, too_short)}
+def _channelled(spark, sf_dir):
+    """Every vector as a recording of one, two or three channels at 8 kHz; each fiftieth is silent."""
+    silent = F.when(F.col("vec_id") % 50 == 0, F.transform("v", lambda x: x * 0)).otherwise(F.col("v"))
+    return _pcm(spark, sf_dir).select("vec_id", silent.alias("pcm"), (F.col("vec_id") % 3 + 1).cast("int").alias("channels"))
+
+
+def channel_levels(spark, sf_dir):
+    c = S.channel_levels(_channelled(spark, sf_dir), ["vec_id"])
+    return c.select("vec_id", "channel", F.round("peak", 9).alias("peak"), F.round("peak_db", 6).alias("peak_db"), F.round("rms_db", 6).alias("rms_db"), "silent", "zeros")
+
+
+def tone_verdicts(spark, sf_dir):
+    """Slices of every vector, from 0 to 4 ms on, half of them of 3 ms, looked through for one of ten tones."""
+    r = _channelled(spark, sf_dir).withColumns({
+        "rate": F.lit(8000), "hz": 200.0 + 350 * (F.col("vec_id") % 10), "from_s": F.col("vec_id") % 5 * 0.001, "length_s": F.when(F.col("vec_id") % 2 == 0, 0.003).otherwise(0.0)
+    })
+    out = S.scan(r, ["vec_id"], step_hz=40.0)
+    return out.select("vec_id", "channel", "samples", "nearest", "verdict", *(F.round(c, 4).alias(c) for c in ("dominant", "dominant_db", "tone_db", "share")))
+
+
+QUERIES = {f.__name__: f for f in (downmix, resample, frame_energies, frame_spectra, tone_scan, sample_statistics, channel_levels, tone_verdicts, sign_projection, noise_mix, canonical, high_pass, denoise, too_short)}
 
 _X = "WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(range(len(v)))::INT AS k, unnest(v) AS x FROM e)"
 _F = _X + ", f AS (SELECT vec_id, frame::INT AS frame, (k - frame * 8)::INT AS k, x FROM x, range(7) t(frame) WHERE k >= frame * 8 AND k < frame * 8 + 16)"
+_C = _X + """, y AS (SELECT vec_id, k, (k % (vec_id % 3 + 1))::INT AS channel, k // (vec_id % 3 + 1) AS j, CASE WHEN vec_id % 50 = 0 THEN 0 ELSE x END AS x FROM x),
+l AS (SELECT vec_id, channel, max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms, avg(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0 END) AS zeros, count(*) AS n FROM y GROUP BY vec_id, channel)"""
 
 ORACLES = {
+    "channel_levels": _C + " SELECT vec_id, channel, round(peak, 9) AS peak, CASE WHEN peak > 0 THEN round(20 * log10(peak), 6) END AS peak_db, CASE WHEN peak > 0 THEN round(20 * log10(rms), 6) END AS rms_db, peak = 0 AS silent, zeros FROM l",
+    "tone_verdicts": _C + f""", b AS (SELECT vec_id, channel, n, peak FROM l QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY rms DESC, channel) = 1),
+r AS (SELECT *, least(floor(vec_id % 5 * 0.001::DOUBLE * 8000)::INT, n) AS a, 200.0::DOUBLE + 350 * (vec_id % 10) AS hz FROM b),
+s AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN least(a + 24, n) ELSE n END - a AS samples FROM r),
+w AS (SELECT vec_id, hz, samples, j - a AS i, x * (0.5 - 0.5 * cos(2 * pi() * (j - a) / samples)) AS x FROM s JOIN y USING (vec_id, channel) WHERE peak > 0 AND samples >= {S.LEAST} AND j >= a AND j < a + samples),
+g AS (SELECT k, {S.LOW_HZ}::DOUBLE + 40 * k AS f FROM range(98) t(k)),
+q AS (SELECT vec_id, k, f, i, x, samples FROM w, g UNION ALL SELECT vec_id, -1, hz, i, x, samples FROM w),
+d AS (SELECT vec_id, k, f, 20 * log10(2 * sqrt(pow(sum(x * cos(2 * pi() * f / 8000 * i)), 2) + pow(sum(x * sin(2 * pi() * f / 8000 * i)), 2)) / (any_value(samples) / 2)) AS db FROM q GROUP BY vec_id, k, f),
+h AS (SELECT *, lag(db) OVER o AS y1, lead(db) OVER o AS y3 FROM d WHERE k >= 0 WINDOW o AS (PARTITION BY vec_id ORDER BY k)),
+m AS (SELECT vec_id, f, db, CASE WHEN y1 - 2 * db + y3 <> 0 THEN 0.5::DOUBLE * (y1 - y3) / (y1 - 2 * db + y3) END AS delta FROM h QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(db, 6) DESC, k) = 1),
+e2 AS (SELECT vec_id, sum(x * x) AS e FROM w GROUP BY vec_id),
+v AS (SELECT s.vec_id, channel, samples, hz, peak, m.f + CASE WHEN abs(delta) <= 1 THEN delta * 40 ELSE 0 END AS dominant, m.db AS dominant_db, d.db AS tone_db, CASE WHEN e > 0 THEN least(1.0::DOUBLE, pow(10.0::DOUBLE, d.db / 10) / 2 * (3 * samples / 8.0::DOUBLE) / e) END AS share
+  FROM s LEFT JOIN m USING (vec_id) LEFT JOIN d ON d.vec_id = s.vec_id AND d.k = -1 LEFT JOIN e2 ON e2.vec_id = s.vec_id)
+SELECT vec_id, CASE WHEN peak > 0 THEN channel END AS channel, CASE WHEN peak > 0 THEN samples END::INT AS samples, abs(dominant - hz) <= 40 AS nearest,
+  CASE WHEN peak = 0 THEN 'silent' WHEN samples < {S.LEAST} THEN 'too short' WHEN tone_db > {S.FLOOR_DB} AND tone_db - dominant_db > {S.UNDER_DB} THEN 'found' ELSE 'not found' END AS verdict,
+  round(dominant, 4) AS dominant, round(dominant_db, 4) AS dominant_db, round(tone_db, 4) AS tone_db, round(share, 4) AS share FROM v""",
     "downmix": _X + " SELECT vec_id, k // 2 AS pos, round(sum(x) / 2, 9) AS x FROM x GROUP BY vec_id, k // 2",
     "resample": _X + """, o AS (SELECT i::INT AS pos, i * (44100 / 48000.0::DOUBLE) AS p FROM range(70) t(i))
 SELECT vec_id, pos, round(CASE WHEN floor(p) >= 63 THEN v[64] ELSE v[floor(p)::INT + 1] + (p - floor(p)) * (v[floor(p)::INT + 2] - v[floor(p)::INT + 1]) END, 9) AS x FROM e, o""",
