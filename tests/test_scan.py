@@ -22,7 +22,7 @@ def both(left, right):
 def df(spark):
     quiet = [0.0] * 4000
     rows = [
-        (0, tone(883.0, 4000), 1, RATE, 880.0, 0.0, 0.0),
+        (0, tone(883.0, 400), 1, RATE, 880.0, 0.0, 0.0),
         (1, both(tone(440.0, 4000, 0.1), tone(1500.0, 4000)), 2, RATE, 1500.0, 0.0, 0.0),
         (2, both(tone(700.0, 4000), [-x for x in tone(700.0, 4000)]), 2, RATE, 700.0, 0.0, 0.0),
         (3, quiet + tone(880.0, 4000), 1, RATE, 880.0, 0.5, 0.25),
