@@ -45,8 +45,8 @@ def anchors(smoothed: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def anchor_patches(frames: DataFrame, found: DataFrame, n: int = 32) -> DataFrame:
-    """The frames of the n-frame patch centred on each anchor, its start kept inside the stream; streams shorter than n give none."""
-    start = F.greatest(F.lit(0), F.least(F.col("anchor") - n // 2, F.col("frames") - n))
+    """The frames of the n-frame patch that begins (n - 1) // 2 before each anchor, its start kept inside the stream; streams shorter than n give none."""
+    start = F.greatest(F.lit(0), F.least(F.col("anchor") - (n - 1) // 2, F.col("frames") - n))
     spans = found.where(F.col("frames") >= n).select("stream", start.alias("start"))
     return frames.join(spans, "stream").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + n))
 

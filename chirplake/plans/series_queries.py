@@ -249,7 +249,7 @@ QUERIES = {f.__name__: f for f in (moving_average, anchor, anchor_patch, sliding
 ORACLES = {
     "moving_average": _SM + " SELECT stream, frame, round(smooth, 6) AS smooth FROM s",
     "anchor": _AN + " SELECT stream, anchor, round(smooth, 6) AS smooth, frames FROM a",
-    "anchor_patch": _AN + ", p AS (SELECT stream, greatest(0, least(anchor - 16, frames - 32)) AS start FROM a WHERE frames >= 32) SELECT stream, min(start) AS start, count(*) AS n, round(sum(value), 6) AS total FROM f JOIN p USING (stream) WHERE frame BETWEEN start AND start + 31 GROUP BY stream",
+    "anchor_patch": _AN + ", p AS (SELECT stream, greatest(0, least(anchor - 15, frames - 32)) AS start FROM a WHERE frames >= 32) SELECT stream, min(start) AS start, count(*) AS n, round(sum(value), 6) AS total FROM f JOIN p USING (stream) WHERE frame BETWEEN start AND start + 31 GROUP BY stream",
     "sliding_patch": _E + " SELECT stream, frame, round(sum(value) OVER w, 6) AS total, round(first_value(value) OVER w, 6) AS oldest FROM f WINDOW w AS (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) QUALIFY frame >= 31",
     "window_peak": _E + ", p AS (SELECT stream, frame, max(value) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS p FROM f) SELECT stream, frame, round(p, 6) AS peak, round(10 * log10(greatest(p * p, 1e-12)), 4) AS level_db FROM p",
     "weak_anchor": _AN + """, p AS (SELECT a.stream, anchor, frames, value AS peak FROM a JOIN f ON f.stream = a.stream AND f.frame = anchor),
