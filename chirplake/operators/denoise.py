@@ -63,30 +63,38 @@ def _filter(rate: float, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
     return within, np.array([response([0.0] * BLOCK, *[float(k == j) for k in range(4)]) for j in range(4)])
 
 
+class HighPass:
+    """The filter over blocks of samples of several recordings at once, with what it carries from block to block. A cutoff of half the rate or more leaves samples as they are."""
+
+    def __init__(self, rate: float, cutoff: float = 120.0, recordings: int = 1):
+        self.within, self.before = (None, None) if cutoff >= rate / 2 else _filter(rate, cutoff)
+        self.state = np.zeros((recordings, 4))
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        """x: recordings x samples."""
+        if self.within is None:
+            return x
+        y = np.zeros_like(x, float)
+        for k in range(0, x.shape[1], BLOCK):
+            a, m = x[:, k : k + BLOCK], min(BLOCK, x.shape[1] - k)
+            b = a @ self.within[:m, :m] + self.state @ self.before[:, :m]
+            y[:, k : k + m] = b
+            ins, outs = np.column_stack([self.state[:, 1::-1], a]), np.column_stack([self.state[:, 3:1:-1], b])
+            self.state = np.column_stack([ins[:, -1], ins[:, -2], outs[:, -1], outs[:, -2]])
+        return y
+
+
 def high_passed(rate: float, cutoff: float = 120.0):
-    """A second-order high-pass over arrays of samples; a cutoff of half the rate or more leaves them as they are. Arrays of one length are filtered together."""
-    off = cutoff >= rate / 2
-    within, before = (None, None) if off else _filter(rate, cutoff)
+    """A second-order high-pass over arrays of samples. Arrays of one length are filtered together."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(pcm: pd.Series) -> pd.Series:
-        if off:
-            return pcm
         out = [None] * len(pcm)
         sizes = pcm.map(lambda x: -1 if x is None else len(x))
-        for n in sizes.unique():
+        for n in sizes[sizes >= 0].unique():
             at = np.flatnonzero(sizes == n)
-            if n < 0:
-                continue
-            x = np.stack(pcm.iloc[at].to_numpy()).astype(float)
-            y, state = np.zeros_like(x), np.zeros((len(at), 4))
-            for k in range(0, n, BLOCK):
-                m = min(BLOCK, n - k)
-                y[:, k : k + m] = x[:, k : k + m] @ within[:m, :m] + state @ before[:, :m]
-                if m > 1:
-                    state = np.column_stack([x[:, k + m - 1], x[:, k + m - 2], y[:, k + m - 1], y[:, k + m - 2]])
-            for row, place in enumerate(at):
-                out[place] = y[row]
+            for row, place in zip(HighPass(rate, cutoff, len(at)).push(np.stack(pcm.iloc[at].to_numpy()).astype(float)), at, strict=True):
+                out[place] = row
         return pd.Series(out)
 
     return run
@@ -95,57 +103,74 @@ def high_passed(rate: float, cutoff: float = 120.0):
 CLEANED = "struct<noise:array<double>,ready:boolean,scene:boolean,protected:boolean,clean:array<double>,cut_db:double>"
 
 
-def _reducer(s: Settings):
-    """A step function over frames with power (array) and energy."""
-    least = 10 ** (s.floor_db / 20)
-    track = noise = gain = floor = None
-    seen = rising = loud = 0
-
-    def step(r):
-        nonlocal track, noise, gain, floor, seen, rising, loud
-        p = np.asarray(r.power, float)
-        if track is None:
-            track, noise, gain = np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
-        track = (1 - FAST) * track + FAST * p
-        scene = False
-        if seen < FIRST:
-            seen, noise = seen + 1, noise + p
-            if seen == FIRST:
-                noise = noise / FIRST
-        else:
-            rising = rising + 1 if (track > HOT * noise).sum() > len(p) // BROAD else 0
-            scene = rising >= s.scene_hops
-            noise = (1 - SCENE) * noise + SCENE * track if scene else np.where(track > EVENT * noise, noise, (1 - SLOW) * noise + SLOW * track)
-        short = False
-        if floor is None:
-            floor = r.energy
-        elif floor > 0 and r.energy > RISE * floor:
-            loud += 1
-            short = loud <= MOST_HOPS
-            if not short:
-                floor = (1 - FLOOR_FAST) * floor + FLOOR_FAST * r.energy
+class Tracker:
+    """What one stream's pass carries from frame to frame."""
+
+    def __init__(self, settings: Settings):
+        self.s, self.least = settings, 10 ** (settings.floor_db / 20)
+        self.track = self.noise = self.gain = self.floor = None
+        self.seen = self.rising = self.loud = 0
+
+    def learn(self, p: np.ndarray) -> bool:
+        """Takes a frame's power into the noise; whether a new scene is being learnt."""
+        if self.track is None:
+            self.track, self.noise, self.gain = np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
+        self.track = (1 - FAST) * self.track + FAST * p
+        if self.seen < FIRST:
+            self.seen, self.noise = self.seen + 1, self.noise + p
+            if self.seen == FIRST:
+                self.noise = self.noise / FIRST
+            return False
+        self.rising = self.rising + 1 if (self.track > HOT * self.noise).sum() > len(p) // BROAD else 0
+        scene = self.rising >= self.s.scene_hops
+        slow = np.where(self.track > EVENT * self.noise, self.noise, (1 - SLOW) * self.noise + SLOW * self.track)
+        self.noise = (1 - SCENE) * self.noise + SCENE * self.track if scene else slow
+        return scene
+
+    def short(self, energy: float) -> bool:
+        """Whether a frame of this energy is part of a short transient."""
+        if self.floor is None:
+            self.floor = energy
+        elif self.floor > 0 and energy > RISE * self.floor:
+            self.loud += 1
+            if self.loud <= MOST_HOPS:
+                return True
+            self.floor = (1 - FLOOR_FAST) * self.floor + FLOOR_FAST * energy
         else:
-            loud, floor = 0, (1 - FLOOR_SLOW) * floor + FLOOR_SLOW * r.energy
-        ready, clean, cut = seen == FIRST, p, 0.0
-        if ready and noise.sum() > 0 and not short:
-            some = p > 0
-            wanted = s.mix * np.maximum(p / np.where(some, p + s.over * noise, 1), least) + (1 - s.mix)
-            gain = np.where(some, np.where(wanted > gain, wanted, RELEASE * gain + (1 - RELEASE) * wanted), gain)
-            clean = np.where(some, p * gain, p)
-            pre, post = p[some].sum(), clean[some].sum()
+            self.loud, self.floor = 0, (1 - FLOOR_SLOW) * self.floor + FLOOR_SLOW * energy
+        return False
+
+    def cleaned(self, p: np.ndarray) -> np.ndarray:
+        some = p > 0
+        wanted = self.s.mix * np.maximum(p / np.where(some, p + self.s.over * self.noise, 1), self.least) + (1 - self.s.mix)
+        self.gain = np.where(some, np.where(wanted > self.gain, wanted, RELEASE * self.gain + (1 - RELEASE) * wanted), self.gain)
+        return np.where(some, p * self.gain, p)
+
+    def push(self, power: np.ndarray, energy: float, tracked: np.ndarray) -> dict:
+        """The outcome of a frame, of whose power `tracked` is learnt."""
+        scene, short = self.learn(tracked), self.short(energy)
+        ready, clean, cut = self.seen == FIRST, power, 0.0
+        if ready and self.noise.sum() > 0 and not short:
+            clean = self.cleaned(power)
+            pre, post = power[power > 0].sum(), clean[power > 0].sum()
             cut = 10 * math.log10(pre / post) if 0 < post < pre else 0.0
-        return {"noise": (noise if ready else np.zeros(len(p))).tolist(), "ready": ready, "scene": scene, "protected": short, "clean": clean.tolist(), "cut_db": cut}
+        return {"noise": self.noise if ready else np.zeros(len(power)), "ready": ready, "scene": scene, "protected": short, "clean": clean, "cut_db": cut}
 
-    return step
+    def step(self, r) -> dict:
+        """Of a row with power, energy and perhaps tracked."""
+        p = np.asarray(r.power, float)
+        out = self.push(p, r.energy, np.asarray(r.tracked, float) if hasattr(r, "tracked") else p)
+        return out | {"noise": out["noise"].tolist(), "clean": out["clean"].tolist()}
 
 
 def denoised(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """frames: (stream, t, id, power, energy), one-sided spectra of one size a stream and the mean square of each frame's last 10 ms of raw signal.
+    """frames: (stream, t, id, power, energy), one-sided spectra of one size a stream and the mean square of each frame's last 10 ms of raw signal. With
+    a column `tracked` the noise is learnt from that (spectra whose mean was not taken off) and power is what is cleaned.
 
     Adds noise (zeros until ready, which takes FIRST frames), scene, whether a new scene is being learnt, protected, whether the frame is part of a short
     transient and stays as it is, clean, the attenuated spectrum, and cut_db, by how much its power fell.
     """
-    out = folded(frames, ["stream"], lambda: _reducer(settings), "_out", CLEANED)
+    out = folded(frames, ["stream"], lambda: Tracker(settings).step, "_out", CLEANED)
     return out.select(*frames.columns, "_out.*")
 
 

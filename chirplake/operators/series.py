@@ -56,6 +56,12 @@ def clip_seconds(frames: Column) -> Column:
     return F.when(frames > 0, (1024 + (frames - 1) * 256) / 48000.0).otherwise(0.0)
 
 
+def weak(long: Column, peak: Column, bed: Column, share: float = 0.25, rise_db: float = 9.0) -> Column:
+    """Whether a peak stands out too little from its bed; recordings that aren't `long` never are weak."""
+    flat = (bed > 1e-18) & (bed <= share * peak) & (10 * F.log10(peak / bed) < rise_db)
+    return F.coalesce(long & ((peak <= 1e-12) | flat), F.lit(False))
+
+
 def weak_anchors(frames: DataFrame, seconds: Column | None = None, around: int = 3, least_frames: int = 8, share: float = 0.25, rise_db: float = 9.0, least_seconds: float = 0.75) -> DataFrame:
     """For each stream whether its anchor stands out too little: peak is the value at the anchor, the top of the smoothed curve (which need not be the
     greatest value), and bed the mean of what is over `around` frames away from it.
@@ -66,8 +72,7 @@ def weak_anchors(frames: DataFrame, seconds: Column | None = None, around: int =
     far = F.abs(F.col("frame") - F.col("at")) > around
     out = frames.join(peaks, "stream").groupBy("stream", "at", "frames").agg(F.max(F.when(F.col("frame") == F.col("at"), F.col("value"))).alias("peak"), F.avg(F.when(far, F.col("value"))).alias("bed"))
     long = ((clip_seconds(F.col("frames")) if seconds is None else seconds) > least_seconds) & (F.col("frames") >= least_frames)
-    flat = (F.col("bed") > 1e-18) & (F.col("bed") <= share * F.col("peak")) & (10 * F.log10(F.col("peak") / F.col("bed")) < rise_db)
-    return out.withColumn("weak", F.coalesce(long & ((F.col("peak") <= 1e-12) | flat), F.lit(False)))
+    return out.withColumn("weak", weak(long, F.col("peak"), F.col("bed"), share, rise_db))
 
 
 #: Fixed values of the onset rule: frames that count, quiet beds and peaks, the bed's share of a sustained sound, and loud frames.
