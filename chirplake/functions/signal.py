@@ -1,4 +1,4 @@
-"""Expressions over arrays of samples. What Spark has no expression for (the Fourier transform, products with a fixed matrix, wrapped integers) is numpy on Arrow batches of rows."""
+"""Expressions over arrays of samples. Fixed values follow the engine's defaults: 48 kHz, frames of 1024 samples every 256, 64 mel bands from 40 Hz to 16 kHz. What Spark has no expression for (the Fourier transform, products with a fixed matrix, wrapped integers) is numpy on Arrow batches of rows."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chirplake.functions import audio
 from chirplake.functions import vectors as V
 
 DOUBLES = T.ArrayType(T.DoubleType())
+RATE, FRAME, HOP, BANDS, F_MIN, F_MAX = 48_000, 1024, 256, 64, 40.0, 16_000.0
 
 
 def downmixed(pcm: Column, channels: int | Column) -> Column:
@@ -65,6 +65,48 @@ def amplitude(pcm: Column, cycles: Column) -> Column:
     return 2 * F.sqrt(re * re + im * im) / (F.size(pcm) / 2)
 
 
+def one_sided(frames: np.ndarray) -> np.ndarray:
+    """Power spectra of rows; all bins but the first and last count twice."""
+    p = np.abs(np.fft.rfft(frames)) ** 2
+    p[:, 1:-1] *= 2
+    return p
+
+
+def spectra_of(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of samples: power of the tapered rows with the mean taken off, and with it left."""
+    n = frames.shape[1]
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    return one_sided((frames - frames.mean(1, keepdims=True)) * taper), one_sided(frames * taper)
+
+
+@F.pandas_udf(T.StructType([T.StructField("power", DOUBLES), T.StructField("tracked", DOUBLES)]))
+def spectra(frames: pd.Series) -> pd.DataFrame:
+    """Both spectra of frames of one length, transformed at once."""
+    if not len(frames):
+        return pd.DataFrame({"power": [], "tracked": []})
+    power, tracked = spectra_of(np.stack(frames.to_numpy()))
+    return pd.DataFrame({"power": list(power), "tracked": list(tracked)})
+
+
+def mel_weights() -> np.ndarray:
+    """Triangles of unit area between edges that are equally far apart on the mel scale, bands x bins."""
+    low, high = (2595 * math.log10(1 + f / 700) for f in (F_MIN, F_MAX))
+    edges = 700 * (10 ** (np.linspace(low, high, BANDS + 2) / 2595) - 1)
+    f = np.fft.rfftfreq(FRAME, 1 / RATE)
+    left, mid, right = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    return np.maximum(0, np.minimum((f - left) / (mid - left), (right - f) / (right - mid))) * 2 / (right - left)
+
+
+def log_mel_of(power: np.ndarray) -> np.ndarray:
+    return 10 * np.log10(np.maximum(power @ mel_weights().T, 1e-12))
+
+
+@F.pandas_udf(DOUBLES)
+def log_mel(power: pd.Series) -> pd.Series:
+    """Levels of the mel bands, in dB, of spectra of frames of FRAME samples."""
+    return pd.Series(list(log_mel_of(np.stack(power.to_numpy())))) if len(power) else power
+
+
 @F.pandas_udf(DOUBLES)
 def power(frames: pd.Series) -> pd.Series:
     """One-sided power spectra of tapered frames; all bins but the first and last count twice."""
@@ -74,8 +116,7 @@ def power(frames: pd.Series) -> pd.Series:
     for n in sizes.unique():  # frames of one length are transformed at once
         at = np.flatnonzero(sizes == n)
         if n > 0:
-            p = np.abs(np.fft.rfft(np.stack(frames.iloc[at].to_numpy()))) ** 2
-            p[:, 1:-1] *= 2
+            p = one_sided(np.stack(frames.iloc[at].to_numpy()))
         for k, row in zip(at, p if n > 0 else [None if n < 0 else np.zeros(0)] * len(at)):
             out[k] = row
     return pd.Series(out)
@@ -112,17 +153,41 @@ def confirm_patch(frames: Column, n: int, offsets: tuple[int, ...] = OFFSETS, ha
     return F.when(F.size(frames) >= n, V.let(V.let(V.let(smoothed(energies, half), peak), patches), pooled))
 
 
+#: Fixed values of the sign hash: factors of the two places, what is mixed in, and the factor between its two shifts (16 and 15).
+SIGN_HASH = (0x9E3779B9, 0x85EBCA6B, 0xA5A5A5A5, 0x7FEB352D)
+#: Fixed values of the noise generator: factor and increment.
+NOISE_STEPS = (1664525, 1013904223)
+
+
 def projected(dim: int):
     """Random signs by a hash of the two places, then unit length: arrays of one length to `dim` values."""
 
     @F.pandas_udf(DOUBLES)
     def run(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(audio.sign_projection(np.stack(vectors.to_numpy()), dim))) if len(vectors) else vectors
+        if not len(vectors):
+            return vectors
+        v = np.stack(vectors.to_numpy())
+        of_place, of_dim, mixed, factor = map(np.uint32, SIGN_HASH)
+        x = np.arange(v.shape[1], dtype=np.uint32)[:, None] * of_place ^ np.arange(dim, dtype=np.uint32)[None, :] * of_dim ^ mixed
+        x = (x ^ x >> np.uint32(16)) * factor
+        out = v @ np.where(np.bitwise_count(x ^ x >> np.uint32(15)) & 1, 1.0, -1.0)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(out, norm, out=out, where=norm > 0)))
 
     return run
 
 
+def _noise(n: int, seed: int) -> np.ndarray:
+    """n values in [-1, 1) of a linear congruential generator."""
+    factor, increment = map(np.uint32, NOISE_STEPS)
+    powers = np.cumprod(np.full(n, factor, np.uint32), dtype=np.uint32)
+    before = np.concatenate((np.ones(min(n, 1), np.uint32), powers[:-1]))
+    state = powers * np.uint32(seed or 1) + increment * np.cumsum(before, dtype=np.uint32)
+    return (state >> np.uint32(8)) / (1 << 24) * 2 - 1
+
+
 @F.pandas_udf(DOUBLES)
 def with_noise(pcm: pd.Series, snr_db: pd.Series, seed: pd.Series) -> pd.Series:
-    """White noise added at a ratio to the signal's own power."""
-    return pd.Series([audio.with_noise(np.asarray(x), db, s) for x, db, s in zip(pcm, snr_db, seed, strict=True)])
+    """White noise added at a ratio to the signal's own power; silence stays."""
+    loud = [math.sqrt(3 * np.mean(np.square(x)) / 10 ** (db / 10)) if len(x) else 0.0 for x, db in zip(pcm, snr_db, strict=True)]
+    return pd.Series([np.asarray(x) + scale * _noise(len(x), s) for x, scale, s in zip(pcm, loud, seed, strict=True)])

@@ -10,13 +10,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chirplake.functions.audio import HOP, Analyser, Parameters
+from chirplake.functions.signal import BANDS, FRAME, HOP, RATE, log_mel_of, spectra_of
+from chirplake.operators.denoise import HighPass, Settings, Tracker
+from chirplake.sources.recordings import RECENT
 from chirplake.streaming.detection import SETTINGS
 
 FRAMES = "stream string, frame long, sample long, mel array<double>, energy double, lost long"
 STATE = "analyser binary, next_seq long, frames long, samples long, lost long, waiting binary"
 
 
+class Analyser:
+    """Log-mel frames of one stream's samples, which come in pieces of any length: the same frames as of the whole (`recordings.features`). What is carried is under a frame of
+    samples, the filter's last values and the noise pass."""
+
+    def __init__(self, settings: Settings | None = None, cutoff: float = 120.0):
+        self.high_pass, self.tracker = HighPass(float(RATE), cutoff), Tracker(settings or Settings())
+        self.raw, self.clean = np.zeros(0), np.zeros(0)
+
+    def push(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The new frames' levels and mean squares."""
+        x = np.asarray(x, np.float64)
+        self.raw, self.clean = np.concatenate([self.raw, x]), np.concatenate([self.clean, self.high_pass.push(x[None, :])[0]])
+        n = (len(self.raw) - FRAME) // HOP + 1 if len(self.raw) >= FRAME else 0
+        if not n:
+            return np.zeros((0, BANDS)), np.zeros(0)
+        raw, clean = (np.lib.stride_tricks.sliding_window_view(a, FRAME)[::HOP] for a in (self.raw, self.clean))
+        recent = np.mean(raw[:, -RECENT:] ** 2, axis=1)
+        kept = [self.tracker.push(p, e, t)["clean"] for p, t, e in zip(*spectra_of(clean), recent, strict=True)]
+        energy = np.mean(raw**2, axis=1)
+        self.raw, self.clean = self.raw[n * HOP :].copy(), self.clean[n * HOP :].copy()
+        return log_mel_of(np.stack(kept)), energy
+
+
 class LinearResampler:
     """Downmixed blocks at another rate to 48 kHz, with the phase and the last sample carried from block to block."""
 
@@ -64,7 +89,7 @@ def resampled_blocks(blocks: DataFrame, rate: int, to: int = 48000, channels: in
 PATIENCE, IDLE_MS = 50, 600_000
 
 
-def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None, patience: int = PATIENCE, idle_ms: int = IDLE_MS) -> DataFrame:
+def frames_of_blocks(blocks: DataFrame, settings: Settings | None = None, patience: int = PATIENCE, idle_ms: int = IDLE_MS) -> DataFrame:
     """blocks: a stream of (stream, seq, pcm), seq from 0. Gives (stream, frame, sample, mel, energy, lost); sample is where the frame begins, without what was lost.
 
     Blocks are taken in the order of seq whatever order they come in: those after a gap wait in the state until it is filled, or until the
@@ -76,7 +101,7 @@ def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None, pa
         blocks.sparkSession.conf.set(name, value)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        analyser, expected, done, samples, lost, waiting = Analyser(parameters), 0, 0, 0, 0, {}
+        analyser, expected, done, samples, lost, waiting = Analyser(settings), 0, 0, 0, 0, {}
         if state.exists:
             saved, expected, done, samples, lost, held = state.get
             analyser, waiting = pickle.loads(saved), pickle.loads(held)
@@ -88,7 +113,7 @@ def frames_of_blocks(blocks: DataFrame, parameters: Parameters | None = None, pa
         while waiting and (expected in waiting or state.hasTimedOut or max(waiting) - expected > patience):
             if expected not in waiting:
                 lost += min(waiting) - expected
-                expected, analyser, samples = min(waiting), Analyser(parameters), samples + len(analyser.raw)
+                expected, analyser, samples = min(waiting), Analyser(settings), samples + len(analyser.raw)
             ready = []
             while expected in waiting:
                 ready.append(waiting.pop(expected))
