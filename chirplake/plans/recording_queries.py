@@ -39,10 +39,10 @@ def _files(spark, sf_dir):
     form = form.otherwise(F.concat(_text("fmt "), _little(16, 4), _little(1, 2), plain))
     junk = F.when(F.col("vec_id") % 4 == 0, F.concat(_text("junk"), _little(3, 4), _little(0, 4))).otherwise("")
     data = F.concat(_text("data"), _little(F.size("v") * bits / 8, 4), F.array_join(F.transform("v", code), ""))
-    body = F.concat(_text("WAVE"), junk, form, data)
     magic = F.when(F.col("vec_id") % 9 == 0, _text("RIFX")).otherwise(_text("RIFF"))
-    whole = F.unhex(F.concat(magic, _little(F.length(body) / 2, 4), body))
-    cut = F.when(F.col("vec_id") % 11 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).otherwise(whole)
+    e = e.withColumn("body", F.concat(_text("WAVE"), junk, form, data))
+    e = e.withColumn("whole", F.unhex(F.concat(magic, _little(F.length("body") / 2, 4), "body")))
+    cut = F.when(F.col("vec_id") % 11 == 0, F.substring("whole", F.lit(1), F.octet_length("whole") - 1)).otherwise(F.col("whole"))
     return e.select("vec_id", F.format_string("%d.wav", "vec_id").alias("path"), cut.alias("content"))
 
 
