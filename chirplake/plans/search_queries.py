@@ -109,7 +109,9 @@ def quantise_roundtrip_snr(spark, sf_dir):
     e = _embeddings(spark, sf_dir).select("vec_id", V.doubles("embedding").alias("v")).withColumn("scale", V.scale_of(F.col("v")))
     back = V.dequantise(V.quantise(F.col("v"), F.col("scale")), F.col("scale"))
     err = F.zip_with("v", back, lambda a, b: (a - b) * (a - b))
-    return e.select("vec_id", F.round("scale", 9).alias("scale"), F.round(10 * F.log10(V.dot(F.col("v"), F.col("v")) / V.total(err)), 1).alias("snr_db"))
+    # The step is rounded in a select of its own: in one with the ratio, Spark takes the rounded alias for the step that the lambdas read.
+    e = e.select("vec_id", "scale", (10 * F.log10(V.dot(F.col("v"), F.col("v")) / V.total(err))).alias("snr_db"))
+    return e.select("vec_id", F.round("scale", 9).alias("scale"), F.round("snr_db", 1).alias("snr_db"))
 
 
 def quantise_odd(spark, sf_dir):

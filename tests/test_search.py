@@ -101,3 +101,19 @@ def test_evidence_of_odd_rows(spark):
     assert [(r.accept, r.onset) for r in with_evidence(rows, Variants(table)).collect()] == [(False, True), (False, True), (None, True), (None, None), (None, True), (False, True)]
     none = with_evidence(rows, Variants(table.where("item = 77")))
     assert [r.accept for r in none.collect()] == [False, False, None, None, None, False]
+
+
+def test_snr_of_steps_that_rounding_would_change(spark, tmp_path):
+    """The ratio is that of the step as it is, not of the step to nine places that is shown."""
+    import duckdb
+
+    from chirplake.plans.search_queries import ORACLES, QUERIES
+
+    random = np.random.default_rng(3)
+    e = pd.DataFrame({"vec_id": range(20), "label": 0, "embedding": [(random.standard_normal(64) * 1e-5).astype("float32") for _ in range(20)]})
+    e.to_parquet(tmp_path / "embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    wanted = {r[0]: r[1:] for r in db.sql(ORACLES["quantise_roundtrip_snr"]).fetchall()}
+    got = {r["vec_id"]: (r["scale"], r["snr_db"]) for r in QUERIES["quantise_roundtrip_snr"](spark, str(tmp_path)).collect()}
+    assert got == wanted
