@@ -80,11 +80,11 @@ def features(recordings: DataFrame, settings: D.Settings | None = D.Settings(),
 
 
 def anchor_templates(recordings: DataFrame, settings: D.Settings | None = D.Settings()) -> DataFrame:
-    """(path, v, frame, reject) of each recording: the unit patch around its anchor, the top of the smoothed energies (the first on ties), and the frame that it ends on;
+    """(path, v, frame, reject) of each recording: the unit patch around its anchor, the top of the smoothed energies (the first of those equal to 12 places), and the frame that it ends on;
     or why there is none: what `reject` says already, `too short: ...`, `silent` where nothing is left of the patch, `weak` where a long recording's anchor stands out too little."""
     checked = recordings.select("path", "pcm", F.col("reject").alias("_was")).transform(D.long_enough).withColumn("reject", F.coalesce("_was", "reject"))
     f = features(checked.where("reject is null"), settings).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("frame", "energy", "mel"))).alias("f"))
-    f = f.withColumn("sm", G.smoothed(F.col("f.energy"), 7)).withColumn("at", (F.array_position("sm", F.array_max("sm")) - 1).cast("int"))
+    f = f.withColumn("sm", F.transform(G.smoothed(F.col("f.energy"), 7), lambda x: F.round(x, 12))).withColumn("at", (F.array_position("sm", F.array_max("sm")) - 1).cast("int"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - (PATCH - 1) // 2, F.size("f") - PATCH))
     bed = F.filter(F.col("f"), lambda x: F.abs(x["frame"] - F.col("at")) > 3)["energy"]
     f = f.select("path", start.alias("start"), F.size("f").alias("frames"), F.get("f.energy", F.col("at")).alias("peak"), V.mean(bed).alias("bed"), "f")

@@ -158,3 +158,12 @@ def test_recordings_are_identified(spark, tmp_path):
         best[r.file] = max(best.get(r.file, (-1, 0)), (r.score, r.item))
     assert best["a880.wav"][1] == 1 and best["b1500.wav"][1] == 2 and best["c-burst.wav"][1] == 3
     assert best["d-offset.wav"][1] == 1 and best["f-stereo.wav"][1] == 1 and best["d-offset.wav"][0] > 0.9
+
+
+def test_anchors_of_energies_that_are_equal_to_twelve_places(spark):
+    """The first frame counts, whatever the last bits of the sums are."""
+    x = np.tile(np.random.default_rng(5).uniform(-0.5, 0.5, 256), 60)
+    x[9000] += np.sign(x[9000]) * 1e-11
+    r = spark.createDataFrame([("a", x.tolist(), None)], "path string, pcm array<double>, reject string")
+    (row,) = anchor_templates(r, settings=None).collect()
+    assert (row.frame, row.reject) == (31, None)
