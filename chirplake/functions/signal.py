@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from chirplake.functions import vectors as V
 
 DOUBLES = T.ArrayType(T.DoubleType())
 RATE, FRAME, HOP, BANDS, F_MIN, F_MAX = 48_000, 1024, 256, 64, 40.0, 16_000.0
+#: Frames that are transformed together.
+AT_ONCE = 256
 
 
 def downmixed(pcm: Column, channels: int | Column) -> Column:
@@ -79,13 +82,17 @@ def spectra_of(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one_sided((frames - frames.mean(1, keepdims=True)) * taper), one_sided(frames * taper)
 
 
+def _parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Rows that are in work together, as arrays are copied several times there and what is made of them leaves the task part by part."""
+    return (rows.iloc[k : k + AT_ONCE] for rows in batches for k in range(0, len(rows), AT_ONCE))
+
+
 @F.pandas_udf(T.StructType([T.StructField("power", DOUBLES), T.StructField("tracked", DOUBLES)]))
-def spectra(frames: pd.Series) -> pd.DataFrame:
-    """Both spectra of frames of one length, transformed at once."""
-    if not len(frames):
-        return pd.DataFrame({"power": [], "tracked": []})
-    power, tracked = spectra_of(np.stack(frames.to_numpy()))
-    return pd.DataFrame({"power": list(power), "tracked": list(tracked)})
+def spectra(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Both spectra of frames of one length."""
+    for part in _parts(frames):
+        power, tracked = spectra_of(np.stack(part.to_numpy()))
+        yield pd.DataFrame({"power": list(power), "tracked": list(tracked)})
 
 
 def mel_weights() -> np.ndarray:
@@ -102,9 +109,10 @@ def log_mel_of(power: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(DOUBLES)
-def log_mel(power: pd.Series) -> pd.Series:
+def log_mel(power: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Levels of the mel bands, in dB, of spectra of frames of FRAME samples."""
-    return pd.Series(list(log_mel_of(np.stack(power.to_numpy())))) if len(power) else power
+    for part in _parts(power):
+        yield pd.Series(list(log_mel_of(np.stack(part.to_numpy()))))
 
 
 @F.pandas_udf(DOUBLES)

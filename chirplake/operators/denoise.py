@@ -8,6 +8,7 @@ stream stays on one task, a batch of frames at a time (`ordered.py`); many strea
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 
 from chirplake.operators.series import folded
 
-#: Samples that the filter takes at once.
-BLOCK = 64
+#: Samples that the filter takes at once; samples of several recordings, and frames of one, that are in work together.
+BLOCK, AT_ONCE, FRAMES_AT_ONCE = 64, 1 << 20, 256
 
 #: Fixed values of the tracker: shares of the new power in the fast track, of the track in the noise and in a new scene's, ratios of track to noise
 #: that are an event and hot, the part of the bins that must be hot, frames that are averaged at first, and how long a new scene rises.
@@ -85,17 +86,28 @@ class HighPass:
 
 
 def high_passed(rate: float, cutoff: float = 120.0):
-    """A second-order high-pass over arrays of samples. Arrays of one length are filtered together."""
+    """A second-order high-pass over arrays of samples. Arrays of one length are filtered together, AT_ONCE samples or one array at a time."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(pcm: pd.Series) -> pd.Series:
+    def filtered(pcm: pd.Series, sizes: np.ndarray) -> pd.Series:
         out = [None] * len(pcm)
-        sizes = pcm.map(lambda x: -1 if x is None else len(x))
-        for n in sizes[sizes >= 0].unique():
+        for n in np.unique(sizes[sizes >= 0]):
             at = np.flatnonzero(sizes == n)
-            for row, place in zip(HighPass(rate, cutoff, len(at)).push(np.stack(pcm.iloc[at].to_numpy()).astype(float)), at, strict=True):
+            for row, place in zip(HighPass(rate, cutoff, len(at)).push(np.stack(pcm.iloc[at].to_numpy()).astype(float, copy=False)), at, strict=True):
                 out[place] = row
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pcm in batches:
+            sizes = np.array([-1 if x is None else len(x) for x in pcm], np.int64)
+            start = held = 0
+            for k, n in enumerate(sizes.tolist()):
+                if k > start and held + n > AT_ONCE:
+                    yield filtered(pcm.iloc[start:k], sizes[start:k])
+                    start, held = k, 0
+                held += max(n, 0)
+            if start < len(pcm):
+                yield filtered(pcm.iloc[start:], sizes[start:])
 
     return run
 
@@ -170,7 +182,7 @@ def denoised(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Adds noise (zeros until ready, which takes FIRST frames), scene, whether a new scene is being learnt, protected, whether the frame is part of a short
     transient and stays as it is, clean, the attenuated spectrum, and cut_db, by how much its power fell.
     """
-    out = folded(frames, ["stream"], lambda: Tracker(settings).step, "_out", CLEANED)
+    out = folded(frames, ["stream"], lambda: Tracker(settings).step, "_out", CLEANED, FRAMES_AT_ONCE)
     return out.select(*frames.columns, "_out.*")
 
 

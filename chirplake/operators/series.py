@@ -176,13 +176,14 @@ def newest(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return df.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("id")))).where(F.col("rk") <= n)
 
 
-def folded(df: DataFrame, by: list[str], make: Callable[[], Callable[[object], object]], out: str, kind: str) -> DataFrame:
-    """df with the column `out`: for each group of `by` a new step function sees its rows in the order of t and id, a batch in memory at a time."""
+def folded(df: DataFrame, by: list[str], make: Callable[[], Callable[[object], object]], out: str, kind: str, most: int = 10_000) -> DataFrame:
+    """df with the column `out`: for each group of `by` a new step function sees its rows in the order of t and id, a batch in memory at a time.
+    What the steps give leaves the task every `most` rows, few where rows are long."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` {kind}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, step = None, None
-        for rows in batches:
+        for rows in (b.iloc[k : k + most] for b in batches for k in range(0, len(b), most)):
             done = []
             for key, r in zip(plain_rows([rows], by), rows.itertuples(index=False), strict=True):
                 if step is None or key != group:

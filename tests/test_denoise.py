@@ -61,3 +61,24 @@ def test_formats_of_rows(spark):
     out = [r.c for r in df.select("channels", G.canonical(F.col("v"), F.col("channels"), F.col("rate")).alias("c")).orderBy("channels").collect()]
     assert out[0] == v and out[1] == [x + 0.5 for x in v[::2]] and out[2] == [2.0, 4.5, 7.0, 7.0] and out[3] == []
     assert [r.reject is None for r in long_enough(spark.createDataFrame([([1.0] * 8960,), ([1.0] * 8959,), (None,)], "pcm array<double>")).collect()] == [True, False, True]
+
+
+def test_what_tasks_make_of_long_rows_leaves_them_in_parts():
+    """A batch of recordings or frames isn't copied whole, and its parts give what the rows by themselves give."""
+    import pandas as pd
+
+    from chirplake.functions import signal as G
+    from chirplake.operators.denoise import AT_ONCE, HighPass, high_passed
+
+    random = np.random.default_rng(8)
+    frames = pd.Series(list(random.standard_normal((600, G.FRAME))))
+    made = list(G.spectra.func(iter([frames, frames[:3]])))
+    assert [len(p) for p in made] == [256, 256, 88, 3]
+    assert np.allclose(np.stack(pd.concat(made)["power"].to_list()), G.spectra_of(np.stack(frames.to_list() + frames[:3].to_list()))[0])
+    assert [len(p) for p in G.log_mel.func(p["power"] for p in [pd.concat(made)])] == [256, 256, 91]
+    sizes = [AT_ONCE // 3, AT_ONCE // 3, AT_ONCE * 2, None, AT_ONCE // 2, 5, 5]
+    pcm = pd.Series([None if n is None else random.standard_normal(n) for n in sizes])
+    parts = list(high_passed(48_000.0).func(iter([pcm])))
+    assert [len(p) for p in parts] == [2, 1, 4]
+    for x, y in zip(pcm, pd.concat(parts), strict=True):
+        assert y is None if x is None else np.allclose(HighPass(48_000.0).push(x[None])[0], y)
