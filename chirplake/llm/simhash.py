@@ -485,7 +485,8 @@ def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", m
     (null and empty ones too) are copies of each other; of equal rows one stays. Columns of df stay as they are, whatever their names. An empty table gives an empty one.
     """
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
-    work = frozen(sketched(rows).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
+    # The text is in the row already; a second one would be most of the table.
+    work = frozen(sketched(rows).drop("text").withColumn("_row", F.monotonically_increasing_id()), "near-copies")
     first = F.min(F.struct(F.col("_row").alias("node"), F.col("_fp0").alias("fp0"), F.col("_fp1").alias("fp1"), F.col("_bands").alias("bands")))
     kept = F.min(F.struct(F.col("id").isNull().alias("absent"), F.col("id").alias("id"), F.col("_row").alias("row")))
     nodes = frozen(work.groupBy("_set0", "_set1").agg(first.alias("n"), kept.alias("kept")).select("n.*", "kept"), "near-nodes")
@@ -498,7 +499,7 @@ def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", m
     )
     pairs = frozen(links.where("u <> v").distinct(), "near-pairs")
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = work.select(F.col("_row").alias("node"), "text").join(wanted, "node")
+    texts = work.select(F.col("_row").alias("node"), F.col("row").getField(text).alias("text")).join(wanted, "node")
     sets = frozen(map_texts(texts, "text", ["node"], "size int, set binary", _sets), "shingle-sets")
     alike = frozen(similar_pairs(pairs, sets, similarity), "near-links")
     roots = components(alike)
@@ -506,5 +507,6 @@ def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", m
     across = frozen(split_links(members, sets, similarity), "split-links")
     if not across.isEmpty():
         roots = components(across.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    discard(shared, pairs, sets, alike, members, across)
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept")["row"].alias("_row"))
     return work.join(rooted.select("_row"), "_row", "left_semi").select("row.*")
