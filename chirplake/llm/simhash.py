@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chirplake.llm.batches import map_texts
-from chirplake.llm.store import discard, frozen, joined
+from chirplake.llm.store import discard, frozen, joined, kept_by_bits
 
 BITS = 64
 #: Children of a node of the hierarchy.
@@ -499,7 +499,7 @@ def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", m
     )
     pairs = frozen(links.where("u <> v").distinct(), "near-pairs")
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = work.select(F.col("_row").alias("node"), F.col("row").getField(text).alias("text")).join(wanted, "node")
+    texts = kept_by_bits(work.select(F.col("_row").alias("node"), F.col("row").getField(text).alias("text")), wanted, "node")
     sets = frozen(map_texts(texts, "text", ["node"], "size int, set binary", _sets), "shingle-sets")
     alike = frozen(similar_pairs(pairs, sets, similarity), "near-links")
     roots = components(alike)
@@ -509,4 +509,4 @@ def drop_near_copies(df: DataFrame, *, id: str = "doc_id", text: str = "text", m
         roots = components(across.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     discard(shared, pairs, sets, alike, members, across)
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept")["row"].alias("_row"))
-    return work.join(rooted.select("_row"), "_row", "left_semi").select("row.*")
+    return kept_by_bits(work, rooted.select("_row"), "_row").select("row.*")

@@ -66,5 +66,16 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int,
     return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(n), on, how))
 
 
+def kept_by_bits(df: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """Rows of df whose `id` is in the first column of ids. Ids are counted up from few starts, as `monotonically_increasing_id` gives them: they are
+    sent to all tasks as bitmaps, a bit a row, so that df's rows, which may be long, stay where they are."""
+    one = F.col(ids.columns[0])
+    bits = ids.groupBy(F.bitmap_bucket_number(one).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("_bits"))
+    at = F.bitmap_bit_position(F.col(id))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_bucket", F.bitmap_bucket_number(F.col(id))).join(F.broadcast(bits), "_bucket")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

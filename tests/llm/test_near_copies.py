@@ -109,3 +109,16 @@ def test_blocks_of_a_large_component_link_what_one_cell_links(spark, monkeypatch
     rows = [(k, " ".join([*words[:199], f"end{k}"])) for k in range(30)]
     left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.doc_id for r in left] == [0]
+
+
+def test_rows_are_kept_by_bits(spark):
+    """Ids at the edges of bitmaps and of partitions; rows aren't shuffled."""
+    from chirplake.llm.store import kept_by_bits
+
+    ids = [0, 1, 2, 7, 8, 9, 32768, 32769, 32770, 65536, 65537, 1 << 33, (1 << 33) + 1, (1 << 33) + 32768, (5 << 33) + 77]
+    df = spark.createDataFrame([(k, "x" * 9) for k in ids], "_row long, text string")
+    wanted = ids[::2] + [(9 << 33) + 5, 32771]
+    kept = kept_by_bits(df, spark.createDataFrame([(k,) for k in wanted], "r long"), "_row")
+    assert sorted(r["_row"] for r in kept.collect()) == ids[::2] and kept.columns == df.columns
+    none = kept_by_bits(df, spark.createDataFrame([], "r long"), "_row")
+    assert none.count() == 0
