@@ -12,8 +12,9 @@ once, so that what is shuffled is pre-aggregated and no word or context is hot:
 
 A level of the trie holds, for its sorted contexts, monotone pointers to the range of their
 successors, the successors (made monotone by the sums of the ranges before) and 16-bit codes
-of discounted probabilities, all in one memory-mapped file. A successor is found by bisection in its
-context's range, for all queries of a shard together; only the values that are looked at are decoded.
+of discounted probabilities, all in one memory-mapped file. A successor is found in the bucket of its high
+bits, there by bisection of the packed low bits. A shard looks for each distinct bigram once, whatever the
+number of chunks that ask for it, in the order of the trie; only what is looked at is decoded.
 
 The model is absolute discounting over the additively smoothed unigrams:
 P(w | h) = max(c(hw) - D, 0) / c(h) + D * N1+(h) / c(h) * P(w), P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),
@@ -70,6 +71,28 @@ def spread(values: np.ndarray, shards: int, salt: np.ndarray | int = 0) -> np.nd
     return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+def _select_table() -> np.ndarray:
+    """For rank r and byte b at r * 256 + b: the place of the set bit that has r set ones below it."""
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    ranks = np.where(bits == 1, np.cumsum(bits, axis=1) - 1, 8)
+    return np.stack([np.argmax(ranks == r, axis=1) for r in range(8)]).astype(np.uint8).ravel()
+
+
+SELECT = _select_table()
+LOWS, HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _select(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the set bit of each 64-bit word that has so many set ones below it; bytes side by side."""
+    sums = bits - ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * LOWS  # of each byte and those below
+    rank = rank.astype(np.uint64)
+    shift = np.bitwise_count((((rank * LOWS) | HIGHS) - sums) & HIGHS).astype(np.uint64) << np.uint64(3)
+    rank -= ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+    return shift.astype(np.int64) + SELECT[rank << np.uint64(8) | (bits >> shift) & np.uint64(255)]
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary with a rank directory. Parts are arrays that can be mapped."""
 
@@ -96,39 +119,50 @@ class EliasFano:
         before = np.concatenate(([0], np.cumsum(np.bitwise_count(high).astype(np.int64))))[:-1]
         return cls({"low": low, "high": high, "before": before.astype(np.uint64)}, n, width)
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of the values at places i."""
+        if not self.width:
+            return np.zeros(len(i), np.int64)
+        low = self.parts["low"]
+        bit = i.astype(np.uint64) * np.uint64(self.width)
+        w, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        part = low[w] >> off
+        over = np.flatnonzero(off > np.uint64(64 - self.width))
+        part[over] |= low[w[over] + 1] << (np.uint64(64) - off[over])
+        return (part & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        low, high, before = self.parts["low"], self.parts["high"], self.parts["before"]
+        high, before = self.parts["high"], self.parts["before"]
         word = np.searchsorted(before, i.astype(np.uint64), side="right") - 1
-        rank = i - before[word].astype(np.int64)
-        bits, pos = high[word].copy(), np.zeros(len(i), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            go = rank >= ones
-            rank -= np.where(go, ones, 0)
-            bits = np.where(go, bits >> np.uint64(step), bits)
-            pos += np.where(go, step, 0)
-        value = (word * 64 + pos - i) << self.width
-        if self.width:
-            bit = i.astype(np.uint64) * np.uint64(self.width)
-            w, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-            part = low[w] >> off
-            over = off > np.uint64(64 - self.width)
-            part[over] |= low[w[over] + 1] << (np.uint64(64) - off[over])
-            value |= (part & np.uint64((1 << self.width) - 1)).astype(np.int64)
-        return value
+        return (word * 64 + _select(high[word], i - before[word].astype(np.int64)) - i) << self.width | self._low(i)
+
+    def _ends(self, bucket: np.ndarray) -> np.ndarray:
+        """How many values have high bits up to each bucket, whose zero in the unary high bits ends it; 0 for bucket -1."""
+        high, before = self.parts["high"], self.parts["before"]
+        zeros = np.arange(0, 64 * len(high), 64) - before.astype(np.int64)
+        last = 64 * (len(high) - 1) + int(high[-1]).bit_length() - self.n  # bucket of the last value
+        out = np.where(bucket < 0, 0, self.n)
+        some = np.flatnonzero((bucket >= 0) & (bucket < last))
+        b = bucket[some]
+        word = np.searchsorted(zeros, b, side="right") - 1
+        out[some] = word * 64 + _select(~high[word], b - zeros[word]) - b
+        return out
 
     def successor(self, values: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
-        """The place of the first that is not smaller than each value, from each begin on and before each end (end: none is); by bisection on the packed sequence."""
-        low = np.broadcast_to(np.asarray(begin, np.int64), values.shape).copy()
-        high = np.broadcast_to(np.asarray(self.n if end is None else end, np.int64), values.shape).copy()
+        """The place of the first that is not smaller than each value, from each begin on and before each end (end: none is).
+
+        Values whose high bits are equal lie together; in these the low bits are bisected, packed as they are.
+        """
+        bucket, lows = values >> self.width, values & ((1 << self.width) - 1)
+        low, high = self._ends(bucket - 1), self._ends(bucket)
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
-            less = self.get(mid) < values[open_]
+            less = self._low(mid) < lows[open_]
             low[open_[less]], high[open_[~less]] = mid[less] + 1, mid[~less]
             open_ = open_[low[open_] < high[open_]]
-        return low
+        return np.clip(low, begin, self.n if end is None else end)
 
 
 class BigramTrie:
@@ -338,24 +372,29 @@ def _answer_bigrams(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     shard = int(key[0])
     cols = {c: [unpack(x) for x in asked[c]] for c in ("keys", "totals", "sizes", "words", "counts")}
     flat = {c: np.concatenate(v) for c, v in cols.items()}
-    contexts, at = np.unique(flat["keys"], return_index=True)
+    contexts, at, owner = np.unique(flat["keys"], return_index=True, return_inverse=True)
     totals = flat["totals"][at]
-    owner = np.repeat(np.searchsorted(contexts, flat["keys"]), flat["sizes"])
-    seen = flat["counts"] > 0
-    o, w, c = owner[seen], flat["words"][seen], flat["counts"][seen]
-    order = np.lexsort((w, o))
-    o, w, c = o[order], w[order], c[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(len(o), 1), bool), (np.diff(o) != 0) | (np.diff(w) != 0))))
+    o = np.repeat(owner, flat["sizes"])
+    order = np.lexsort((flat["words"], o))
+    o, w, c = o[order], flat["words"][order], flat["counts"][order]
+    # Each bigram once, in the order of the trie: chunks ask for the same ones.
+    first = np.concatenate((np.ones(min(len(o), 1), bool), (o[1:] != o[:-1]) | (w[1:] != w[:-1])))
+    new = np.flatnonzero(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(first) - 1
     c = np.add.reduceat(c, new) if len(new) else c
     o, w = o[new], w[new]
-    successors = np.bincount(o, minlength=len(contexts))
-    p = np.maximum(c - DISCOUNT, 0) / totals[o]
-    trie = BigramTrie(contexts, np.concatenate(([0], np.cumsum(successors))), w, encode_log(p))
+    seen = c > 0
+    successors = np.bincount(o[seen], minlength=len(contexts))
+    p = np.maximum(c[seen] - DISCOUNT, 0) / totals[o[seen]]
+    trie = BigramTrie(contexts, np.concatenate(([0], np.cumsum(successors))), w[seen], encode_log(p))
+    codes = trie.lookup(contexts, np.bincount(o, minlength=len(contexts)), w)[place]
+    followers = successors[owner]
     rows = []
-    for k, chunk in enumerate(asked["chunk"]):
-        keys, words = cols["keys"][k], cols["words"][k]
-        codes = trie.lookup(keys, cols["sizes"][k], words)
-        rows.append((chunk, 2, shard, pack(codes), pack(successors[np.searchsorted(contexts, keys)]), 0, 0))
+    begin = first_key = 0
+    for chunk, keys, words in zip(asked["chunk"], cols["keys"], cols["words"], strict=True):
+        rows.append((chunk, 2, shard, pack(codes[begin : begin + len(words)]), pack(followers[first_key : first_key + len(keys)]), 0, 0))
+        begin, first_key = begin + len(words), first_key + len(keys)
     return pd.DataFrame(rows, columns=ANSWERS)
 
 
